@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import licenses, mixing, neardup, quality
+from tessella.llm import licenses, mixing, neardup, quality, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir)).drop("matches")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_documents(spark, sf_dir))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir)).drop("first_finish")
 
@@ -32,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.SQL, "op6_source_mixing": mixing.SQL}
+    return {"op1_license_scan": licenses.SQL, "op2_substring_dedup": substrings.SQL, "op6_source_mixing": mixing.SQL}

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: all of ASCII but digits and (lower-cased) letters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: label, whole template, mandatory key phrase.
 BASE = (
     ("cc-by", "cc by", "cc by"),
@@ -49,7 +50,7 @@ def _table(templates) -> list[dict]:
 
 def words_of(text: Column) -> Column:
     """Lower-cased words of a whole text; null has none."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(F.lower(text), BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:

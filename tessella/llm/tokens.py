@@ -34,9 +34,9 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            n = max(n, 2 * len(self.up))
+            room = max(n, 2 * len(self.up))
             for name, base in (("up", self.base), ("down", self.inverse)):
-                x = np.full(n, base, np.uint64)
+                x = np.full(room, base, np.uint64)
                 x[0] = 1
                 setattr(self, name, np.cumprod(x, dtype=np.uint64))
         return self.up[:n], self.down[:n]

@@ -122,17 +122,24 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.explode("gone").alias("pos")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, chars_col: str | None = None, **options) -> DataFrame:
     """The rows of docs, all columns, with the duplicate lines deleted from their texts.
 
     Documents that lose nothing are unchanged; a null text stays null. A document that loses all
-    its lines keeps its row, with an empty text. An empty table stays empty.
+    its lines keeps its row, with an empty text, or goes if drop_emptied is set. chars_col names
+    a column that holds the length of the text, to be kept right. An empty table stays empty.
     """
     gone = duplicate_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_tessella_id"), F.col("deleted").alias("_tessella_deleted"))
-    left = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.when(F.array_contains("_tessella_deleted", i), F.lit(None)).otherwise(x))
-    text = F.when(F.col("_tessella_deleted").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     joined = docs.join(gone, docs[id_col] == gone["_tessella_id"], "left")
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    lost = F.col("_tessella_deleted").isNotNull()
+    left = F.transform(F.split(docs[text_col], "\n"), lambda x, i: F.when(F.array_contains("_tessella_deleted", i), F.lit(None)).otherwise(x))
+    changed = {text_col: F.when(lost, F.array_join(left, "\n")).otherwise(docs[text_col])}
+    if drop_emptied:
+        joined = joined.filter(~lost | (F.size("_tessella_deleted") < F.size(F.split(docs[text_col], "\n"))))
+    if chars_col in docs.columns:
+        own = docs[chars_col]
+        changed[chars_col] = F.when(lost, F.length(F.array_join(left, "\n")).cast(docs.schema[chars_col].dataType)).otherwise(own)
+    return joined.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

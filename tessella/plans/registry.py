@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["sampling", "statistics", "quality"]
+MODULES: list[str] = ["sampling", "statistics", "quality", "text"]
 
 
 def _modules():

@@ -8,13 +8,14 @@ from the later one: blocks of several lines, or of one rare line.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.session import materialize
 
@@ -84,6 +85,33 @@ def blocks_to_delete(later: list[int], earlier: list[int], counts: list[bool], r
     return out
 
 
+def _hash_lines(batches: Iterator[pa.RecordBatch], anchor_words: int) -> Iterator[pa.RecordBatch]:
+    """Per document: hashes of its trimmed lines, which aren't blank, which have enough words."""
+    for batch in batches:
+        seq, counts, long_ = [], [], []
+        for i in range(batch.num_rows):
+            lines = [x.strip(" ") for x in (batch.column(1)[i].as_py() or "").split("\n")]
+            seq.append([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in lines])
+            counts.append([x != "" for x in lines])
+            long_.append([x.count(" ") + 1 >= anchor_words for x in lines])
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip((seq, counts, long_), kinds)]], names=["doc_id", "seq", "counts", "long"])
+
+
+def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, gone of each pair (doc_id, rare, seq, counts, other) that has a block to delete."""
+    for batch in batches:
+        at, out = [], []
+        for i in range(batch.num_rows):
+            rare, seq, counts, other = (batch.column(c)[i].as_py() for c in range(1, 5))
+            known = set(rare)
+            gone = blocks_to_delete(seq, other, counts, [h in known for h in seq], least)
+            if gone:
+                at.append(i)
+                out.append(gone)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, anchor_words: int = ANCHOR_WORDS, least: int = BLOCK_LINES) -> DataFrame:
     """doc_id, deleted: the line numbers to delete (from 0), of each document that has any.
 
@@ -91,14 +119,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal each other but anchor nothing. Null texts have no lines, null ids take no part. Rows of
     one doc_id are not compared with each other, and get what each of them would lose together.
     """
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    read = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.transform(parts, lambda x: F.trim(x)).alias("parts"))
-    hashed = read.select(
-        "doc_id",
-        F.transform("parts", lambda x: F.xxhash64(x)).alias("seq"),
-        F.transform("parts", lambda x: x != "").alias("counts"),
-        F.transform("parts", lambda x: F.size(F.split(x, " ")) >= anchor_words).alias("long"),
-    )
+    read = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = read.schema["doc_id"].dataType.simpleString()
+    hashed = read.mapInArrow(lambda batches: _hash_lines(batches, anchor_words), f"doc_id {kind}, seq array<bigint>, counts array<boolean>, long array<boolean>")
     hashes = materialize(hashed, "lines")  # hashes only: texts are read once
     lines = hashes.select("doc_id", F.explode(F.arrays_zip("seq", "counts", "long")).alias("x")).select("doc_id", F.col("x.seq").alias("h"), "x.counts", "x.long")
     anchors = lines.filter("counts and long")
@@ -109,16 +132,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.filter((F.col("has_rare") == 1) | (F.col("shared") >= least)).select("doc_id", "first", "rare")
     met = pairs.join(hashes, "doc_id").join(hashes.select(F.col("doc_id").alias("first"), F.col("seq").alias("other")), "first")
 
-    def align(seq: pd.Series, other: pd.Series, counts: pd.Series, rare_h: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c, r in zip(seq, other, counts, rare_h):
-            known_rare = set(r.tolist())
-            a = a.tolist()
-            out.append(blocks_to_delete(a, b.tolist(), c.tolist(), [h in known_rare for h in a], least))
-        return pd.Series(out)
-
-    aligned = F.pandas_udf(align, T.ArrayType(T.IntegerType()))
-    found = met.select("doc_id", aligned("seq", "other", "counts", "rare").alias("gone")).filter(F.size("gone") > 0)
+    found = met.select("doc_id", "rare", "seq", "counts", "other").mapInArrow(lambda batches: _align(batches, least), f"doc_id {kind}, gone array<int>")
     return found.select("doc_id", F.explode("gone").alias("pos")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["sampling", "statistics", "quality", "text", "matching"]
+MODULES: list[str] = ["sampling", "statistics", "quality", "text", "matching", "geometry"]
 
 
 def _modules():

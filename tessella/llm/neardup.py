@@ -7,10 +7,10 @@ over its shingles.
 
 Documents of equal shingle sets are one class from the start. Classes that share a band bucket
 are candidates, but a bucket never emits all its pairs: its members are compared with its least
-member and united. Then only buckets that still span several components matter, and of them only
-pairs across components, as a link inside one changes nothing. Where those would be many, the
-bucket is refined first: similar documents share a third of their bands, so each member's other
-bands make smaller buckets, in which similar ones still meet.
+member and united. Then only buckets that still span several components matter. Their members
+fall into clusters (what such buckets connect), clusters into blocks of bounded size, and a task
+takes two blocks: it compares sketches of pairs across components, verifies the promising ones on
+full shingle sets, and returns links only. Pairs inside a component are never looked at.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from tessella.llm import tokens
 from tessella.llm.graph import connected_components
+from tessella.llm.idfilter import only
 from tessella.session import materialize
 
 UNIVERSE = 1 << 20
-#: 36 bands of 5 rows: a pair of Jaccard 0.8 is missed with probability (1 - 0.8^5)^36 = 6e-7.
-BANDS, ROWS = 36, 5
-#: A bucket with more comparisons than WORK is refined by its members' other bands, REFINE times.
-WORK, REFINE = 20_000, 3
+#: 64 bands of 7 coordinates, drawn from 192: a pair of Jaccard 0.8 shares none of them with
+#: probability (1 - 0.8^7)^64 = 3e-7.
+COORDINATES, BANDS, ROWS = 192, 64, 7
+#: Most members of a cluster's block; a task holds the texts of two.
+BLOCK = 1024
 _rng = np.random.default_rng(7)
 _SIGMA = np.uint64(int(_rng.integers(1, 1 << 62)) * 2 + 1)
 
@@ -60,15 +62,12 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int, k: int, table: np.nda
     return out
 
 
-def shingle_sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits that identify the set), sketch (one byte of
-    each coordinate), band (hash of each band). docs: doc_id, text."""
-    k = bands * rows
+def shingle_sets(docs: DataFrame, size: int, k: int) -> DataFrame:
+    """doc_id, n_shingles, set_a, set_b (128 bits that identify the set), sketch (the low byte of
+    each coordinate). docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = circulant_table(k)
-        salt = tokens.mix(np.arange(1, bands + 1, dtype=np.uint64))
-        odd = tokens.mix(np.arange(100, 100 + rows, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             for first, data, offsets in tokens.chunks(batch.column(1)):
                 w = tokens.words(first, data, offsets, lower=True)
@@ -80,18 +79,35 @@ def shingle_sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame
                 for seed in (0x1234567, 0x89ABCDEF01):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(value ^ np.uint64(seed)), dtype=np.uint64)])
                     ids.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-                sig = signatures(doc, value, w.n, k, table)
-                keys = (sig.reshape(w.n, bands, rows).astype(np.uint64) * odd).sum(-1, dtype=np.uint64)
-                keys = tokens.mix(keys ^ salt[None]).view(np.int64)
-                sketch = (sig & 255).astype(np.uint8)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (w.n + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
+                sketch = (signatures(doc, value, w.n, k, table) & 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, w.n), pa.array(count.astype(np.int64)), pa.array(ids[0]), pa.array(ids[1]), pa.array([x.tobytes() for x in sketch], pa.binary()), lists],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sketch", "band"],
+                    [batch.column(0).slice(first, w.n), pa.array(count.astype(np.int64)), pa.array(ids[0]), pa.array(ids[1]), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, band array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, sketch binary")
+
+
+def band_keys(reps: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """id, key: a row for each band, whose coordinates are drawn once for all. Coordinates stand
+    for themselves by their low bytes; different ones agree in all of a band's by a chance of
+    256^-rows at most."""
+    rng = np.random.default_rng(13)
+    chosen = np.array([rng.choice(k, rows, replace=False) for _ in range(bands)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = tokens.mix(np.arange(1, bands + 1, dtype=np.uint64))
+        for batch in batches:
+            n = batch.num_rows
+            sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, k)
+            keys = np.zeros((n, bands), np.uint64)
+            for j in range(rows):
+                keys = keys * np.uint64(256) + sketch[:, chosen[:, j]]
+            keys = tokens.mix(tokens.mix(keys) ^ salt[None]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)), pa.array(keys.ravel())], names=["id", "key"])
+
+    return reps.select("id", "sketch").mapInArrow(run, "id bigint, key bigint")
 
 
 def _agree(sketch_a: pd.Series, sketch_b: pd.Series) -> pd.Series:
@@ -124,31 +140,84 @@ def _set(text: str, size: int) -> frozenset:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Texts are shuffled once by their ids, and
-    only those of candidates go on to their pairs."""
+    """The pairs (a, b) whose texts are similar enough. Of the texts, those of candidates are
+    shuffled: a fixed-size filter of their ids thins the scan."""
     sided = pairs.select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "id"))
-    texts = sided.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    texts = sided.join(only(docs, "doc_id", sided, "id").select(F.col("doc_id").alias("id"), "text"), "id")
     met = texts.groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("y"))
     test = F.pandas_udf(lambda x, y: _similar(x, y, size, percent), "boolean")
     return met.filter(test("x", "y")).select("a", "b")
 
 
-def _named(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """members (key, id) with their component so far; only buckets that span several."""
-    if found is None:
-        named = members.withColumn("comp", F.col("id"))
-    else:
-        named = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    return named
+def _named(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members (key, id) with their component so far."""
+    return members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+
+
+def _hash_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted shingle hashes of each text."""
+    out = []
+    for first, data, offsets in tokens.chunks(texts):
+        w = tokens.words(first, data, offsets, lower=True)
+        doc, _, value = tokens.shingles(w, size)
+        doc, value = tokens.distinct(doc, value)
+        bounds = np.searchsorted(doc, np.arange(w.n + 1))
+        out += [value[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+    return out
+
+
+def links_across(ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, least: float) -> list[tuple[int, int]]:
+    """Links that unite components, among pairs of a left and a right member: at most one less
+    than there are components. Pairs whose components are united by then are left out."""
+    root = {c: c for c in set(comp.tolist())}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    size = np.array([len(x) for x in sets])
+    out = []
+    for x in left.tolist():
+        near = (sketch[right] == sketch[x]).mean(1)
+        fits = (comp[right] != comp[x]) & (near >= least) & (np.minimum(size[right], size[x]) * 100 >= np.maximum(size[right], size[x]) * percent)
+        todo = right[fits][np.argsort(-near[fits], kind="stable")]
+        while len(todo):
+            mine = find(comp[x])
+            todo = np.array([y for y in todo.tolist() if find(comp[y]) != mine], np.int64)
+            some, todo = todo[:32], todo[32:]
+            if not len(some):
+                break
+            flat = np.concatenate([sets[y] for y in some.tolist()])
+            at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
+            both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[some])[:-1]]))
+            for y in some[100 * both >= percent * (size[x] + size[some] - both)].tolist():
+                if find(comp[y]) != find(comp[x]):
+                    root[find(comp[y])] = find(comp[x])
+                    out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
+def _cross_links(members: DataFrame, texts: DataFrame, reps: DataFrame, size: int, percent: int, least: float, block: int) -> DataFrame:
+    """Links between components within the clusters of members (id, comp, cluster)."""
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", F.ceil(F.col("n") / block).cast("int").alias("g"))
+    placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    full = placed.join(only(texts, "doc_id", members, "id").select(F.col("doc_id").alias("id"), "text"), "id").join(reps.select("id", "sketch"), "id").dropDuplicates(["id"])
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch", "text")
 
+    def search(key: tuple, rows: pa.Table) -> pa.Table:
+        own, (i, j) = rows["own"].to_numpy(), (key[1].as_py(), key[2].as_py())
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(own), -1)
+        sets = _hash_sets(rows["text"], size)
+        found = links_across(rows["id"].to_numpy(), rows["comp"].to_numpy(), sketch, sets, np.flatnonzero(own == i), np.flatnonzero(own == j), percent, least)
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
-def _split(named: DataFrame) -> DataFrame:
-    """key, n, main: size and largest component of each bucket that spans several."""
-    parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "n", F.col("main.comp").alias("main"), (F.col("n") * (F.col("n") - F.col("main.n"))).alias("work"))
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(search, "a long, b long")
 
 
-def link_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, margin: float = 0.13) -> DataFrame:
+def link_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = COORDINATES, bands: int = BANDS, rows: int = ROWS, margin: float = 0.13, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     Links join documents of 100 * intersection >= percent * union of their distinct shingles of
@@ -159,51 +228,35 @@ def link_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, band
     empty table gives no rows.
 
     A candidate whose byte sketch agrees in less than percent / 100 - margin of the coordinates
-    isn't verified: at 180 coordinates the margin is over four standard deviations.
+    isn't verified: at 192 coordinates the margin is over four standard deviations.
     """
-    texts = docs.select("doc_id", "text")
-    sets = materialize(shingle_sets(texts.filter(F.col("doc_id").isNotNull()), size, bands, rows), "sets")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    sets = materialize(shingle_sets(texts.filter(F.col("doc_id").isNotNull()), size, k), "sets")
     filled = sets.filter("n_shingles > 0")
     classes = materialize(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "classes")
     chosen = filled.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"])
-    reps = materialize(chosen.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", "band"), "reps")
-    band = reps.select("id", F.explode("band").alias("key"))
+    reps = materialize(chosen.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "reps")
+    band = band_keys(reps, k, bands, rows)
     least = band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
     members = materialize(band.join(least.select("key"), "key"), "buckets")
     agree = F.pandas_udf(_agree, "double")
     least_share = percent / 100 - margin
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-
-    def links(met: DataFrame, tried: DataFrame | None) -> DataFrame:
-        """Links among the pairs met, as a written table."""
-        met = met.distinct() if tried is None else met.distinct().join(tried, ["a", "b"], "left_anti")
-        sized = met.join(side("b"), "b").join(side("a"), "a").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        pairs = materialize(sized.filter(agree("sketch_a", "sketch_b") >= least_share).select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            return pairs
-        return materialize(verified(pairs, texts, size, percent), "links")
-
-    first = materialize(members.join(least.select("key", "a"), "key").filter("id > a").select("a", F.col("id").alias("b")).distinct(), "met")
-    edges = links(first, None)
-    found = None if edges.isEmpty() else connected_components(edges)
-    for level in range(REFINE + 1):
-        named = materialize(_named(members, found), "open")
-        split = materialize(_split(named), "split")
-        if split.isEmpty():
-            break
-        open_ = named.join(split, "key")
-        ready = open_ if level == REFINE else open_.filter(F.col("work") <= WORK)
-        rest = ready.filter("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
-        crossed = rest.join(ready.select("key", "id", "comp"), "key").filter("comp <> x_comp").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-        more = links(crossed, first)
-        if not more.isEmpty():
-            edges = materialize(edges.unionByName(more), "links")
-            found = connected_components(edges)
-        large = open_.filter(F.col("work") > WORK).select("key", "id")
-        members = large.join(reps.select("id", F.explode("band").alias("other")), "id").filter("other <> key").select(F.xxhash64("key", "other").alias("key"), "id")
-        members = materialize(members, "buckets")
-    own = reps.select("id") if found is None else reps.select("id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    own = own.select("id", F.coalesce("component", "id").alias("component_id") if found is not None else F.col("id").alias("component_id"))
+    size_of = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+    sketch_of = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    met = members.join(least.select("key", "a"), "key").filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    sized = met.join(size_of("b"), "b").join(size_of("a"), "a").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    pairs = materialize(sized.select("a", "b").join(sketch_of("b"), "b").join(sketch_of("a"), "a").filter(agree("sketch_a", "sketch_b") >= least_share).select("a", "b"), "pairs")
+    edges = materialize(verified(pairs, texts, size, percent), "links")
+    found = materialize(connected_components(edges), "components")
+    named = materialize(_named(members, found), "open")
+    split = named.groupBy("key").agg(F.min("id").alias("a"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "a")
+    rest = materialize(named.join(split, "key").select("a", "id", "comp"), "split")
+    if not rest.isEmpty():
+        clusters = connected_components(rest.select("a", F.col("id").alias("b")))
+        open_ = materialize(rest.select("id", "comp").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "open")
+        more = materialize(_cross_links(open_, texts, reps, size, percent, least_share, block), "links")
+        found = materialize(connected_components(edges.unionByName(more)), "components")
+    own = reps.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component_id"))
     members = sets.join(classes, ["set_a", "set_b"], "left").join(own, "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     named = members.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -26,8 +26,9 @@ from tessella.llm import tokens
 
 U64 = np.uint64
 WINDOW = 20
-#: Text bytes of a batch; a task holds the hashes of one batch at a time. More memory, larger batches.
-BATCH_BYTES = 24 << 20
+#: Text bytes of a batch; a task holds the hashes of one batch at a time. Each batch has a blob for
+#: each counter range, so batches grow with the root of the input, up to what a task can hold.
+LEAST_BATCH, MOST_BATCH = 8 << 20, 256 << 20
 #: Counters per window of a counter range.
 WIDTH = 32
 
@@ -83,7 +84,7 @@ def _by(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(key[order], np.arange(n + 1))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batch_bytes: int = BATCH_BYTES, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batch_bytes: int | None = None, keep_text: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for).
 
     A word is removed if a window of consecutive words that covers it stands with the same words
@@ -95,6 +96,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = docs.schema[id_col].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    batch_bytes = batch_bytes or min(MOST_BATCH, max(LEAST_BATCH, math.isqrt(total * 2048)))
     n = max(1, math.ceil(total / batch_bytes))
     bits = max(10, min(31, math.ceil(math.log2(WIDTH * max(1, total // 6) / n + 1))))
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

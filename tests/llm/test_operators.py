@@ -1,0 +1,284 @@
+"""Operators against brute force, planted cases and held-out labels."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import decontaminate, graph, licenses, lines, mixing, neardup, neighbours, quality, queries, secrets, substrings, tokens, toxicity
+from tests.llm.conftest import SCHEMA, prose, rows_of
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, SMALL)
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    tidy = lambda rows: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+    assert tidy(tuple(r) for r in got.select(columns).collect()) == tidy(con.sql(f"SELECT {', '.join(columns)} FROM want").fetchall())
+
+
+def test_word_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    texts = [prose(5, 200), "", None, "A b  a\tB", "é e"]
+    (first, data, offsets), = tokens.chunks(pa.array(texts))
+    w = tokens.words(first, data, offsets, lower=True)
+    want = [(d, x.lower()) for d, t in enumerate(texts) for x in (t or "").split()]
+    assert [(d, bytes(data[a:b]).decode().lower()) for d, a, b in zip(w.doc, w.start, w.end)] == want
+    assert len(set(w.hash.tolist())) == len({x for _, x in want})
+
+
+def test_powers_grow():
+    powers = tokens._Powers(5)
+    for n in (3, 1, 10, 4, 11):
+        up, down = powers.get(n)
+        assert len(up) == len(down) == n and (up * down == 1).all()
+
+
+def brute_windows(texts, size=20):
+    seen, out = {}, []
+    cover = [set() for _ in texts]
+    for d, t in enumerate(texts):
+        w = (t or "").split()
+        for p in range(len(w) - size + 1):
+            if tuple(w[p : p + size]) in seen:
+                cover[d].update(range(p, p + size))
+            seen.setdefault(tuple(w[p : p + size]), (d, p))
+    for d, t in enumerate(texts):
+        w = [x for i, x in enumerate((t or "").split()) if i not in cover[d]]
+        out.append((len((t or "").split()), len(cover[d]), hashlib.sha256(" ".join(w).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("batch", [500, 4000, 10_000_000])
+def test_substrings(spark, batch):
+    shared = prose(9, 60)
+    texts = [prose(i, 50) + ("\n" + shared if i % 3 == 0 else "") for i in range(40)] + [" ".join(["again"] * 70), shared, shared]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = [tuple(r)[1:4] for r in substrings.remove_repeats(docs, batch_bytes=batch).orderBy("doc_id").collect()]
+    assert got == brute_windows(texts)
+
+
+def brute_groups(texts, size, percent=80):
+    sets = [neardup._set(t or "", size) for t in texts]
+    least = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
+            a, b = least[i], least[j]
+            least = [min(a, b) if x in (a, b) else x for x in least]
+    return least
+
+
+@pytest.mark.parametrize("size", [2, 5])
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_duplicates(spark, size, block):
+    rng = random.Random(size)
+    texts = []
+    for g in range(6):
+        base = prose(g, 80).split()
+        for k in range(14):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"odd{rng.randrange(999)}"
+            texts.append(" ".join(w))
+    texts += ["a", "A", "b", "", None, "a b", "A  B"]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = [r["component_id"] for r in neardup.link_near_duplicates(docs, size=size, block=block).orderBy("doc_id").collect()]
+    assert got == brute_groups(texts, size)
+
+
+def test_links_across_finds_what_unites():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40, 60).astype(np.uint64)) for _ in range(30)]
+    comp, every = np.arange(30), np.arange(30)
+    found = neardup.links_across(every, comp, np.zeros((30, 4), np.uint8), sets, every, every, 80, 0.5)
+    root = list(range(30))
+    for a, b in found:
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    want = list(range(30))
+    for i, j in combinations(range(30), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = want[i], want[j]
+            want = [min(a, b) if x in (a, b) else x for x in want]
+    assert root == want and len(found) == 30 - len(set(want))
+
+
+def test_components(spark):
+    pairs = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 10), (10, 10), (None, 1), (2, 5)] + [(100 + i, 101 + i) for i in range(30)]
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {5: 2, 4: 2, 3: 2, 2: 2, 9: 8, 8: 8, 10: 8} | {100 + i: 100 for i in range(31)}
+
+
+def test_secrets_base_and_links(spark):
+    key = "AKIA" + "Z9" * 8
+    texts = ["password=short token = 'abcdefghijklmnop' " + key, "token=secret=abcdefghijklmnop deadbeefdeadbeef0", "PassWd: \"aaaaaaaaaaaa\" ſecret=bbbbbbbbbbbbbbb", "login: bob1 then x9y8z7w6v5u4t3 at https://db.example.com/x", "x9y8z7w6v5u4t3 alone", "mail bob@example.com only"]
+    got = [r for r in secrets.scan_secrets(spark.createDataFrame(rows_of(texts), SCHEMA)).orderBy("doc_id").collect()]
+    for r, t in zip(got, texts):
+        base = []
+        for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+            base += [(m.start(), 0, m.end())] * (len(m[2]) >= 12)
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert r["base_sha256"] == hashlib.sha256(secrets.listed(base).encode()).hexdigest()
+        assert set(secrets.listed(base).split(",")) - {""} <= set(r["spans"].split(","))
+    kinds = [[s.split(":")[0] for s in r["spans"].split(",") if s] for r in got]
+    assert kinds[3] == ["name", "weak", "endpoint"] and kinds[4] == kinds[5] == []
+
+
+def test_licenses_places(spark):
+    texts = ["All rights reserved. ALL rights\nreserved", "under CC-BY 4.0, cc by", "GNU General Public License, version 3.", "general public", "released under the MIT License", "cc bye, all rights"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert [(got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["base_labels"]) for i in range(6)] == [(2, 0, 3, "reserved"), (2, 1, 5, "cc-by"), (1, 1, 1, "gpl"), (0, None, None, ""), (0, None, None, ""), (0, None, None, "")]
+    assert got[2]["labels"] == "gpl,gpl-3.0" and got[4]["labels"] == "mit" and got[4]["score"] == 1.0
+
+
+def test_patience():
+    assert lines.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(9))] for _ in range(2))
+        pairs = lines.patience(a, b)
+        assert all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_line_dedup_against_brute_force(spark):
+    block = prose(7, 48)
+    texts = [prose(20, 36) + "\n" + block + "\n" + prose(21, 36), prose(22, 36) + "\n" + block, block, prose(23, 60), "short line\n" + prose(24, 24), "short line\n" + prose(25, 24), None]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    first: dict[str, int] = {}
+    for d, t in enumerate(texts):
+        for x in (t or "").split("\n"):
+            if len(x.split(" ")) >= 8:
+                first.setdefault(x, d)
+    for d, t in enumerate(texts):
+        want = None if t is None else "\n".join(x for x in t.split("\n") if first.get(x, d) == d)
+        assert got[d] == want
+    assert lines.dedup_lines(docs, drop_emptied=True).filter("doc_id = 2").count() == 0
+
+
+def test_decontamination_finds_items_in_long_texts(spark):
+    items = [(i, prose(1000 + i, n).replace("\n", " ")) for i, n in enumerate((5, 9, 15, 33, 64, 120))]
+    docs = [prose(2000 + i, 3000) + " " + t.upper() + "\n" + prose(3000 + i, 500) for i, t in items]
+    docs += [prose(4000 + i, 400) for i in range(10)] + [" ".join(items[4][1].split()[:40])]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows_of(docs), SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame, block=1500, query_block=20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = math.inf
+        want = np.lexsort((np.arange(6000), d))[:10]
+        own = sorted(got[q])
+        assert [k for k, _, _ in own] == list(range(1, 11)) and all(abs(d[i] - s) < 1e-9 for _, i, s in own)
+        hits += len(set(want.tolist()) & {i for _, i, _ in own})
+    assert hits / 600 >= 0.9
+
+
+def test_mix_meets_its_targets(spark):
+    docs = spark.createDataFrame(rows_of([prose(i, 20 + i % 50) for i in range(300)]), SCHEMA)
+    rows = mixing.mix_sources(docs).collect()
+    again = mixing.mix_sources(docs.repartition(7)).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    taken, target, size = {}, {}, sum(r["size"] for r in rows)
+    for r in rows:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["target"]] = taken.get(r["target"], 0) + r["taken"]
+    assert abs(sum(taken) - 1.5 * size) < 1e-6 and all(abs(k - v) <= 1 for k, v in taken.items())
+    queue = mixing.mix_sequence(docs).collect()
+    assert [r["finish"] for r in queue] == sorted(r["finish"] for r in queue)
+    assert sum(r["take"] for r in queue) == sum(taken.values())
+
+
+def test_targets_by_water_filling(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 50)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    cap, weight, left = {"a": 20, "b": 2000, "c": 200, None: 100}, {"a": 3, "b": 1, "c": 2, None: 3}, 1740.0
+    want, free = {}, set(cap)
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > cap[s]}
+        want |= {s: cap[s] for s in over}
+        left -= sum(cap[s] for s in over)
+        free -= over
+        if not over:
+            break
+    want |= {s: level * weight[s] for s in free}
+    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def held_out_accuracy(rows, label):
+    judged = [(r["predicted"], r[label]) for r in rows if r["held_out"] and r[label] is not None]
+    return sum(p == y for p, y in judged) / len(judged), judged
+
+
+@pytest.mark.parametrize("label,score,least", [("quality", quality.score_quality, 0.97), ("toxic", toxicity.score_toxicity, 0.95)])
+def test_held_out(spark, label, score, least):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = score(docs, labels).join(labels.select("doc_id", label), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    share, judged = held_out_accuracy(rows, label)
+    assert share >= least
+    assert sum(p == y for p, y in judged if y == 0) >= 0.8 * sum(y == 0 for _, y in judged)
+
+
+def test_block_max_search_is_exact():
+    rng = random.Random(8)
+    words = [f"term{chr(97 + i)}" for i in range(12)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 15))) for _ in range(150)]
+    y = np.array([int("terma" in t or "termb" in t) for t in texts])
+    index = toxicity.Examples(texts, y, list(range(150)), chi=-1.0, block=8)
+    rows = {i: index.vector(toxicity.term_counts(texts[i])) for i in range(150)}
+    dense = np.zeros((150, len(index.terms)))
+    for place, i in enumerate(index.ids):
+        dense[place, rows[i][0]] = rows[i][1]
+    for i in range(0, 150, 7):
+        q = np.zeros(len(index.terms))
+        q[rows[i][0]] = rows[i][1]
+        want = sorted(((-s, k) for k, s in enumerate(dense @ q) if s > 0))[: index.nearest]
+        got = index.search(*rows[i])
+        assert np.allclose([s for s, _ in got], [-s for s, _ in want])
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(2)
+    emit, move = rng.standard_normal((1, 5, 2)), rng.standard_normal((2, 2))
+    p, _, z = quality.marginals(emit, move, np.array([5]))
+    total, bad = 0.0, np.zeros(5)
+    for k in range(32):
+        path = [(k >> i) & 1 for i in range(5)]
+        w = math.exp(sum(emit[0, i, s] for i, s in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:])))
+        total += w
+        bad += w * np.array(path)
+    assert np.allclose(p[0], bad / total) and np.isclose(z[0], math.log(total))
+
+
+def test_queries_read_whole_tables(spark):
+    n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    for name in ("op1_license_scan", "op4_line_dedup", "op6_source_mixing"):
+        assert queries.queries()[name](spark, SMALL).select(F.count("doc_id")).first()[0] == n

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import materialize
+from tessella.session import discard, materialize
 
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -51,7 +51,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         near = sym.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
         low = labels.join(near, "u").select("u", F.least("c", "m").alias("c"))
         jump = low.join(low.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c", "left").select("u", F.coalesce("cc", "c").alias("c"))
-        labels = materialize(jump, "labels")
+        labels, old = materialize(jump, "labels"), labels
+        discard(old)
         state = labels.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
         if state == before:
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialize
+from tessella.session import discard, materialize
 
 
 def _residual(k: int) -> Column:
@@ -23,7 +23,9 @@ def _step(base: DataFrame, state: DataFrame, by: str, k: int, value: Column, nam
     """state with one more aggregate of the rows still active, written: it is small, and the next
     step starts from it and not from all before."""
     found = _active(base.join(state, by), k).groupBy(by).agg(value.alias(name))
-    return materialize(state.join(found, by, "left"), "state")
+    out = materialize(state.join(found, by, "left"), "state")
+    discard(state)
+    return out
 
 
 def solve(constraints: DataFrame, by: str, rounds: int = 3, reject: float = 2.5) -> DataFrame:
@@ -48,7 +50,7 @@ def solve(constraints: DataFrame, by: str, rounds: int = 3, reject: float = 2.5)
         state = _step(base, state, by, k, F.struct(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("keep")), f"c{k}")
         c = F.col(f"c{k}")
         acts = (c["n"] > 2) & (F.col(f"mad{k}") > 1e-6) & (c["keep"] >= 2) & (c["keep"] < c["n"])
-        state = materialize(state.withColumn(f"bound{k}", F.when(acts, F.lit(reject) * F.col(f"mad{k}"))).drop(f"c{k}", f"mad{k}"), "state")
+        state = state.withColumn(f"bound{k}", F.when(acts, F.lit(reject) * F.col(f"mad{k}"))).drop(f"c{k}", f"mad{k}")
     state = _step(base, state, by, rounds, F.sum(F.col("weight") * F.col("power") * F.col("y")) / F.nullif(F.sum(F.col("weight") * F.col("power") * F.col("power")), F.lit(0.0)), f"ls{rounds}")
     at = _active(base.join(state, by), rounds).withColumn("r", _residual(rounds)).withColumn("ls", F.col(f"ls{rounds}"))
     w, r = F.col("weight"), F.col("r")

@@ -38,10 +38,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: its lineage is cut, and
     no lost executor takes it away. Use where a plan branches or a loop iterates."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tessella_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote for these tables, which must be needed no more."""
+    for path in (getattr(t, "tessella_path", None) for t in tables):
+        if path and (spark := _WRITTEN.pop(path, None)):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that materialize wrote in this process: call it when the results that
+    were built on them are written."""
+    for path in [p for p, s in _WRITTEN.items() if s is spark]:
+        del _WRITTEN[path]
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -125,7 +125,7 @@ class LineCrf:
         bad = x @ self.w
         return np.stack([np.zeros_like(bad), bad], -1)
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 3, steps: int = 120) -> LineCrf:
+    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray | None = None, rounds: int = 3, steps: int = 120) -> LineCrf:
         whole, whole_labels = docs, labels
         cut = [(a[k : k + CHAIN], b[k : k + CHAIN], y) for (a, b), y in zip(docs, labels) for k in range(0, len(a), CHAIN)]
         docs, labels = [(a, b) for a, b, _ in cut], np.array([y for _, _, y in cut])
@@ -141,7 +141,7 @@ class LineCrf:
             y = ((worst > 0.5) | (worst >= worst.max(1, keepdims=True))) & mask & (labels == 0)[:, None]
             y = y.astype(int)
         scores = np.array([weighted(p, w) for p, (_, w) in zip(self.line_marginals([a for a, _ in whole]), whole)])
-        self.fit2 = _logistic(scores, whole_labels)
+        self.fit2 = _logistic(scores, whole_labels, weight)
         return self
 
     def _descend(self, x, y, mask, length, share, steps) -> None:
@@ -185,20 +185,23 @@ class LineCrf:
         return 1 / (1 + np.exp(-np.clip(a + b * badness, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Newton's method for P(y=1) = 1 / (1 + exp(-(a + b x))), with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 50) -> np.ndarray:
+    """Newton's method for P(y=1) = 1 / (1 + exp(-(a + b x))) of weighted rows, with a small ridge."""
     a = np.zeros(2)
+    weight = np.ones_like(x) if weight is None else weight
     z = np.stack([np.ones_like(x), x], 1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
-        a = a + np.linalg.solve(h, z.T @ (y - p) - 1e-2 * a)
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - 1e-2 * a)
+        a = a + step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
     return a
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, size: int) -> list:
-    """Rows (text, label), at most size of each class, from labelled training rows in the order of
-    a hash of their ids. Ids are drawn before texts are read; the ids joined are at most 2 * size."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, size: int) -> tuple[list, np.ndarray]:
+    """Rows (id, text, label), at most size of each class, from labelled training rows in the order
+    of a hash of their ids, and a weight of each that restores the classes' shares of all
+    training labels. Ids are drawn before texts are read; the ids joined are at most 2 * size."""
     usable = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("sample_id"), F.col(label).cast("int").alias("y"))
     drawn = None
     for y in (0, 1):
@@ -206,16 +209,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("sample_text"))
     rows = texts.join(F.broadcast(drawn), "sample_id").select("sample_id", "sample_text", "y").collect()
-    return sorted((r["sample_id"], r["sample_text"], r["y"]) for r in rows if r["sample_text"] is not None)
+    rows = sorted((r["sample_id"], r["sample_text"], r["y"]) for r in rows if r["sample_text"] is not None)
+    share = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
+    weight = {y: n / max(1, sum(r[2] == y for r in rows)) for y, n in share.items()}
+    scale = len(rows) / max(1e-9, sum(weight[r[2]] for r in rows))
+    return rows, np.array([weight[r[2]] * scale for r in rows])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE) -> LineCrf | None:
     """A model fitted on the driver to a bounded sample; None if a class has no rows."""
-    rows = labelled_sample(docs, labels, label, id_col, text_col, sample)
+    rows, weight = labelled_sample(docs, labels, label, id_col, text_col, sample)
     y = np.array([r[2] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    return LineCrf().fit([document_features(r[1]) for r in rows], y)
+    return LineCrf().fit([document_features(r[1]) for r in rows], y, weight)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:

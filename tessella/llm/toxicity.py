@@ -24,22 +24,24 @@ from tessella.llm.quality import _logistic, held_out, labelled_sample
 
 #: At most so many labelled documents of each class are examples; so many terms at most.
 SAMPLE, TERMS, NEAREST, BLOCK = 1500, 512, 15, 64
-CHI_SQUARE, STEMS = 15.0, (5, 7)
+CHI_SQUARE, STEMS = 40.0, (4, 5, 6)
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
 
-def term_counts(text: str | None) -> Counter:
+def term_counts(text: str | None, stems: dict[int, set[str]] | None = None) -> Counter:
     """Terms of a whole text with their counts: lower-cased letter runs, their first letters
     (marked), which stand for word stems, and stems that several different words have. Null and
-    empty texts have none."""
+    empty texts have none. If stems are given, others are left out."""
     counts = Counter(_TERM.findall((text or "").lower()))
     words = list(counts.items())
     for k in STEMS:
+        wanted = None if stems is None else stems[k]
         kinds: Counter = Counter()
         for word, n in words:
-            if len(word) > k:
-                counts[word[:k] + "-"] += n
-                kinds[word[:k]] += 1
+            stem = word[:k]
+            if (wanted is None or stem in wanted) and len(word) > k:
+                counts[stem + "-"] += n
+                kinds[stem] += 1
         for stem, n in kinds.items():
             for least in range(2, min(n, 4) + 1):
                 counts[f"{stem}-{least}"] = 1
@@ -49,10 +51,11 @@ def term_counts(text: str | None) -> Counter:
 class Examples:
     """The index: terms with their IDF, and blocks of postings."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray, ids: list, terms: int = TERMS, chi: float = CHI_SQUARE, nearest: int = NEAREST, block: int = BLOCK):
+    def __init__(self, texts: list[str], labels: np.ndarray, ids: list, weight: np.ndarray | None = None, terms: int = TERMS, chi: float = CHI_SQUARE, nearest: int = NEAREST, block: int = BLOCK):
         self.nearest, self.block = nearest, block
         counts = [term_counts(t) for t in texts]
         self.terms = {t: i for i, t in enumerate(self._choose(counts, labels, terms, chi))}
+        self.stems = {k: {stem for stem, mark, _ in (t.partition("-") for t in self.terms) if mark and len(stem) == k} for k in STEMS}
         df = Counter(t for c in counts for t in c if t in self.terms)
         self.idf = np.array([1.0 + np.log((1 + len(texts)) / (1 + df[t])) for t in self.terms])
         rows = [self.vector(c) for c in counts]
@@ -61,7 +64,7 @@ class Examples:
         rows = [rows[i] for i in order]
         self._post(rows)
         votes = np.array([self.vote(*row, leave=i)[0] for i, row in enumerate(rows)])
-        self.fit2 = _logistic(votes, self.labels) if len(set(self.labels.tolist())) == 2 else np.zeros(2)
+        self.fit2 = _logistic(votes, self.labels, None if weight is None else weight[order]) if len(set(self.labels.tolist())) == 2 else np.zeros(2)
 
     @staticmethod
     def _choose(counts: list[Counter], labels: np.ndarray, most: int, chi: float) -> list[str]:
@@ -84,7 +87,7 @@ class Examples:
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, unit TF-IDF weights) of a text."""
-        own = sorted((self.terms[t], c) for t, c in counts.items() if t in self.terms)
+        own = sorted((self.terms[t], counts[t]) for t in self.terms.keys() & counts.keys())
         if not own:
             return np.zeros(0, np.int64), np.zeros(0)
         at = np.array([t for t, _ in own])
@@ -136,9 +139,9 @@ class Examples:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Examples | None:
-    rows = labelled_sample(docs, labels, label, id_col, text_col, sample)
+    rows, weight = labelled_sample(docs, labels, label, id_col, text_col, sample)
     y = np.array([r[2] for r in rows])
-    return Examples([r[1] for r in rows], y, [r[0] for r in rows]) if len(set(y.tolist())) == 2 else None
+    return Examples([r[1] for r in rows], y, [r[0] for r in rows], weight) if len(set(y.tolist())) == 2 else None
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -159,7 +162,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             votes, evidence = [], []
             for text in batch.column(2).to_pylist():
-                vote, near = index.vote(*index.vector(term_counts(text))) if index else (0.0, [])
+                vote, near = index.vote(*index.vector(term_counts(text, index.stems))) if index else (0.0, [])
                 votes.append(vote)
                 evidence.append([{"example_id": index.ids[i], "cosine": s} for s, i in near])
             score = index.score(np.array(votes)) if index else np.full(len(votes), 0.5)

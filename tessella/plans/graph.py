@@ -94,7 +94,7 @@ def clip_reasons(spark, d):
 
 def footprints(spark, d):
     out = sp.footprint(_cloud(spark, d), "room", 15)
-    return out.select("room", "angle", F.round("width", 4).alias("width"), F.round("depth", 4).alias("depth"))
+    return out.select("room", "angle", F.round("width", 7).alias("width"), F.round("depth", 7).alias("depth"))
 
 
 def wall_inliers(spark, d):
@@ -207,7 +207,7 @@ SELECT f.room, CASE WHEN conf < qc THEN 'low_confidence' WHEN r > lim THEN 'far'
     "footprints": f"""
 WITH {_CLOUD}, t AS (SELECT room, a, x * cos(radians(a::DOUBLE)) + y * sin(radians(a::DOUBLE)) AS u, y * cos(radians(a::DOUBLE)) - x * sin(radians(a::DOUBLE)) AS v FROM c, (SELECT unnest(range(0, 90, 15)) AS a)),
 b AS (SELECT room, a, round((quantile_cont(u, 0.99) - quantile_cont(u, 0.01)) * (quantile_cont(v, 0.99) - quantile_cont(v, 0.01)), 6) AS area, quantile_cont(u, 0.985) - quantile_cont(u, 0.015) AS w, quantile_cont(v, 0.985) - quantile_cont(v, 0.015) AS d FROM t GROUP BY 1, 2)
-SELECT room, a AS angle, round(w, 4) AS width, round(d, 4) AS depth FROM b QUALIFY row_number() OVER (PARTITION BY room ORDER BY area, a) = 1""",
+SELECT room, a AS angle, round(w, 7) AS width, round(d, 7) AS depth FROM b QUALIFY row_number() OVER (PARTITION BY room ORDER BY area, a) = 1""",
     "wall_inliers": f"""
 WITH {_CLOUD}, w(wall_id, nx, ny, o) AS (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 1.0, 0.0, 4.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 1.0, 3.06)), d AS (SELECT room, wall_id, abs(x * nx + y * ny - o) AS d FROM c, w)
 SELECT room, CAST(wall_id AS BIGINT) AS wall_id, count(*) AS n, round(avg((d < 0.12)::INT), 6) AS inlier_fraction FROM d WHERE d <= 0.5 GROUP BY 1, 2""",

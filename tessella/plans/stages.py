@@ -180,7 +180,7 @@ def total_area_metric(spark, d):
     """M1: model against the printed total, else the stated area."""
     o = table(spark, d, "orders")
     m = op.area_metric(F.col("o_totalprice") / 1000, F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") * 0.3), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") * 0.4))
-    return o.select("o_orderkey", m.alias("m")).select("o_orderkey", F.round("m.error_pct", 4).alias("error_pct"), "m.reference")
+    return o.select("o_orderkey", m.alias("m")).select("o_orderkey", F.round("m.error_pct", 9).alias("error_pct"), "m.reference")
 
 
 def missing_stage_report(spark, d):
@@ -284,7 +284,7 @@ WITH f AS (SELECT l_orderkey, l_linenumber, l_quantity * 10 AS u, l_linenumber *
 SELECT l_orderkey, l_linenumber, round((u - 320) * z / f, 6) AS x, round((v - 240) * z / f, 6) AS y, round(z, 6) AS z FROM f""",
     "total_area_metric": """
 WITH m AS (SELECT o_orderkey, o_totalprice / 1000 AS m, CASE WHEN o_orderkey % 3 = 0 THEN nullif(o_custkey * 0.3::DOUBLE, 0) END AS p, CASE WHEN o_orderkey % 2 = 0 THEN nullif(o_custkey * 0.4::DOUBLE, 0) END AS s FROM orders)
-SELECT o_orderkey, round(abs(m - coalesce(p, s)) / coalesce(p, s) * 100, 4) AS error_pct, CASE WHEN p IS NOT NULL THEN 'printed' WHEN s IS NOT NULL THEN 'stated' ELSE 'none' END AS reference FROM m""",
+SELECT o_orderkey, round(abs(m - coalesce(p, s)) / coalesce(p, s) * 100, 9) AS error_pct, CASE WHEN p IS NOT NULL THEN 'printed' WHEN s IS NOT NULL THEN 'stated' ELSE 'none' END AS reference FROM m""",
     "missing_stage_report": """
 WITH g AS (SELECT user_id, list_distinct(list(event_type)) AS h FROM events WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1)
 SELECT user_id, array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda k: NOT list_contains(h, k)), ',') AS missing FROM g""",

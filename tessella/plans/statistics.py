@@ -108,10 +108,10 @@ def score_ladder(spark, d):
     """Part types by median price: change to the first and to the best so far, and new bests."""
     from pyspark.sql import Window
 
-    p = table(spark, d, "part").groupBy("p_size").agg(F.round(F.avg("p_retailprice"), 2).alias("score"))
+    p = table(spark, d, "part").groupBy("p_size").agg(F.round(F.avg("p_retailprice"), 9).alias("score"))
     w = Window.orderBy("p_size")  # one row per size, of which there are 50
     best = F.max("score").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return _round(p.select("p_size", "score", (F.col("score") - F.first("score").over(w)).alias("to_base"), (F.col("score") - best).alias("to_best"), F.coalesce(F.col("score") > best + 0.005, F.lit(True)).alias("new_best")), "to_base", "to_best", places=2)
+    return _round(p.select("p_size", "score", (F.col("score") - F.first("score").over(w)).alias("to_base"), (F.col("score") - best).alias("to_best"), F.coalesce(F.col("score") > best + 0.005, F.lit(True)).alias("new_best")), "to_base", "to_best", places=7)
 
 
 def split_metric_rollup(spark, d):
@@ -195,9 +195,9 @@ SELECT f.event_type, bin1, around1, bin2, around2, total, round((around1 + aroun
     "estimate_disagreement": "SELECT l_partkey, count(u) AS n, round(CASE WHEN count(u) >= 2 THEN (max(u) - min(u)) / nullif(max(u), 0) * 100 END, 2) AS disagreement_pct FROM (SELECT l_partkey, l_extendedprice / l_quantity AS u FROM lineitem) GROUP BY 1",
     "parameter_sweep": "SELECT l_discount, count(*) AS n, round(quantile_cont(l_extendedprice, 0.25), 2) AS q1, round(quantile_cont(l_extendedprice, 0.75), 2) AS q3, round(avg((l_tax BETWEEN 0.02 AND 0.05)::INT), 2) AS in_range FROM lineitem GROUP BY 1",
     "score_ladder": """
-WITH p AS (SELECT p_size, round(avg(p_retailprice), 2) AS score FROM part GROUP BY 1),
+WITH p AS (SELECT p_size, round(avg(p_retailprice), 9) AS score FROM part GROUP BY 1),
 w AS (SELECT p_size, score, first(score) OVER (ORDER BY p_size) AS base, max(score) OVER (ORDER BY p_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM p)
-SELECT p_size, score, round(score - base, 2) AS to_base, round(score - best, 2) AS to_best, coalesce(score > best + 0.005, true) AS new_best FROM w""",
+SELECT p_size, score, round(score - base, 7) AS to_base, round(score - best, 7) AS to_best, coalesce(score > best + 0.005, true) AS new_best FROM w""",
     "split_metric_rollup": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(grouping_id(o_orderpriority, o_orderstatus) AS BIGINT) AS level FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)",
     "success_accounting": "SELECT user_id, count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_ok, count(*) FILTER (event_type = 'error') AS n_error, round(median(value) FILTER (event_type <> 'error'), 4) AS median_ok FROM events GROUP BY 1",
     "flat_detector": "SELECT l_partkey, round(a, 4) AS a, round(b, 4) AS b, a < 0.25 * b AS flat FROM (SELECT l_partkey, count(*) AS n, stddev_samp(l_quantity) / avg(l_quantity) AS a, stddev_samp(l_extendedprice) / avg(l_extendedprice) AS b FROM lineitem GROUP BY 1) WHERE n >= 3",

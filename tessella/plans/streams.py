@@ -34,7 +34,7 @@ def stream_coverage(spark, d):
 def stream_latency(spark, d):
     """Windows that the watermark has closed: all but the last hour's."""
     out = _drained(spark, d, lambda e: st.latency_windows(e, "1 day"))
-    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean_s", 4).alias("mean_s"), "max_s")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean_s", 9).alias("mean_s"), "max_s")
 
 
 def stream_first_seen(spark, d):
@@ -57,7 +57,7 @@ QUERIES = {f.__name__: f for f in (stream_coverage, stream_latency, stream_first
 ORACLES = {
     "stream_coverage": "SELECT event_type, count(*) AS seen, count(*) FILTER (value > 50) AS large, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "stream_latency": """
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean_s, max(value) AS max_s FROM events
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 9) AS mean_s, max(value) AS max_s FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""",
     "stream_first_seen": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_versions": """

@@ -20,15 +20,16 @@ def con():
     return con
 
 
-def tidy(rows):
-    def one(v):
-        if isinstance(v, float):
-            return "nan" if math.isnan(v) else f"{v + 0.0:.4f}"
-        if isinstance(v, int) and not isinstance(v, bool):
-            return f"{float(v):.4f}"
-        return str(v)
+def ordered(rows):
+    """Rows in an order that the last digits of floats don't decide."""
+    plain = lambda v: v is None or not isinstance(v, (int, float)) or isinstance(v, bool)
+    return sorted((tuple(r) for r in rows), key=lambda r: ([str(v) for v in r if plain(v)], [round(float(v), 1) + 0.0 for v in r if not plain(v)]))
 
-    return sorted(str([one(v) for v in r]) for r in rows)
+
+def same(a, b):
+    if isinstance(a, float) or isinstance(b, float):
+        return a is not None and b is not None and (a == pytest.approx(b, rel=1e-9, abs=2e-4) or (math.isnan(a) and math.isnan(b)))
+    return a == b
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -37,7 +38,9 @@ def test_same_rows_as_sql(spark, con, name):
     got = registry.queries()[name](spark, DATA)
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    assert tidy(tuple(r) for r in got.select(columns).collect()) == tidy(want.select(*columns).fetchall())
+    one, two = ordered(got.select(columns).collect()), ordered(want.select(*columns).fetchall())
+    assert len(one) == len(two)
+    assert [(a, b) for a, b in zip(one, two) if not all(map(same, a, b))] == []
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.quantiles import quantiles
+
 
 def rate(part: Column, whole: Column) -> Column:
     """A share, 0 where there is nothing to share."""
@@ -14,30 +16,23 @@ def rate(part: Column, whole: Column) -> Column:
 def coverage(rows: DataFrame, by: str, has: Column, amount: Column) -> DataFrame:
     """Per group: rows seen, rows with the property, its rate, median amount and rows without any
     amount. Observe before any filter, or denominators lie."""
-    grouped = rows.groupBy(by).agg(F.count(F.lit(1)).alias("seen"), F.count_if(has).alias("with_property"), F.median(amount).alias("median_amount"), F.count_if(F.coalesce(amount, F.lit(0)) == 0).alias("without_amount"))
+    grouped = rows.groupBy(by).agg(F.count(F.lit(1)).alias("seen"), F.count_if(has).alias("with_property"), F.count_if(F.coalesce(amount, F.lit(0)) == 0).alias("without_amount"))
+    grouped = grouped.join(quantiles(rows.select(by, amount.alias("_amount")), [by], "_amount", {"median_amount": 0.5}), by, "left")
     return grouped.withColumn("property_rate", rate(F.col("with_property"), F.col("seen")))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The element at round-half-even(q * (n - 1)) of the sorted values: no interpolation. Gathers a
-    group's values, so use it on ledgers and not on raw events without a group."""
-    ordered = F.array_sort(values)
-    return F.element_at(ordered, (F.bround(F.lit(q) * (F.size(values) - 1)) + 1).cast("int"))
-
-
 def latency_report(rows: DataFrame, by: str, seconds: str, small: int = 20) -> DataFrame:
     """Per stage: n, p50, p95 (nearest rank), max, mean; a caveat where n is small."""
-    grouped = rows.groupBy(by).agg(F.collect_list(seconds).alias("v"), F.count(seconds).alias("n"), F.max(seconds).alias("max_s"), F.avg(seconds).alias("mean_s"))
-    return grouped.select(by, "n", nearest_rank(F.col("v"), 0.5).alias("p50"), nearest_rank(F.col("v"), 0.95).alias("p95"), "max_s", "mean_s", (F.col("n") < small).alias("few"))
+    grouped = rows.groupBy(by).agg(F.count(seconds).alias("n"), F.max(seconds).alias("max_s"), F.avg(seconds).alias("mean_s"))
+    ranks = quantiles(rows, [by], seconds, {"p50": 0.5, "p95": 0.95}, nearest=True)
+    return grouped.join(ranks, by, "left").select(by, "n", "p50", "p95", "max_s", "mean_s", (F.col("n") < small).alias("few"))
 
 
 def rollup(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per group: n, coverage (share of non-null), median, mean, p10, p90, min, max."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), (F.count(v) / F.count(F.lit(1))).alias("coverage"), F.median(v).alias("median"), F.avg(v).alias("mean"),
-        F.percentile(v, F.lit(0.1)).alias("p10"), F.percentile(v, F.lit(0.9)).alias("p90"), F.min(v).alias("min"), F.max(v).alias("max"),
-    )
+    plain = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.count(v) / F.count(F.lit(1))).alias("coverage"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return plain.join(quantiles(rows, by, value, {"median": 0.5, "p10": 0.1, "p90": 0.9}), by, "left")
 
 
 def status_pivot(rows: DataFrame, by: str, status: str, values: list) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions import geometry as g
 from tessella.functions import text as tx
 from tessella.operators import graph, matching, quality, sampling, scale, spatial, statistics, versioning
+from tessella.operators import quantiles as quantile_op
 from tessella.session import discard, materialize
 from tessella.sources import artifacts, html
 from tessella.streaming import events as stream
@@ -191,6 +192,22 @@ def test_three_valued_gate(spark):
     assert got["n"]["pass_rate"] is None and got["n"]["verdict"] == "not judged"
 
 
+@pytest.mark.parametrize("nearest", [False, True])
+def test_exact_quantiles_of_large_and_small_groups(spark, monkeypatch, nearest):
+    monkeypatch.setattr(quantile_op, "SMALL", 500)
+    rng = np.random.default_rng(6)
+    data = {"big": rng.standard_normal(30_000).round(2), "tail": np.exp(rng.standard_normal(20_000) * 3), "ties": np.repeat([1.0, 2.0], [9_000, 3_000]), "few": np.array([3.0, 1.0, 2.0]), "one": np.array([7.0])}
+    rows = spark.createDataFrame(pd.DataFrame([(k, x) for k, v in data.items() for x in v.tolist()] + [("none", None)], columns=["g", "v"]), "g string, v double")
+    rows = rows.withColumn("v", F.nanvl("v", F.lit(None)))
+    wanted = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r["g"]: r for r in quantile_op.quantiles(rows, ["g"], "v", wanted, nearest).collect()}
+    assert set(got) == set(data)
+    for k, v in data.items():
+        for name, q in wanted.items():
+            x = np.sort(v)[round(q * (len(v) - 1))] if nearest else np.quantile(v, q)
+            assert got[k][name] == pytest.approx(x)
+
+
 def test_all_violations_are_listed(spark):
     rows = spark.createDataFrame([(1, None, None)], "id int, a int, b string")
     rules = [("a", "required", F.col("a").isNotNull()), ("a", "minimum", F.col("a") > 0), ("b", "required", F.col("b").isNotNull())]

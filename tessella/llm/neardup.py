@@ -262,3 +262,18 @@ def link_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: i
     named = members.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     unnamed = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return named.unionByName(unnamed)
+
+
+#: The query's rows (shingles of two words) by counting what every two documents share.
+SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+shingle AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) WHEN len(ws) = 1 THEN [ws[1]] ELSE [] END) AS s FROM split),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair p JOIN size i ON i.doc_id = x JOIN size j ON j.doc_id = y WHERE 100 * shared >= 80 * (i.n + j.n - shared)),
+edge AS (SELECT x AS u, y AS v FROM link UNION ALL SELECT y, x FROM link),
+reach(node, root) AS (SELECT u, u FROM edge UNION SELECT e.v, r.root FROM reach r JOIN edge e ON e.u = r.node WHERE r.root < e.v),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.root, s.doc_id)) AS component_id, least(s.doc_id, coalesce(l.root, s.doc_id)) = s.doc_id AS kept
+FROM split s LEFT JOIN size z ON z.doc_id = s.doc_id LEFT JOIN least l ON l.node = s.doc_id
+"""

@@ -56,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.SQL, "op2_substring_dedup": substrings.SQL, "op6_source_mixing": mixing.SQL, "op9_benchmark_decontamination": decontaminate.SQL}
+    return {"op1_license_scan": licenses.SQL, "op2_substring_dedup": substrings.SQL, "op6_source_mixing": mixing.SQL, "op9_benchmark_decontamination": decontaminate.SQL, "op10_minhash_near_dedup": neardup.SQL}

@@ -155,10 +155,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = train(docs, labels, id_col, text_col, label, sample)
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = model  # a few MB at most: bounded by the sample and TERMS
         for batch in batches:
             votes, evidence = [], []
             for text in batch.column(2).to_pylist():

@@ -38,6 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_arrow_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bounds the bytes of an Arrow batch on its way to Python, unless the session has a bound of
+    its own. Rows that hold whole texts would otherwise fill batches of tens of megabytes, whose
+    buffers stay with the executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most))
+
+
 _WRITTEN: dict[str, SparkSession] = {}
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import tokens
-from tessella.session import materialize
+from tessella.session import materialize, small_arrow_batches
 
 SIZE, CONTAINMENT, HASHES, BASE = 5, 0.8, 64, 8
 #: Bits of each table of keys that is broadcast: 2 MB, whatever the number of items. More items
@@ -113,6 +113,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     chance and give nothing. Null ids take no part. Rows that share a doc_id are searched each and
     reported once, with their best. Empty tables give no rows. Texts are searched whole.
     """
+    small_arrow_batches(docs.sparkSession)
     index = materialize(item_index(items, item_id, item_text, size), "items")
     classes = sorted(r[0] for r in index.select("class").distinct().collect())
     spark = docs.sparkSession

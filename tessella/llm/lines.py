@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialize
+from tessella.session import materialize, small_arrow_batches
 
 #: A line of so many documents at most is rare; a line of fewer words is no anchor.
 RARE, ANCHOR_WORDS, BLOCK_LINES = 100, 8, 2
@@ -121,6 +121,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     read = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
+    small_arrow_batches(docs.sparkSession)
     hashed = read.mapInArrow(lambda batches: _hash_lines(batches, anchor_words), f"doc_id {kind}, seq array<bigint>, counts array<boolean>, long array<boolean>")
     hashes = materialize(hashed, "lines")  # hashes only: texts are read once
     lines = hashes.select("doc_id", F.explode(F.arrays_zip("seq", "counts", "long")).alias("x")).select("doc_id", F.col("x.seq").alias("h"), "x.counts", "x.long")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessella.llm import tokens
 from tessella.llm.graph import connected_components
 from tessella.llm.idfilter import only
-from tessella.session import materialize
+from tessella.session import materialize, small_arrow_batches
 
 UNIVERSE = 1 << 20
 #: 64 bands of 7 coordinates, drawn from 192: a pair of Jaccard 0.8 shares none of them with
@@ -230,6 +230,7 @@ def link_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: i
     A candidate whose byte sketch agrees in less than percent / 100 - margin of the coordinates
     isn't verified: at 192 coordinates the margin is over four standard deviations.
     """
+    small_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     sets = materialize(shingle_sets(texts.filter(F.col("doc_id").isNotNull()), size, k), "sets")
     filled = sets.filter("n_shingles > 0")

@@ -17,13 +17,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import small_arrow_batches
+
 #: At most so many labelled documents of each class are fitted to, in chains of at most so many
 #: lines: longer documents of the sample make several chains.
 SAMPLE, CHAIN = 1000, 64
+#: Documents of a step, and lines that run together.
+STEP, PADDED = 256, 4096
 _LETTERS = re.compile(r"[^\W\d_]+")
 OWN = 12
 
 
+def steps(batches: Iterator[pa.RecordBatch], rows: int = STEP) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few texts as Python strings."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def held_out(id_col: str) -> Column:
     """crc32 of the id as text, mod 5, is 0."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
@@ -171,7 +182,7 @@ class LineCrf:
         k = 0
         while k < len(order):
             stop = k + 1
-            while stop < len(order) and stop - k < 256 and len(docs[order[stop]]) <= 2 * len(docs[order[k]]):
+            while stop < len(order) and len(docs[order[stop]]) <= 2 * len(docs[order[k]]) and (stop - k) * len(docs[order[stop]]) < PADDED:
                 stop += 1
             x, length = _pad([(docs[i], docs[i][:, 0]) for i in order[k:stop]])
             p, _, _ = marginals(self.emit(x), self.move, length)
@@ -233,12 +244,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     a null id is not held out. An empty table gives none. Without labels of both kinds every
     score is 0.5. Very long texts are read whole.
     """
+    small_arrow_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col, label, sample)
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             seen = [document_features(t) for t in batch.column(2).to_pylist()]
             lines = model.line_marginals([x for x, _ in seen]) if model else [np.zeros(len(x)) for x, _ in seen]
             bad, n = [np.flatnonzero(p > 0.5).tolist() for p in lines], [len(p) for p in lines]
@@ -254,13 +266,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, all columns, that the classifier doesn't reject. Without a usable model
     every row stays."""
+    small_arrow_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col, label, sample)
     if model is None:
         return docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             seen = [document_features(t) for t in batch.column(at).to_pylist()]
             lines = model.line_marginals([x for x, _ in seen])
             scores = np.array([weighted(p, w) for p, (_, w) in zip(lines, seen)])

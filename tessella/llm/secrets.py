@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import small_arrow_batches
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -89,6 +91,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stay; an empty table gives no rows. Whole texts are scanned, a document per step, without a
     shuffle.
     """
+    small_arrow_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
 

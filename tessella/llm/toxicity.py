@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.quality import _logistic, held_out, labelled_sample
+from tessella.llm.quality import _logistic, held_out, labelled_sample, steps
+from tessella.session import small_arrow_batches
 
 #: At most so many labelled documents of each class are examples; so many terms at most.
 SAMPLE, TERMS, NEAREST, BLOCK = 1500, 512, 15, 64
@@ -152,13 +153,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Repeated rows and null ids stay; a null id is not held out. An empty table gives no rows.
     Without labels of both kinds every score is 0.5, without evidence. Texts are read whole.
     """
+    small_arrow_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col, label, sample)
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model  # a few MB at most: bounded by the sample and TERMS
-        for batch in batches:
+        for batch in steps(batches):
             votes, evidence = [], []
             for text in batch.column(2).to_pylist():
                 vote, near = index.vote(*index.vector(term_counts(text, index.stems))) if index else (0.0, [])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialize
+from tessella.session import discard, materialize
 
 
 def _to_minimum(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _to_minimum(edges: DataFrame, larger_only: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """node, component (the least node reached) of every node that has an edge to another.
+    """node, component (the least node reached) of every node that has an edge to another, written.
 
     Alternating large-star and small-star steps; the table is written after each pair, and the
     loop ends when its number of rows and its checksum stay. Minima are summed per task before
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_minimum(both, True).distinct()
         small = _to_minimum(large.filter("u <> v"), False).distinct()
-        now = materialize(small, "edges")
+        now, old = materialize(small, "edges"), now
+        discard(old)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -42,4 +43,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct())
+    found = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct()), "components")
+    discard(now)
+    return found
+
+
+def united(found: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """found (node, component) after more edges between nodes, of which few are expected: only the
+    components that they touch are gone through again."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    named = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    moved = connected_components(named.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("final"))
+    kept = found.join(to, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    return materialize(kept.unionByName(moved.join(found, "node", "left_anti").select("node", "component")), "components")

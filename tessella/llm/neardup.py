@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import tokens
-from tessella.llm.graph import connected_components
+from tessella.llm.graph import connected_components, united
 from tessella.llm.idfilter import only
-from tessella.session import materialize, small_arrow_batches
+from tessella.session import discard, materialize, small_arrow_batches
 
 UNIVERSE = 1 << 20
 #: 64 bands of 7 coordinates, drawn from 192: a pair of Jaccard 0.8 shares none of them with
@@ -248,7 +248,7 @@ def link_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: i
     sized = met.join(size_of("b"), "b").join(size_of("a"), "a").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     pairs = materialize(sized.select("a", "b").join(sketch_of("b"), "b").join(sketch_of("a"), "a").filter(agree("sketch_a", "sketch_b") >= least_share).select("a", "b"), "pairs")
     edges = materialize(verified(pairs, texts, size, percent), "links")
-    found = materialize(connected_components(edges), "components")
+    found = connected_components(edges)
     named = materialize(_named(members, found), "open")
     split = named.groupBy("key").agg(F.min("id").alias("a"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "a")
     rest = materialize(named.join(split, "key").select("a", "id", "comp"), "split")
@@ -256,7 +256,9 @@ def link_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: i
         clusters = connected_components(rest.select("a", F.col("id").alias("b")))
         open_ = materialize(rest.select("id", "comp").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "open")
         more = materialize(_cross_links(open_, texts, reps, size, percent, least_share, block), "links")
-        found = materialize(connected_components(edges.unionByName(more)), "components")
+        found, before = united(found, more), found
+        discard(clusters, open_, more, before)
+    discard(members, pairs, edges, named, rest)
     own = reps.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component_id"))
     members = sets.join(classes, ["set_a", "set_b"], "left").join(own, "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -1,9 +1,10 @@
 """Line dedup by pairwise alignment: patience diff against earlier documents, found by shared lines.
 
 Each line is linked with the first document that holds it, so a line costs one pair per later
-document, however common it is. A pair counts if it shares a rare line or several lines. The
-two documents' line hashes are aligned by patience diff, and aligned common blocks are deleted
-from the later one: blocks of several lines, or of one rare line.
+document, however common it is, and every such pair is aligned: how many documents hold a line
+makes no difference. The two documents' line hashes are aligned by patience diff, and aligned
+common blocks are deleted from the later one: blocks of several lines, or of one long line. Long
+lines that patience diff leaves out, as they are moved or repeated, are blocks of their own.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tessella.session import materialize, small_arrow_batches
 
-#: A line of so many documents at most is rare; a line of fewer words is no anchor.
-RARE, ANCHOR_WORDS, BLOCK_LINES = 100, 8, 2
+#: A line of fewer words is no anchor; a block without one needs so many lines.
+ANCHOR_WORDS, BLOCK_LINES = 8, 2
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -70,19 +71,20 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
-def blocks_to_delete(later: list[int], earlier: list[int], counts: list[bool], rare: list[bool], least: int = BLOCK_LINES) -> list[int]:
+def blocks_to_delete(later: list[int], earlier: list[int], counts: list[bool], long_: list[bool], least: int = BLOCK_LINES) -> list[int]:
     """Line numbers of later in aligned common blocks. counts: lines that aren't blank; a block
-    needs so many of them, or a rare one."""
+    needs so many of them, or a long one. Long lines that earlier holds go in any case."""
     pairs = patience(later, earlier)
     out: list[int] = []
     block: list[int] = []
     for n, (x, y) in enumerate(pairs):
         block.append(x)
         if n + 1 == len(pairs) or pairs[n + 1] != (x + 1, y + 1):
-            if sum(counts[i] for i in block) >= least or any(rare[i] for i in block):
+            if sum(counts[i] for i in block) >= least or any(long_[i] for i in block):
                 out += block
             block = []
-    return out
+    held = set(earlier)
+    return sorted({*out, *(i for i, h in enumerate(later) if long_[i] and h in held)})
 
 
 def _hash_lines(batches: Iterator[pa.RecordBatch], anchor_words: int) -> Iterator[pa.RecordBatch]:
@@ -93,26 +95,25 @@ def _hash_lines(batches: Iterator[pa.RecordBatch], anchor_words: int) -> Iterato
             lines = [x.strip(" ") for x in (batch.column(1)[i].as_py() or "").split("\n")]
             seq.append([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in lines])
             counts.append([x != "" for x in lines])
-            long_.append([x.count(" ") + 1 >= anchor_words for x in lines])
+            long_.append([x != "" and x.count(" ") + 1 >= anchor_words for x in lines])
         kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()))
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip((seq, counts, long_), kinds)]], names=["doc_id", "seq", "counts", "long"])
 
 
 def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, gone of each pair (doc_id, rare, seq, counts, other) that has a block to delete."""
+    """doc_id, gone of each pair (doc_id, seq, counts, long, other) that has a block to delete."""
     for batch in batches:
         at, out = [], []
         for i in range(batch.num_rows):
-            rare, seq, counts, other = (batch.column(c)[i].as_py() for c in range(1, 5))
-            known = set(rare)
-            gone = blocks_to_delete(seq, other, counts, [h in known for h in seq], least)
+            seq, counts, long_, other = (batch.column(c)[i].as_py() for c in range(1, 5))
+            gone = blocks_to_delete(seq, other, counts, long_, least)
             if gone:
                 at.append(i)
                 out.append(gone)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, anchor_words: int = ANCHOR_WORDS, least: int = BLOCK_LINES) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, least: int = BLOCK_LINES) -> DataFrame:
     """doc_id, deleted: the line numbers to delete (from 0), of each document that has any.
 
     Lines are split at newlines and compared by a 64-bit hash of their trimmed text; blank lines
@@ -124,16 +125,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_arrow_batches(docs.sparkSession)
     hashed = read.mapInArrow(lambda batches: _hash_lines(batches, anchor_words), f"doc_id {kind}, seq array<bigint>, counts array<boolean>, long array<boolean>")
     hashes = materialize(hashed, "lines")  # hashes only: texts are read once
-    lines = hashes.select("doc_id", F.explode(F.arrays_zip("seq", "counts", "long")).alias("x")).select("doc_id", F.col("x.seq").alias("h"), "x.counts", "x.long")
-    anchors = lines.filter("counts and long")
-    once = anchors.select("doc_id", "h").distinct()
-    known = once.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1")
-    linked = once.join(known, "h").filter("doc_id > first")
-    pairs = linked.groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("shared"), F.max((F.col("df") <= rare).cast("int")).alias("has_rare"), F.collect_set(F.when(F.col("df") <= rare, F.col("h"))).alias("rare"))
-    pairs = pairs.filter((F.col("has_rare") == 1) | (F.col("shared") >= least)).select("doc_id", "first", "rare")
+    anchors = hashes.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("seq", "long"), lambda x: x["long"]), lambda x: x["seq"]))).alias("h"))
+    known = anchors.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1")
+    pairs = anchors.join(known, "h").filter("doc_id > first").select("doc_id", "first").distinct()
     met = pairs.join(hashes, "doc_id").join(hashes.select(F.col("doc_id").alias("first"), F.col("seq").alias("other")), "first")
 
-    found = met.select("doc_id", "rare", "seq", "counts", "other").mapInArrow(lambda batches: _align(batches, least), f"doc_id {kind}, gone array<int>")
+    found = met.select("doc_id", "seq", "counts", "long", "other").mapInArrow(lambda batches: _align(batches, least), f"doc_id {kind}, gone array<int>")
     return found.select("doc_id", F.explode("gone").alias("pos")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
 
 

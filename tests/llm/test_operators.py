@@ -173,6 +173,19 @@ def test_line_dedup_against_brute_force(spark):
     assert lines.dedup_lines(docs, drop_emptied=True).filter("doc_id = 2").count() == 0
 
 
+def test_line_dedup_of_frequent_lines(spark):
+    line, pair, other = prose(30, 12), prose(31, 24).split("\n"), prose(32, 12)
+    texts = [prose(5000 + i, 24) + "\n" + line for i in range(130)]  # far more documents than 100, and the line stands alone in each
+    texts += [pair[0], pair[1]] + [prose(6000 + i, 12) + "\n" + "\n".join(pair) for i in range(130)]  # a block whose lines have different first holders
+    texts += [other + "\nbetween\n" + line + "\n" + other + "\n" + line]  # moved and repeated
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    assert got[0] == texts[0] and all(got[i] == prose(5000 + i, 24) for i in range(1, 130))
+    assert [got[130], got[131]] == pair
+    assert all(got[132 + i] == prose(6000 + i, 12) for i in range(130))
+    assert got[262] == other + "\nbetween\n" + other
+
+
 def test_decontamination_finds_items_in_long_texts(spark):
     items = [(i, prose(1000 + i, n).replace("\n", " ")) for i, n in enumerate((5, 9, 15, 33, 64, 120))]
     docs = [prose(2000 + i, 3000) + " " + t.upper() + "\n" + prose(3000 + i, 500) for i, t in items]

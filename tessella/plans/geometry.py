@@ -81,7 +81,7 @@ def polygon_overlap(spark, d):
             shapes = [(np.array([*map(list, p)]), np.array([*map(list, q)])) for p, q in zip(f["p"], f["q"])]
             yield pd.DataFrame({"a": f["a"], "overlap": [round(g.intersection_area(p, q), 6) for p, q in shapes], "iou": [round(g.iou(p, q), 6) for p, q in shapes], "shared": [round(g.shared_edge_length(p, q, 0.2), 6) for p, q in shapes]})
 
-    return _pairs(spark, d).filter("a < 600").mapInPandas(run, "a long, overlap double, iou double, shared double")
+    return _pairs(spark, d).mapInPandas(run, "a long, overlap double, iou double, shared double")
 
 
 def polygon_tools(spark, d):
@@ -91,17 +91,17 @@ def polygon_tools(spark, d):
             shapes = [np.array([*map(list, p)]) for p in f["p"]]
             yield pd.DataFrame({"a": f["a"], "triangles": [len(g.ear_clip(p)) for p in shapes], "corners": [len(g.simplify(p, 0.5)) for p in shapes], "inside": [g.np_contains(p, *g.representative_point(p)) for p in shapes], "angle": [g.dominant_angle(p) for p in shapes], "snapped": [round(abs(g.np_area(g.snap_directions(p))), 6) for p in shapes]})
 
-    return _pairs(spark, d).filter("a < 600").mapInPandas(run, "a long, triangles int, corners int, inside boolean, angle double, snapped double")
+    return _pairs(spark, d).mapInPandas(run, "a long, triangles int, corners int, inside boolean, angle double, snapped double")
 
 
 def pose_fit(spark, d):
-    """Pose of each room on its neighbour, the first 60 pairs' rooms as a listing would have."""
+    """Pose of each room on its neighbour."""
     def run(frames):
         for f in frames:
             found = [g.pose_search(np.array([*map(list, p)]), np.array([*map(list, q)])) for p, q in zip(f["p"], f["q"])]
             yield pd.DataFrame([(a, *x) for a, x in zip(f["a"], found)], columns=["a", "theta", "flip", "tx", "ty", "iou"])
 
-    return _pairs(spark, d).filter("a < 60").mapInPandas(run, "a long, theta double, flip boolean, tx double, ty double, iou double")
+    return _pairs(spark, d).mapInPandas(run, "a long, theta double, flip boolean, tx double, ty double, iou double")
 
 
 _R = """

@@ -120,15 +120,16 @@ def up_directions(spark, d):
 
 def wall_openings(spark, d):
     """Openings of walls (users): empty cells of a coverage grid in connected rectangles."""
-    e = table(spark, d, "events").filter("user_id < 40")
+    e = table(spark, d, "events")
     have = e.groupBy("user_id", (F.hour("ts").cast("long")).alias("cx"), (F.dayofmonth("ts") % 8).cast("long").alias("cy")).count().filter("count >= 1").drop("count")
     grid = e.select("user_id").distinct().withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("user_id", F.col("cx").cast("long"), F.col("cy").cast("long"))
     return sp.grid_components(grid.join(have, ["user_id", "cx", "cy"], "left_anti"), "user_id")
 
 
 def _words(spark, d):
-    p = table(spark, d, "part").filter("p_partkey < 900")
-    return p.select((F.col("p_partkey") % 30).alias("sheet"), F.col("p_partkey").alias("word_id"), "p_name", (F.col("p_size") * 2.0).alias("conf"), (F.col("p_partkey") * 7 % 60 * 1.5).cast("double").alias("x"), (F.col("p_partkey") * 11 % 40 * 1.5).cast("double").alias("y"), (F.length("p_name") * 0.5).cast("double").alias("w"), F.lit(4.0).alias("h"), F.split("p_name", " ")[1].alias("text"))
+    """Parts as words, 30 a sheet."""
+    p = table(spark, d, "part")
+    return p.select(F.expr("p_partkey div 900 * 30 + p_partkey % 30").alias("sheet"), F.col("p_partkey").alias("word_id"), "p_name", (F.col("p_size") * 2.0).alias("conf"), (F.col("p_partkey") * 7 % 60 * 1.5).cast("double").alias("x"), (F.col("p_partkey") * 11 % 40 * 1.5).cast("double").alias("y"), (F.length("p_name") * 0.5).cast("double").alias("w"), F.lit(4.0).alias("h"), F.split("p_name", " ")[1].alias("text"))
 
 
 def suppressed_words(spark, d):
@@ -141,7 +142,8 @@ def caption_clusters(spark, d):
 
 
 def _shapes(spark, d):
-    p = table(spark, d, "part").filter("p_partkey < 800").select((F.col("p_partkey") % 20).alias("listing"), F.col("p_partkey").alias("poly_id"), g.rectangle((F.col("p_partkey") * 13 % 50).cast("double"), (F.col("p_partkey") * 29 % 50).cast("double"), F.col("p_size") / 3.0, F.col("p_partkey") % 11 + 2.0).alias("r"))
+    """Parts as rectangles, 40 a listing."""
+    p = table(spark, d, "part").select(F.expr("p_partkey div 800 * 20 + p_partkey % 20").alias("listing"), F.col("p_partkey").alias("poly_id"), g.rectangle((F.col("p_partkey") * 13 % 50).cast("double"), (F.col("p_partkey") * 29 % 50).cast("double"), F.col("p_size") / 3.0, F.col("p_partkey") % 11 + 2.0).alias("r"))
     return p.select("listing", "poly_id", F.transform("r", lambda v: F.array(v["x"], v["y"])).alias("p"))
 
 

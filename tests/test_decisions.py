@@ -259,3 +259,19 @@ def test_streamed_sessions_equal_batch(spark, tmp_path):
 def test_regex_of_wildcards(spark):
     frame = pd.DataFrame({"r": ["/a*b", "/x$", "/q?x=1"], "p": ["/aZZb/c", "/x", "/q?x=12"]})
     assert [r["m"] for r in spark.createDataFrame(frame).withColumn("re", tx.wildcard_pattern(F.col("r"))).select(F.expr("p rlike re").alias("m")).collect()] == [True, True, True]
+
+
+def test_queries_without_sql_read_whole_tables(spark):
+    from tessella.plans import geometry, graph
+
+    d = "/root/testdata/sf0.01"
+    part, events = spark.read.parquet(f"{d}/part.parquet"), spark.read.parquet(f"{d}/events.parquet")
+    n = part.count()
+    assert graph._words(spark, d).count() == graph._shapes(spark, d).count() == n
+    assert graph._words(spark, d).groupBy("sheet").count().agg({"count": "max"}).first()[0] <= 30
+    assert graph._shapes(spark, d).groupBy("listing").count().agg({"count": "max"}).first()[0] <= 40
+    assert geometry.polygon_tools(spark, d).count() == n - 1
+    assert geometry.polygon_overlap(spark, d).count() == n - 1
+    assert graph.wall_openings(spark, d).agg({"user_id": "max"}).first()[0] == events.agg({"user_id": "max"}).first()[0]
+    small = d.replace("0.01", "0.001")
+    assert geometry.pose_fit(spark, small).count() == spark.read.parquet(f"{small}/part.parquet").count() - 1

@@ -63,10 +63,10 @@ def linked_spans(text: str, low: str, strong: list[Span], reach: int = REACH) ->
     """Weak candidates with a complement in scope. Candidates inside strong secrets are those."""
     names = [(m.start(), 3, m.end()) for m in NAME.finditer(text)] if any(h in low for h in NAME_HINTS) else []
     sites = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if any(h in low for h in ENDPOINT_HINTS) else []
-    if not names and (not sites or not strong):
-        return []
     secrets = [s for s in strong if s[1] != 1]
     ids = names + [s for s in strong if s[1] == 1]
+    if not ids and (not sites or not strong):
+        return []
     weak = []
     if ids:
         weak = [(m.start(), 4, m.end()) for m in WEAK.finditer(text)]

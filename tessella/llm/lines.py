@@ -1,15 +1,17 @@
 """Line dedup by pairwise alignment: patience diff against earlier documents, found by shared lines.
 
-Each line is linked with the first document that holds it, so a line costs one pair per later
-document, however common it is, and every such pair is aligned: how many documents hold a line
+Each long line, and each run of two lines of which one is short, is linked with the first document
+that holds it, so it costs one pair per later document, however common it is, and every such pair is aligned: how many documents hold a line
 makes no difference. The two documents' line hashes are aligned by patience diff, and aligned
 common blocks are deleted from the later one: blocks of several lines, or of one long line. Long
-lines that patience diff leaves out, as they are moved or repeated, are blocks of their own.
+lines and runs that patience diff leaves out, as they are moved or repeated, are blocks of their
+own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessella.session import materialize, small_arrow_batches
 
-#: A line of fewer words is no anchor; a block without one needs so many lines.
+#: A line of fewer words is no anchor alone; a block without a longer one needs so many lines.
 ANCHOR_WORDS, BLOCK_LINES = 8, 2
 
 
@@ -71,9 +73,23 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
+def _hash(line: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little", signed=True)
+
+
+_BLANK = _hash(b"")
+
+
+def runs(seq: list[int], least: int = BLOCK_LINES) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(start, hashes) of each run of so many lines that aren't blank, with the blank ones between."""
+    full = [i for i, h in enumerate(seq) if h != _BLANK]
+    for i, j in zip(full, full[least - 1 :]):
+        yield i, tuple(seq[i : j + 1])
+
+
 def blocks_to_delete(later: list[int], earlier: list[int], counts: list[bool], long_: list[bool], least: int = BLOCK_LINES) -> list[int]:
     """Line numbers of later in aligned common blocks. counts: lines that aren't blank; a block
-    needs so many of them, or a long one. Long lines that earlier holds go in any case."""
+    needs so many of them, or a long one. Long lines and runs that earlier holds go in any case."""
     pairs = patience(later, earlier)
     out: list[int] = []
     block: list[int] = []
@@ -84,20 +100,29 @@ def blocks_to_delete(later: list[int], earlier: list[int], counts: list[bool], l
                 out += block
             block = []
     held = set(earlier)
-    return sorted({*out, *(i for i, h in enumerate(later) if long_[i] and h in held)})
+    out += [i for i, h in enumerate(later) if long_[i] and h in held]
+    held_runs = {run for _, run in runs(earlier, least)}
+    for i, run in runs(later, least):
+        if run in held_runs:
+            out += range(i, i + len(run))
+    return sorted(set(out))
 
 
-def _hash_lines(batches: Iterator[pa.RecordBatch], anchor_words: int) -> Iterator[pa.RecordBatch]:
-    """Per document: hashes of its trimmed lines, which aren't blank, which have enough words."""
+def _hash_lines(batches: Iterator[pa.RecordBatch], anchor_words: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Per document: hashes of its trimmed lines, which aren't blank, which have enough words; and
+    its anchors: the lines that have enough, and hashes of runs with a line that hasn't."""
     for batch in batches:
-        seq, counts, long_ = [], [], []
+        seq, counts, long_, anchors = [], [], [], []
         for i in range(batch.num_rows):
             lines = [x.strip(" ") for x in (batch.column(1)[i].as_py() or "").split("\n")]
-            seq.append([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in lines])
+            seq.append([_hash(x.encode()) for x in lines])
             counts.append([x != "" for x in lines])
             long_.append([x != "" and x.count(" ") + 1 >= anchor_words for x in lines])
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip((seq, counts, long_), kinds)]], names=["doc_id", "seq", "counts", "long"])
+            own = {h for h, yes in zip(seq[-1], long_[-1]) if yes}
+            own |= {_hash(struct.pack(f"<{len(run)}q", *run)) for _, run in runs(seq[-1], least) if any(h != _BLANK and h not in own for h in run)}
+            anchors.append(list(own))
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip((seq, counts, long_, anchors), kinds)]], names=["doc_id", "seq", "counts", "long", "anchors"])
 
 
 def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -123,12 +148,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
     small_arrow_batches(docs.sparkSession)
-    hashed = read.mapInArrow(lambda batches: _hash_lines(batches, anchor_words), f"doc_id {kind}, seq array<bigint>, counts array<boolean>, long array<boolean>")
+    hashed = read.mapInArrow(lambda batches: _hash_lines(batches, anchor_words, least), f"doc_id {kind}, seq array<bigint>, counts array<boolean>, long array<boolean>, anchors array<bigint>")
     hashes = materialize(hashed, "lines")  # hashes only: texts are read once
-    anchors = hashes.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("seq", "long"), lambda x: x["long"]), lambda x: x["seq"]))).alias("h"))
+    anchors = hashes.select("doc_id", F.explode("anchors").alias("h"))
     known = anchors.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1")
     pairs = anchors.join(known, "h").filter("doc_id > first").select("doc_id", "first").distinct()
-    met = pairs.join(hashes, "doc_id").join(hashes.select(F.col("doc_id").alias("first"), F.col("seq").alias("other")), "first")
+    met = pairs.join(hashes.drop("anchors"), "doc_id").join(hashes.select(F.col("doc_id").alias("first"), F.col("seq").alias("other")), "first")
 
     found = met.select("doc_id", "seq", "counts", "long", "other").mapInArrow(lambda batches: _align(batches, least), f"doc_id {kind}, gone array<int>")
     return found.select("doc_id", F.explode("gone").alias("pos")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("deleted"))

@@ -193,6 +193,16 @@ def test_line_dedup_of_frequent_lines(spark):
     assert got[262] == other + "\nbetween\n" + other
 
 
+def test_line_dedup_of_short_lines(spark):
+    block = prose(40, 96).split()
+    block = "\n".join(" ".join(block[i : i + 3]) for i in range(0, 96, 3))  # 32 lines of three words
+    two = "one fish\n\ntwo fish"
+    texts = [prose(41, 24) + "\n" + block, prose(42, 24) + "\n" + block + "\nan end", "red fish\n" + two, two + "\nblue fish", "two fish\none fish", two + "\nmore\n" + two]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    assert got == {0: texts[0], 1: prose(42, 24) + "\nan end", 2: texts[2], 3: "blue fish", 4: texts[4], 5: "more"}
+
+
 def test_decontamination_finds_items_in_long_texts(spark):
     items = [(i, prose(1000 + i, n).replace("\n", " ")) for i, n in enumerate((5, 9, 15, 33, 64, 120))]
     docs = [prose(2000 + i, 3000) + " " + t.upper() + "\n" + prose(3000 + i, 500) for i, t in items]

@@ -5,17 +5,19 @@ places; the second is one random table over them, and coordinate k reads it shif
 k. So a shingle's K values are K neighbouring cells of the table, and a signature is the minimum
 over its shingles.
 
-Documents of equal shingle sets are one class from the start. Classes that share a band bucket
-are candidates, but a bucket never emits all its pairs: its members are compared with its least
-member and united. Then only buckets that still span several components matter. Their members
-fall into clusters (what such buckets connect), clusters into blocks of bounded size, and a task
-takes two blocks: it compares sketches of pairs across components, verifies the promising ones on
-full shingle sets, and returns links only. Pairs inside a component are never looked at.
+Documents of the same words (A-Z lower-cased, by a cryptographic digest) are one class from the
+start. Classes that share a band bucket are candidates, but a bucket never emits all its pairs:
+its members are compared with its least member and united. Then only buckets that still span
+several components matter. Their members fall into clusters (what such buckets connect), clusters
+into blocks bounded in rows and in words, and a task takes two blocks: it compares sketches of
+pairs across components, tests the promising ones on sets of shingle hashes and those that pass
+on the shingles themselves, and returns links only. Pairs inside a component are never looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,11 +31,13 @@ from tessella.llm.idfilter import only
 from tessella.session import discard, materialize, small_arrow_batches
 
 UNIVERSE = 1 << 20
-#: 64 bands of 7 coordinates, drawn from 192: a pair of Jaccard 0.8 shares none of them with
-#: probability (1 - 0.8^7)^64 = 3e-7.
+#: 64 bands of 7 coordinates, drawn from 192. If bands were independent, a pair of Jaccard 0.8 would
+#: share none of them with probability (1 - 0.8^7)^64 = 3e-7; as they draw from the same
+#: coordinates, a simulation gives some 4e-5.
 COORDINATES, BANDS, ROWS = 192, 64, 7
-#: Most members of a cluster's block; a task holds the texts of two.
-BLOCK = 1024
+#: Most members and shingles of a cluster's block, but for its largest text; a task holds the
+#: texts of two.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 _rng = np.random.default_rng(7)
 _SIGMA = np.uint64(int(_rng.integers(1, 1 << 62)) * 2 + 1)
 
@@ -63,8 +67,8 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int, k: int, table: np.nda
 
 
 def shingle_sets(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits that identify the set), sketch (the low byte of
-    each coordinate). docs: doc_id, text."""
+    """doc_id, n_shingles, words_a, words_b (128 bits that identify the sequence of words), sketch
+    (the low byte of each coordinate), h. docs: doc_id, text, h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = circulant_table(k)
@@ -75,18 +79,17 @@ def shingle_sets(docs: DataFrame, size: int, k: int) -> DataFrame:
                 doc, value = tokens.distinct(doc, value)
                 bounds = np.searchsorted(doc, np.arange(w.n + 1))
                 count = np.diff(bounds)
-                ids = []
-                for seed in (0x1234567, 0x89ABCDEF01):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(value ^ np.uint64(seed)), dtype=np.uint64)])
-                    ids.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+                lowered = tokens.lowered(data)
+                digests = b"".join(hashlib.blake2b(b" ".join(lowered[offsets[d] : offsets[d + 1]].tobytes().split()), digest_size=16).digest() for d in range(w.n))
+                ids = np.frombuffer(digests, np.int64).reshape(w.n, 2)
                 sketch = (signatures(doc, value, w.n, k, table) & 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, w.n), pa.array(count.astype(np.int64)), pa.array(ids[0]), pa.array(ids[1]), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
+                    [batch.column(0).slice(first, w.n), pa.array(count.astype(np.int64)), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array([x.tobytes() for x in sketch], pa.binary()), batch.column(2).slice(first, w.n)],
+                    names=["doc_id", "n_shingles", "words_a", "words_b", "sketch", "h"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, sketch binary")
+    return docs.select("doc_id", "text", "h").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, words_a bigint, words_b bigint, sketch binary, h bigint")
 
 
 def band_keys(reps: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -140,10 +143,11 @@ def _set(text: str, size: int) -> frozenset:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Of the texts, those of candidates are
-    shuffled: a fixed-size filter of their ids thins the scan."""
-    sided = pairs.select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "id"))
-    texts = sided.join(only(docs, "doc_id", sided, "id").select(F.col("doc_id").alias("id"), "text"), "id")
+    """The pairs (a, b) whose texts, of the hashes h_a and h_b, are similar enough. Of the texts,
+    those of candidates are shuffled: a fixed-size filter of their ids thins the scan."""
+    ends = F.array(*[F.struct(F.col(x).alias("id"), F.col(f"h_{x}").alias("h")) for x in "ab"])
+    sided = pairs.select("a", "b", F.posexplode(ends).alias("side", "end")).select("a", "b", "side", "end.id", "end.h")
+    texts = sided.join(only(docs, "doc_id", sided, "id").select(F.col("doc_id").alias("id"), "text", "h"), ["id", "h"])
     met = texts.groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("y"))
     test = F.pandas_udf(lambda x, y: _similar(x, y, size, percent), "boolean")
     return met.filter(test("x", "y")).select("a", "b")
@@ -166,9 +170,10 @@ def _hash_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def links_across(ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, least: float) -> list[tuple[int, int]]:
+def links_across(ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, least: float, exact: Callable[[int, int], bool] = lambda x, y: True) -> list[tuple[int, int]]:
     """Links that unite components, among pairs of a left and a right member: at most one less
-    than there are components. Pairs whose components are united by then are left out."""
+    than there are components. Pairs whose components are united by then are left out. exact has
+    the last word on two members whose sets of hashes are similar enough."""
     root = {c: c for c in set(comp.tolist())}
 
     def find(c):
@@ -193,7 +198,7 @@ def links_across(ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, sets: li
             at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
             both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[some])[:-1]]))
             for y in some[100 * both >= percent * (size[x] + size[some] - both)].tolist():
-                if find(comp[y]) != find(comp[x]):
+                if find(comp[y]) != find(comp[x]) and exact(x, y):
                     root[find(comp[y])] = find(comp[x])
                     out.append((int(ids[x]), int(ids[y])))
     return out
@@ -201,9 +206,11 @@ def links_across(ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, sets: li
 
 def _cross_links(members: DataFrame, texts: DataFrame, reps: DataFrame, size: int, percent: int, least: float, block: int) -> DataFrame:
     """Links between components within the clusters of members (id, comp, cluster)."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", F.ceil(F.col("n") / block).cast("int").alias("g"))
+    parts = F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
+    sizes = members.join(reps.select("id", "n_shingles"), "id").groupBy("cluster").agg(F.ceil(parts).cast("int").alias("g"))
     placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-    full = placed.join(only(texts, "doc_id", members, "id").select(F.col("doc_id").alias("id"), "text"), "id").join(reps.select("id", "sketch"), "id").dropDuplicates(["id"])
+    spoken = placed.join(reps.select("id", "sketch", "h"), "id")
+    full = spoken.join(only(texts, "doc_id", members, "id").select(F.col("doc_id").alias("id"), "text", "h"), ["id", "h"]).dropDuplicates(["id"])
     dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch", "text")
 
@@ -211,7 +218,9 @@ def _cross_links(members: DataFrame, texts: DataFrame, reps: DataFrame, size: in
         own, (i, j) = rows["own"].to_numpy(), (key[1].as_py(), key[2].as_py())
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(own), -1)
         sets = _hash_sets(rows["text"], size)
-        found = links_across(rows["id"].to_numpy(), rows["comp"].to_numpy(), sketch, sets, np.flatnonzero(own == i), np.flatnonzero(own == j), percent, least)
+        text = lambda k: rows["text"][k].as_py()
+        exact = lambda x, y: bool(_similar([text(x)], [text(y)], size, percent)[0])
+        found = links_across(rows["id"].to_numpy(), rows["comp"].to_numpy(), sketch, sets, np.flatnonzero(own == i), np.flatnonzero(own == j), percent, least, exact)
         return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
     return dealt.groupBy("cluster", "i", "j").applyInArrow(search, "a long, b long")
@@ -224,29 +233,31 @@ def link_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: i
     size words, A-Z lower-cased; shorter texts have one shingle, their whole sequence. Null,
     empty and blank texts have none and link with nothing. component_id is the least doc_id that
     links reach. Rows of a null doc_id get a null component and are kept. Rows that share a
-    doc_id are one document; if their texts differ, which of them speaks for its links is open. An
-    empty table gives no rows.
+    doc_id are one document: copies of any of their texts are linked with it, and near copies of the
+    one of the largest hash among those with words. An empty table gives no rows. Other columns are not read, whatever
+    their names. Texts are read whole, however long.
 
     A candidate whose byte sketch agrees in less than percent / 100 - margin of the coordinates
     isn't verified: at 192 coordinates the margin is over four standard deviations.
     """
     small_arrow_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     sets = materialize(shingle_sets(texts.filter(F.col("doc_id").isNotNull()), size, k), "sets")
     filled = sets.filter("n_shingles > 0")
-    classes = materialize(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "classes")
-    chosen = filled.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"])
-    reps = materialize(chosen.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "reps")
+    classes = materialize(filled.groupBy("words_a", "words_b").agg(F.min("doc_id").alias("id")), "classes")
+    chosen = filled.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "words_a", "words_b"])
+    speaking = chosen.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "sketch", "h"), "h").alias("s"))
+    reps = materialize(speaking.select(F.col("doc_id").alias("id"), "s.n_shingles", "s.sketch", "s.h"), "reps")
     band = band_keys(reps, k, bands, rows)
     least = band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
     members = materialize(band.join(least.select("key"), "key"), "buckets")
     agree = F.pandas_udf(_agree, "double")
     least_share = percent / 100 - margin
-    size_of = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+    size_of = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("h").alias(f"h_{x}"))
     sketch_of = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
     met = members.join(least.select("key", "a"), "key").filter("id > a").select("a", F.col("id").alias("b")).distinct()
     sized = met.join(size_of("b"), "b").join(size_of("a"), "a").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    pairs = materialize(sized.select("a", "b").join(sketch_of("b"), "b").join(sketch_of("a"), "a").filter(agree("sketch_a", "sketch_b") >= least_share).select("a", "b"), "pairs")
+    pairs = materialize(sized.select("a", "b", "h_a", "h_b").join(sketch_of("b"), "b").join(sketch_of("a"), "a").filter(agree("sketch_a", "sketch_b") >= least_share).select("a", "b", "h_a", "h_b"), "pairs")
     edges = materialize(verified(pairs, texts, size, percent), "links")
     found = connected_components(edges)
     named = materialize(_named(members, found), "open")
@@ -260,7 +271,7 @@ def link_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: i
         discard(clusters, open_, more, before)
     discard(members, pairs, edges, named, rest)
     own = reps.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component_id"))
-    members = sets.join(classes, ["set_a", "set_b"], "left").join(own, "id", "left")
+    members = sets.join(classes, ["words_a", "words_b"], "left").join(own, "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     named = members.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     unnamed = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -4,10 +4,11 @@ Documents are dealt into batches by id. Pass one makes a sketch of each batch: w
 one very wide count-min row its windows touch, and which they touch twice. The sketches are
 merged by counter range; merged counts never underestimate, so a window whose counter stays at one
 is unique and is done with. Each batch gets back those of its counters that reached two. Pass two
-groups the remaining windows exactly, by 96 bits of their words' hash: within a batch first, so
-that a window costs a row per batch at most, however often it repeats, and then over all batches.
-All but a window's first place are repeats. The row is wide instead of deep because a sketch holds
-touched counters only: bytes follow the windows of a batch, not the width.
+groups the remaining windows exactly, by 128 bits made of two independent hashes of their words:
+within a batch first, so that a window costs a row per batch at most, however often it repeats,
+and then over all batches. All but a window's first place are repeats. The row is wide instead of
+deep because a sketch holds touched counters only: bytes follow the windows of a batch, not the
+width, and of the counts only "one" or "more" is needed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ U64 = np.uint64
 WINDOW = 20
 #: Text bytes of a batch; a task holds the hashes of one batch at a time. Each batch has a blob for
 #: each counter range, so batches grow with the root of the input, up to what a task can hold.
-LEAST_BATCH, MOST_BATCH = 8 << 20, 256 << 20
+LEAST_BATCH, MOST_BATCH = 8 << 20, 64 << 20
 #: Counters per window of a counter range.
 WIDTH = 32
 
@@ -54,30 +55,34 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
 class _Batch:
     """A batch's documents in order of id, and the windows of all of them."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, size: int):
-        table = pa.table({"i": ids, "t": texts.cast(pa.large_string())}).combine_chunks()
-        order = pa.compute.sort_indices(table, sort_keys=[("i", "ascending"), ("t", "ascending")])
-        table = table.take(order).combine_chunks()
-        self.ids, self.texts = table["i"].combine_chunks(), table["t"].combine_chunks()
+    def __init__(self, rows: pa.Table, size: int):
+        table = _in_order(rows).combine_chunks()
+        self.ids, self.ties, self.texts = (table[c].combine_chunks() for c in ("doc_id", "tie", "text"))
         docs, places, first, second, self.n_words = [], [], [], [], np.zeros(len(self.ids), np.int64)
         for k, data, offsets in tokens.chunks(self.texts):
-            w = tokens.words(k, data, offsets)
+            w = tokens.words(k, data, offsets, second=True)
             b = w.bounds()
             self.n_words[k : k + w.n] = np.diff(b)
             at, one = tokens.windows(w.hash, w.doc, size)
-            _, two = tokens.windows(w.hash ^ (w.hash >> U64(31)), w.doc, size, base=0xD1342543DE82EF95)
+            _, two = tokens.windows(w.second, w.doc, size, base=0xD1342543DE82EF95)
             docs.append((w.doc[at] + k).astype(np.int32))
             places.append((at - b[w.doc[at]]).astype(np.int32))
             first.append(one)
-            second.append((two >> U64(32)).astype(np.uint32))
+            second.append(two)
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.doc, self.place, self.one, self.two = join(docs, np.int32), join(places, np.int32), join(first, np.uint64), join(second, np.uint32)
+        self.doc, self.place, self.one, self.two = join(docs, np.int32), join(places, np.int32), join(first, np.uint64), join(second, np.uint64)
 
     def counters(self, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(range, counter in it) of each window."""
         return (self.one % U64(ranges)).astype(np.int64), ((self.one // U64(ranges)) & U64((1 << bits) - 1)).astype(np.uint32)
 
 
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Rows by id, nulls last and among themselves by the hash of their texts, then by text."""
+    table = rows.set_column(rows.column_names.index("text"), "text", rows["text"].cast(pa.large_string())).combine_chunks()
+    return table.take(pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("tie", "ascending"), ("text", "ascending")]))
+
+
 def _by(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by key, and where each of the n keys starts in it."""
     order = np.argsort(key, kind="stable")
@@ -91,8 +96,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at an earlier place: a smaller doc_id, or an earlier start in the same document. Windows are
     judged on the input. Null and empty texts have no words; their hash is that of no bytes. Texts
     of fewer words than a window stay whole. Rows of one doc_id stand in the order of their texts;
-    null ids come last and among themselves likewise. An empty table gives no rows. Other columns
-    are not read. Very long texts make one large batch.
+    null ids come last, among themselves in the order of a hash of their texts, and are dealt by
+    it. An empty table gives no rows. Other columns are not read, whatever their names. A text is
+    read whole, and one longer than a batch makes its batch larger.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -100,10 +106,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = max(1, math.ceil(total / batch_bytes))
     bits = max(10, min(31, math.ceil(math.log2(WIDTH * max(1, total // 6) / n + 1))))
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = read.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "batch")
+    tied = read.withColumn("tie", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+    dealt = tied.withColumn("batch", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n)).cast("int")).repartition(n, "batch")
 
     def sketch(batch: tuple, rows: pa.Table) -> pa.Table:
-        own = _Batch(rows["doc_id"].combine_chunks(), rows["text"].combine_chunks(), window)
+        own = _Batch(rows, window)
         part, counter = own.counters(n, bits)
         order, at = _by(part, n)
         out = []
@@ -127,10 +134,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=["batch", "part", "cells"])
 
     def suspects(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Rows (part, batch, one, two, doc, place): of each window that may repeat its first place
+        """Rows (part, batch, one, two, ids, ties, doc, place): of each window that may repeat its first place
         in the batch, for the range that groups it; and its other places, which are repeats, for
         range n + batch, which passes them on."""
-        own = _Batch(left["doc_id"].combine_chunks(), left["text"].combine_chunks(), window)
+        own = _Batch(left, window)
         part, counter = own.counters(n, bits)
         heavy = [np.zeros(0, np.uint64)]
         for k, b in zip(right["part"].to_pylist(), right["cells"].to_pylist()):
@@ -150,25 +157,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         again = np.zeros(len(order), bool)
         again[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
         firsts, repeats = np.sort(maybe[order[~again]]), np.sort(maybe[order[again]])
-        ids = np.asarray(own.ids.fill_null(np.iinfo(np.int64).max), np.int64)
+        ids, ties = np.asarray(own.ids.fill_null(np.iinfo(np.int64).max), np.int64), np.asarray(own.ties, np.int64)
         out = []
         order, at = _by(part[firsts], n)
         batch = key[0].as_py()
         for k in range(n):
             x = firsts[order[at[k] : at[k + 1]]]
             if len(x):
-                out.append((k, batch, _pack(own.one[x]), _pack(own.two[x]), _pack(ids[own.doc[x]]), _pack(own.doc[x]), _pack(own.place[x])))
+                out.append((k, batch, _pack(own.one[x]), _pack(own.two[x]), _pack(ids[own.doc[x]]), _pack(ties[own.doc[x]]), _pack(own.doc[x]), _pack(own.place[x])))
         if len(repeats):
-            out.append((n + batch, batch, b"", b"", b"", _pack(own.doc[repeats]), _pack(own.place[repeats])))
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["part", "batch", "one", "two", "ids", "doc", "place"])
+            out.append((n + batch, batch, b"", b"", b"", b"", _pack(own.doc[repeats]), _pack(own.place[repeats])))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["part", "batch", "one", "two", "ids", "ties", "doc", "place"])
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["part"].iloc[0] >= n:
             return rows[["batch", "doc", "place"]]
-        one, two, ids, doc, place = (np.concatenate([_unpack(b, t) for b in rows[c]]) for c, t in (("one", np.uint64), ("two", np.uint32), ("ids", np.int64), ("doc", np.int32), ("place", np.int32)))
+        one, two, ids, ties, doc, place = (np.concatenate([_unpack(b, t) for b in rows[c]]) for c, t in (("one", np.uint64), ("two", np.uint64), ("ids", np.int64), ("ties", np.int64), ("doc", np.int32), ("place", np.int32)))
         batch = np.repeat(rows["batch"].to_numpy(), [len(b) // 4 for b in rows["doc"]])
-        order = np.lexsort((place, ids, two, one))
+        order = np.lexsort((place, doc, ties, ids, two, one))
         again = np.zeros(len(order), bool)
         again[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
         found = np.sort(order[again])
@@ -176,9 +183,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=["batch", "doc", "place"])
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        table = pa.table({"i": left["doc_id"], "t": left["text"].cast(pa.large_string())}).combine_chunks()
-        table = table.take(pa.compute.sort_indices(table, sort_keys=[("i", "ascending"), ("t", "ascending")]))
-        texts = table["t"].to_pylist()
+        table = _in_order(left)
+        texts = table["text"].to_pylist()
         doc = np.concatenate([np.zeros(0, np.int32), *[_unpack(b, np.int32) for b in right["doc"].to_pylist()]])
         place = np.concatenate([np.zeros(0, np.int32), *[_unpack(b, np.int32) for b in right["place"].to_pylist()]])
         order, at = _by(doc, len(texts))
@@ -198,12 +204,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sha.append(hashlib.sha256(rest).hexdigest())
             if keep_text:
                 kept.append(rest.decode())
-        cols = [table["i"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())] + [pa.array(kept, pa.string())] * keep_text
+        cols = [table["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())] + [pa.array(kept, pa.string())] * keep_text
         return pa.table(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
 
     sketches = dealt.groupBy("batch").applyInArrow(sketch, "part int, batch int, cells binary, twice binary")
     counters = sketches.groupBy("part").applyInPandas(merge, "batch int, part int, cells binary")
-    places = dealt.groupBy("batch").cogroup(counters.groupBy("batch")).applyInArrow(suspects, "part int, batch int, one binary, two binary, ids binary, doc binary, place binary")
+    places = dealt.groupBy("batch").cogroup(counters.groupBy("batch")).applyInArrow(suspects, "part int, batch int, one binary, two binary, ids binary, ties binary, doc binary, place binary")
     repeats = places.groupBy("part").applyInPandas(group, "batch int, doc binary, place binary")
     out = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
     return dealt.groupBy("batch").cogroup(repeats.groupBy("batch")).applyInArrow(cut, out)

@@ -2,7 +2,9 @@
 
 Texts are handled in chunks of about a megabyte, so memory does not follow the batch size; one
 text longer than that is a chunk of its own. Words are runs of bytes that are not ASCII white
-space, which is the same as on code points. Hashes are 64-bit polynomials, well mixed afterwards.
+space, which is the same as on code points. A word's hash joins a polynomial mod 2^64 with one
+modulo a prime, well mixed afterwards: the first alone gives long words of a certain structure
+(Thue-Morse strings) the same value in whatever base.
 """
 
 from __future__ import annotations
@@ -43,7 +45,35 @@ class _Powers:
 
 
 _POWERS = _Powers(_R)
-_WINDOWS = {}
+
+
+class _PrimePowers:
+    """The same modulo a prime below 2^31, so that products of two residues fit 64 bits."""
+
+    def __init__(self, prime: int, base: int):
+        self.prime, self.base = prime, {"up": base, "down": pow(base, -1, prime)}
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        for name, base in self.base.items():
+            x = getattr(self, name)
+            while len(x) < n:
+                x = np.concatenate([x, x * U64(pow(base, len(x), self.prime)) % U64(self.prime)])
+            setattr(self, name, x)
+        return self.up[:n], self.down[:n]
+
+    def values(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Residues of the byte ranges; bytes count from 1."""
+        up, down = self.get(len(data))
+        each = (data.astype(np.uint64) + U64(1)) * up  # below 2^39
+        if len(each) > 1 << 24:
+            each %= U64(self.prime)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
+        return (total[end] - total[start]) % U64(self.prime) * down[start] % U64(self.prime)
+
+
+_PRIME = _PrimePowers((1 << 31) - 1, 1_103_515_245)
+_OTHER_PRIME = _PrimePowers((1 << 31) - 19, 1_812_433_253)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,7 +87,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of the texts first..first+n of a batch: byte range, text and hash of each."""
+    """Words of the texts first..first+n of a batch: byte range, text and hash of each, and a second
+    hash if it was asked for, which no residue of the first decides."""
 
     first: int
     n: int
@@ -66,6 +97,7 @@ class Words:
     end: np.ndarray
     doc: np.ndarray
     hash: np.ndarray
+    second: np.ndarray | None = None
 
     def bounds(self) -> np.ndarray:
         """n + 1 offsets: where each text's words start in the word arrays."""
@@ -84,6 +116,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), o
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, bytes, offsets from 0) of each chunk."""
     data, o = buffers(column)
@@ -95,11 +132,11 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarr
         i = j
 
 
-def words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False, second: bool = False) -> Words:
     n, docs = len(data), len(offsets) - 1
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(first, docs, data, none, none, none, np.zeros(0, np.uint64))
+        return Words(first, docs, data, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     inside = _NOT_SPACE[data]
     begins = offsets[:-1][offsets[:-1] < n]
     head = inside.copy()
@@ -114,7 +151,10 @@ def words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False
     total = np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up, dtype=np.uint64)
     before = np.where(start > 0, total[start - 1], U64(0))
     value = (total[end - 1] - before) * down[start] + (end - start).astype(np.uint64)
-    return Words(first, docs, data, start, end, np.searchsorted(offsets, start, side="right") - 1, mix(value))
+    seen = _LOWER[data] if lower else data
+    residue = _PRIME.values(seen, start, end)
+    more = mix((residue << U64(31)) | _OTHER_PRIME.values(seen, start, end)) if second else None
+    return Words(first, docs, data, start, end, np.searchsorted(offsets, start, side="right") - 1, mix(value + mix(residue)), more)
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, size: int, base: int = _R) -> tuple[np.ndarray, np.ndarray]:

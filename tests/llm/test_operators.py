@@ -42,6 +42,32 @@ def test_word_hashes_tell_words_apart():
     assert len(set(w.hash.tolist())) == len({x for _, x in want})
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_structure_are_told_apart(spark):
+    """Two strings that every polynomial mod 2^64 confuses are neither repeats nor copies."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    around = prose(77, 19).split()
+    texts = [" ".join([*around[:9], x, *around[9:]]) for x in (one, other)] + [f"{x} and" for x in (one, other)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    assert [r["n_removed"] for r in substrings.remove_repeats(docs).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+    assert [r["component_id"] for r in neardup.link_near_duplicates(docs, size=2).orderBy("doc_id").collect()] == brute_groups(texts, 2)
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    shared = prose(78, 60)
+    texts = [(1, shared), (1, prose(79, 60)), (1, None), (1, "  "), (2, shared), (3, prose(79, 60)), (None, shared), (None, shared + " end"), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    first = {r["doc_id"]: r["component_id"] for r in neardup.link_near_duplicates(docs, size=2).collect()}
+    again = {r["doc_id"]: r["component_id"] for r in neardup.link_near_duplicates(docs.repartition(5), size=2).collect()}
+    assert first == again and first[None] is None and first[2] == first[3] == 1
+    gone = sorted((r["doc_id"] or 9, r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(docs, batch_bytes=300).collect())
+    assert gone[4:6] == [(2, 60, 60), (3, 60, 60)] and [g[2] for g in gone[6:]] == [0, 60, 60]
+
+
 def test_powers_grow():
     powers = tokens._Powers(5)
     for n in (3, 1, 10, 4, 11):

@@ -264,10 +264,54 @@ def test_mix_meets_its_targets(spark):
     for r in rows:
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[r["target"]] = taken.get(r["target"], 0) + r["taken"]
-    assert abs(sum(taken) - 1.5 * size) < 1e-6 and all(abs(k - v) <= 1 for k, v in taken.items())
+    assert abs(sum(taken) - 1.5 * size) < 1e-6 and sum(taken.values()) == round(sum(taken))
+    assert all(abs(k - v) <= mixing.PACKET * len(taken) for k, v in taken.items())
     queue = mixing.mix_sequence(docs).collect()
-    assert [r["finish"] for r in queue] == sorted(r["finish"] for r in queue)
-    assert sum(r["take"] for r in queue) == sum(taken.values())
+    assert [r["finish"] for r in queue] == sorted(r["finish"] for r in queue) and len({r["part"] for r in queue}) > 1
+    counted = {}
+    for r in queue:
+        counted[r["doc_id"]] = counted.get(r["doc_id"], 0) + r["take"]
+    assert counted == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
+
+
+def brute_mix(rows, targets, packet):
+    """Packets of all sources, sorted in one list by finish time and cut at the budget."""
+    entries = []
+    for source in {r["source"] for r in rows}:
+        own = sorted((hashlib.md5(f"{r['doc_id']}:mix-1".encode()).hexdigest(), r["doc_id"], len((r["text"] or "").split())) for r in rows if r["source"] == source)
+        done = 0
+        for epoch in range(2):
+            for key, doc, size in own:
+                for k in range(0, size, packet):
+                    n = min(packet, size - k)
+                    done += n
+                    entries.append((done / targets[source], key, epoch, k, doc, n))
+    left, taken = round(sum(targets.values())), {}
+    for _, _, _, _, doc, n in sorted(entries):
+        taken[doc] = taken.get(doc, 0) + min(n, left)
+        left -= min(n, left)
+    return taken
+
+
+@pytest.mark.parametrize("packet", [7, 64, 10_000])
+def test_mix_against_one_sorted_list(spark, packet):
+    docs = spark.createDataFrame(rows_of([prose(500 + i, 1 + i * 7 % 90) for i in range(120)]), SCHEMA)
+    rows = docs.collect()
+    size = {}
+    for r in rows:
+        size[r["source"]] = size.get(r["source"], 0) + len(r["text"].split())
+    sizes = spark.createDataFrame(list(size.items()), "source string, source_size long")
+    goal = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    want = brute_mix(rows, goal, packet)
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs, packet=packet).collect()}
+    assert got == {r["doc_id"]: want.get(r["doc_id"], 0) for r in rows}
+
+
+def test_mix_of_rows_without_ids(spark):
+    data = [(None, prose(900 + i % 9, 50), "a" if i % 2 else None) for i in range(40)] + [(7, prose(910, 50), "a")] * 3
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    first, again = (sorted(map(str, mixing.mix_sources(d).collect())) for d in (docs, docs.repartition(9)))
+    assert first == again and len(first) == 43
 
 
 def test_targets_by_water_filling(spark):

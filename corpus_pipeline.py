@@ -25,8 +25,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of near copies."""
-    gone = neardup.link_near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_tessella_id"))
+    """One document, of the smallest id, of each group of near copies, by the parameters of the
+    operator's query: shingles of two words, a similarity of 0.8."""
+    gone = neardup.link_near_duplicates(docs, size=2).filter(~F.col("kept")).select(F.col("doc_id").alias("_tessella_id"))
     return docs.join(gone, docs["doc_id"] == gone["_tessella_id"], "left_anti")
 
 
@@ -37,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of the documents that the mix takes."""
-    return mixing.mix_sources(docs).drop("first_finish").filter("taken > 0")
+    return mixing.mix_sources(docs).filter("taken > 0")
 
 
 STAGES = [

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.session import small_arrow_batches
@@ -22,6 +22,8 @@ from tessella.session import small_arrow_batches
 #: At most so many labelled documents of each class are fitted to, in chains of at most so many
 #: lines: longer documents of the sample make several chains.
 SAMPLE, CHAIN = 1000, 64
+#: Most bytes of a class's texts in a sample: those that fit come first in the sample's order.
+SAMPLE_BYTES = 32 << 20
 #: Documents of a step, and lines that run together.
 STEP, PADDED = 256, 4096
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -210,17 +212,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, st
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, size: int) -> tuple[list, np.ndarray]:
-    """Rows (id, text, label), at most size of each class, from labelled training rows in the order
-    of a hash of their ids, and a weight of each that restores the classes' shares of all
-    training labels. Ids are drawn before texts are read; the ids joined are at most 2 * size."""
+    """Rows (id, text, label), at most size and SAMPLE_BYTES of each class, from labelled training rows
+    in the order of a hash of their ids, and a weight of each that restores the classes' shares of
+    all training labels. Ids are drawn before texts are read; the ids joined are at most 2 * size.
+    Of an id with several texts all may come."""
     usable = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("sample_id"), F.col(label).cast("int").alias("y"))
     drawn = None
     for y in (0, 1):
         part = usable.filter(F.col("y") == y).orderBy(F.xxhash64("sample_id"), "sample_id").limit(size)
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("sample_text"))
-    rows = texts.join(F.broadcast(drawn), "sample_id").select("sample_id", "sample_text", "y").collect()
-    rows = sorted((r["sample_id"], r["sample_text"], r["y"]) for r in rows if r["sample_text"] is not None)
+    met = texts.join(F.broadcast(drawn), "sample_id").filter(F.col("sample_text").isNotNull())
+    before = Window.partitionBy("y").orderBy(F.xxhash64("sample_id"), "sample_id", "sample_text").rowsBetween(Window.unboundedPreceding, -1)
+    fits = met.withColumn("before", F.coalesce(F.sum(F.octet_length("sample_text")).over(before), F.lit(0))).filter(F.col("before") + F.octet_length("sample_text") <= SAMPLE_BYTES)
+    rows = sorted((r["sample_id"], r["sample_text"], r["y"]) for r in fits.select("sample_id", "sample_text", "y").collect())
     share = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     weight = {y: n / max(1, sum(r[2] == y for r in rows)) for y, n in share.items()}
     scale = len(rows) / max(1e-9, sum(weight[r[2]] for r in rows))
@@ -242,7 +247,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     bad_lines are the numbers of lines with P(bad) over one half. Only text enters a score.
     Null and empty texts are one empty line and get its score. Repeated rows and null ids stay;
     a null id is not held out. An empty table gives none. Without labels of both kinds every
-    score is 0.5. Very long texts are read whole.
+    score is 0.5. Very long texts are read whole. Other columns are not read, whatever their names.
     """
     small_arrow_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col, label, sample)

@@ -9,7 +9,7 @@ modulo a prime, well mixed afterwards: the first alone gives long words of a cer
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,6 +132,14 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarr
         i = j
 
 
+def ranges(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from byte ranges (start, end) to their hashes, which are still to be mixed."""
+    up, down = _POWERS.get(len(data))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up, dtype=np.uint64)])
+    padded = np.append(down, U64(0))
+    return lambda start, end: (total[end] - total[start]) * padded[start] + (end - start).astype(np.uint64)
+
+
 def words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False, second: bool = False) -> Words:
     n, docs = len(data), len(offsets) - 1
     if not n:

@@ -2,10 +2,14 @@
 
 A block of vectors is projected on random lines, and each line's values make a sorted array. A
 query's window on every line is centred on its own projection and grows by a factor from round
-to round; only what a window gains is counted. A vector that lies in at least half of the windows
-is verified by its exact distance. Rounds end when a vector as far as the k-th best would have
-been verified by now with the wanted probability, so the windows follow the data and no cap
-drops a candidate.
+to round; only what a window gains is counted. A vector that lies in more of the windows than a
+threshold is verified by its exact distance. Rounds end when a vector as far as the k-th best
+would have been verified by now with the wanted probability: the last round grows the windows to
+that width and no further. So windows follow the data and no cap drops a candidate.
+
+Windows are wide and the threshold high: a vector at distance 1 is in a window of half width w
+with probability p = 2 F(w) - 1, F the normal distribution. The counts of two distances of a given
+ratio are furthest apart, in their deviations, where w is about 1.5 (p = 0.87).
 """
 
 from __future__ import annotations
@@ -17,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines; chance that a true neighbour is verified; growth of windows; rows of a block.
-LINES, CHANCE, GROWTH, BLOCK, QUERY_BLOCK = 96, 0.95, 1.3, 8192, 1024
+#: Lines; chance that a true neighbour is verified; growth of windows; rows of a block. A vector is
+#: sent once for each block of queries, so those are large.
+LINES, CHANCE, GROWTH, BLOCK, QUERY_BLOCK = 256, 0.95, 1.08, 8192, 16384
+#: Half a window, in distances, at which a vector is to be verified.
+WIDE = 1.5
 
 
 def _normal_quantile(p: float) -> float:
@@ -38,58 +45,61 @@ class CollisionIndex:
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], lines))
         projected = self.vectors @ self.directions
         by_line = np.argsort(projected, axis=0, kind="stable")
-        self.values = np.ascontiguousarray(np.take_along_axis(projected, by_line, 0).T)
+        values = np.take_along_axis(projected, by_line, 0).T
+        self.spread = float((values[:, -1] - values[:, 0]).max()) if len(ids) else 0.0
+        # all lines in one rising array, far enough apart for any query's window
+        self.apart = 8 * max(float(np.abs(projected).max(initial=0.0)), 1.0)
+        self.values = np.ascontiguousarray(values + np.arange(lines)[:, None] * self.apart).ravel()
         self.order = np.ascontiguousarray(by_line.T.astype(np.int32)).ravel()
-        self.needed = lines // 2
-        share = 0.5 + _normal_quantile(chance) * math.sqrt(0.25 / lines)
-        self.reach = _normal_quantile(0.5 + min(0.9995, share) / 2)  # half window of a vector at distance 1
-
-    def _ranges(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Numbers of the vectors at sorted places low..high of each line."""
-        n = len(self.ids)
-        size = high - low
-        total = int(size.sum())
-        if not total:
-            return np.zeros(0, np.int32)
-        begin = low + np.arange(self.m) * n
-        step = np.ones(total, np.int64)
-        on = np.flatnonzero(size)
-        at = np.cumsum(size[on]) - size[on]
-        step[at[0]] = begin[on[0]]
-        step[at[1:]] = begin[on[1:]] - (begin[on[:-1]] + size[on[:-1]] - 1)
-        return self.order[np.cumsum(step)]
+        share = math.erf(WIDE / math.sqrt(2))
+        self.needed = math.floor(lines * share - _normal_quantile(chance) * math.sqrt(lines * share * (1 - share)))
+        self.verified = 0
+
+    def _window(self, line: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where the window of each line begins and ends among the sorted values."""
+        n, lines = len(self.ids), np.arange(self.m)
+        reach = np.minimum(half, self.apart / 2)
+        middle = np.clip(line, -self.apart / 4, self.apart / 4) + lines * self.apart
+        low, high = np.searchsorted(self.values, middle - reach, "left"), np.searchsorted(self.values, middle + reach, "right")
+        return np.clip(low, lines * n, (lines + 1) * n), np.clip(high, lines * n, (lines + 1) * n)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, growth: float = GROWTH) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, distances) of the nearest k found for each query; own: the queries' ids."""
         n = len(self.ids)
         projected = queries @ self.directions
-        spread = float((self.values[:, -1] - self.values[:, 0]).max()) or 1.0
+        least = float(np.finfo(float).tiny)
         out = []
         for q, line, me in zip(queries, projected, own):
             count = np.zeros(n, np.int64)
             seen = self.ids == me
             best_id, best = np.zeros(0, np.int64), np.zeros(0)
-            half = spread / 16
+            half = max(self.spread / 64, least)
             low = high = None
             while True:
-                new_low = np.array([np.searchsorted(v, x - half, "left") for v, x in zip(self.values, line)])
-                new_high = np.array([np.searchsorted(v, x + half, "right") for v, x in zip(self.values, line)])
+                new_low, new_high = self._window(line, half)
                 if low is None:
-                    count += np.bincount(self._ranges(new_low, new_high), minlength=n)
+                    gained = [self.order[i:j] for i, j in zip(new_low.tolist(), new_high.tolist())]
                 else:
-                    count += np.bincount(self._ranges(new_low, low), minlength=n) + np.bincount(self._ranges(high, new_high), minlength=n)
+                    gained = [self.order[i:j] for i, j in zip([*new_low.tolist(), *high.tolist()], [*low.tolist(), *new_high.tolist()]) if i < j]
                 low, high = new_low, new_high
+                if gained:
+                    count += np.bincount(np.concatenate(gained), minlength=n)
                 fresh = np.flatnonzero((count >= self.needed) & ~seen)
                 if len(fresh):
                     seen[fresh] = True
+                    self.verified += len(fresh)
                     gap = self.vectors[fresh] - q
                     d = np.sqrt((gap * gap).sum(1))
                     ids, d = np.concatenate([best_id, self.ids[fresh]]), np.concatenate([best, d])
                     pick = np.lexsort((ids, d))[:k]
                     best_id, best = ids[pick], d[pick]
-                if seen.all() or len(best) == k and half >= self.reach * best[-1]:
+                if seen.all() or len(best) == k and half >= WIDE * best[-1]:
                     break
-                half *= growth
+                # far from the threshold, large steps lose nothing
+                most = int(count[~seen].max())
+                half *= 2.0 if most < self.needed / 4 else 1.3 if most < self.needed / 2 and not len(best) else growth
+                if len(best) == k:
+                    half = max(least, min(half, WIDE * best[-1]))
             out.append((best_id, best))
         return out
 
@@ -111,8 +121,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Rows that usable() leaves out take no part, on either side. A query meets every row but those
     of its own id. Equal vectors are told apart by id. If there are fewer candidates, all are
-    returned. An empty table gives no rows. Vectors are dealt into blocks by a hash of their ids
-    and each block of queries meets each block of vectors, so a task holds one of either.
+    returned. An empty table gives no rows. Other columns are not read, whatever their names.
+    Vectors are dealt into blocks by a hash of their ids and each block of queries meets each block
+    of vectors, so a task holds one of either; a block of vectors keeps the k nearest of its own.
     """
     rows = usable(vectors, id_col, vector_col)
     queries = rows.filter(F.col("vec_id") % every == 0)

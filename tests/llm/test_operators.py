@@ -5,10 +5,12 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +34,6 @@ def test_sql(spark, name):
 
 
 def test_word_hashes_tell_words_apart():
-    import pyarrow as pa
-
     texts = [prose(5, 200), "", None, "A b  a\tB", "é e"]
     (first, data, offsets), = tokens.chunks(pa.array(texts))
     w = tokens.words(first, data, offsets, lower=True)
@@ -181,6 +181,12 @@ def test_licenses_places(spark):
     assert got[2]["labels"] == "gpl,gpl-3.0" and got[4]["labels"] == "mit" and got[4]["score"] == 1.0
 
 
+def test_licenses_lower_case_ascii_only(spark):
+    texts = ["ALL RIGHTS RE\u212aSERVED", "\u0130 all rights reserved", "SPDX-License-Identifier: Apache-2.0", "this x y all rights reserved " * 40_000]
+    got = [(r["n_words"], r["n_base"], r["labels"]) for r in licenses.scan_licenses(spark.createDataFrame(rows_of(texts), SCHEMA)).orderBy("doc_id").collect()]
+    assert got == [(3, 0, ""), (4, 1, "reserved"), (6, 0, "spdx:apache-2.0"), (240_000, 40_000, "reserved")]
+
+
 def test_patience():
     assert lines.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     rng = random.Random(4)
@@ -255,6 +261,20 @@ def test_neighbours_recall(spark):
     assert hits / 600 >= 0.9
 
 
+def test_neighbours_verifies_few():
+    """Random directions, the hardest case: under a tenth of the vectors is verified at a recall over 0.9."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((8192, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = neighbours.CollisionIndex(x, np.arange(8192))
+    hits = 0
+    for q, (ids, _) in enumerate(index.search(x[:20], np.arange(20), 10)):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = math.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(ids.tolist()))
+    assert hits >= 180 and index.verified < 0.1 * 20 * 8192
+
+
 def test_mix_meets_its_targets(spark):
     docs = spark.createDataFrame(rows_of([prose(i, 20 + i % 50) for i in range(300)]), SCHEMA)
     rows = mixing.mix_sources(docs).collect()
@@ -347,22 +367,68 @@ def test_held_out(spark, label, score, least):
     assert sum(p == y for p, y in judged if y == 0) >= 0.8 * sum(y == 0 for _, y in judged)
 
 
+def brute_terms(text):
+    words = Counter(re.findall(r"[^\W\d_]{2,}", (text or "").lower()))
+    out = Counter({("word", w): n for w, n in words.items()})
+    for k in toxicity.STEMS:
+        kinds = Counter(w[:k] for w in words if len(w) > k)
+        out += Counter({("stem", s): sum(n for w, n in words.items() if len(w) > k and w[:k] == s) for s in kinds})
+        out += Counter({("kinds", least, s): 1 for s, n in kinds.items() for least in (2, 3, 4) if n >= least})
+    return out
+
+
+def own_terms(texts):
+    return [(t, c) for chunk in toxicity.terms(pa.array(texts, pa.string())) for _, t, c in toxicity._split(*chunk)]
+
+
+def test_terms_of_texts():
+    texts = ["Hello hello wörld x ab abcdefg abcdefh abcde", "", None, "ÉtÉ été abcdxx", "a b", "zz", "x" * 3_000_000 + " end", prose(3, 400)]
+    assert [sorted(c.tolist()) for _, c in own_terms(texts)] == [sorted(brute_terms(t).values()) for t in texts]
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(8)
-    words = [f"term{chr(97 + i)}" for i in range(12)]
-    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 15))) for _ in range(150)]
-    y = np.array([int("terma" in t or "termb" in t) for t in texts])
-    index = toxicity.Examples(texts, y, list(range(150)), chi=-1.0, block=8)
-    rows = {i: index.vector(toxicity.term_counts(texts[i])) for i in range(150)}
-    dense = np.zeros((150, len(index.terms)))
-    for place, i in enumerate(index.ids):
-        dense[place, rows[i][0]] = rows[i][1]
-    for i in range(0, 150, 7):
-        q = np.zeros(len(index.terms))
-        q[rows[i][0]] = rows[i][1]
-        want = sorted(((-s, k) for k, s in enumerate(dense @ q) if s > 0))[: index.nearest]
-        got = index.search(*rows[i])
-        assert np.allclose([s for s, _ in got], [-s for s, _ in want])
+    words = [f"term{chr(97 + i)}" for i in range(12)] + [f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    texts = [" ".join(rng.choices(words[:12], k=rng.randrange(1, 15)) + rng.choices(words[12:], k=3)) for _ in range(300)] + ["", None]
+    y = np.array([int("terma" in (t or "") or "termb" in (t or "")) for t in texts])
+    index = toxicity.Examples(own_terms(texts), y, list(range(302)), block=8).weigh()
+    counts = [brute_terms(t) for t in texts]
+    df = Counter(t for c in counts for t in c)
+    assert len(df) == len(index.terms)
+    both = Counter(t for c, label in zip(counts, y) if label for t in c)
+    n, pos = len(texts), int(y.sum())
+    weight = {}
+    for t, h in df.items():
+        chi = (both[t] * n - h * pos) ** 2 * n / (h * (n - h) * pos * (n - pos)) if h < n else 0.0
+        weight[t] = (1 + math.log((1 + n) / (1 + h))) * (chi + 1) / (chi + 1 + toxicity.DOUBT)
+    unit = []
+    for c in counts:
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        unit.append({t: x / size for t, x in v.items()})
+    vectors = [index.vector(*row) for row in own_terms(texts)]
+    for i, (vote, (near, cosine)) in enumerate(index.votes(vectors)):
+        want = sorted((sum(x * other.get(t, 0.0) for t, x in unit[i].items()) for other in unit), reverse=True)[: index.nearest]
+        want = [x for x in want if x > 0]
+        assert np.allclose(cosine, want, atol=1e-5) and all(abs(sum(x * unit[index.ids[k]].get(t, 0.0) for t, x in unit[i].items()) - s) < 1e-5 for k, s in zip(near, cosine))
+    assert index.scored < index.met
+
+
+def test_frequencies_of_all_documents(spark):
+    texts = [prose(i, 30) for i in range(40)] + [None, ""]
+    own = np.unique(np.concatenate([t for t, _ in own_terms(texts[:5])]))
+    df, rows = toxicity.frequencies(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3), "text", own)
+    have = [set(t.tolist()) for t, _ in own_terms(texts)]
+    assert rows == 42 and df.tolist() == [sum(t in h for h in have) for t in own.tolist()]
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame(rows_of([prose(i, 30) for i in range(50)]), SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    every, _ = quality.labelled_sample(docs, labels, "toxic", "doc_id", "text", 1000)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1500)
+    some, weight = quality.labelled_sample(docs, labels, "toxic", "doc_id", "text", 1000)
+    assert set(some) < set(every) and all(0 < sum(len(t) for _, t, y in some if y == k) <= 1500 for k in (0, 1)) and len(weight) == len(some)
 
 
 def test_forward_backward_against_enumeration():

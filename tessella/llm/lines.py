@@ -16,8 +16,10 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.session import materialize, small_arrow_batches
@@ -159,32 +161,53 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.explode("gone").alias("pos")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
 
 
+def _marks(deleted: pd.Series) -> pd.Series:
+    """Of each list of line numbers, whether each line up to the last of them is in it."""
+    out = []
+    for numbers in deleted:
+        mark = np.zeros(max(numbers) + 1, bool)
+        mark[numbers] = True
+        out.append(mark.tolist())
+    return pd.Series(out, dtype=object)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, Column, Column, Column]:
+    """docs with what each row loses; and its lines, those of them that stay joined again, and how
+    many it loses (null: none)."""
+    own, mark, lost = (_unused(docs, f"_tessella_{x}") for x in ("id", "mark", "lost"))
+    gone = duplicate_lines(docs, id_col, text_col, **options)
+    found = gone.select(F.col("doc_id").alias(own), F.pandas_udf(_marks, "array<boolean>")("deleted").alias(mark), F.size("deleted").cast("long").alias(lost))
+    lines = F.split(F.coalesce(docs[text_col], F.lit("")), "\n")
+    left = F.transform(lines, lambda x, i: F.when(F.coalesce(F.get(F.col(mark), i), F.lit(False)), F.lit(None)).otherwise(x))
+    return docs.join(found, docs[id_col] == found[own], "left"), lines, F.array_join(left, "\n"), F.col(lost)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, chars_col: str | None = None, **options) -> DataFrame:
     """The rows of docs, all columns, with the duplicate lines deleted from their texts.
 
-    Documents that lose nothing are unchanged; a null text stays null. A document that loses all
-    its lines keeps its row, with an empty text, or goes if drop_emptied is set. chars_col names
-    a column that holds the length of the text, to be kept right. An empty table stays empty.
+    Documents that lose nothing are unchanged; a null text stays null, a null id keeps its text. A
+    document that loses all its lines keeps its row, with an empty text, or goes if drop_emptied is
+    set. chars_col names a column that holds the length of the text, to be kept right. An empty
+    table stays empty. Other columns may have any names. Texts are read whole, however long.
     """
-    gone = duplicate_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_tessella_id"), F.col("deleted").alias("_tessella_deleted"))
-    joined = docs.join(gone, docs[id_col] == gone["_tessella_id"], "left")
-    lost = F.col("_tessella_deleted").isNotNull()
-    left = F.transform(F.split(docs[text_col], "\n"), lambda x, i: F.when(F.array_contains("_tessella_deleted", i), F.lit(None)).otherwise(x))
-    changed = {text_col: F.when(lost, F.array_join(left, "\n")).otherwise(docs[text_col])}
+    joined, lines, kept, lost = _marked(docs, id_col, text_col, **options)
+    changed = {text_col: F.when(lost.isNotNull(), kept).otherwise(docs[text_col])}
     if drop_emptied:
-        joined = joined.filter(~lost | (F.size("_tessella_deleted") < F.size(F.split(docs[text_col], "\n"))))
+        joined = joined.filter(lost.isNull() | (lost < F.size(lines)))
     if chars_col in docs.columns:
-        own = docs[chars_col]
-        changed[chars_col] = F.when(lost, F.length(F.array_join(left, "\n")).cast(docs.schema[chars_col].dataType)).otherwise(own)
+        changed[chars_col] = F.when(lost.isNotNull(), F.length(kept).cast(docs.schema[chars_col].dataType)).otherwise(docs[chars_col])
     return joined.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """A row per row of docs: doc_id, n_lines, n_deleted, kept_md5 (md5 of the text that stays; a
-    null text counts as empty, with one line)."""
-    gone = duplicate_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_tessella_id"), F.col("deleted").alias("_tessella_deleted"))
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    left = F.transform(parts, lambda x, i: F.when(F.array_contains("_tessella_deleted", i), F.lit(None)).otherwise(x))
-    kept = F.when(F.col("_tessella_deleted").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(left, "\n"))
-    joined = docs.join(gone, docs[id_col] == gone["_tessella_id"], "left")
-    return joined.select(docs[id_col].alias("doc_id"), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("_tessella_deleted"), F.lit(0)).cast("long").alias("n_deleted"), F.md5(kept).alias("kept_md5"))
+    null text counts as empty, with one line). What dedup_lines says of odd rows holds here too."""
+    joined, lines, kept, lost = _marked(docs, id_col, text_col, **options)
+    text = F.when(lost.isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(kept)
+    return joined.select(docs[id_col].alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(lost, F.lit(0)).cast("long").alias("n_deleted"), F.md5(text).alias("kept_md5"))

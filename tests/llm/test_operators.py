@@ -212,6 +212,37 @@ def test_line_dedup_against_brute_force(spark):
     assert lines.dedup_lines(docs, drop_emptied=True).filter("doc_id = 2").count() == 0
 
 
+def test_line_dedup_against_all_pairs(spark):
+    """Every document against every earlier one: the links through shared lines lose no block."""
+    rng = random.Random(17)
+    pool = [" ".join(rng.choices(prose(50, 400).split(), k=rng.choice((1, 3, 9, 12)))) for _ in range(60)] + [""] * 6
+    texts = []
+    for _ in range(70):
+        own = [rng.choice(pool) for _ in range(rng.randrange(1, 6))] + [prose(rng.randrange(10**6), 9).replace("\n", " ") for _ in range(rng.randrange(4))]
+        cut = rng.randrange(len(pool))
+        texts.append("\n".join(own + pool[cut : cut + rng.randrange(6)]))
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r["doc_id"]: r["deleted"] for r in lines.duplicate_lines(docs).collect()}
+    seqs = [[lines._hash(x.strip(" ").encode()) for x in t.split("\n")] for t in texts]
+    counts = [[x.strip(" ") != "" for x in t.split("\n")] for t in texts]
+    long_ = [[x.strip(" ").count(" ") + 1 >= lines.ANCHOR_WORDS for x in t.split("\n")] for t in texts]
+    lost = total = 0
+    for d in range(len(texts)):
+        want = {i for e in range(d) for i in lines.blocks_to_delete(seqs[d], seqs[e], counts[d], long_[d]) if counts[d][i]}
+        lost, total = lost + len(want - set(got.get(d, []))), total + len(want)
+    assert total > 100 and lost == 0
+
+
+def test_line_dedup_of_long_texts_and_odd_names(spark):
+    text = "\n".join(f"line number {i} of a very long text that many hold" for i in range(30_000))
+    data = [(0, text, "a"), (1, text + "\nthe end", "b"), (None, text, "c")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _tessella_id string").withColumn("_tessella_mark", F.lit(1)).withColumn("_tessella_lost", F.lit(2))
+    got = lines.dedup_lines(docs)
+    assert got.columns == docs.columns
+    rows = {r["_tessella_id"]: r["text"] for r in got.collect()}
+    assert rows == {"a": text, "b": "the end", "c": text}
+
+
 def test_line_dedup_of_frequent_lines(spark):
     line, pair, other = prose(30, 12), prose(31, 24).split("\n"), prose(32, 12)
     texts = [prose(5000 + i, 24) + "\n" + line for i in range(130)]  # far more documents than 100, and the line stands alone in each

@@ -62,11 +62,13 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
 
 def join_islands(points: DataFrame, edges: DataFrame, by: str) -> DataFrame:
     """by, a, b: edges that join the islands of each group's graph: the last island, by its least
-    node, is linked with the nearest node of another until one is left. Groups are one floor each.
+    node, is linked with the nearest node of another until one is left; of equally near pairs, that
+    of the least ids. Groups are one floor each. The rows' order is of no account.
     points: by, id, x, y. edges: by, a, b."""
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
 
     def link(key: tuple, p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        p, e = p.sort_values("id"), e.sort_values(["a", "b"])
         ids, xy = p["id"].tolist(), p[["x", "y"]].to_numpy(float)
         at = {v: i for i, v in enumerate(ids)}
         comp = list(range(len(ids)))
@@ -91,7 +93,7 @@ def join_islands(points: DataFrame, edges: DataFrame, by: str) -> DataFrame:
             unite(i, j)
         return pd.DataFrame(out, columns=[by, "a", "b"])
 
-    return points.orderBy("id").groupBy(by).cogroup(edges.groupBy(by)).applyInPandas(link, f"{by} {kinds[by]}, a {kinds['id']}, b {kinds['id']}")
+    return points.groupBy(by).cogroup(edges.groupBy(by)).applyInPandas(link, f"{by} {kinds[by]}, a {kinds['id']}, b {kinds['id']}")
 
 
 def hash_bits(vector: Column) -> Column:

@@ -105,41 +105,96 @@ def grid_components(cells: DataFrame, by: str, fill: float = 0.72) -> DataFrame:
     return cells.groupBy(by).applyInPandas(parts, f"{by} {kinds[by]}, part int, n int, x0 long, y0 long, x1 long, y1 long, kind string")
 
 
-def up_direction(points: DataFrame, by: str, tries: int = 48, seed: int = 7, sample: int = 20_000) -> DataFrame:
+def up_direction(points: DataFrame, by: str, prior: tuple[float, float, float] | None = None, tries: int = 48, seed: int = 7, sample: int = 20_000) -> DataFrame:
     """by, ux, uy, uz, score: the normal along which most points lie in two thin layers, of random
-    triplets' normals and the axes. Points over `sample` are thinned evenly, which is the method's
-    own bound on a room's cloud. points: by, point_id, x, y, z."""
+    triplets' normals and the axes. A prior is tried too, and weighs down what lies far from it: an
+    orthogonal direction counts 0.45 of its score. A room of under 50 points gets the z axis and
+    score 0. Rooms of more than `sample` points are scored on so many, drawn at random by a fixed
+    seed: the method's own bound. points: by, point_id, x, y, z."""
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         xyz = rows.sort_values("point_id")[["x", "y", "z"]].to_numpy(float)
-        xyz = xyz[:: max(1, len(xyz) // sample)]
+        columns, room = [by, "ux", "uy", "uz", "score"], rows[by].iloc[0]
+        if len(xyz) < FEWEST:
+            return pd.DataFrame([(room, 0.0, 0.0, 1.0, 0.0)], columns=columns)
         rng = np.random.default_rng(seed)
-        normals = [np.eye(3)[k] for k in (2, 1, 0)]
-        for _ in range(tries if len(xyz) >= 3 else 0):
-            a, b, c = xyz[rng.choice(len(xyz), 3, replace=False)]
-            n = np.cross(b - a, c - a)
-            if (size := np.linalg.norm(n)) > 1e-9:
-                normals.append(n / size)
-        best = max((layer_score(xyz @ n), -i) for i, n in enumerate(normals))
-        n = normals[-best[1]]
-        n = n if n[2] >= 0 else -n
-        return pd.DataFrame([(rows[by].iloc[0], *n, best[0])], columns=[by, "ux", "uy", "uz", "score"])
+        corners = xyz[np.array([rng.choice(len(xyz), 3, replace=False) for _ in range(tries)])]
+        normals = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+        normals = np.concatenate([np.eye(3)[::-1], normals, *([[prior]] if prior else [])])
+        size = np.linalg.norm(normals, axis=1)
+        normals = normals[size > 1e-9] / size[size > 1e-9, None]
+        seen = xyz if len(xyz) <= sample else xyz[np.sort(rng.choice(len(xyz), sample, replace=False))]
+        score = np.array([layer_score(seen @ n) for n in normals])
+        if prior:
+            score *= PRIOR_FLOOR + (1 - PRIOR_FLOOR) * np.abs(normals @ np.array(prior)) / np.linalg.norm(prior)
+        best = int(score.argmax())
+        n = normals[best] * (1 if normals[best][2] >= 0 else -1)
+        return pd.DataFrame([(room, *n, score[best])], columns=columns)
 
     return points.groupBy(by).applyInPandas(search, f"{by} {kinds[by]}, ux double, uy double, uz double, score double")
 
 
-def layer_score(height: np.ndarray, bins: int = 60, apart: int = 8) -> float:
-    """Share of points in the two fullest smoothed bins that are apart, between the 1st and 99th
-    percentile."""
-    lo, hi = np.percentile(height, [1, 99]) if len(height) else (0.0, 0.0)
-    if hi - lo < 1e-9:
+#: Points that a room needs, what a direction across the prior keeps of its score,
+#: bins of a height histogram, thickness and least extent in metres.
+FEWEST, PRIOR_FLOOR, BINS, THICK, EXTENT = 50, 0.45, 120, 0.08, 0.4
+
+
+def layer_score(height: np.ndarray) -> float:
+    """Share of the points between the 1st and 99th percentile that lie in the two fullest layers.
+    A layer is a bin with its neighbours within THICK; the second is more than four times that
+    away. Clouds that are flatter than EXTENT have none."""
+    low, high = np.percentile(height, [1, 99]) if len(height) else (0.0, 0.0)
+    if high - low < EXTENT:
         return 0.0
-    n, _ = np.histogram(height, bins, (lo, hi))
-    s = np.convolve(n, np.ones(3), "same")
-    first = int(s.argmax())
-    far = np.where(np.abs(np.arange(bins) - first) >= apart, s, 0)
-    return float((s[first] + far.max()) / max(1, len(height)))
+    count, _ = np.histogram(height, BINS, (low, high))
+    reach = max(1, round(THICK * BINS / (high - low)))
+    total = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(BINS)
+    layer = total[np.minimum(at + reach + 1, BINS)] - total[np.maximum(at - reach, 0)]
+    first = int(layer.argmax())
+    other = layer[np.abs(at - first) > 4 * reach]
+    return float(layer[first] + (other.max() if len(other) else 0)) / max(1, int(count.sum()))
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
+def _hull(xy: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points in the plane."""
+    xy = np.unique(xy, axis=0)
+    if len(xy) < 3:
+        return xy
+    halves = []
+    for points in (xy, xy[::-1]):
+        half: list[np.ndarray] = []
+        for p in points:
+            while len(half) > 1 and _turn(half[-2], half[-1], p) <= 0:
+                half.pop()
+            half.append(p)
+        halves += half[:-1]
+    return np.array(halves)
+
+
+def widest_pair(points: DataFrame, by: str, id_col: str, parts: int = 64) -> DataFrame:
+    """by, widest: the largest distance between two points of each group. points: by, an id, x, y.
+    Both lie on the hull, so hulls of parts of a group are taken first, and then that of their
+    corners; only its corners meet."""
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+
+    def corners(rows: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_hull(rows[["x", "y"]].to_numpy(float)), columns=["x", "y"])
+        return out.assign(**{by: rows[by].iloc[0]})[[by, "x", "y"]]
+
+    def widest(rows: pd.DataFrame) -> pd.DataFrame:
+        hull = _hull(rows[["x", "y"]].to_numpy(float))
+        far = max(float(np.hypot(*(hull - p).T).max()) for p in hull)
+        return pd.DataFrame([(rows[by].iloc[0], far)], columns=[by, "widest"])
+
+    dealt = points.filter("x is not null and y is not null").withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(parts)))
+    outer = dealt.groupBy(by, "_part").applyInPandas(corners, f"{by} {kinds[by]}, x double, y double")
+    return outer.groupBy(by).applyInPandas(widest, f"{by} {kinds[by]}, widest double")
 
 
 def clip_reasons(points: DataFrame, by: str, low_conf: float = 0.1, radial: float = 0.98, most: float = 6.0, margin: float = 0.35) -> DataFrame:
@@ -167,10 +222,10 @@ def footprint(points: DataFrame, by: str, step: int = 1) -> DataFrame:
     return best.select(by, F.col("b.angle").cast("long").alias("angle"), "b.width", "b.depth")
 
 
-def wall_inliers(points: DataFrame, walls: DataFrame, by: str, near: float = 0.12, band: float = 0.5) -> DataFrame:
-    """by, wall_id, n, inlier_fraction: of the points within a band of each wall's line, the share
-    close to it. walls: by, wall_id, nx, ny, offset; a room has few."""
-    met = points.join(walls, by).withColumn("dist", F.abs(F.col("x") * F.col("nx") + F.col("y") * F.col("ny") - F.col("offset"))).filter(F.col("dist") <= band)
+def wall_inliers(points: DataFrame, walls: DataFrame, by: str, near: float = 0.12) -> DataFrame:
+    """by, wall_id, n, inlier_fraction: of all points of a room, the share close to each wall's line.
+    walls: by, wall_id, nx, ny, offset; a room has few. Points are counted within a task first."""
+    met = points.join(walls, by).withColumn("dist", F.abs(F.col("x") * F.col("nx") + F.col("y") * F.col("ny") - F.col("offset")))
     return met.groupBy(by, "wall_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("dist") < near).cast("double")).alias("inlier_fraction"))
 
 

@@ -21,11 +21,20 @@ def coverage(rows: DataFrame, by: str, has: Column, amount: Column) -> DataFrame
     return grouped.withColumn("property_rate", rate(F.col("with_property"), F.col("seen")))
 
 
-def latency_report(rows: DataFrame, by: str, seconds: str, small: int = 20) -> DataFrame:
-    """Per stage: n, p50, p95 (nearest rank), max, mean; a caveat where n is small."""
-    grouped = rows.groupBy(by).agg(F.count(seconds).alias("n"), F.max(seconds).alias("max_s"), F.avg(seconds).alias("mean_s"))
-    ranks = quantiles(rows, [by], seconds, {"p50": 0.5, "p95": 0.95}, nearest=True)
-    return grouped.join(ranks, by, "left").select(by, "n", "p50", "p95", "max_s", "mean_s", (F.col("n") < small).alias("few"))
+def latency_report(stages: DataFrame, runs: DataFrame, stage: str, seconds: str, status: str, total: str, full: str, small: int = 20) -> DataFrame:
+    """stage, n, p50, p95 (nearest rank), max_s, mean_s, few: of each stage over what ran or came from
+    the cache; and of the whole run, as end_to_end_full over runs from the first stage on (full)
+    and end_to_end_all over all of them. few marks figures of under `small` values.
+
+    stages: a row per run and stage, with stage, seconds, status. runs: a row per run, with its
+    total seconds and whether it was full. Null seconds are not counted.
+    """
+    timed = stages.filter(F.col(status).isin("ok", "cached")).select(F.col(stage).alias("stage"), F.col(seconds).cast("double").alias("s"))
+    whole = runs.select(F.explode(F.array_compact(F.array(F.lit("end_to_end_all"), F.when(F.col(full), "end_to_end_full")))).alias("stage"), F.col(total).cast("double").alias("s"))
+    rows = timed.unionByName(whole)
+    grouped = rows.groupBy("stage").agg(F.count("s").alias("n"), F.max("s").alias("max_s"), F.avg("s").alias("mean_s"))
+    ranks = quantiles(rows, ["stage"], "s", {"p50": 0.5, "p95": 0.95}, nearest=True)
+    return grouped.join(ranks, "stage", "left").select("stage", "n", "p50", "p95", "max_s", "mean_s", (F.col("n") < small).alias("few"))
 
 
 def rollup(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -84,7 +93,7 @@ def histogram(rows: DataFrame, by: str, value: str, bins: int, low: float = 0.02
     v = F.col(value).cast("double")
     range_ = rows.groupBy(by).agg(F.percentile(v, F.lit(low)).alias("lo"), F.percentile(v, F.lit(high)).alias("hi"))
     at = F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)).cast("long")
-    return rows.join(F.broadcast(range_), by).filter((v >= F.col("lo")) & (v <= F.col("hi"))).groupBy(by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(range_, by).filter((v >= F.col("lo")) & (v <= F.col("hi"))).groupBy(by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def dense_span(hist: DataFrame, by: str, share: float = 0.12) -> DataFrame:

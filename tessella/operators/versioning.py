@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,19 +55,23 @@ def apply_patches(base: DataFrame, patches: DataFrame, key: str, columns: list[s
     return joined.select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in columns], F.coalesce("_hit", F.lit(False)).alias("patched"))
 
 
-def blocked_stages(spark, edges: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """run, stage, effective: outcomes(run, stage, status) after blocking spreads along
-    edges(stage, needs): what depends on a failed or skipped stage is skipped."""
-    suffix = "_tessella"
-    edges.createOrReplaceTempView(f"edges{suffix}")
-    outcomes.createOrReplaceTempView(f"outcomes{suffix}")
-    return spark.sql(f"""
-        WITH RECURSIVE blocked(run, stage) AS (
-          SELECT run, stage FROM outcomes{suffix} WHERE status IN ('failed', 'skipped')
-          UNION ALL
-          SELECT b.run, e.stage FROM blocked b JOIN edges{suffix} e ON e.needs = b.stage)
-        SELECT o.run, o.stage, CASE WHEN o.status = 'failed' THEN 'failed' WHEN b.stage IS NOT NULL THEN 'skipped' ELSE o.status END AS effective
-        FROM outcomes{suffix} o LEFT JOIN (SELECT DISTINCT run, stage FROM blocked) b ON o.run = b.run AND o.stage = b.stage""")
+def blocked_stages(outcomes: DataFrame, stages: Sequence[str], needs: Sequence[tuple[str, str]]) -> DataFrame:
+    """run, stage, effective: outcomes(run, stage, status) after blocking spreads along needs
+    (stage, what it needs): what depends on a failed or skipped stage is skipped.
+
+    What a stage depends on, over any number of steps, is known before any run is seen, so a run's
+    outcomes meet in one row and no step repeats over the data. stages: all of them, any order. A
+    stage that isn't among them, or whose run or status is null, blocks nothing and is itself kept.
+    """
+    above = {s: {n for stage, n in needs if stage == s} for s in stages}
+    for _ in stages:
+        above = {s: direct.union(*[above.get(n, set()) for n in direct]) for s, direct in above.items()}
+    bad = F.collect_set(F.when(F.col("status").isin("failed", "skipped"), F.col("stage"))).alias("bad")
+    depends = F.create_map(*[x for s in stages for x in (F.lit(s), F.array(*map(F.lit, sorted(above[s]))).cast("array<string>"))])
+    per = outcomes.groupBy("run").agg(bad, F.collect_list(F.struct("stage", "status")).alias("all")).select("run", "bad", F.explode("all").alias("o")).select("run", "bad", "o.stage", "o.status")
+    blocked = F.coalesce(F.arrays_overlap("bad", F.try_element_at(depends, F.col("stage"))), F.lit(False))
+    effective = F.when(F.col("status") == "failed", "failed").when(blocked | (F.col("status") == "skipped"), "skipped").otherwise(F.col("status"))
+    return per.select("run", "stage", effective.alias("effective"))
 
 
 def earliest_stage(changed: DataFrame, key: str, stage: str, order: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def adjacency_pairs(spark, d):
 
 def door_adjacency(spark, d):
     """Parts that share an order, with the largest shipment between them as the door."""
-    l = table(spark, d, "lineitem").filter("l_orderkey < 400").select("l_orderkey", F.col("l_partkey") % 60, "l_quantity").toDF("o", "p", "q")
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").toDF("o", "p", "q")
     pairs = l.alias("a").join(l.alias("b"), (F.col("a.o") == F.col("b.o")) & (F.col("a.p") < F.col("b.p"))).select(F.col("a.p").alias("a"), F.col("b.p").alias("b"), F.col("a.q").alias("qa"), F.col("a.o").alias("aperture_id"))
     doors = pairs.filter("qa > 25").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("qa").alias("width"), "aperture_id")
     return op.widest_door(doors, op.undirected(pairs, "a", "b"))
@@ -32,9 +32,12 @@ def edge_metrics(spark, d):
 
 
 def components(spark, d):
-    """Components of the part-order graph of a thin slice of line items."""
-    l = table(spark, d, "lineitem").filter("l_orderkey % 4 = 0 and l_linenumber = 1")
-    return op.components(l.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")), "a", "b")
+    """Components of all orders, each linked with its customer's order before it: long paths."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lag("o_orderkey").over(w).alias("b"))
+    return op.components(o.filter("b is not null"), "a", "b")
 
 
 def phash_duplicates(spark, d):
@@ -73,11 +76,14 @@ def neighbour_spacing(spark, d):
 
 
 def cloud_summary(spark, d):
-    """Per label: largest pairwise distance of a few vectors, extent of the far components."""
+    """Per label, of points in the plane: how far the two that are furthest apart are, and the count,
+    extent and mean of those above the 40th percentile. The two lie on the hull of the points, so
+    only its corners meet: the hull of parts of a label is taken first, then that of the parts'."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     q = e.groupBy("label").agg(F.percentile("x", F.lit(0.4)).alias("p40"))
     kept = e.join(q, "label").filter(F.col("x") > F.col("p40"))
-    return kept.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("y") - F.min("y"), 6).alias("extent"), F.round(F.avg("x"), 6).alias("mean_x"))
+    summary = kept.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("y") - F.min("y"), 6).alias("extent"), F.round(F.avg("x"), 6).alias("mean_x"))
+    return summary.join(sp.widest_pair(e, "label", "vec_id"), "label").withColumn("widest", F.round("widest", 6))
 
 
 def _cloud(spark, d):
@@ -93,21 +99,22 @@ def clip_reasons(spark, d):
 
 
 def footprints(spark, d):
-    out = sp.footprint(_cloud(spark, d), "room", 15)
+    out = sp.footprint(_cloud(spark, d), "room")
     return out.select("room", "angle", F.round("width", 7).alias("width"), F.round("depth", 7).alias("depth"))
 
 
 def wall_inliers(spark, d):
-    walls = spark.createDataFrame([(0, 1.0, 0.0, 0.0), (1, 1.0, 0.0, 4.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 1.0, 3.06)], "wall_id int, nx double, ny double, offset double")
+    four = [(0, 1.0, 0.0, 0.0), (1, 1.0, 0.0, 4.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 1.0, 3.06)]
+    walls = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("wall_id", "nx", "ny", "offset"), w)]) for w in four])
     pts = _cloud(spark, d)
-    rooms = pts.select("room").distinct().crossJoin(F.broadcast(walls))  # four walls a room
+    rooms = pts.select("room").distinct().select("room", F.explode(walls).alias("w")).select("room", "w.*")
     out = sp.wall_inliers(pts, rooms, "room")
     return out.select("room", F.col("wall_id").cast("long").alias("wall_id"), "n", F.round("inlier_fraction", 6).alias("inlier_fraction"))
 
 
 def wall_panels(spark, d):
     """Orders as walls, lines as cuts: what stays solid between them."""
-    l = table(spark, d, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", F.lit(50.0).alias("length"), F.col("l_quantity").alias("c0"), (F.col("l_quantity") + F.col("l_linenumber")).alias("c1"))
+    l = table(spark, d, "lineitem").select("l_orderkey", F.lit(50.0).alias("length"), F.col("l_quantity").alias("c0"), (F.col("l_quantity") + F.col("l_linenumber")).alias("c1"))
     out = sp.wall_panels(l, "l_orderkey", "length")
     return out.select("l_orderkey", F.round("t0", 4).alias("t0"), F.round("t1", 4).alias("t1"))
 
@@ -172,7 +179,7 @@ QUERIES = {
 ORACLES = {
     "adjacency_pairs": "SELECT a.s_nationkey, a.s_suppkey AS x, b.s_suppkey AS y, round(abs(a.s_acctbal - b.s_acctbal), 4) AS gap FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE abs(a.s_acctbal - b.s_acctbal) <= 900",
     "door_adjacency": """
-WITH l AS (SELECT l_orderkey AS o, l_partkey % 60 AS p, l_quantity AS q FROM lineitem WHERE l_orderkey < 400),
+WITH l AS (SELECT l_orderkey AS o, l_partkey AS p, l_quantity AS q FROM lineitem),
 x AS (SELECT a.p AS a, b.p AS b, a.q AS q, a.o AS o FROM l a JOIN l b ON a.o = b.o AND a.p < b.p), w AS (SELECT a, b, max((q, o)) AS m FROM x WHERE q > 25 GROUP BY 1, 2)
 SELECT e.a, e.b, w.m[1] AS width, w.m[2] AS aperture_id, w.m IS NOT NULL AS door FROM (SELECT DISTINCT a, b FROM x) e LEFT JOIN w ON e.a = w.a AND e.b = w.b""",
     "edge_metrics": """
@@ -180,7 +187,7 @@ WITH t AS (SELECT DISTINCT CAST(year(l_shipdate) AS BIGINT) AS y, l_partkey AS a
 c AS (SELECT year, count(*) FILTER (t AND u) AS shared, count(*) FILTER (t AND NOT u) AS missing, count(*) FILTER (u AND NOT t) AS extra FROM j GROUP BY 1)
 SELECT *, round(shared / greatest(1, shared + missing + extra)::DOUBLE, 6) AS jaccard FROM c""",
     "components": """
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber = 1),
+WITH RECURSIVE o AS (SELECT o_orderkey AS a, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders), e AS (SELECT a, b FROM o WHERE b IS NOT NULL),
 s AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e), r(node, c) AS (SELECT DISTINCT u, u FROM s UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.node WHERE r.c < s.v)
 SELECT node, min(c) AS component FROM r GROUP BY 1""",
     "phash_duplicates": """
@@ -201,20 +208,21 @@ WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_id FROM events), w AS (SELEC
 SELECT user_id, median(g) AS spacing, max(g) AS widest FROM w GROUP BY 1""",
     "cloud_summary": """
 WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), q AS (SELECT label, quantile_cont(x, 0.4) AS p FROM e GROUP BY 1)
-SELECT e.label, count(*) AS n, round(max(y) - min(y), 6) AS extent, round(avg(x), 6) AS mean_x FROM e JOIN q ON e.label = q.label WHERE x > p GROUP BY 1""",
+, w AS (SELECT a.label, round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS widest FROM e a JOIN e b ON a.label = b.label GROUP BY 1)
+SELECT e.label, count(*) AS n, round(max(y) - min(y), 6) AS extent, round(avg(x), 6) AS mean_x, any_value(widest) AS widest FROM e JOIN q ON e.label = q.label JOIN w ON e.label = w.label WHERE x > p GROUP BY 1""",
     "clip_reasons": f"""
 WITH {_CLOUD}, q AS (SELECT room, quantile_cont(conf, 0.1) AS qc, median(x) AS mx, median(y) AS my, quantile_cont(z, 0.02) AS z0, quantile_cont(z, 0.98) AS z1 FROM c GROUP BY 1),
 f AS (SELECT c.*, qc, z0, z1, sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS r FROM c JOIN q ON c.room = q.room), l AS (SELECT room, least(6, quantile_cont(r, 0.98)) AS lim FROM f GROUP BY 1)
 SELECT f.room, CASE WHEN conf < qc THEN 'low_confidence' WHEN r > lim THEN 'far' WHEN z < z0 - 0.35 OR z > z1 + 0.35 THEN 'height' ELSE 'kept' END AS reason, count(*) AS n FROM f JOIN l ON f.room = l.room GROUP BY 1, 2""",
     "footprints": f"""
-WITH {_CLOUD}, t AS (SELECT room, a, x * cos(radians(a::DOUBLE)) + y * sin(radians(a::DOUBLE)) AS u, y * cos(radians(a::DOUBLE)) - x * sin(radians(a::DOUBLE)) AS v FROM c, (SELECT unnest(range(0, 90, 15)) AS a)),
+WITH {_CLOUD}, t AS (SELECT room, a, x * cos(radians(a::DOUBLE)) + y * sin(radians(a::DOUBLE)) AS u, y * cos(radians(a::DOUBLE)) - x * sin(radians(a::DOUBLE)) AS v FROM c, (SELECT unnest(range(90)) AS a)),
 b AS (SELECT room, a, round((quantile_cont(u, 0.99) - quantile_cont(u, 0.01)) * (quantile_cont(v, 0.99) - quantile_cont(v, 0.01)), 6) AS area, quantile_cont(u, 0.985) - quantile_cont(u, 0.015) AS w, quantile_cont(v, 0.985) - quantile_cont(v, 0.015) AS d FROM t GROUP BY 1, 2)
 SELECT room, a AS angle, round(w, 7) AS width, round(d, 7) AS depth FROM b QUALIFY row_number() OVER (PARTITION BY room ORDER BY area, a) = 1""",
     "wall_inliers": f"""
 WITH {_CLOUD}, w(wall_id, nx, ny, o) AS (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 1.0, 0.0, 4.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 1.0, 3.06)), d AS (SELECT room, wall_id, abs(x * nx + y * ny - o) AS d FROM c, w)
-SELECT room, CAST(wall_id AS BIGINT) AS wall_id, count(*) AS n, round(avg((d < 0.12)::INT), 6) AS inlier_fraction FROM d WHERE d <= 0.5 GROUP BY 1, 2""",
+SELECT room, CAST(wall_id AS BIGINT) AS wall_id, count(*) AS n, round(avg((d < 0.12)::INT), 6) AS inlier_fraction FROM d GROUP BY 1, 2""",
     "wall_panels": """
-WITH c AS (SELECT l_orderkey, l_quantity AS c0, l_quantity + l_linenumber AS c1 FROM lineitem WHERE l_orderkey < 2000),
+WITH c AS (SELECT l_orderkey, l_quantity AS c0, l_quantity + l_linenumber AS c1 FROM lineitem),
 p AS (SELECT l_orderkey, greatest(0, coalesce(max(c1) OVER (PARTITION BY l_orderkey ORDER BY c0, c1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t0, least(50, c0) AS t1 FROM c UNION ALL SELECT l_orderkey, max(c1), 50 FROM c GROUP BY 1)
 SELECT l_orderkey, round(t0, 4) AS t0, round(t1, 4) AS t1 FROM p WHERE t1 - t0 > 1e-9""",
 }

@@ -12,11 +12,11 @@ LABELS = ("bathroom", "wc", "kitchen", "dining_room", "living_room", "reception"
 
 
 def _sides(spark, d):
-    """Suppliers as rooms and customers as plan rooms of the nations; 12 of each at most, as a
-    listing has."""
+    """Suppliers as rooms and customers as plan rooms. A listing is a nation's part of a hundred
+    suppliers and of the fifteen hundred customers that go with them, at any scale factor."""
     labels = F.array(*[F.lit(x) for x in LABELS])
-    s = table(spark, d, "supplier").filter("s_suppkey % 400 < 100").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("room_id"), F.when(F.col("s_suppkey") % 7 > 0, F.element_at(labels, (F.col("s_suppkey") % 10 + 1).cast("int"))).alias("label"), (F.abs("s_acctbal") / 300.0 + 2.0).alias("area"), (F.col("s_suppkey") % 4 * 0.5 + 0.5).alias("aspect"), (F.col("s_suppkey") % 3).cast("int").alias("apertures"), (F.col("s_suppkey") % 10 / 10.0).alias("confidence"))
-    c = table(spark, d, "customer").filter("c_custkey % 5000 < 300").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("plan_room_id"), F.when(F.col("c_custkey") % 11 > 0, F.element_at(labels, (F.col("c_custkey") % 10 + 1).cast("int"))).alias("label"), (F.abs("c_acctbal") / 300.0 + 2.0).alias("area"), (F.col("c_custkey") % 4 * 0.5 + 0.5).alias("aspect"), (F.col("c_custkey") % 4).cast("int").alias("apertures"))
+    s = table(spark, d, "supplier").select(F.expr("s_suppkey div 100 * 25 + s_nationkey").alias("n"), F.col("s_suppkey").alias("room_id"), F.when(F.col("s_suppkey") % 7 > 0, F.element_at(labels, (F.col("s_suppkey") % 10 + 1).cast("int"))).alias("label"), (F.abs("s_acctbal") / 300.0 + 2.0).alias("area"), (F.col("s_suppkey") % 4 * 0.5 + 0.5).alias("aspect"), (F.col("s_suppkey") % 3).cast("int").alias("apertures"), (F.col("s_suppkey") % 10 / 10.0).alias("confidence"))
+    c = table(spark, d, "customer").select(F.expr("c_custkey div 1500 * 25 + c_nationkey").alias("n"), F.col("c_custkey").alias("plan_room_id"), F.when(F.col("c_custkey") % 11 > 0, F.element_at(labels, (F.col("c_custkey") % 10 + 1).cast("int"))).alias("label"), (F.abs("c_acctbal") / 300.0 + 2.0).alias("area"), (F.col("c_custkey") % 4 * 0.5 + 0.5).alias("aspect"), (F.col("c_custkey") % 4).cast("int").alias("apertures"))
     return s, c
 
 
@@ -32,7 +32,7 @@ def runner_up_margin(spark, d):
 
 
 def assignment(spark, d):
-    """One-to-one matching per nation (checked against brute force in the tests)."""
+    """One-to-one matching per listing (checked against brute force in the tests)."""
     out = op.assignment(op.cost_matrix(*_sides(spark, d), "n"), "n")
     return out.select("n", "room_id", "plan_room_id", F.round("cost", 6).alias("cost"), F.round("margin", 6).alias("margin"))
 
@@ -86,8 +86,8 @@ def estimate_weights(spark, d):
 _L = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
 _AFF = ", ".join(f"('{'|'.join(sorted((a, b)))}', {c}::DOUBLE)" for a, b, c in op.AFFINITY)
 _COST = f"""
-s AS (SELECT s_nationkey AS n, s_suppkey AS room_id, CASE WHEN s_suppkey % 7 > 0 THEN {_L}[s_suppkey % 10 + 1] END AS label, abs(s_acctbal) / 300.0::DOUBLE + 2 AS area, s_suppkey % 4 * 0.5::DOUBLE + 0.5::DOUBLE AS aspect, s_suppkey % 3 AS ap, s_suppkey % 10 / 10.0::DOUBLE AS conf FROM supplier WHERE s_suppkey % 400 < 100),
-c AS (SELECT c_nationkey AS n, c_custkey AS plan_room_id, CASE WHEN c_custkey % 11 > 0 THEN {_L}[c_custkey % 10 + 1] END AS label, abs(c_acctbal) / 300.0::DOUBLE + 2 AS area, c_custkey % 4 * 0.5::DOUBLE + 0.5::DOUBLE AS aspect, c_custkey % 4 AS ap FROM customer WHERE c_custkey % 5000 < 300),
+s AS (SELECT s_suppkey // 100 * 25 + s_nationkey AS n, s_suppkey AS room_id, CASE WHEN s_suppkey % 7 > 0 THEN {_L}[s_suppkey % 10 + 1] END AS label, abs(s_acctbal) / 300.0::DOUBLE + 2 AS area, s_suppkey % 4 * 0.5::DOUBLE + 0.5::DOUBLE AS aspect, s_suppkey % 3 AS ap, s_suppkey % 10 / 10.0::DOUBLE AS conf FROM supplier),
+c AS (SELECT c_custkey // 1500 * 25 + c_nationkey AS n, c_custkey AS plan_room_id, CASE WHEN c_custkey % 11 > 0 THEN {_L}[c_custkey % 10 + 1] END AS label, abs(c_acctbal) / 300.0::DOUBLE + 2 AS area, c_custkey % 4 * 0.5::DOUBLE + 0.5::DOUBLE AS aspect, c_custkey % 4 AS ap FROM customer),
 aff(k, v) AS (VALUES {_AFF}),
 parts AS (SELECT s.n, room_id, plan_room_id,
   0.34::DOUBLE * CASE WHEN s.label IS NULL OR c.label IS NULL THEN 0.5 WHEN s.label = c.label THEN 0.0 ELSE coalesce(aff.v, 1.0) END AS room_type,

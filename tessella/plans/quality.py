@@ -64,25 +64,25 @@ def content_hashes(spark, d):
 
 
 def required_artifacts(spark, d):
-    """Which event types (as stages) each user lacks."""
-    e = table(spark, d, "events").filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"))
-    kinds = e.sparkSession.createDataFrame([(x,) for x in ("click", "error", "purchase", "signup", "view")], "event_type string")
-    wanted = e.select("user_id").distinct().crossJoin(F.broadcast(kinds))  # five stages per key
-    out = ver.required(wanted, e, "user_id", "event_type")
-    return out.select("user_id", F.array_join("missing", ",").alias("missing"), F.array_join("present", ",").alias("present"))
+    """Which event types (as stages) each user's day lacks."""
+    e = table(spark, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("user_day"), "event_type")
+    kinds = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
+    wanted = e.select("user_day").distinct().select("user_day", F.explode(kinds).alias("event_type"))
+    out = ver.required(wanted, e, "user_day", "event_type")
+    return out.select("user_day", F.array_join("missing", ",").alias("missing"), F.array_join("present", ",").alias("present"))
 
 
 def override_merge(spark, d):
     """Customers patched by the last order that says something: a later patch wins, nulls don't."""
     c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("label"), F.col("c_acctbal").alias("amount"))
-    o = table(spark, d, "orders").filter("o_orderkey % 7 = 0")
+    o = table(spark, d, "orders")
     patches = o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("label"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("amount"))
     return ver.apply_patches(c, patches, "c_custkey", ["label", "amount"], "o_orderkey")
 
 
 def nested_override(spark, d):
     """Maps of maps merged at two levels, one section cleared."""
-    p = table(spark, d, "part").filter("p_partkey < 500")
+    p = table(spark, d, "part")
     base = F.create_map(F.lit("plan"), F.create_map(F.lit("label"), F.col("p_type"), F.lit("brand"), F.col("p_brand")), F.lit("scale"), F.create_map(F.lit("size"), F.col("p_size").cast("string")))
     patch = F.when(F.col("p_size") > 25, F.create_map(F.lit("plan"), F.create_map(F.lit("label"), F.lit("patched")), F.lit("note"), F.create_map(F.lit("by"), F.lit("hand"))))
     merged = ver.clear_section(ver.merge_overrides(base, patch), "scale")
@@ -91,11 +91,9 @@ def nested_override(spark, d):
 
 def stage_blocking(spark, d):
     """Outcomes by order key: some stages fail, what needs them is skipped."""
-    runs = table(spark, d, "orders").filter("o_orderkey < 300").select(F.col("o_orderkey").alias("run"))
-    stages = spark.createDataFrame(list(enumerate(STAGES)), "place int, stage string")
-    outcomes = runs.crossJoin(F.broadcast(stages)).select("run", "stage", F.when((F.col("run") * 7 + F.col("place") * 3) % 29 == 0, "failed").otherwise("ok").alias("status"))
-    edges = spark.createDataFrame(list(NEEDS), "stage string, needs string")
-    return ver.blocked_stages(spark, edges, outcomes)
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.posexplode(F.array(*map(F.lit, STAGES))).alias("place", "stage"))
+    outcomes = runs.select("run", "stage", F.when((F.col("run") * 7 + F.col("place") * 3) % 29 == 0, "failed").otherwise("ok").alias("status"))
+    return ver.blocked_stages(outcomes, STAGES, NEEDS)
 
 
 def earliest_rerun(spark, d):
@@ -200,18 +198,18 @@ SELECT l_orderkey, CASE WHEN bool_and(status = 'failed') THEN 'failed' WHEN bool
     "latest_version": f"WITH {_VER} SELECT user_id, version, sha FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY version DESC) = 1",
     "content_hashes": """SELECT sha256('{"p_brand":"' || p_brand || '","p_type":"' || p_type || '"}') AS h, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1""",
     "required_artifacts": """
-WITH e AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-02'), k AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type),
-w AS (SELECT u.user_id, k.event_type, e.event_type IS NOT NULL AS have FROM (SELECT DISTINCT user_id FROM e) u CROSS JOIN k LEFT JOIN e ON e.user_id = u.user_id AND e.event_type = k.event_type)
-SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) FILTER (NOT have) AS missing, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (have), '') AS present FROM w GROUP BY 1 HAVING count(*) FILTER (NOT have) > 0""",
+WITH e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS user_day, event_type FROM events), k AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type),
+w AS (SELECT u.user_day, k.event_type, e.event_type IS NOT NULL AS have FROM (SELECT DISTINCT user_day FROM e) u CROSS JOIN k LEFT JOIN e ON e.user_day = u.user_day AND e.event_type = k.event_type)
+SELECT user_day, string_agg(event_type, ',' ORDER BY event_type) FILTER (NOT have) AS missing, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (have), '') AS present FROM w GROUP BY 1 HAVING count(*) FILTER (NOT have) > 0""",
     "override_merge": """
-WITH p AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS label, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS amount FROM orders WHERE o_orderkey % 7 = 0),
+WITH p AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS label, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS amount FROM orders),
 f AS (SELECT o_custkey, arg_max(label, o_orderkey) FILTER (label IS NOT NULL) AS l, arg_max(amount, o_orderkey) FILTER (amount IS NOT NULL) AS a FROM p GROUP BY 1)
 SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(l, c_mktsegment) AS label, coalesce(a, c_acctbal) AS amount, o_custkey IS NOT NULL AS patched FROM customer FULL JOIN f ON c_custkey = o_custkey""",
     "nested_override": """
-SELECT p_partkey, CASE WHEN p_size > 25 THEN 'patched' ELSE p_type END AS label, p_brand AS brand, CASE WHEN p_size > 25 THEN 'hand' END AS note, CASE WHEN p_size > 25 THEN 'note,plan' ELSE 'plan' END AS sections FROM part WHERE p_partkey < 500""",
+SELECT p_partkey, CASE WHEN p_size > 25 THEN 'patched' ELSE p_type END AS label, p_brand AS brand, CASE WHEN p_size > 25 THEN 'hand' END AS note, CASE WHEN p_size > 25 THEN 'note,plan' ELSE 'plan' END AS sections FROM part""",
     "stage_blocking": f"""
 WITH RECURSIVE e(stage, needs) AS (VALUES {_NEEDS}), s(place, stage) AS (VALUES {_STAGES}),
-o AS (SELECT o_orderkey AS run, stage, CASE WHEN (o_orderkey * 7 + place * 3) % 29 = 0 THEN 'failed' ELSE 'ok' END AS status FROM orders, s WHERE o_orderkey < 300),
+o AS (SELECT o_orderkey AS run, stage, CASE WHEN (o_orderkey * 7 + place * 3) % 29 = 0 THEN 'failed' ELSE 'ok' END AS status FROM orders, s),
 b(run, stage) AS (SELECT run, stage FROM o WHERE status IN ('failed', 'skipped') UNION SELECT b.run, e.stage FROM b JOIN e ON e.needs = b.stage)
 SELECT o.run, o.stage, CASE WHEN o.status = 'failed' THEN 'failed' WHEN b.stage IS NOT NULL THEN 'skipped' ELSE o.status END AS effective FROM o LEFT JOIN b ON o.run = b.run AND o.stage = b.stage""",
     "earliest_rerun": f"WITH s(place, stage) AS (VALUES {_STAGES}), m AS (SELECT l_orderkey, min(l_linenumber) + 1 AS place FROM lineitem GROUP BY 1) SELECT l_orderkey, stage AS from_stage, CAST(m.place AS BIGINT) AS place FROM m JOIN s ON s.place = m.place",

@@ -34,7 +34,8 @@ def stratified_holdout(spark, d):
 
 
 def holdout_seal(spark, d):
-    return op.seal(_split(spark, d), "id", ["held_out"]).select("held_out", "n", "seal")
+    """The seal of what each stratum holds out."""
+    return op.seal(_split(spark, d).filter("held_out"), "id", ["stratum"]).select("stratum", "n", "seal")
 
 
 def holdout_strata(spark, d):
@@ -55,7 +56,7 @@ def quota_selection(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("active", F.lit(True))
     joined = c.join(o, "c_custkey", "left").withColumn("active", F.coalesce("active", F.lit(False)))
     picked = op.quota_select(joined, F.col("active") & (F.col("c_acctbal") > 9500), 60, 0.7, ["c_custkey"])
-    return picked.filter("picked").select("c_custkey", F.col("pool").cast("long"), F.col("place").cast("long"))
+    return picked.select("c_custkey", F.col("pool").cast("long"), F.col("place").cast("long"))
 
 
 def bernoulli_split(spark, d):
@@ -83,7 +84,7 @@ split AS (SELECT r.id, r.stratum, r.position, r.position <= q.quota AS held_out
 QUERIES = {f.__name__: f for f in (stratified_holdout, holdout_seal, holdout_strata, stratified_interleave, quota_selection, bernoulli_split, keyed_dedup)}
 ORACLES = {
     "stratified_holdout": f"WITH {_SPLIT_SQL} SELECT id AS c_custkey, stratum, position, held_out FROM split",
-    "holdout_seal": f"WITH {_SPLIT_SQL} SELECT held_out, count(*) AS n, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR))) AS seal FROM split GROUP BY held_out",
+    "holdout_seal": f"WITH {_SPLIT_SQL} SELECT stratum, count(*) AS n, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR))) AS seal FROM split WHERE held_out GROUP BY stratum",
     "holdout_strata": f"WITH {_SPLIT_SQL} SELECT stratum, count(*) AS total, count(*) FILTER (held_out) AS holdout FROM split GROUP BY stratum",
     "stratified_interleave": "SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS turn FROM supplier",
     "quota_selection": """

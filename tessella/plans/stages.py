@@ -40,7 +40,7 @@ def largest_asset(spark, d):
 
 
 def choose_scale(spark, d):
-    l = table(spark, d, "lineitem").filter("l_linenumber <= 3")
+    l = table(spark, d, "lineitem")
     source = F.element_at(F.array(F.lit("printed_dimensions"), F.lit("stated_area"), F.lit("printed_area"), F.lit("scale_ratio")), (F.col("l_partkey") % 4 + 1).cast("int"))
     c = l.select("l_orderkey", source.alias("source"), F.col("l_quantity").alias("px"), (F.col("l_extendedprice") / 1e5).alias("weight"))
     out = op.choose_scale(c, "l_orderkey")
@@ -111,9 +111,9 @@ def cumulative_keep(spark, d):
 
 
 def scene_rooms(spark, d):
-    """Parts as plan rooms, line items as matches, suppliers as layouts."""
+    """Parts as plan rooms, large line items as matches, suppliers as layouts."""
     plan = table(spark, d, "part").select((F.col("p_partkey") % 100).alias("flat"), F.col("p_partkey").alias("plan_room_id"))
-    matches = table(spark, d, "lineitem").filter("l_orderkey % 40 = 0").groupBy(F.col("l_partkey").alias("plan_room_id")).agg(F.min("l_suppkey").alias("room_id")).withColumn("flat", F.col("plan_room_id") % 100)
+    matches = table(spark, d, "lineitem").filter("l_quantity >= 49").groupBy(F.col("l_partkey").alias("plan_room_id")).agg(F.min("l_suppkey").alias("room_id")).withColumn("flat", F.col("plan_room_id") % 100)
     layouts = table(spark, d, "supplier").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("flat"), F.col("s_suppkey").alias("room_id"), "s_acctbal")
     out = op.scene_rooms(plan, matches, layouts, "flat")
     return out.groupBy("flat").agg(F.count(F.lit(1)).alias("rooms"), F.count_if(F.col("provenance") == "reconstructed").alias("reconstructed"), F.round(F.sum("s_acctbal"), 2).alias("area"))
@@ -135,7 +135,7 @@ def semi_and_anti(spark, d):
 
 def photos_by_room(spark, d):
     """Images gathered by the room of their label."""
-    im = _images(spark, d).filter("listing < 20")
+    im = _images(spark, d)
     return im.groupBy("listing", "label").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("image")), 1, 12), lambda x: x.cast("string")), ",").alias("photos"), F.count(F.lit(1)).alias("n"))
 
 
@@ -171,7 +171,7 @@ def grid_normals(spark, d):
 
 
 def unprojected(spark, d):
-    l = table(spark, d, "lineitem").filter("l_orderkey < 500")
+    l = table(spark, d, "lineitem")
     out = op.unproject(F.col("l_quantity") * 10, F.col("l_linenumber") * 50.0, F.col("l_tax") + 1, F.lit(640.0), F.lit(480.0), F.lit(98.6))
     return l.select("l_orderkey", "l_linenumber", F.round(out["x"], 6).alias("x"), F.round(out["y"], 6).alias("y"), F.round(out["z"], 6).alias("z"))
 
@@ -184,11 +184,11 @@ def total_area_metric(spark, d):
 
 
 def missing_stage_report(spark, d):
-    """Complete or not, and which event types (as stages) a user lacks on the first days."""
-    e = table(spark, d, "events").filter(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz"))
+    """Which event types (as stages) a user's day lacks; none if it is complete."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
     kinds = ("click", "error", "purchase", "signup", "view")
-    g = e.groupBy("user_id").agg(*[F.bool_or(F.col("event_type") == k).alias(k) for k in kinds])
-    return g.select("user_id", F.array_join(op.missing_stages({k: F.col(k) for k in kinds}), ",").alias("missing"))
+    g = e.groupBy("user_id", "day").agg(*[F.bool_or(F.col("event_type") == k).alias(k) for k in kinds])
+    return g.select("user_id", F.col("day").cast("string").alias("day"), F.array_join(op.missing_stages({k: F.col(k) for k in kinds}), ",").alias("missing"))
 
 
 def confidence_product(spark, d):
@@ -210,7 +210,7 @@ def stage_names(spark, d):
     from tessella.plans.quality import STAGES
 
     names = spark.createDataFrame([(i, s) for i, s in enumerate(STAGES)], "place int, stage string")
-    l = table(spark, d, "lineitem").filter("l_orderkey < 300").select("l_orderkey", "l_linenumber")
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     n = F.col("l_linenumber") % 10
     word = F.element_at(F.array(*[F.lit(s) for s in STAGES]), (n + 1).cast("int"))
     given = l.withColumn("given", F.when(F.col("l_orderkey") % 3 == 0, n.cast("string")).when(F.col("l_orderkey") % 3 == 1, word).otherwise(F.concat(n.cast("string"), F.lit("-"), word)))
@@ -223,7 +223,7 @@ _IM = f"im AS (SELECT l_suppkey AS listing, {_LAB}[l_partkey % 5 + 1] AS label,
 _RM = f"r AS (SELECT p_partkey % 300 AS flat, p_partkey AS room_id, {_LAB}[p_size % 5 + 1] AS label, CASE WHEN p_size % 3 > 0 THEN p_size / 10.0::DOUBLE END AS height, p_size / 4.0::DOUBLE AS extent FROM part)"
 _CL = """c AS (SELECT user_id, (event_id * 37) % 401 / 20.0::DOUBLE AS x, (event_id * 53) % 307 / 100.0::DOUBLE AS y, CASE WHEN event_id % 5 < 2 THEN 0.0::DOUBLE WHEN event_id % 5 < 4 THEN user_id % 7 * 0.6::DOUBLE ELSE event_id % 23 / 9.0::DOUBLE END AS z, CASE WHEN user_id % 7 > 0 THEN user_id % 7 * 0.6::DOUBLE END AS hi FROM events)"""
 _SCENE = """
-m AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1),
+m AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem WHERE l_quantity >= 49 GROUP BY 1),
 sc AS (SELECT p_partkey % 100 AS flat, count(*) AS rooms, count(m.s) AS reconstructed, round(sum(s_acctbal), 2) AS area FROM part LEFT JOIN m ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = m.s GROUP BY 1)"""
 
 QUERIES = {
@@ -238,7 +238,7 @@ SELECT listing, label, image, place FROM k WHERE place <= CASE WHEN label = 'kit
     "room_type_views": f"WITH {_IM} SELECT listing, label, count(*) AS n, max(score) AS best, min(score) AS worst FROM im GROUP BY 1, 2 HAVING count(*) >= 3",
     "largest_asset": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "choose_scale": """
-WITH c AS (SELECT l_orderkey, ['printed_dimensions', 'stated_area', 'printed_area', 'scale_ratio'][l_partkey % 4 + 1] AS source, l_quantity AS px, l_extendedprice / 1e5::DOUBLE AS weight FROM lineitem WHERE l_linenumber <= 3),
+WITH c AS (SELECT l_orderkey, ['printed_dimensions', 'stated_area', 'printed_area', 'scale_ratio'][l_partkey % 4 + 1] AS source, l_quantity AS px, l_extendedprice / 1e5::DOUBLE AS weight FROM lineitem),
 r AS (SELECT *, CASE source WHEN 'printed_dimensions' THEN 3 WHEN 'printed_area' THEN 2 WHEN 'stated_area' THEN 1 ELSE 0 END AS r FROM c),
 g AS (SELECT l_orderkey, max((r, weight, source, px)) AS t, max((r, weight, source, px)) FILTER (source IN ('printed_area', 'stated_area')) AS a, count(px) AS n, max(px) AS hi, min(px) AS lo FROM r GROUP BY 1),
 f AS (SELECT *, coalesce(t[3] = 'printed_dimensions' AND greatest(t[4] / a[4], a[4] / t[4]) > 1.8, false) AS lost FROM g)
@@ -271,7 +271,7 @@ SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, coalesce(sum(o_totalp
     "scene_rooms": f"WITH {_SCENE} SELECT * FROM sc",
     "two_hop_join": "SELECT l_returnflag, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size > 40 AND s_acctbal > 0 GROUP BY 1",
     "semi_and_anti": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
-    "photos_by_room": f"WITH {_IM} SELECT listing, label, array_to_string(list_sort(list(image))[1:12], ',') AS photos, count(*) AS n FROM im WHERE listing < 20 GROUP BY 1, 2",
+    "photos_by_room": f"WITH {_IM} SELECT listing, label, array_to_string(list_sort(list(image))[1:12], ',') AS photos, count(*) AS n FROM im GROUP BY 1, 2",
     "bounding_boxes": f"WITH {_CL} SELECT user_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM c GROUP BY 1",
     "annotation_coverage": "SELECT source, count(*) AS n, count(l.doc_id) AS annotated, CASE WHEN count(l.doc_id) / count(*)::DOUBLE >= 0.5 THEN 'covered' WHEN count(l.doc_id) / count(*)::DOUBLE >= 0.3 THEN 'partly' ELSE 'sparse' END AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1",
     "tiles": """
@@ -280,15 +280,15 @@ SELECT p_partkey, (kx + 1) * (ky + 1) AS n, CAST(greatest(0, least(kx * 480, w -
     "letterbox_undo": "WITH p AS (SELECT p_partkey, p_size * 10.0::DOUBLE AS w, p_partkey % 90 + 60.0::DOUBLE AS h FROM part), k AS (SELECT *, 512.0::DOUBLE / greatest(w, h) AS k FROM p) SELECT p_partkey, round((100 - (512 - w * k) / 2) / k, 5) AS x, round((200 - (512 - h * k) / 2) / k, 5) AS y FROM k",
     "grid_normals": """SELECT i AS image, CAST(14 * 19 AS BIGINT) AS n, round(-0.5::DOUBLE / s, 6) AS nx, round(-(i * 0.25::DOUBLE) / s, 6) AS ny, round(1 / s, 6) AS nz FROM (SELECT i, sqrt(1.25::DOUBLE + i * i * 0.0625::DOUBLE) AS s FROM (SELECT unnest(range(12)) AS i))""",
     "unprojected": """
-WITH f AS (SELECT l_orderkey, l_linenumber, l_quantity * 10 AS u, l_linenumber * 50.0::DOUBLE AS v, l_tax + 1 AS z, 320 / tan(radians(98.6::DOUBLE) / 2) AS f FROM lineitem WHERE l_orderkey < 500)
+WITH f AS (SELECT l_orderkey, l_linenumber, l_quantity * 10 AS u, l_linenumber * 50.0::DOUBLE AS v, l_tax + 1 AS z, 320 / tan(radians(98.6::DOUBLE) / 2) AS f FROM lineitem)
 SELECT l_orderkey, l_linenumber, round((u - 320) * z / f, 6) AS x, round((v - 240) * z / f, 6) AS y, round(z, 6) AS z FROM f""",
     "total_area_metric": """
 WITH m AS (SELECT o_orderkey, o_totalprice / 1000 AS m, CASE WHEN o_orderkey % 3 = 0 THEN nullif(o_custkey * 0.3::DOUBLE, 0) END AS p, CASE WHEN o_orderkey % 2 = 0 THEN nullif(o_custkey * 0.4::DOUBLE, 0) END AS s FROM orders)
 SELECT o_orderkey, round(abs(m - coalesce(p, s)) / coalesce(p, s) * 100, 9) AS error_pct, CASE WHEN p IS NOT NULL THEN 'printed' WHEN s IS NOT NULL THEN 'stated' ELSE 'none' END AS reference FROM m""",
     "missing_stage_report": """
-WITH g AS (SELECT user_id, list_distinct(list(event_type)) AS h FROM events WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1)
-SELECT user_id, array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda k: NOT list_contains(h, k)), ',') AS missing FROM g""",
+WITH g AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, list_distinct(list(event_type)) AS h FROM events GROUP BY 1, 2)
+SELECT user_id, day, array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda k: NOT list_contains(h, k)), ',') AS missing FROM g""",
     "confidence_product": "SELECT l_orderkey, round(greatest(0.02, least(1.0, avg(1 - l_discount) * CASE WHEN any_value(o_orderstatus) = 'F' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END)), 6) AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "provenance_groups": f"WITH {_SCENE} SELECT CAST(sum(rooms) AS BIGINT) AS rooms, CAST(sum(reconstructed) AS BIGINT) AS reconstructed, round(sum(reconstructed)::DOUBLE / greatest(1, sum(rooms)), 6) AS coverage FROM sc",
-    "stage_names": "SELECT l_orderkey, l_linenumber, ['triage', 'conditioning', 'grouping', 'geometry', 'layout', 'plan', 'assembly', 'scale', 'shell', 'package'][l_linenumber % 10 + 1] AS stage FROM lineitem WHERE l_orderkey < 300",
+    "stage_names": "SELECT l_orderkey, l_linenumber, ['triage', 'conditioning', 'grouping', 'geometry', 'layout', 'plan', 'assembly', 'scale', 'shell', 'package'][l_linenumber % 10 + 1] AS stage FROM lineitem",
 }

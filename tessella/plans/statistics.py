@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import statistics as op
+from tessella.plans.quality import STAGES
 from tessella.sources.tables import table
 
 R = 4
@@ -24,7 +25,12 @@ def coverage_stats(spark, d):
 
 
 def latency_report(spark, d):
-    return _round(op.latency_report(table(spark, d, "events").select("event_type", "value"), "event_type", "value"), "mean_s")
+    """Line items as stages of orders: returned ones failed, open ones came from the cache."""
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    name = F.element_at(F.array(*map(F.lit, STAGES)), F.col("l_linenumber").cast("int"))
+    stages = l.select(name.alias("stage"), F.col("l_quantity").alias("seconds"), F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_linestatus") == "O", "cached").otherwise("ok").alias("status"))
+    runs = o.select((F.col("o_totalprice") / 1000).alias("total"), (F.col("o_orderstatus") != "P").alias("full"))
+    return _round(op.latency_report(stages, runs, "stage", "seconds", "status", "total", "full"), "mean_s")
 
 
 def metric_rollup(spark, d):
@@ -156,8 +162,10 @@ ORACLES = {
 SELECT source, count(*) AS seen, count(l.doc_id) AS with_property, round(median(n_chars), 4) AS median_amount, count(*) FILTER (coalesce(n_chars, 0) = 0) AS without_amount,
   round(count(l.doc_id) / count(*)::DOUBLE, 4) AS property_rate FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source""",
     "latency_report": """
-WITH g AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n, max(value) AS max_s, avg(value) AS mean_s FROM events GROUP BY event_type)
-SELECT event_type, n, v[CAST(round_even(0.5 * (n - 1), 0) AS BIGINT) + 1] AS p50, v[CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) + 1] AS p95, max_s, round(mean_s, 4) AS mean_s, n < 20 AS few FROM g""",
+WITH r AS (SELECT ['triage', 'conditioning', 'grouping', 'geometry', 'layout', 'plan', 'assembly', 'scale', 'shell', 'package'][l_linenumber] AS stage, l_quantity::DOUBLE AS value FROM lineitem WHERE l_returnflag <> 'R'
+  UNION ALL SELECT 'end_to_end_all', o_totalprice / 1000 FROM orders UNION ALL SELECT 'end_to_end_full', o_totalprice / 1000 FROM orders WHERE o_orderstatus <> 'P'),
+g AS (SELECT stage, list_sort(list(value)) AS v, count(value) AS n, max(value) AS max_s, avg(value) AS mean_s FROM r GROUP BY stage)
+SELECT stage, n, v[CAST(round_even(0.5 * (n - 1), 0) AS BIGINT) + 1] AS p50, v[CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) + 1] AS p95, max_s, round(mean_s, 4) AS mean_s, n < 20 AS few FROM g""",
     "metric_rollup": """
 SELECT l_returnflag, l_linestatus, count(*) AS n, round(count(v) / count(*)::DOUBLE, 2) AS coverage, round(median(v), 2) AS median, round(avg(v), 2) AS mean, round(quantile_cont(v, 0.1), 2) AS p10,
   round(quantile_cont(v, 0.9), 2) AS p90, round(min(v), 2) AS min, round(max(v), 2) AS max

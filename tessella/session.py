@@ -29,12 +29,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is
-    unset (tests, one machine) a temporary folder takes its place."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine
+    (a local master, as in tests) a temporary folder takes its place where it is unset; on a cluster
+    there is no such folder, and leaving it unset is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all of {master} share")
         folder = f"file://{os.path.join(tempfile.gettempdir(), 'tessella-shared')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

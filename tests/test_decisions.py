@@ -115,12 +115,15 @@ def test_simplify_snap_and_pose():
 
 
 def test_texts(spark):
-    assert tx.read_dimensions("3.96 x 3.66m") == (3.96, 3.66)
-    assert tx.read_dimensions("58m x 4.2m") is None or tx.read_dimensions("5.8m x 4.2m") == (5.8, 4.2)
-    assert tx.repair_decimal("58m and 12m") == "5.8m and 12m"
-    assert tx.read_dimensions("13'3 x 8'6") == pytest.approx((4.0386, 2.5908))
-    assert tx.read_dimensions("8.8 ft x 11.5 ft") is None or tx.read_dimensions("8.8 ft x 11.5 ft")[0] < 4
-    assert tx.read_dimensions("") is None and tx.read_dimensions("no numbers") is None
+    captions = ["3.96 x 3.66m", "58m x 4.2m", "13'3 x 8'6", "8.8 ft x 11.5 ft", "", "no numbers", None, "3.2 x 2.1 ft then 4.0 x 3.0m", "30.0 x 40.0m 2.1m 3.3m", "40'0 x 3'0", "058M x 4.2m", "2.5 3.5"]
+    want = [(3.96, 3.66), None, (4.0386, 2.5908), (3.50520, 2.68224), None, None, None, (4.0, 3.0), (3.3, 2.1), (12.192, 0.9144), None, (3.5, 2.5)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(captions)], "i int, t string").orderBy("i")
+    got = [r["d"] for r in frame.select(tx.dimensions(F.col("t")).alias("d")).collect()]
+    want[1] = want[10] = (5.8, 4.2)
+    for w, d in zip(want, got):
+        assert (d["long_m"], d["short_m"]) == (pytest.approx(w) if w else (None, None)), (w, d)
+    lost = spark.createDataFrame([("58m and 12m",), ("100 m, 250m, 251m",), ("1.58m 26M 25m",), ("058m",)], "t string")
+    assert [r["t"] for r in lost.select(tx.repaired(F.col("t")).alias("t")).collect()] == ["5.8m and 12m", "10.0m, 25.0m, 251m", "1.58m 2.6m 25m", "5.8m"]
     rows = spark.createDataFrame([("672 SQ FT / 62.4 SQ M",), ("1,000,000 sqm",), (None,)], "t string").select(tx.areas(F.col("t")).alias("a"), tx.canonical_label(F.col("t")).alias("l")).collect()
     assert rows[0]["a"] == [62.43, 62.4] and rows[1]["a"] == [] and rows[2]["a"] is None and rows[2]["l"] is None
 
@@ -141,6 +144,19 @@ def test_flattened_payloads():
     assert html.find_key({"x": [{"want": {"n": 1}}, {"want": {"n": 2}}]}, {"want"}) == {"n": 2}
     assert html.balanced_json('var M = {"a": "}\\"", "b": {}} ;', "M") == '{"a": "}\\"", "b": {}}'
     assert html.balanced_json("M " + " " * 300 + "{}", "M") is None and html.balanced_json("M {", "M") is None
+    assert html.balanced_json('M = [{"a":1},{"b":2}]', "M") == '[{"a":1},{"b":2}]' and html.balanced_json('M = {"a" 1 oops}', "M") is None
+    assert html.balanced_json("M " + "[" * 100_000, "M") is None
+
+
+def test_deep_payloads_are_no_failure(spark):
+    deep = [{"n": i + 1} for i in range(50_000)] + ["end"]
+    out, depth = html.unflatten(deep), 0
+    while isinstance(out, dict):
+        out, depth = out["n"], depth + 1
+    assert (out, depth) == ("end", 50_000)
+    frame = spark.createDataFrame([(json.dumps(deep),), ("[" * 50_000 + "]" * 50_000,)], "p string")
+    assert [r["v"] for r in frame.select(html.unflattened(F.col("p")).alias("v")).collect()] == [None, None]
+    assert [r["v"] for r in frame.select(html.key_search(F.col("p"), {"x"}).alias("v")).collect()] == [None, None]
 
 
 def test_payload_columns(spark):
@@ -236,6 +252,38 @@ def test_spatial_groups(spark):
     cloud = [(1, i, float(x), float(y), float(0 if i % 2 else 2.4)) for i, (x, y) in enumerate(rng.uniform(0, 4, (400, 2)))]
     up = spatial.up_direction(spark.createDataFrame(cloud, "r int, point_id int, x double, y double, z double"), "r").first()
     assert up["uz"] > 0.99 and up["score"] > 0.95
+    turned = spark.createDataFrame([(r, i, z, y, x) for r, i, x, y, z in cloud] + [(2, i, float(i), 0.0, 1.0) for i in range(49)], "r int, point_id int, x double, y double, z double")
+    ups = {r["r"]: r for r in spatial.up_direction(turned, "r").collect()}
+    assert abs(ups[1]["ux"]) > 0.99 and (ups[2]["ux"], ups[2]["uy"], ups[2]["uz"], ups[2]["score"]) == (0.0, 0.0, 1.0, 0.0)
+    nudged = spatial.up_direction(turned.filter("r = 1"), "r", prior=(1.0, 0.0, 0.0)).first()
+    assert nudged["score"] == pytest.approx(ups[1]["score"]) and nudged["score"] > spatial.up_direction(turned.filter("r = 1"), "r", prior=(0.0, 0.0, 1.0)).first()["score"]
+
+
+def test_walls_count_all_points_of_a_room(spark):
+    points = spark.createDataFrame([(1, 0.05, 0.0), (1, 0.3, 0.0), (1, 5.0, 0.0), (1, 9.0, 0.0)], "room int, x double, y double")
+    walls = spark.createDataFrame([(1, 7, 1.0, 0.0, 0.0)], "room int, wall_id int, nx double, ny double, offset double")
+    row = spatial.wall_inliers(points, walls, "room").first()
+    assert (row["n"], row["inlier_fraction"]) == (4, 0.25)
+
+
+def test_widest_pair_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, i, float(x), float(y)) for g in range(3) for i, (x, y) in enumerate(rng.normal(size=(200, 2)))] + [(9, 0, 1.0, 1.0), (8, 0, 0.0, 0.0), (8, 1, 3.0, 4.0), (8, 2, 3.0, 4.0)]
+    got = {r["g"]: r["widest"] for r in spatial.widest_pair(spark.createDataFrame(rows, "g int, id int, x double, y double"), "g", "id").collect()}
+    for g in got:
+        own = [(x, y) for k, _, x, y in rows if k == g]
+        assert got[g] == pytest.approx(max(math.dist(p, q) for p in own for q in own))
+
+
+def test_blocking_spreads_over_any_distance(spark):
+    needs = [(f"s{i + 1}", f"s{i}") for i in range(30)] + [("s5", "other")]
+    stages = [f"s{i}" for i in range(31)] + ["other"]
+    rows = [(1, s, "failed" if s == "s3" else "ok") for s in stages] + [(2, s, "failed" if s == "other" else "ok") for s in stages] + [(3, s, "ok") for s in stages] + [(3, None, "failed"), (3, "s9", None)]
+    got = {}
+    for r in versioning.blocked_stages(spark.createDataFrame(rows, "run int, stage string, status string"), stages, needs).collect():
+        got.setdefault(r["run"], {})[r["stage"]] = r["effective"]
+    assert [got[1][s] for s in ("s2", "s3", "s4", "s30", "other")] == ["ok", "failed", "skipped", "skipped", "ok"]
+    assert [got[2][s] for s in ("s4", "s5", "s30")] == ["ok", "skipped", "skipped"] and got[3]["s30"] == "ok" and got[3][None] == "failed"
 
 
 def test_components_and_islands(spark):
@@ -244,6 +292,10 @@ def test_components_and_islands(spark):
     points = spark.createDataFrame([("f", i, float(x), 0.0) for i, x in enumerate((0, 1, 5, 6, 20))], "f string, id long, x double, y double")
     links = graph.join_islands(points, spark.createDataFrame([("f", 0, 1), ("f", 2, 3)], "f string, a long, b long"), "f")
     assert sorted((r["a"], r["b"]) for r in links.collect()) == [(1, 2), (3, 4)]
+    grid = spark.createDataFrame([("f", i, float(i % 4), float(i // 4)) for i in range(16)], "f string, id long, x double, y double")
+    none = spark.createDataFrame([], "f string, a long, b long")
+    runs = [sorted((r["a"], r["b"]) for r in graph.join_islands(g, none, "f").collect()) for g in (grid, grid.orderBy(F.desc("id")), grid.repartition(5))]
+    assert len(runs[0]) == 15 and runs[0] == runs[1] == runs[2]
 
 
 def test_streamed_sessions_equal_batch(spark, tmp_path):

@@ -1,10 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 Test items are partitioned by the number of their shingles into classes of 8, 16, 32 and so on. For
-a class of up to s shingles, a document is a row of half-overlapping segments of 2 s shingles, so
-an item stands whole in one of them, whose size fits its own: containment there is a Jaccard
-similarity of a fifth or more, however long the document is. Each of the 64 minima of a segment
-is a key of its own. Keys of segments are tested against a bit table of all items' keys, whose
+a class of s shingles, its items having more than half of that, a document is a row of
+half-overlapping segments of 2 s shingles, so an item stands whole in one of them, whose size fits
+its own: containment there is a Jaccard similarity of a fifth or more, however long the document
+is. Each of the 64 minima of a segment is a key of its own. In the class of 8, whose items may
+have a single shingle, every shingle is a key, so none of its places is missed. Keys are tested against a bit table of all items' keys, whose
 size is fixed; hits go to a join with the items. A document with a hit brings those of its
 shingles that may be any item's, by a second such table, so that the join's exact intersection
 needs no text.
@@ -44,15 +45,24 @@ def _blocks(doc: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]
     return bounds[text] + within * size, text
 
 
+def shingle_keys(value: np.ndarray) -> np.ndarray:
+    """The keys of the lowest class: of single shingles."""
+    return tokens.mix(value ^ U64(BASE))
+
+
 def segment_keys(doc: np.ndarray, value: np.ndarray, n: int, classes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, key) of every segment and hash, class by class and hash by hash. Keys carry their
-    class. A class's blocks are made of two of the class below."""
+    """(text, key) of every segment and hash, class by class and hash by hash; in the lowest class,
+    of every shingle. Keys carry their class. A class's blocks are made of two of the class below."""
     if not len(value):
         return
-    start, text = _blocks(doc, n, BASE)
+    if BASE in classes:
+        yield doc, shingle_keys(value)
+    if max(classes) == BASE:
+        return
+    start, text = _blocks(doc, n, 2 * BASE)
     for k in range(HASHES):
         low = np.minimum.reduceat(value * _FACTORS[k], start)
-        own, size = text, BASE
+        own, size = text, 2 * BASE
         while True:
             if size in classes:
                 both = low.copy()
@@ -85,7 +95,7 @@ def item_index(items: DataFrame, id_col: str, text_col: str, size: int) -> DataF
                     while s < len(own):
                         s *= 2
                     low = (own[None] * _FACTORS[:, None]).min(1)
-                    keys = tokens.mix(low ^ (_SALT + U64(s)))
+                    keys = shingle_keys(own) if s == BASE else tokens.mix(low ^ (_SALT + U64(s)))
                     rows.append((first + int(d), len(own), s, own.view(np.int64), keys.view(np.int64)))
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -111,7 +121,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Null and empty texts hold nothing. Items of fewer words than a shingle cannot be told from
     chance and give nothing. Null ids take no part. Rows that share a doc_id are searched each and
-    reported once, with their best. Empty tables give no rows. Texts are searched whole.
+    reported once, with their best. Empty tables give no rows. Texts are searched whole, however
+    long. Other columns are not read, whatever their names.
     """
     small_arrow_batches(docs.sparkSession)
     index = materialize(item_index(items, item_id, item_text, size), "items")

@@ -174,6 +174,38 @@ def test_secret_beside_an_access_id(spark):
     assert row[0]["spans"] == f"access:7:27,weak:28:{28 + len(secret)}" and row[1]["spans"] == ""
 
 
+def brute_secrets(text, reach=secrets.REACH):
+    """Spans by plain loops: strong ones, and weak ones that have a complement near."""
+    base = []
+    for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        base += [(m.start(), 0, m.end())] * (len(m[2]) >= 12)
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    names, sites, weak = ([(m.start(), kind, m.end()) for m in pattern.finditer(text)] for kind, pattern in ((3, secrets.NAME), (5, secrets.ENDPOINT), (4, secrets.WEAK)))
+    apart = lambda a, b: max(a[0], b[0]) - min(a[2], b[2])
+    weak = [w for w in weak if all(apart(w, o) >= 0 for o in base + names + sites)]
+    ids = names + [b for b in base if b[1] == 1]
+    weak = [w for w in weak if any(apart(w, i) <= reach for i in ids)]
+    names = [n for n in names if any(apart(n, o) <= reach for o in [b for b in base if b[1] != 1] + weak)]
+    sites = [e for e in sites if any(apart(e, o) <= reach for o in base + weak)]
+    return sorted(base), sorted(base + names + weak + sites)
+
+
+def test_secrets_against_brute_force(spark):
+    rng = random.Random(31)
+    pieces = ["password = abcdefghijkl", "token: short", "AKIA" + "Q7" * 8, "AKIA1", "deadbeefdeadbeef", "user=carol", "mail carol@example.org", "https://db.example.com/x", "host: db1", "x9y8z7w6v5u4t3", "aB3" * 7, "api_key='ZZZZZZZZZZZZ'", "é" * 3]
+    texts = []
+    for _ in range(150):
+        texts.append(" ".join(x for _ in range(rng.randrange(1, 9)) for x in (rng.choice(pieces), "plain " * rng.randrange(30))))
+    rows = secrets.scan_secrets(spark.createDataFrame(rows_of(texts), SCHEMA)).orderBy("doc_id").collect()
+    linked = 0
+    for row, text in zip(rows, texts):
+        base, every = brute_secrets(text)
+        assert row["base_sha256"] == hashlib.sha256(secrets.listed(base).encode()).hexdigest() and row["spans"] == secrets.listed(every), text
+        linked += len(every) - len(base)
+    assert linked > 50
+
+
 def test_licenses_places(spark):
     texts = ["All rights reserved. ALL rights\nreserved", "under CC-BY 4.0, cc by", "GNU General Public License, version 3.", "general public", "released under the MIT License", "cc bye, all rights"]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
@@ -274,6 +306,13 @@ def test_decontamination_finds_items_in_long_texts(spark):
     assert got == {(i, i) for i, _ in items}
 
 
+def test_decontamination_of_short_items_is_exact(spark):
+    items = [(i, prose(7000 + i, 5 + i % 8).replace("\n", " ")) for i in range(120)]
+    docs = [prose(8000 + i, 40) + " " + t + " " + prose(8500 + i, 60 + i % 30) for i, t in items]
+    got = {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_shared"]) for r in decontaminate.contaminated(spark.createDataFrame(rows_of(docs), SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i): (1 + i % 8, 1 + i % 8) for i, _ in items}
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((6000, 32))

@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
 columns of documents; each result is written as Parquet and read again as the next one's docs.
+
+Odd rows: a null or empty text is scored as one empty line, loses no lines, is nobody's copy, holds
+no item and gives no words. Rows of a null id are judged by their text alone and lose no lines; near
+copies among them stay. Repeated rows of one id are scored and searched each; near_dedup treats
+them as one document, and the mix as several. Of equal texts, that of the smallest id stays. Texts
+are read whole, however long. An empty table stays empty; other columns, whatever their names, are
+passed on. Labels of one kind only leave every document in.
 """
 
 from __future__ import annotations

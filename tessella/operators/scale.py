@@ -19,13 +19,29 @@ def _active(rows: DataFrame, k: int) -> DataFrame:
     return rows
 
 
-def _step(base: DataFrame, state: DataFrame, by: str, k: int, value: Column, name: str) -> DataFrame:
-    """state with one more aggregate of the rows still active, written: it is small, and the next
-    step starts from it and not from all before."""
-    found = _active(base.join(state, by), k).groupBy(by).agg(value.alias(name))
-    out = materialize(state.join(found, by, "left"), "state")
-    discard(state)
-    return out
+#: Up to so many groups, what the rounds find for them is carried by the driver and broadcast.
+FEW = 10_000
+
+
+class _State:
+    """A row per group: what the rounds so far found for it. The next step starts from it and not
+    from all before: from rows that the driver holds, if their number is checked to be small, or
+    from a written table."""
+
+    def __init__(self, state: DataFrame, by: str):
+        self.by, self.few = by, state.count() <= FEW
+        self.table = self._kept(state)
+
+    def _kept(self, state: DataFrame) -> DataFrame:
+        if self.few:
+            return F.broadcast(state.sparkSession.createDataFrame(state.collect(), state.schema))
+        return materialize(state, "state")
+
+    def step(self, base: DataFrame, k: int, value: Column, name: str) -> None:
+        """Adds an aggregate of the rows still active after k rounds."""
+        found = _active(base.join(self.table, self.by), k).groupBy(self.by).agg(value.alias(name))
+        old, self.table = self.table, self._kept(self.table.join(found, self.by, "left"))
+        discard(old)
 
 
 def solve(constraints: DataFrame, by: str, rounds: int = 3, reject: float = 2.5) -> DataFrame:
@@ -37,25 +53,27 @@ def solve(constraints: DataFrame, by: str, rounds: int = 3, reject: float = 2.5)
     least two stay and not all. A round without rejection changes nothing, so a fixed number of
     rounds does: each is a fit, two medians and a count per group over the same base rows, which
     the small table of groups filters. Groups without a usable constraint give none.
+    A group's median is that of one task; a group is a listing here, or a few hundred at most.
     """
     t, o = F.col("target"), F.col("observed")
     usable = constraints.filter((t > 0) & (o > 0) & (t < F.lit(float("inf"))) & (o < F.lit(float("inf"))))
     base = materialize(usable.select(by, "power", "weight", "kind", (F.ln("target") - F.ln("observed")).alias("y")), "constraints")
-    state = base.groupBy(by).agg(F.count(F.lit(1)).alias("n_all"))
-    for k in range(rounds):  # state has a row per group: what the rounds so far found for it
-        state = _step(base, state, by, k, F.sum(F.col("weight") * F.col("power") * F.col("y")) / F.nullif(F.sum(F.col("weight") * F.col("power") * F.col("power")), F.lit(0.0)), f"ls{k}")
-        state = _step(base, state, by, k, F.median(_residual(k)), f"med{k}")
-        state = _step(base, state, by, k, F.lit(1.4826) * F.median(F.abs(_residual(k) - F.col(f"med{k}"))), f"mad{k}")
+    state = _State(base.groupBy(by).agg(F.count(F.lit(1)).alias("n_all")), by)
+    fit = F.sum(F.col("weight") * F.col("power") * F.col("y")) / F.nullif(F.sum(F.col("weight") * F.col("power") * F.col("power")), F.lit(0.0))
+    for k in range(rounds):
+        state.step(base, k, fit, f"ls{k}")
+        state.step(base, k, F.median(_residual(k)), f"med{k}")
+        state.step(base, k, F.lit(1.4826) * F.median(F.abs(_residual(k) - F.col(f"med{k}"))), f"mad{k}")
         near = F.abs(_residual(k) - F.col(f"med{k}")) <= F.lit(reject) * F.col(f"mad{k}")
-        state = _step(base, state, by, k, F.struct(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("keep")), f"c{k}")
+        state.step(base, k, F.struct(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("keep")), f"c{k}")
         c = F.col(f"c{k}")
         acts = (c["n"] > 2) & (F.col(f"mad{k}") > 1e-6) & (c["keep"] >= 2) & (c["keep"] < c["n"])
-        state = state.withColumn(f"bound{k}", F.when(acts, F.lit(reject) * F.col(f"mad{k}"))).drop(f"c{k}", f"mad{k}")
-    state = _step(base, state, by, rounds, F.sum(F.col("weight") * F.col("power") * F.col("y")) / F.nullif(F.sum(F.col("weight") * F.col("power") * F.col("power")), F.lit(0.0)), f"ls{rounds}")
-    at = _active(base.join(state, by), rounds).withColumn("r", _residual(rounds)).withColumn("ls", F.col(f"ls{rounds}"))
+        state.table = state.table.withColumn(f"bound{k}", F.when(acts, F.lit(reject) * F.col(f"mad{k}"))).drop(f"c{k}", f"mad{k}")
+    state.step(base, rounds, fit, f"ls{rounds}")
+    at = _active(base.join(state.table, by), rounds).withColumn("r", _residual(rounds)).withColumn("ls", F.col(f"ls{rounds}"))
     w, r = F.col("weight"), F.col("r")
     out = at.groupBy(by).agg(F.first("ls").alias("log_scale"), F.count(F.lit(1)).alias("n_used"), F.countDistinct("kind").alias("kinds"), F.sqrt(F.sum(w * r * r) / F.nullif(F.sum(w) * F.greatest(F.lit(1), F.count(F.lit(1)) - 1), F.lit(0.0))).alias("sigma_log"), ((F.exp(F.sqrt(F.avg(r * r))) - 1) * 100).alias("residual_rms_pct"))
-    return out.join(state.select(by, "n_all"), by).select(by, F.exp("log_scale").alias("scale"), "log_scale", F.coalesce("sigma_log", F.lit(0.0)).alias("sigma_log"), "residual_rms_pct", "n_used", (F.col("n_all") - F.col("n_used")).alias("n_rejected"), "kinds")
+    return out.join(state.table.select(by, "n_all"), by).select(by, F.exp("log_scale").alias("scale"), "log_scale", F.coalesce("sigma_log", F.lit(0.0)).alias("sigma_log"), "residual_rms_pct", "n_used", (F.col("n_all") - F.col("n_used")).alias("n_rejected"), "kinds")
 
 
 def quality(n_used: Column, kinds: Column, rms_pct: Column, n_rejected: Column) -> Column:

@@ -20,6 +20,10 @@ def con():
     return con
 
 
+#: Whose input at this scale may give nothing.
+MAY_BE_EMPTY = {"island_links"}
+
+
 def ordered(rows):
     """Rows in an order that the last digits of floats don't decide."""
     plain = lambda v: v is None or not isinstance(v, (int, float)) or isinstance(v, bool)
@@ -45,7 +49,10 @@ def test_same_rows_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
-    assert registry.queries()[name](spark, DATA).columns
+    out = registry.queries()[name](spark, DATA)
+    rows = out.collect()
+    assert out.columns and (rows or name in MAY_BE_EMPTY)
+    assert sorted(map(str, rows)) == sorted(map(str, registry.queries()[name](spark, DATA).collect()))
 
 
 def test_entry(spark):

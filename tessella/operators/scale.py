@@ -34,7 +34,7 @@ class _State:
 
     def _kept(self, state: DataFrame) -> DataFrame:
         if self.few:
-            return F.broadcast(state.sparkSession.createDataFrame(state.collect(), state.schema))
+            return F.broadcast(state.sparkSession.createDataFrame(state.toArrow(), state.schema))
         return materialize(state, "state")
 
     def step(self, base: DataFrame, k: int, value: Column, name: str) -> None:

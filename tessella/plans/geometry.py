@@ -40,20 +40,29 @@ def pixel_to_metre(spark, d):
     return r.select("p_partkey", F.round(g.area(m), 6).alias("area_m2"), F.round(F.array_max(F.transform(m, lambda v: v["y"])), 6).alias("top"))
 
 
-def point_in_room(spark, d):
-    """Suppliers' points in rooms: a grid-bucket equi-join, then the exact test; the smallest room
-    wins a point that is in several."""
-    from pyspark.sql import Window
-
+def _hits(spark, d):
+    """Suppliers' points in rooms: a grid-bucket equi-join, then the exact test."""
     cell = 60.0
-    pts = table(spark, d, "supplier").select("s_suppkey", (F.pmod(F.abs("s_acctbal"), F.lit(280.0)) + 0.013).alias("px"), (F.col("s_suppkey") * 4 % 440 + 0.517).cast("double").alias("py"))
+    pts = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", (F.pmod(F.abs("s_acctbal"), F.lit(280.0)) + 0.013).alias("px"), (F.col("s_suppkey") * 4 % 440 + 0.517).cast("double").alias("py"))
     pts = pts.withColumn("gx", F.floor(F.col("px") / cell)).withColumn("gy", F.floor(F.col("py") / cell))
     r = _rooms(spark, d)
     over = lambda lo, size: F.explode(F.sequence(F.floor(lo / cell), F.floor((lo + size) / cell)))
     cells = r.withColumn("gx", over(F.col("x"), F.col("w"))).withColumn("gy", over(F.col("y"), F.col("h")))
-    hit = pts.join(cells, ["gx", "gy"]).filter((F.col("px").between(F.col("x"), F.col("x") + F.col("w"))) & F.col("py").between(F.col("y"), F.col("y") + F.col("h")) & g.contains(F.col("polygon"), F.col("px"), F.col("py")))
+    return pts.join(cells, ["gx", "gy"]).filter((F.col("px").between(F.col("x"), F.col("x") + F.col("w"))) & F.col("py").between(F.col("y"), F.col("y") + F.col("h")) & g.contains(F.col("polygon"), F.col("px"), F.col("py")))
+
+
+def point_in_room(spark, d):
+    """The room of each point: of several, the smallest."""
+    from pyspark.sql import Window
+
     w = Window.partitionBy("s_suppkey").orderBy(g.area(F.col("polygon")), "p_partkey")
-    return hit.withColumn("k", F.row_number().over(w)).withColumn("rooms", F.count(F.lit(1)).over(Window.partitionBy("s_suppkey"))).filter("k = 1").select("s_suppkey", "p_partkey", "rooms")
+    return _hits(spark, d).withColumn("k", F.row_number().over(w)).withColumn("rooms", F.count(F.lit(1)).over(Window.partitionBy("s_suppkey"))).filter("k = 1").select("s_suppkey", "p_partkey", "rooms")
+
+
+def room_captions(spark, d):
+    """The caption of each room: of those inside, the biggest, of equally big ones the first."""
+    size = F.struct(F.abs("s_acctbal").alias("size"), (-F.col("s_suppkey")).alias("first"))
+    return _hits(spark, d).groupBy("p_partkey").agg(F.max_by("s_suppkey", size).alias("s_suppkey"), F.count(F.lit(1)).alias("captions"))
 
 
 def caption_hit_rate(spark, d):
@@ -112,13 +121,14 @@ _HITS = f"""
 hit AS (SELECT s_suppkey, p_partkey, CASE WHEN ell THEN w * h * 0.75 ELSE w * h END AS area FROM pts JOIN r ON px >= x AND px < x + w AND py >= y AND py < y + h WHERE NOT (ell AND px >= x + w / 2 AND py >= y + h / 2)),
 best AS (SELECT s_suppkey, p_partkey, count(*) OVER (PARTITION BY s_suppkey) AS rooms FROM hit QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY area, p_partkey) = 1)"""
 
-QUERIES = {f.__name__: f for f in (polygon_area, polygon_orientation, pixel_to_metre, point_in_room, caption_hit_rate, angles_and_views, polygon_overlap, polygon_tools, pose_fit)}
+QUERIES = {f.__name__: f for f in (polygon_area, polygon_orientation, pixel_to_metre, point_in_room, room_captions, caption_hit_rate, angles_and_views, polygon_overlap, polygon_tools, pose_fit)}
 ORACLES = {
     "polygon_area": f"""WITH {_R}
 SELECT p_partkey, round(CASE WHEN ell THEN w * h * 0.75 ELSE w * h END, 4) AS area, round(2 * (w + h), 4) AS perimeter, round(CASE WHEN ell THEN w * 5 / 12 ELSE w / 2 END, 4) AS cx, round(CASE WHEN ell THEN h * 5 / 12 ELSE h / 2 END, 4) AS cy, w AS bw, h AS bh FROM r""",
     "polygon_orientation": f"WITH {_R} SELECT p_partkey, round(CASE WHEN ell THEN w * h * 0.75 ELSE w * h END, 4) AS area, greatest(w, h) AS long_side, least(w, h) AS short_side, true AS ccw FROM r",
     "pixel_to_metre": f"WITH {_R} SELECT p_partkey, round(CASE WHEN ell THEN w * h * 0.75 ELSE w * h END / 100, 6) AS area_m2, round((500 - y) / 10, 6) AS top FROM r",
     "point_in_room": f"WITH {_HITS} SELECT s_suppkey, p_partkey, rooms FROM best",
+    "room_captions": f"WITH {_HITS} SELECT p_partkey, s_suppkey, captions FROM (SELECT h.p_partkey, h.s_suppkey, count(*) OVER (PARTITION BY p_partkey) AS captions, abs(s_acctbal) AS size FROM hit h JOIN supplier s ON h.s_suppkey = s.s_suppkey) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY size DESC, s_suppkey) = 1",
     "caption_hit_rate": f"WITH {_HITS} SELECT count(*) AS n, round(avg((coalesce(rooms, 0) = 1)::INT), 6) AS rate FROM supplier LEFT JOIN best USING (s_suppkey)",
     "angles_and_views": """
 SELECT p_partkey, round(((p_partkey * 37.5::DOUBLE - 540) % 360 + 360) % 360 - 180, 6) AS wrapped,

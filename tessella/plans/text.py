@@ -8,6 +8,8 @@ from tessella.functions import text as tx
 from tessella.sources import html as hs
 from tessella.sources.tables import table
 
+COMMON_GROUP = "# all\nUser-agent: *\nDisallow: /de/  # most of it\nAllow: /de/1*\nCrawl-delay: 2\n"
+NAMED_GROUP = "Sitemap: /s.xml\n\nUser-Agent: otherbot\nUser-agent: tessellabot\nDisallow: /en/\nDisallow:\n"
 RULES = (("/de/", False), ("/de/1*", True), ("/*?page=1", False), ("/fr/*ref=x$", False), ("/es", True), ("/es/", False), ("/en/2", False), ("/en/2", True), ("*7?", False))
 
 
@@ -66,6 +68,14 @@ def url_rules(spark, d):
     return tx.robots(table(spark, d, "pages"), "url", rules)
 
 
+def robots_by_host(spark, d):
+    """Each host's own robots file, of which every other has a group for the agent."""
+    hosts = table(spark, d, "pages").select(tx.host_of(F.col("url")).alias("host")).distinct()
+    body = F.concat(F.lit(COMMON_GROUP), F.when(F.length("host") % 2 == 0, F.lit(NAMED_GROUP)).otherwise(F.lit("")))
+    rules = tx.robots_rules(hosts.withColumn("body", body), "host", "body", "Mozilla/5.0 (compatible; TessellaBot/1.0)")
+    return tx.robots(table(spark, d, "pages"), "url", rules)
+
+
 def url_paths(spark, d):
     return table(spark, d, "pages").select("page_id", tx.path_of(F.col("url")).alias("path"))
 
@@ -123,7 +133,7 @@ _PATH = "(CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THE
 
 QUERIES = {
     f.__name__: f
-    for f in (canonical_label, area_extract, scale_text, room_vocabulary, slugs, dwelling_filter, dimension_parse, url_rules, url_paths, html_payload, embedded_json, json_props, enum_counts, price_digits, image_label_adjudication)
+    for f in (canonical_label, area_extract, scale_text, room_vocabulary, slugs, dwelling_filter, dimension_parse, url_rules, robots_by_host, url_paths, html_payload, embedded_json, json_props, enum_counts, price_digits, image_label_adjudication)
 }
 ORACLES = {
     "canonical_label": f"WITH {_CAPTIONS} SELECT p_partkey, {_LABELS} AS label FROM c",
@@ -138,6 +148,10 @@ SELECT p_partkey, CASE WHEN p_size < 12 AND p_size > 6 THEN 'bedrooms=' || p_siz
     "url_rules": f"""
 WITH r(rule, allow, pattern) AS (VALUES {_RULES}), p AS (SELECT DISTINCT url, {_PATH} AS path FROM pages),
 m AS (SELECT url, rule, allow FROM p LEFT JOIN r ON regexp_matches(path, pattern))
+SELECT url, coalesce(allow, true) AS allowed, rule FROM m QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(rule) DESC NULLS LAST, allow DESC) = 1""",
+    "robots_by_host": f"""
+WITH r(named, rule, allow, pattern) AS (VALUES (false, '/de/', false, '^/de/'), (false, '/de/1*', true, '^/de/1.*'), (true, '/en/', false, '^/en/')),
+p AS (SELECT DISTINCT url, {_PATH} AS path, length(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))) % 2 = 0 AS named FROM pages), m AS (SELECT url, rule, allow FROM p LEFT JOIN r ON p.named = r.named AND regexp_matches(path, pattern))
 SELECT url, coalesce(allow, true) AS allowed, rule FROM m QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(rule) DESC NULLS LAST, allow DESC) = 1""",
     "url_paths": f"SELECT page_id, url_decode({_PATH}) AS path FROM pages",
     "html_payload": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href="')) AS BIGINT) AS links, CAST(length(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS BIGINT) AS text_length FROM pages""",

@@ -137,6 +137,15 @@ def test_robots_longest_match_and_ties(spark):
     assert got == {"/a/1": False, "/a/b/2": True, "/x": False, "/xy": True, "/t": True, "/other": True, "": True}
 
 
+def test_robots_groups(spark):
+    body = "User-agent: *\nDisallow: /api/*\n\nUser-agent: GPTBot\nUser-agent: two\nSitemap: x\nDisallow: /\n# User-agent: none\nuser-agent : two\nAllow : /open # yes\n"
+    files = spark.createDataFrame([("a", body), ("b", "User-agent: *\nDisallow:"), ("c", ""), ("d", None)], "h string, b string")
+    rules = lambda agent: sorted((r["host"], r["rule"], r["allow"]) for r in tx.robots_rules(files, "h", "b", agent).collect())
+    assert rules("Mozilla/5.0") == [("a", "/api/*", False), ("b", "", False)]
+    assert rules("gptbot") == [("a", "/", False), ("b", "", False)]
+    assert rules("Bot Two/1") == [("a", "/", False), ("a", "/open", True), ("b", "", False)]
+
+
 def test_flattened_payloads():
     flat = [{"a": 1, "b": 2, "c": -1, "me": 0}, [3, 3, -3], "text", {"k": True}, 9]
     out = html.unflatten(flat)

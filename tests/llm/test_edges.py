@@ -54,6 +54,22 @@ def test_null_and_empty_texts(corpus, labels):
         assert got["neardup"][i]["n_shingles"] == 0 and got["neardup"][i]["kept"]
 
 
+def test_texts_longer_than_a_chunk(spark, labels):
+    """Texts over a megabyte, of one line and of many, whose tails differ from all that is before."""
+    body = prose(11, 150_000)
+    texts = [body, body + "\nthe very end differs", body.replace("\n", " "), "x" * 1_500_000]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {k: {r["doc_id"]: r for r in v.collect()} for k, v in per_document(docs, labels).items()}
+    assert all(len(rows) == 4 for rows in got.values()) and all(len(t.encode()) > 1 << 20 for t in texts)
+    assert [got["substrings"][i]["n_words"] for i in range(4)] == [150_000, 150_004, 150_000, 1]
+    assert got["substrings"][1]["n_removed"] == got["substrings"][2]["n_removed"] == 150_000
+    assert [got["mixing"][i]["size"] for i in range(4)] == [150_000, 150_004, 150_000, 1]
+    words = body.split()
+    assert got["neardup"][0]["n_shingles"] == len(set(zip(*(words[i:] for i in range(5))))) and [got["neardup"][i]["component_id"] for i in range(4)] == [0, 0, 0, 3]
+    assert got["lines"][1]["n_deleted"] == 12_500 and got["lines"][2]["n_deleted"] == 0
+    assert got["licenses"][3]["n_words"] == 1 and got["secrets"][3]["spans"] == ""
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, corpus, empty, labels, tmp_path, name, stage):
     folder = str(tmp_path)

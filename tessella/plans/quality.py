@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.operators import quality as op
 from tessella.operators import statistics as st
 from tessella.operators import versioning as ver
+from tessella.sources import artifacts
 from tessella.sources.tables import table
 
 #: Stages and what each needs; the photo branch and the plan branch meet at assembly.
@@ -57,6 +58,12 @@ def latest_version(spark, d):
     return ver.latest(version_history(spark, d), ["user_id"]).select("user_id", "version", "sha")
 
 
+def present_stages(spark, d):
+    """Users as listings, their kinds of events as stages."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("listing_id"), F.col("event_type").alias("stage"))
+    return artifacts.present_stages(e).select("listing_id", F.array_join("stages", ",").alias("stages"), "versions")
+
+
 def content_hashes(spark, d):
     """Equal payloads by content: how often each is written."""
     p = table(spark, d, "part").select(ver.content_hash(["p_type", "p_brand"]).alias("h"), "p_partkey")
@@ -123,8 +130,8 @@ def priority_queue(spark, d):
 
 
 def fit_verdicts(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 11 != 0, F.col("p_size") / 50.0).alias("fit"), (F.col("p_retailprice") > 950).alias("a"), (F.col("p_size") > 44).alias("b"))
-    return p.select("p_partkey", op.fit_verdict(F.col("fit"), [F.col("a"), F.col("b")]).alias("verdict"))
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 11 != 0, F.col("p_size") / 50.0).alias("fit"), (F.col("p_retailprice") > 950).alias("a"), (F.col("p_size") > 44).alias("b"), (F.col("p_partkey") % 13 > 0).alias("c"), F.when(F.col("p_partkey") % 17 > 0, True).alias("e"))
+    return p.select("p_partkey", op.fit_verdict(F.col("fit"), [F.col(x) for x in "abce"]).alias("verdict"))
 
 
 def engine_fallback(spark, d):
@@ -177,7 +184,7 @@ _STAGES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(STAGES))
 
 QUERIES = {
     f.__name__: f
-    for f in (schema_violations, qa_flags, flag_frequency, flag_union, run_status, version_history, latest_version, content_hashes, required_artifacts, override_merge, nested_override, stage_blocking, earliest_rerun, share_and_gate, rescaled_totals, priority_queue, fit_verdicts, engine_fallback, condition_majority, blocking_flags, integrity_verify, dataset_catalogue)
+    for f in (schema_violations, qa_flags, flag_frequency, flag_union, run_status, version_history, latest_version, present_stages, content_hashes, required_artifacts, override_merge, nested_override, stage_blocking, earliest_rerun, share_and_gate, rescaled_totals, priority_queue, fit_verdicts, engine_fallback, condition_majority, blocking_flags, integrity_verify, dataset_catalogue)
 }
 ORACLES = {
     "schema_violations": """
@@ -196,6 +203,7 @@ SELECT l_orderkey, CASE WHEN bool_and(status = 'failed') THEN 'failed' WHEN bool
   count(*) FILTER (seconds > 40) AS over_budget, sum(seconds) > 120 AS slo_breach FROM s GROUP BY 1""",
     "version_history": f"WITH {_VER} SELECT user_id, version, sha, written_at, last_seen_at, seen_count FROM v",
     "latest_version": f"WITH {_VER} SELECT user_id, version, sha FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY version DESC) = 1",
+    "present_stages": "SELECT user_id AS listing_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS stages, count(*) AS versions FROM events GROUP BY 1",
     "content_hashes": """SELECT sha256('{"p_brand":"' || p_brand || '","p_type":"' || p_type || '"}') AS h, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1""",
     "required_artifacts": """
 WITH e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS user_day, event_type FROM events), k AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type),
@@ -224,7 +232,7 @@ SELECT s_suppkey, round(CASE WHEN a <> 0 AND total > 0 THEN a / total * 60 ELSE
 WITH s AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'P') AS blocking, avg((o_orderstatus = 'F')::INT) AS conf FROM orders GROUP BY 1)
 SELECT c_custkey, round(coalesce(blocking, 0) * 2 + (1 - coalesce(conf, 0)) * 3 + CASE WHEN blocking IS NOT NULL THEN 0 ELSE 5 END, 6) AS priority FROM customer LEFT JOIN s ON c_custkey = o_custkey ORDER BY priority DESC, c_custkey LIMIT 100""",
     "fit_verdicts": """
-SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'unknown' WHEN p_size / 50.0::DOUBLE < 0.70 THEN 'poor' WHEN p_size / 50.0::DOUBLE >= 0.85 AND p_retailprice > 950 AND p_size > 44 THEN 'clean' ELSE 'check' END AS verdict FROM part""",
+SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'unknown' WHEN p_size / 50.0::DOUBLE < 0.70 THEN 'poor' WHEN p_size / 50.0::DOUBLE >= 0.85 AND p_retailprice > 950 AND p_size > 44 AND p_partkey % 13 > 0 AND p_partkey % 17 > 0 THEN 'clean' ELSE 'check' END AS verdict FROM part""",
     "engine_fallback": """
 SELECT l_partkey, s_suppkey, s_nationkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY s_nationkey, s_suppkey) = 1""",
     "condition_majority": "SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') * 2 > count(*) AS unusual FROM lineitem GROUP BY 1",

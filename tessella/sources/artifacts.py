@@ -65,6 +65,23 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.sha2("content", 256).alias("sha256"), "path", "length").groupBy("sha256").agg(F.min("path").alias("path"), F.first("length").alias("length"))
 
 
+def put_blobs(files: DataFrame, store: str, content: str = "content") -> None:
+    """Adds contents to a content-addressed store: a row (sha256, content) for each that isn't there
+    yet, in folders by the hash's first two digits, so a look-up reads one. Null contents are left
+    out. The store's hashes alone are read to tell what is new."""
+    spark = files.sparkSession
+    new = files.filter(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("sha256"), F.col(content).alias("content")).dropDuplicates(["sha256"])
+    at = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        new = new.join(spark.read.parquet(store).select("sha256"), "sha256", "left_anti")
+    new.withColumn("head", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("head").parquet(store)
+
+
+def present_stages(store: DataFrame) -> DataFrame:
+    """listing_id, stages (sorted), versions: what each listing of a store has."""
+    return store.groupBy("listing_id").agg(F.array_sort(F.collect_set("stage")).alias("stages"), F.count(F.lit(1)).alias("versions"))
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").json(path)
 

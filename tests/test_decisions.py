@@ -401,3 +401,12 @@ def test_a_shared_folder_is_asked_of_clusters(spark, monkeypatch):
     for master in ("spark://h:7077", "local-cluster[3,2,1024]", "yarn", ""):
         with pytest.raises(ValueError):
             session.shared_folder(Session(**{"spark.master": master}))
+
+
+def test_blobs_are_stored_once(spark, tmp_path):
+    store = str(tmp_path / "store")
+    frame = lambda *x: spark.createDataFrame([(None if v is None else bytearray(v),) for v in x], "content binary")
+    artifacts.put_blobs(frame(b"one", b"two", b"one", None), store)
+    artifacts.put_blobs(frame(b"two", b"three"), store)
+    rows = spark.read.parquet(store).collect()
+    assert sorted(bytes(r["content"]) for r in rows) == [b"one", b"three", b"two"] and all(r["sha256"].startswith(r["head"]) for r in rows)

@@ -51,25 +51,26 @@ def solve(constraints: DataFrame, by: str, rounds: int = 3, reject: float = 2.5)
     space. Up to `rounds` times, of more than two constraints those go whose residual is further
     from the median than `reject` scaled median deviations, if that deviation exceeds 1e-6, at
     least two stay and not all. A round without rejection changes nothing, so a fixed number of
-    rounds does: each is a fit, two medians and a count per group over the same base rows, which
-    the small table of groups filters. Groups without a usable constraint give none.
+    rounds does: each is two medians and a count with the next fit per group over the same base
+    rows, which the small table of groups filters. Groups without a usable constraint give none.
     A group's median is that of one task; a group is a listing here, or a few hundred at most.
     """
     t, o = F.col("target"), F.col("observed")
     usable = constraints.filter((t > 0) & (o > 0) & (t < F.lit(float("inf"))) & (o < F.lit(float("inf"))))
     base = materialize(usable.select(by, "power", "weight", "kind", (F.ln("target") - F.ln("observed")).alias("y")), "constraints")
     state = _State(base.groupBy(by).agg(F.count(F.lit(1)).alias("n_all")), by)
-    fit = F.sum(F.col("weight") * F.col("power") * F.col("y")) / F.nullif(F.sum(F.col("weight") * F.col("power") * F.col("power")), F.lit(0.0))
+    leverage = F.col("weight") * F.col("power")
+    of = lambda rows: F.sum(F.when(rows, leverage * F.col("y"))) / F.nullif(F.sum(F.when(rows, leverage * F.col("power"))), F.lit(0.0))
+    state.step(base, 0, of(F.lit(True)), "ls0")
     for k in range(rounds):
-        state.step(base, k, fit, f"ls{k}")
         state.step(base, k, F.median(_residual(k)), f"med{k}")
         state.step(base, k, F.lit(1.4826) * F.median(F.abs(_residual(k) - F.col(f"med{k}"))), f"mad{k}")
         near = F.abs(_residual(k) - F.col(f"med{k}")) <= F.lit(reject) * F.col(f"mad{k}")
-        state.step(base, k, F.struct(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("keep")), f"c{k}")
+        # the fit of the next round too, both ways: only this count tells which of them it is
+        state.step(base, k, F.struct(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("keep"), of(F.lit(True)).alias("every"), of(near).alias("kept")), f"c{k}")
         c = F.col(f"c{k}")
         acts = (c["n"] > 2) & (F.col(f"mad{k}") > 1e-6) & (c["keep"] >= 2) & (c["keep"] < c["n"])
-        state.table = state.table.withColumn(f"bound{k}", F.when(acts, F.lit(reject) * F.col(f"mad{k}"))).drop(f"c{k}", f"mad{k}")
-    state.step(base, rounds, fit, f"ls{rounds}")
+        state.table = state.table.withColumn(f"bound{k}", F.when(acts, F.lit(reject) * F.col(f"mad{k}"))).withColumn(f"ls{k + 1}", F.when(acts, c["kept"]).otherwise(c["every"])).drop(f"c{k}", f"mad{k}")
     at = _active(base.join(state.table, by), rounds).withColumn("r", _residual(rounds)).withColumn("ls", F.col(f"ls{rounds}"))
     w, r = F.col("weight"), F.col("r")
     out = at.groupBy(by).agg(F.first("ls").alias("log_scale"), F.count(F.lit(1)).alias("n_used"), F.countDistinct("kind").alias("kinds"), F.sqrt(F.sum(w * r * r) / F.nullif(F.sum(w) * F.greatest(F.lit(1), F.count(F.lit(1)) - 1), F.lit(0.0))).alias("sigma_log"), ((F.exp(F.sqrt(F.avg(r * r))) - 1) * 100).alias("residual_rms_pct"))

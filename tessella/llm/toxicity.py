@@ -32,7 +32,7 @@ SAMPLE, NEAREST, BLOCK = 1500, 15, 64
 #: Letters of a stem, marks of 2 to 4 different words of a stem, and the constant of reliability.
 STEMS, KINDS, DOUBT = (4, 6), 4, 100.0
 #: A term of one in so many examples is frequent; texts and postings of a search at most.
-FREQUENT, STEP, POSTINGS = 20, 64, 2_000_000
+FREQUENT, STEP, POSTINGS = 20, 64, 500_000
 #: What rounding may hide of a cosine.
 SLACK = 1e-5
 U64 = np.uint64
@@ -114,10 +114,12 @@ class Examples:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, weight: np.ndarray | None = None, nearest: int = NEAREST, block: int = BLOCK, doubt: float = DOUBT):
         self.nearest, self.block, self.rows, self.labels, self.ids, self.weight = nearest, block, rows, labels, ids, weight
-        flat = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.uint64)
-        self.terms, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-        n, pos, y = len(rows), int((labels == 1).sum()), np.repeat(labels, [len(t) for t, _ in rows])
-        both = np.bincount(inverse[y == 1], minlength=len(self.terms))
+        self.terms, df = np.unique(np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.uint64), return_counts=True)
+        n, pos = len(rows), int((labels == 1).sum())
+        both = np.zeros(len(df), np.int64)
+        for (t, _), label in zip(rows, labels.tolist()):
+            if label == 1:
+                both[np.searchsorted(self.terms, t)] += 1
         spread = df * (n - df) * float(pos * (n - pos))
         chi = np.where(spread > 0, (both * n - df * pos) ** 2.0 * n / np.maximum(spread, 1), 0.0)
         self.reliability = (chi + 1.0) / (chi + 1.0 + doubt)
@@ -141,22 +143,23 @@ class Examples:
 
     def _alike(self, vectors: list) -> list[int]:
         """Examples in the order of their weightiest terms, ties by all their terms."""
-        key = lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist(), vectors[i][0].tolist())
+        packed = lambda x: x.astype(">u4").tobytes()  # noqa: E731  in the order of the numbers
+        key = lambda i: (packed(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]]), packed(vectors[i][0]))
         return sorted(range(len(vectors)), key=key)
 
     def vector(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the terms that the examples have, weights); the whole is of length 1."""
         if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         have = self.terms[at] == term
-        at = at[have]
+        at = at[have].astype(np.int32)
         w = (1 + np.log(count[have])) * self.by_term[at]
-        return at, w / np.sqrt((w * w).sum()) if len(w) else w
+        return at, (w / np.sqrt((w * w).sum()) if len(w) else w).astype(np.float32)
 
     def _post(self, vectors: list) -> None:
         size = [len(t) for t, _ in vectors]
-        term, weight = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]).astype(np.float32)
+        term, weight = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
         example = np.repeat(np.arange(len(size), dtype=np.int32), size)
         self.blocks = -(-len(size) // self.block)
         self.room = self.blocks * self.block
@@ -177,7 +180,7 @@ class Examples:
         ties go by the examples' own order, which their terms decide."""
         n = len(texts)
         size = [len(t) for t, _ in texts]
-        at, w, doc = np.concatenate([t for t, _ in texts]), np.concatenate([w for _, w in texts]).astype(np.float32), np.repeat(np.arange(n), size)
+        at, w, doc = np.concatenate([t for t, _ in texts]), np.concatenate([w for _, w in texts]), np.repeat(np.arange(n), size)
         on = self.row[at] >= 0
         query = np.zeros((n, len(self.dense)), np.float32)
         query[doc[on], self.row[at[on]]] = w[on]
@@ -257,9 +260,9 @@ def frequencies(docs: DataFrame, text_col: str, wanted: np.ndarray) -> tuple[np.
             part = some[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(count[part])], names=["term", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(text_col).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(wanted) + 1, np.int64)
-    out[found["term"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     shared.unpersist()
     return out[:-1], int(out[-1])
 
@@ -271,8 +274,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([r[2] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    found = [(t.copy(), c.copy()) for chunk in terms(pa.array([r[1] for r in rows], pa.large_string())) for _, t, c in _split(*chunk)]
-    index = Examples(found, y, [r[0] for r in rows], weight)
+    ids, texts = [r[0] for r in rows], pa.array([r[1] for r in rows], pa.large_string())
+    del rows
+    found = [(t.copy(), c.astype(np.int32)) for chunk in terms(texts) for _, t, c in _split(*chunk)]
+    del texts
+    index = Examples(found, y, ids, weight)
+    del found
     return index.weigh(*frequencies(docs, text_col, index.terms))
 
 

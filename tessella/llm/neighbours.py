@@ -1,15 +1,22 @@
 """Approximate nearest neighbours by collision-counting hashing with virtual rehashing.
 
-A block of vectors is projected on random lines, and each line's values make a sorted array. A
-query's window on every line is centred on its own projection and grows by a factor from round
-to round; only what a window gains is counted. A vector that lies in more of the windows than a
-threshold is verified by its exact distance. Rounds end when a vector as far as the k-th best
-would have been verified by now with the wanted probability: the last round grows the windows to
-that width and no further. So windows follow the data and no cap drops a candidate.
+A block of vectors is projected on random lines, and each line's values are cut into cells of equally
+many. A query's window on every line is centred on its own projection and is a run of cells, so a
+round of another width merges other cells and hashes nothing again. A vector that lies in more of the
+windows than a threshold is verified by its exact distance. The last round is as wide as a vector as
+far as the k-th best needs to be verified with the wanted probability. So windows follow the data and
+no cap drops a candidate.
 
 Windows are wide and the threshold high: a vector at distance 1 is in a window of half width w
 with probability p = 2 F(w) - 1, F the normal distribution. The counts of two distances of a given
 ratio are furthest apart, in their deviations, where w is about 1.5 (p = 0.87).
+
+Such windows hold most of every line, so a round compares the cells of all vectors, a byte each,
+instead of following the lists of each line's window. Cells at the ends of a window count whole: a
+count is never below that of the window itself. Rounds go from wide to narrow: the k-th distance
+among a few vectors bounds the width needed, the highest counts at that width give a nearer bound.
+What is counted is still every query with every vector, so it grows as the square of the table if the
+queries are a fixed share of it.
 """
 
 from __future__ import annotations
@@ -21,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines; chance that a true neighbour is verified; growth of windows; rows of a block. A vector is
-#: sent once for each block of queries, so those are large.
+#: Lines; chance that a true neighbour is verified; how much wider than needed a last round may be;
+#: rows of a block. A vector is sent once for each block of queries, so those are large.
 LINES, CHANCE, GROWTH, BLOCK, QUERY_BLOCK = 256, 0.95, 1.08, 8192, 16384
 #: Half a window, in distances, at which a vector is to be verified.
 WIDE = 1.5
+#: Cells of a line (their numbers are bytes); lines compared at once; for each of the k, vectors that give a
+#: first bound and highest counts that give the next.
+CELLS, AT_ONCE, START, FIRST = 256, 32, 2, 8
 
 
 def _normal_quantile(p: float) -> float:
@@ -37,71 +47,95 @@ def _normal_quantile(p: float) -> float:
 
 
 class CollisionIndex:
-    """Sorted projections of one block."""
+    """Cells of one block's projections."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, lines: int = LINES, chance: float = CHANCE, seed: int = 5):
         order = np.argsort(ids, kind="stable")
         self.vectors, self.ids, self.m = vectors[order], ids[order], lines
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], lines))
-        projected = self.vectors @ self.directions
-        by_line = np.argsort(projected, axis=0, kind="stable")
-        values = np.take_along_axis(projected, by_line, 0).T
-        self.spread = float((values[:, -1] - values[:, 0]).max()) if len(ids) else 0.0
-        # all lines in one rising array, far enough apart for any query's window
-        self.apart = 8 * max(float(np.abs(projected).max(initial=0.0)), 1.0)
-        self.values = np.ascontiguousarray(values + np.arange(lines)[:, None] * self.apart).ravel()
-        self.order = np.ascontiguousarray(by_line.T.astype(np.int32)).ravel()
-        share = math.erf(WIDE / math.sqrt(2))
-        self.needed = math.floor(lines * share - _normal_quantile(chance) * math.sqrt(lines * share * (1 - share)))
-        self.verified = 0
-
-    def _window(self, line: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        """Where the window of each line begins and ends among the sorted values."""
-        n, lines = len(self.ids), np.arange(self.m)
-        reach = np.minimum(half, self.apart / 2)
-        middle = np.clip(line, -self.apart / 4, self.apart / 4) + lines * self.apart
-        low, high = np.searchsorted(self.values, middle - reach, "left"), np.searchsorted(self.values, middle + reach, "right")
-        return np.clip(low, lines * n, (lines + 1) * n), np.clip(high, lines * n, (lines + 1) * n)
+        projected = np.ascontiguousarray((self.vectors @ self.directions).T)
+        self.largest = float(np.abs(projected).max(initial=0.0))
+        n = len(ids)
+        self.bounds = np.sort(projected, axis=1)[:, np.arange(1, CELLS) * n // CELLS] if n else np.zeros((lines, CELLS - 1))
+        # a value's cell never falls as the value grows, and equal values share one
+        self.cells = np.empty((lines, n), np.uint8)
+        for cells, bounds, values in zip(self.cells, self.bounds, projected):
+            cells[:] = np.searchsorted(bounds, values, "right")
+        self.deviations = _normal_quantile(chance)
+        self.verified = self.rounds = 0
+
+    def needed(self, wide: float) -> int:
+        """The count that a vector reaches with the wanted probability in windows of half width wide times its distance."""
+        share = math.erf(wide / math.sqrt(2))
+        return max(0, math.floor(self.m * share - self.deviations * math.sqrt(self.m * share * (1 - share))))
+
+    def windows(self, projected: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last cell of each query's window (column) on each line (row)."""
+        low, high = np.empty(projected.shape, np.uint8), np.empty(projected.shape, np.uint8)
+        for i, (bounds, line) in enumerate(zip(self.bounds, projected)):
+            # copies of a query may differ from it in a projection's last digits
+            reach = half + 1e-12 * (self.largest + np.abs(line))
+            low[i], high[i] = np.searchsorted(bounds, line - reach, "right"), np.searchsorted(bounds, line + reach, "right")
+        return low, high
+
+    def counts(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many of one query's windows each vector is."""
+        low, width = low[:, None], (high - low)[:, None]
+        missed = np.zeros(len(self.ids), np.int32)
+        for i in range(0, self.m, AT_ONCE):
+            # cells below a window wrap around to numbers above its width
+            out = self.cells[i : i + AT_ONCE] - low[i : i + AT_ONCE] > width[i : i + AT_ONCE]
+            missed += np.add.reduce(out.view(np.uint8), axis=0, dtype=np.uint8)
+        return self.m - missed
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, growth: float = GROWTH) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, distances) of the nearest k found for each query; own: the queries' ids."""
-        n = len(self.ids)
-        projected = queries @ self.directions
-        least = float(np.finfo(float).tiny)
-        out = []
-        for q, line, me in zip(queries, projected, own):
-            count = np.zeros(n, np.int64)
-            seen = self.ids == me
-            best_id, best = np.zeros(0, np.int64), np.zeros(0)
-            half = max(self.spread / 64, least)
-            low = high = None
-            while True:
-                new_low, new_high = self._window(line, half)
-                if low is None:
-                    gained = [self.order[i:j] for i, j in zip(new_low.tolist(), new_high.tolist())]
-                else:
-                    gained = [self.order[i:j] for i, j in zip([*new_low.tolist(), *high.tolist()], [*low.tolist(), *new_high.tolist()]) if i < j]
-                low, high = new_low, new_high
-                if gained:
-                    count += np.bincount(np.concatenate(gained), minlength=n)
-                fresh = np.flatnonzero((count >= self.needed) & ~seen)
-                if len(fresh):
-                    seen[fresh] = True
-                    self.verified += len(fresh)
-                    gap = self.vectors[fresh] - q
-                    d = np.sqrt((gap * gap).sum(1))
-                    ids, d = np.concatenate([best_id, self.ids[fresh]]), np.concatenate([best, d])
-                    pick = np.lexsort((ids, d))[:k]
-                    best_id, best = ids[pick], d[pick]
-                if seen.all() or len(best) == k and half >= WIDE * best[-1]:
-                    break
-                # far from the threshold, large steps lose nothing
-                most = int(count[~seen].max())
-                half *= 2.0 if most < self.needed / 4 else 1.3 if most < self.needed / 2 and not len(best) else growth
-                if len(best) == k:
-                    half = max(least, min(half, WIDE * best[-1]))
-            out.append((best_id, best))
-        return out
+        some = FIRST * k
+        projected = np.ascontiguousarray((queries @ self.directions).T)
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in own]
+        seen = [np.zeros(0, np.int64) for _ in own]
+        half = np.zeros(len(own))
+
+        def verify(i: int, fresh: np.ndarray) -> None:
+            self.verified += len(fresh)
+            gap = self.vectors[fresh] - queries[i]
+            ids = np.concatenate([best[i][0], self.ids[fresh]])
+            d = np.concatenate([best[i][1], np.sqrt((gap * gap).sum(1))])
+            pick = np.lexsort((ids, d))[:k]
+            best[i], seen[i] = (ids[pick], d[pick]), np.concatenate([seen[i], fresh])
+
+        open_ = []
+        for i, me in enumerate(own):
+            others = np.flatnonzero(self.ids != me)
+            few = len(others) <= some
+            verify(i, others if few else others[np.arange(START * k) * len(others) // (START * k)])
+            if not few:
+                half[i] = WIDE * best[i][1][-1]
+                open_.append(i)
+        while open_:
+            wider = []
+            low, high = self.windows(projected[:, open_], half[open_])
+            for i, first, last in zip(open_, low.T, high.T):
+                self.rounds += 1
+                count = self.counts(first, last)
+                count[self.ids == own[i]] = -1
+                count[seen[i]] = -1
+                fresh = np.flatnonzero(count >= self.needed(WIDE))
+                if len(fresh) > some:
+                    by_count = np.argpartition(count[fresh], -some)
+                    verify(i, fresh[by_count[-some:]])
+                    fresh = fresh[by_count[:-some]]
+                    kth = best[i][1][-1]
+                    if half[i] > growth * WIDE * kth:
+                        half[i] = WIDE * kth
+                        wider.append(i)
+                        continue
+                    if 0 < kth < math.inf:
+                        # in a wider window the same chance asks for more
+                        fresh = fresh[count[fresh] >= self.needed(half[i] / kth)]
+                verify(i, fresh)
+            open_ = wider
+        return best
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -345,6 +346,42 @@ def test_neighbours_verifies_few():
     assert hits >= 180 and index.verified < 0.1 * 20 * 8192
 
 
+def test_neighbours_cost_a_few_scans():
+    """Counting follows the vectors, not the vectors times the lines: lists of windows took 21 scans."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((8192, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = neighbours.CollisionIndex(x, np.arange(8192))
+
+    def cpu(run) -> float:
+        took = []
+        for _ in range(3):
+            start = time.thread_time()
+            run()
+            took.append(time.thread_time() - start)
+        return min(took)
+
+    scan = cpu(lambda: [np.sqrt(((x - q) ** 2).sum(1)) for q in x[:60]])
+    assert cpu(lambda: index.search(x[:60], np.arange(60), 10)) < 5 * scan
+
+
+def test_neighbours_counts_hold_their_windows():
+    """No vector is counted less than its windows say, at any width, on copies, outliers and equal values."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((900, 16)), np.tile(rng.standard_normal(16), (60, 1)), 1e6 * rng.standard_normal((5, 16)), np.eye(16)[rng.integers(0, 16, 40)]])
+    index = neighbours.CollisionIndex(x, np.arange(len(x)), lines=300)
+    values = x @ index.directions
+    for q in (0, 900, 961, 980):
+        for half in (0.0, 0.3, 2.0, 1e7):
+            low, high = index.windows(values[[q]].T, np.array([half]))
+            count = index.counts(low[:, 0], high[:, 0])
+            assert (count >= (np.abs(values - values[q]) <= half).sum(1)).all() and count.max() <= 300
+    # more copies than rows asked for: the smallest ids
+    (copies, zero), (far, d) = index.search(x[[930, 960]], np.array([930, 960]), 10)
+    assert copies.tolist() == list(range(900, 910)) and not zero.any()
+    assert len(far) == 10 and 960 not in far and np.allclose(d, np.sqrt(((x[far] - x[960]) ** 2).sum(1)), rtol=1e-12)
+
+
 def test_mix_meets_its_targets(spark):
     docs = spark.createDataFrame(rows_of([prose(i, 20 + i % 50) for i in range(300)]), SCHEMA)
     rows = mixing.mix_sources(docs).collect()

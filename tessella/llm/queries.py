@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, licenses, lines, mixing, neardup, neighbours, quality, secrets, substrings, toxicity
+from tessella.llm import audit, decontaminate, licenses, lines, mixing, neardup, neighbours, quality, secrets, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_near_duplicates(_documents(spark, sf_dir), size=2)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, by language."""
+    return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.SQL, "op2_substring_dedup": substrings.SQL, "op6_source_mixing": mixing.SQL, "op9_benchmark_decontamination": decontaminate.SQL, "op10_minhash_near_dedup": neardup.SQL}
+    return {"op1_license_scan": licenses.SQL, "op2_substring_dedup": substrings.SQL, "op6_source_mixing": mixing.SQL, "op9_benchmark_decontamination": decontaminate.SQL, "op10_minhash_near_dedup": neardup.SQL, "op12_filter_audit": audit.SQL}

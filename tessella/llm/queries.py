@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import audit, decontaminate, licenses, lines, mixing, neardup, neighbours, quality, secrets, substrings, toxicity
+from tessella.llm import alignment, audit, decontaminate, licenses, lines, mixing, neardup, neighbours, quality, secrets, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_near_duplicates(_documents(spark, sf_dir), size=2)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers overlap in every document."""
+    return alignment.align_tokenizers(_documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in each of their orders, by language."""
     return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

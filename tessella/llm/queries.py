@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import alignment, audit, decontaminate, licenses, lines, mixing, neardup, neighbours, quality, secrets, substrings, toxicity
+from tessella.llm import alignment, audit, decontaminate, licenses, lines, mixing, neardup, neighbours, quality, scoring, secrets, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is by n-grams of the training documents."""
+    return scoring.score_texts(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm import tokens
-from tessella.llm.exchange import BATCH, by_part, bytes_of, in_batches, pack, ranges, sums, unpack
+from tessella.llm.exchange import by_part, bytes_of, in_batches, pack, ranges, sums, unpack
 from tessella.session import materialize, small_arrow_batches
 
 FOLDER = "/opt/tokenizers"
-#: Text bytes whose segments a part owns, and the segments that are tokenised at a time.
-PART, SLICE = 24 << 20, 4096
+#: Text bytes of a batch, and of the texts whose segments a part owns; segments that are tokenised at a time.
+BATCH, PART, SLICE = 12 << 20, 16 << 20, 4096
 SPACE = "▁"
 A_ENDS, B_ENDS = 1, 2
 
@@ -137,16 +137,24 @@ def align(t: Tokenizers, segments: list[str]) -> tuple[np.ndarray, np.ndarray, n
 
 def _written(links: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> list[str]:
     """Each segment's groups, as a1,a2|b1;a3|b2."""
+    out, ends = [], np.cumsum(links)
+    for k in range(0, len(links), SLICE):
+        n = links[k : k + SLICE]
+        i, j = (int(ends[k] - n[0]), int(ends[k + len(n) - 1]))
+        out += _written_slice(n.tolist(), a[i:j].tolist(), b[i:j].tolist(), kind[i:j].tolist())
+    return out
+
+
+def _written_slice(links: list[int], a: list[int], b: list[int], kind: list[int]) -> list[str]:
     out, i = [], 0
-    a_, b_, kind_ = a.tolist(), b.tolist(), kind.tolist()
-    for n in links.tolist():
+    for n in links:
         groups, left, right = [], [], []
         for k in range(i, i + n):
-            if kind_[k] & A_ENDS:
-                left.append(str(a_[k]))
-            if kind_[k] & B_ENDS:
-                right.append(str(b_[k]))
-            if kind_[k] == A_ENDS | B_ENDS:
+            if kind[k] & A_ENDS:
+                left.append(str(a[k]))
+            if kind[k] & B_ENDS:
+                right.append(str(b[k]))
+            if kind[k] == A_ENDS | B_ENDS:
                 groups.append(f"{','.join(left)}|{','.join(right)}")
                 left, right = [], []
         out.append(";".join(groups))
@@ -306,9 +314,9 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         each = [own.kind & A_ENDS, own.kind >> 1, own.kind == A_ENDS | B_ENDS, np.ones(len(own.kind), np.int64), best[own.pair_of], count[own.pair_of]]
         columns = [pa.array(sums(sums(x, own.links)[own.at], own.counts)) for x in each]
         text = _written(own.links, own.a, own.b, own.kind)
-        at, i, sha, groups = own.at.tolist(), 0, [], []
+        i, sha, groups = 0, [], []
         for n in own.counts.tolist():
-            whole = ";".join([text[k] for k in at[i : i + n]])
+            whole = ";".join([text[k] for k in own.at[i : i + n].tolist()])
             i += n
             sha.append(hashlib.sha256(whole.encode()).hexdigest() if n else "")
             if keep_groups:

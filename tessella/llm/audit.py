@@ -7,7 +7,8 @@ filters can do. The 120 orders are read off those counts, so documents are never
 DataFrame functions only.
 
 Texts are dealt by document once; both aggregations of words keep that dealing, so no exploded word is
-shuffled. Equal texts meet by their SHA-256, smallest ids first within each task.
+shuffled. Equal texts meet by their SHA-256, smallest ids first within each task. The smallest ids of texts
+that are very common, of which there are MOST_HOT at most, are broadcast, so that no text's copies meet in one task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tessella.session import materialize
 FILTERS = "ABCDE"
 #: A: fewer words. B: so many distinct ones of a hundred. C: more capitals of a hundred code points. D: one of these.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, MARKS = 100, 80, 10, "[#$%&*|]"
+#: A text with more copies than this, or than the documents over MOST_HOT, is very common.
+HOT, MOST_HOT = 1000, 10_000
 SPACE = r"[\x20\x09-\x0D]+"
 #: Each order's steps: its letters, the step, the filter's bit and the bits before it.
 STEPS = [("".join(order), k + 1, 1 << FILTERS.index(f), sum(1 << FILTERS.index(g) for g in order[:k])) for order in permutations(FILTERS) for k, f in enumerate(order)]
@@ -35,7 +38,20 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return by_word.groupBy("own_id", "digest").agg(F.sum("n").alias("all_words"), F.count(F.lit(1)).alias("all_distinct"))
 
 
-def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def _first_ids(flags: DataFrame, hot: int) -> DataFrame:
+    """flags with first: the smallest id of the text, of texts that have several ids."""
+    firsts = flags.groupBy(F.col("digest").alias("same")).agg(F.min("own_id").alias("least"), F.max("own_id").alias("most"), F.count(F.lit(1)).alias("held")).filter("least < most")
+    firsts = materialize(firsts.drop("most"), "firsts")
+    common, others = firsts.filter(F.col("held") > hot), firsts.filter(F.col("held") <= hot)
+    common = common.select(F.col("same").alias("common"), F.col("least").alias("common_least"))
+    met = flags.join(F.broadcast(common), F.col("digest") == F.col("common"), "left")
+    # rows of common texts, which are done, are dealt by their ids
+    key = F.when(F.col("common").isNull(), F.col("digest")).otherwise(F.unhex(F.md5(F.coalesce(F.col("own_id").cast("string"), F.lit("")))))
+    met = met.withColumn("key", key).join(others, F.col("key") == F.col("same"), "left")
+    return met.withColumn("first", F.coalesce("common_least", "least"))
+
+
+def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hot: int = HOT) -> DataFrame:
     """own_id, part, mask, copies: the filters that each document fails, as bits, A the lowest. A
     row for each distinct (id, text, part), with the number of such rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -48,8 +64,8 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     counted = _word_counts(rows.repartition("own_id", "digest"))
     counted = counted.join(together, F.col("own_id").eqNullSafe(F.col("id2")) & (F.col("digest") == F.col("digest2")))
     words = counted.select(F.col("own_id").alias("id3"), F.col("digest").alias("digest3"), F.expr("all_words div rows").alias("words"), F.col("all_distinct").alias("distinct"))
-    first = flags.groupBy(F.col("digest").alias("digest4")).agg(F.min("own_id").alias("first"), F.max("own_id").alias("last")).filter("first < last").drop("last")
-    met = flags.join(words, F.col("own_id").eqNullSafe(F.col("id3")) & (F.col("digest") == F.col("digest3")), "left").join(first, F.col("digest") == F.col("digest4"), "left")
+    least = max(hot, flags.count() // MOST_HOT)
+    met = _first_ids(flags, least).join(words, F.col("own_id").eqNullSafe(F.col("id3")) & (F.col("digest") == F.col("digest3")), "left")
     n, unlike = F.coalesce("words", F.lit(0)), F.coalesce("distinct", F.lit(0))
     fails = [n < LEAST_WORDS, unlike * 100 < LEAST_DISTINCT * n, F.col("c"), F.col("d"), F.coalesce(F.col("first") < F.col("own_id"), F.lit(False))]
     mask = sum((F.when(yes, 1 << k).otherwise(0) for k, yes in enumerate(fails)), F.lit(0))
@@ -60,7 +76,7 @@ def _sum(cells: str, field: str, test) -> Column:
     return F.aggregate(F.filter(cells, test), F.lit(0).cast("long"), lambda total, x: total + x[field])
 
 
-def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hot: int = HOT) -> DataFrame:
     """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
     shapley: 600 rows for each part, zeros included.
 
@@ -72,7 +88,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels are not read, whatever their names.
     """
     marked = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    met = failures(docs, id_col, text_col, lang_col).join(marked, F.col("own_id") == F.col("label_id"), "left")
+    met = failures(docs, id_col, text_col, lang_col, hot).join(marked, F.col("own_id") == F.col("label_id"), "left")
     kinds = {"n": F.lit(True), "good": F.col("good"), "toxic": F.col("toxic")}
     counts = met.groupBy("part").agg(*[F.sum(F.when((F.col("mask") == m) & yes, F.col("copies")).otherwise(0)).alias(f"{kind}_{m}") for m in MASKS for kind, yes in kinds.items()])
     cells = F.array(*[F.struct(F.lit(m).alias("mask"), *[F.col(f"{kind}_{m}").alias(kind) for kind in kinds]) for m in MASKS])

@@ -193,6 +193,32 @@ def shared_edge_length(p: np.ndarray, q: np.ndarray, tolerance: float) -> float:
     return total
 
 
+def stretch_within(x0, y0, x1, y1, a0, b0, a1, b1, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Between which fractions of edges (x0, y0, x1, y1) their points are within the tolerance of walls (a0, b0,
+    a1, b1), row by row; 1 and 0 where none are. What is that near to a wall is convex, so it is one stretch: of
+    the strip along the wall and the discs around its ends."""
+    dx, dy, wx, wy = x1 - x0, y1 - y0, a1 - a0, b1 - b0
+    size = np.hypot(wx, wy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ux, uy = wx / size, wy / size
+        low, high = np.zeros(len(x0)), np.where(size > 0, 1.0, -1.0)
+        for start, step, least, most in (((x0 - a0) * ux + (y0 - b0) * uy, dx * ux + dy * uy, 0.0 * size, size), ((y0 - b0) * ux - (x0 - a0) * uy, dy * ux - dx * uy, 0.0 * size - tolerance, 0.0 * size + tolerance)):
+            one, two = (least - start) / step, (most - start) / step
+            level, inside = np.abs(step) < 1e-12, (start >= least) & (start <= most)
+            low = np.maximum(low, np.where(level, np.where(inside, 0.0, 2.0), np.minimum(one, two)))
+            high = np.minimum(high, np.where(level, np.where(inside, 1.0, -1.0), np.maximum(one, two)))
+        stretches = [(low, high)]
+        length2 = dx * dx + dy * dy
+        for px, py in ((a0, b0), (a1, b1)):
+            middle = ((px - x0) * dx + (py - y0) * dy) / length2
+            gap2 = (x0 + middle * dx - px) ** 2 + (y0 + middle * dy - py) ** 2
+            half = np.sqrt(np.where(gap2 <= tolerance**2, tolerance**2 - gap2, np.nan) / length2)
+            stretches.append((np.maximum(middle - half, 0.0), np.minimum(middle + half, 1.0)))
+        real = [(np.where(lo < hi, lo, np.inf), np.where(lo < hi, hi, -np.inf)) for lo, hi in stretches]
+    low, high = np.min([lo for lo, _ in real], axis=0), np.max([hi for _, hi in real], axis=0)
+    return np.where(low < high, low, 1.0), np.where(low < high, high, 0.0)
+
+
 def simplify(p: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas-Peucker on a ring, cut at its first vertex and the one farthest from it."""
     if len(p) < 4:
@@ -263,6 +289,70 @@ def dominant_angle(p: np.ndarray, bins: int = 90) -> float:
     return float((hist + np.roll(hist, 1) + np.roll(hist, -1)).argmax() * 90 / bins)
 
 
+#: Weights that a direction is smoothed with, how many directions there are at most, how far apart in
+#: degrees, from what share of all edge length, and how far an edge may be off to be turned.
+SPREAD, MOST_DIRECTIONS, APART, LEAST_SHARE, OFF = (1, 2, 3, 4, 5, 4, 3, 2, 1), 4, 12.0, 0.06, 22.0
+
+
+def _between(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray | float:
+    """Degrees between two undirected lines."""
+    return abs((a - b + 90.0) % 180.0 - 90.0)
+
+
+def direction_weights(p: np.ndarray) -> np.ndarray:
+    """Edge length by whole degrees of undirected direction, each edge split between its two nearest."""
+    e = np.roll(p, -1, axis=0) - p
+    length, at = np.hypot(*e.T), np.degrees(np.arctan2(e[:, 1], e[:, 0])) % 180.0
+    low = np.floor(at).astype(int)
+    return np.bincount(low % 180, length * (1 - (at - low)), 180) + np.bincount((low + 1) % 180, length * (at - low), 180)
+
+
+def peak_directions(weights: np.ndarray) -> list[float]:
+    """The directions that most edge length lies along, rising, of weights by degree: the strongest and the one
+    across it, then others by strength, each with its own across where there is room. Weights are smoothed around the circle; a
+    direction too near to one that is taken already goes, and so does one of too small a share. Without any length they are 0 and 90."""
+    if weights.sum() <= 0:
+        return [0.0, 90.0]
+    reach = len(SPREAD) // 2
+    smooth = sum(np.roll(weights, k - reach) * w for k, w in enumerate(SPREAD)) / sum(SPREAD)
+    taken: list[float] = []
+    for at in np.argsort(-smooth, kind="stable"):
+        if len(taken) >= MOST_DIRECTIONS or (taken and smooth[at] < LEAST_SHARE * smooth.sum()):
+            break
+        for angle in (float(at), (float(at) + 90.0) % 180.0):
+            if len(taken) < MOST_DIRECTIONS and all(_between(angle, t) > APART for t in taken):
+                taken.append(angle)
+            elif angle == at:
+                break
+    return sorted(taken)
+
+
+def snap_to(p: np.ndarray, directions: list[float], within: float = OFF) -> tuple[np.ndarray, float]:
+    """(ring, mean turn in degrees): every edge turned about its middle into the nearest of the directions, if
+    it is that near, and corners rebuilt where two such edges meet. Other corners stay, as does one that would move by more than a
+    quarter of the perimeter; and all of the ring, if its area would fall under two fifths."""
+    p = p if np_area(p) >= 0 else p[::-1]
+    e = np.roll(p, -1, axis=0) - p
+    length = np.hypot(*e.T)
+    angle = np.degrees(np.arctan2(e[:, 1], e[:, 0])) % 180.0
+    off = np.stack([_between(angle, d) for d in directions])
+    best = off.argmin(axis=0)
+    turned = (off.min(axis=0) <= within) & (length > 1e-6)
+    to = np.radians(np.array(directions)[best])
+    normal = np.stack([-np.sin(to), np.cos(to)], axis=1)
+    level = (normal * (p + e / 2)).sum(axis=1)
+    out = p.copy()
+    for k in np.flatnonzero(turned & np.roll(turned, 1)):
+        m = np.stack([normal[k - 1], normal[k]])
+        if abs(np.linalg.det(m)) > 1e-8:
+            corner = np.linalg.solve(m, [level[k - 1], level[k]])
+            if np.hypot(*(corner - p[k])) <= length.sum() / 4:
+                out[k] = corner
+    if abs(np_area(out)) < 0.4 * abs(np_area(p)):
+        return p, 0.0
+    return out, float(off.min(axis=0)[turned].mean()) if turned.any() else 0.0
+
+
 def snap_directions(p: np.ndarray, within: float = 12.0) -> np.ndarray:
     """Edges near the dominant direction or across it are turned into it about their middles and
     corners rebuilt where neighbours meet. The original stays if a corner moves by more than a

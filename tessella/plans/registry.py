@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["sampling", "statistics", "quality", "text", "matching", "geometry", "graph", "streams", "stages", "listings"]
+MODULES: list[str] = ["sampling", "statistics", "quality", "text", "matching", "geometry", "graph", "streams", "stages", "listings", "outlines"]
 
 
 def _modules():

@@ -9,8 +9,8 @@ add the answers up by document.
 
 A word that is more frequent than a part can hold is dealt over several parts by the word before
 it, and a pair of words that is still too frequent by the word after it. What such a part can't
-count itself, the successors of the word and the totals of the pair, is counted apart with
-DataFrame aggregations and sent to it. Such words and pairs are at most the corpus over the limit, or MOST_HOT.
+count itself, the successors of the word and the totals of the pair, is counted apart by
+parts of its own and sent to it. Such words and pairs are at most the corpus over the limit, or MOST_HOT.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm import tokens
-from tessella.llm.exchange import BATCH, by_part, bytes_of, in_batches, pack, pack_rising, unpack, unpack_rising
+from tessella.llm.exchange import by_part, bytes_of, in_batches, pack, pack_rising, unpack, unpack_rising
 from tessella.llm.trie import STEPS, Trie, quantised
-from tessella.session import materialize, small_arrow_batches
+from tessella.session import discard, materialize, small_arrow_batches
 
 U64 = np.uint64
-#: Text bytes whose n-grams a part owns; occurrences of a word or pair that stay in one part.
-PART, HOT = 12 << 20, 1 << 20
+#: Text bytes of a batch, and of the texts whose n-grams a part owns; occurrences of a word or pair that stay in one part.
+BATCH, PART, HOT = 12 << 20, 6 << 20, 1 << 19
+#: Trigrams that are looked up at a time.
+SLICE = 1 << 18
 #: Most words, or pairs, that are dealt over several parts: the limit rises with the corpus beyond that.
 MOST_HOT = 100_000
 START, END = 0, 1  # numbers of what isn't a word
@@ -63,10 +65,10 @@ def part_of(v: np.ndarray, u: np.ndarray, w: np.ndarray, splits: np.ndarray, pai
     return (tokens.mix(v.astype(U64) + share + again + U64(1)) % U64(parts)).astype(np.int64)
 
 
-_NAMES = ["batch", "part", "kind", "n1", "n2", "n3", "one", "two", "three", "four", "five"]
+_NAMES = ["batch", "part", "kind", "n1", "n2", "n3", "one", "two", "three", "four", "five", "six"]
 _SCHEMA = pa.schema([(n, pa.int64() if k < 6 else pa.binary()) for k, n in enumerate(_NAMES)])
 _SQL = ", ".join(f"{n} {'bigint' if k < 6 else 'binary'}" for k, n in enumerate(_NAMES))
-WORDS, TOTALS, GRAMS, SCORES, SUPPLY = range(5)
+WORDS, TOTALS, BIGRAMS, OFTEN, GRAMS, SCORES = range(6)
 
 
 def _rows(rows: list[dict]) -> pa.Table:
@@ -76,30 +78,20 @@ def _rows(rows: list[dict]) -> pa.Table:
 class _Batch:
     """A batch's tokens as numbers of the corpus, with what is known of its words."""
 
-    def __init__(self, body: pa.Table, answers: pa.Table, parts: int, docs: tuple[int, int], hot: int):
-        row = body.drop_columns(["ids"]).to_pylist()[0]
-        self.ids = body["ids"].chunk(0)[0].values
-        self.counts, at, part, self.held = (unpack(row[c]).astype(np.int64) for c in ("counts", "at", "part_of", "held"))
-        self.answers = {(r["kind"], r["part"]): r for r in answers.to_pylist()}
-        n = len(part)
-        number, count, splits = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, np.int64)
-        for k, place in by_part(part, parts):
-            known = self.answers[WORDS, k]
-            number[place] = unpack(known["one"]).astype(np.int64) * parts + k + 2
-            count[place], splits[place] = unpack(known["two"]), unpack(known["three"])
-        order = np.argsort(number)
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(2, n + 2)
+    def __init__(self, row: dict, docs: tuple[int, int], hot: int):
+        self.batch = row["batch"]
+        self.counts, at, self.held = (unpack(row[c]).astype(np.int64) for c in ("counts", "at", "held"))
         # words by number, after the start and the end of texts
-        self.number = np.concatenate([[START, END], number[order]])
-        self.count = np.concatenate([[0, docs[0]], count[order]])
-        self.splits = np.concatenate([[-(-docs[1] // hot) or 1, 1], splits[order]])
+        self.number = np.concatenate([[START, END], unpack_rising(row["numbers"]).astype(np.int64)])
+        self.count = np.concatenate([[0, docs[0]], unpack(row["trained"]).astype(np.int64)])
+        self.splits = np.concatenate([[-(-docs[1] // hot) or 1, 1], unpack(row["shares"]).astype(np.int64)])
+        place = at + 2
         # each document's words and its end, and the two tokens before each
         ends = np.cumsum(self.counts + 1)
         self.w = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
         inner = np.ones(len(self.w), bool)
         inner[ends - 1] = False
-        self.w[inner] = place[at]
+        self.w[inner] = place
         self.v = np.concatenate([[START], self.w[:-1]])[: len(self.w)]
         self.u = np.concatenate([[START], self.v[:-1]])[: len(self.w)]
         begin = ends - self.counts - 1
@@ -189,28 +181,66 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known_words = words.filter(F.col("kind") == WORDS)
     one = lambda count: (count + 0.5) / (total + 0.5 * (kinds + 1))
 
-    def read_batch(body: pa.Table, answers: pa.Table) -> _Batch:
-        return _Batch(body, answers, parts, docs_of, hot)
+    def number(body: pa.Table, answers: pa.Table) -> pa.Table:
+        row = body.drop_columns(["ids"]).to_pylist()[0]
+        part = unpack(row["part_of"]).astype(np.int64)
+        numbers, trained, shares = (np.zeros(len(part), np.int64) for _ in range(3))
+        found = {r["part"]: r for r in answers.to_pylist()}
+        for k, place in by_part(part, parts):
+            numbers[place] = unpack(found[k]["one"]).astype(np.int64) * parts + k + 2
+            trained[place], shares[place] = unpack(found[k]["two"]), unpack(found[k]["three"])
+        order = np.argsort(numbers)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        blobs = [row["held"], row["counts"], pack(place[unpack(row["at"]).astype(np.int64)]), pack_rising(numbers[order]), pack(trained[order]), pack(shares[order])]
+        return pa.table([body["batch"], body["ids"], *[pa.array([x], pa.binary()) for x in blobs]], names=["batch", "ids", *columns])
+
+    columns = ["held", "counts", "at", "numbers", "trained", "shares"]
+    numbered = bodies.groupBy("batch").cogroup(known_words.groupBy("batch")).applyInArrow(number, f"batch bigint, ids array<{id_kind}>, " + ", ".join(f"{c} binary" for c in columns))
+    numbered = materialize(numbered, "numbered")  # from here on, batches stay where they are
+    discard(table, words)
+    texts = numbered.drop("ids")
+
+    def each_batch(run, out: str) -> DataFrame:
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for k in range(rows.num_rows):
+                    yield from run(_Batch(rows.slice(k, 1).to_pylist()[0], docs_of, hot)).to_batches(max_chunksize=1 << 16)
+
+        return texts.mapInArrow(over, out)
 
     # words that are dealt over several parts, with their successors; and such pairs, with theirs
     supply, pairs = None, {}
     if max(most, all_docs) > hot:
 
-        def bigrams(body: pa.Table, answers: pa.Table) -> pa.Table:
-            own = read_batch(body, answers)
+        def bigrams(own: _Batch) -> pa.Table:
             mine = np.flatnonzero(own.splits[own.v] > 1)
             v, w = own.v[mine], own.w[mine]
             first, which = distinct_triples(v, np.zeros(len(v), np.int64), w)
-            columns = [own.number[v[first]], own.number[w[first]], np.bincount(which, own.held[own.doc[mine]] == 0, len(first)), np.bincount(which, minlength=len(first)), own.splits[v[first]]]
-            return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["v", "w", "n", "every", "shares"])
-
-        two = bodies.groupBy("batch").cogroup(known_words.groupBy("batch")).applyInArrow(bigrams, "v bigint, w bigint, n bigint, every bigint, shares bigint")
-        two = materialize(two.groupBy("v", "w", "shares").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "bigrams")
-        often = {(r["w"], r["v"]): -(-r["every"] // hot) for r in two.filter((F.col("every") > hot) & (F.col("w") != END)).collect()}  # at most the corpus over hot
+            trained, every = np.bincount(which, own.held[own.doc[mine]] == 0, len(first)).astype(np.int64), np.bincount(which, minlength=len(first))
+            v, w = v[first], w[first]
+            part = (tokens.mix(tokens.mix(own.number[v].astype(U64)) + own.number[w].astype(U64)) % U64(parts)).astype(np.int64)
+            rows = []
+            for k, at in by_part(part, parts):
+                blobs = (pack_rising(own.number[v[at]]), pack(own.number[w[at]]), pack(trained[at]), pack(every[at]), pack(own.splits[v[at]]))
+                rows.append({"batch": own.batch, "part": k, "kind": BIGRAMS} | dict(zip(_NAMES[6:], blobs)))
+            return _rows(rows)
+
+        def add(rows: pa.Table) -> pa.Table:
+            v, w, n, every, shares = (np.concatenate([f(b.as_py()).astype(np.int64) for b in rows[c]]) for c, f in zip(_NAMES[6:], (unpack_rising, *[unpack] * 4)))
+            first, which = distinct_triples(v, np.zeros(len(v), np.int64), w)
+            v, w, shares = v[first], w[first], shares[first]
+            n, every = np.bincount(which, n, len(first)).astype(np.int64), np.bincount(which, every, len(first)).astype(np.int64)
+            part = rows["part"][0].as_py()
+            out = [{"part": part, "kind": OFTEN, "n1": int(v[k]), "n2": int(w[k]), "n3": int(every[k])} for k in np.flatnonzero((every > hot) & (w != END))]
+            seen = n > 0
+            return _rows([{"part": part, "kind": BIGRAMS} | dict(zip(_NAMES[6:], (pack_rising(v[seen]), pack(w[seen]), pack(n[seen]), pack(shares[seen])))), *out])
+
+        two = materialize(each_batch(bigrams, _SQL).groupBy("part").applyInArrow(add, _SQL), "bigrams")
+        often = {(r["n2"], r["n1"]): -(-r["n3"] // hot) for r in two.filter(F.col("kind") == OFTEN).select("n1", "n2", "n3").collect()}  # at most the corpus over hot
         if often:
 
-            def trigrams(body: pa.Table, answers: pa.Table) -> pa.Table:
-                own = read_batch(body, answers)
+            def trigrams(own: _Batch) -> pa.Table:
                 own.trigrams({}, 1)
                 v, u, w = (own.number[x] for x in own.gram)
                 mine = np.zeros(len(v), bool)
@@ -219,42 +249,43 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 mine &= own.trained > 0
                 return pa.table([pa.array(x[mine]) for x in (v, u, w, own.trained)], names=["v", "u", "w", "n"])
 
-            three = bodies.groupBy("batch").cogroup(known_words.groupBy("batch")).applyInArrow(trigrams, "v bigint, u bigint, w bigint, n bigint").groupBy("v", "u", "w").agg(F.sum("n").alias("n"))
+            three = each_batch(trigrams, "v bigint, u bigint, w bigint, n bigint").groupBy("v", "u", "w").agg(F.sum("n").alias("n"))
             totals = {(r["v"], r["u"]): (r["c"], r["t"]) for r in three.groupBy("v", "u").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("t")).collect()}
             pairs = {k: (n, *totals.get(k, (0, 0))) for k, n in often.items()}
-        known = two.filter("n > 0").select("v", "w", "n", "shares")
-        hot_parts = _parts_of(parts, {k[0]: 0 for k in pairs}, pairs)
-        supply = known.mapInArrow(hot_parts, "part bigint, v bigint, w bigint, n bigint").groupBy("part", "v").agg(F.sort_array(F.collect_list(F.struct("w", "n"))).alias("next"))
+        deliver = _to_shares(parts, pairs)
+        supply = two.filter(F.col("kind") == BIGRAMS).select("one", "two", "three", "four").mapInArrow(deliver, "part bigint, one binary, two binary, three binary")
 
-    def send(body: pa.Table, answers: pa.Table) -> pa.Table:
-        own = read_batch(body, answers)
+    def send(own: _Batch) -> pa.Table:
         own.trigrams(pairs, parts)
         code = quantised(one(own.count))
         out = []
         for k, place in by_part(own.part, parts):
             v, u, w = (x[place] for x in own.gram)
             last, at = np.unique(w, return_inverse=True)
-            blobs = (pack_rising(own.number[v]), pack(own.number[u]), pack(at), pack_rising(own.number[last]) + pack(code[last]), pack(own.trained[place]))
-            out.append({"batch": body["batch"][0].as_py(), "part": k, "kind": GRAMS, "n1": len(blobs[3]) - len(pack(code[last]))} | dict(zip(_NAMES[6:], blobs)))
+            # frequent words have small numbers, so codes rise with few exceptions
+            rising = np.diff(code[last].astype(np.int64), prepend=0)
+            blobs = (pack_rising(own.number[v]), pack(own.number[u]), pack(at), pack_rising(own.number[last]), pack((rising << 1) ^ (rising >> 63)), pack(own.trained[place]))
+            out.append({"batch": own.batch, "part": k, "kind": GRAMS} | dict(zip(_NAMES[6:], blobs)))
         return _rows(out)
 
-    asked = bodies.groupBy("batch").cogroup(known_words.groupBy("batch")).applyInArrow(send, _SQL)
+    asked = each_batch(send, _SQL)
 
     def answer(rows: pa.Table, hot_words: dict) -> pa.Table:
         v, u, w, p, n, sizes = [], [], [], [], [], []
-        for r in rows.to_pylist():
-            last, code = unpack_rising(r["four"][: r["n1"]]), unpack(r["four"][r["n1"] :])
+        for r in (row for batch in rows.to_batches(max_chunksize=8) for row in batch.to_pylist()):
+            last, code = unpack_rising(r["four"]), unpack(r["five"]).astype(np.int64)
+            code = np.cumsum((code >> 1) ^ -(code & 1))
             at = unpack(r["three"]).astype(np.int64)
-            for out, x in ((v, unpack_rising(r["one"])), (u, unpack(r["two"])), (w, last[at]), (p, code[at].astype(np.uint16)), (n, unpack(r["five"]))):
+            for out, x in ((v, unpack_rising(r["one"])), (u, unpack(r["two"])), (w, last[at]), (p, code[at].astype(np.uint16)), (n, unpack(r["six"]))):
                 out.append(x.astype(np.int64) if out is not p else x)
             sizes.append(len(at))
         v, u, w, p, n = (np.concatenate(x) for x in (v, u, w, p, n))
         first, which = distinct_triples(v, u, w)
         count = np.bincount(which, n, len(first)).astype(np.int64)
-        v, u, w, p = v[first], u[first], w[first], p[first]
+        v, u, w, p, n, which = v[first], u[first], w[first], p[first], None, which.astype(np.int32)
         asked = (count > 0) | np.isin(v, list(hot_words))
         trie = Trie.build(v[asked], u[asked], w[asked], count[asked], p[asked], hot_words, {k: x[1:] for k, x in pairs.items()})
-        codes = trie.score(v, u, w, p)[which]
+        codes = np.concatenate([trie.score(*(x[k : k + SLICE] for x in (v, u, w, p))).astype(np.int32) for k in range(0, len(v), SLICE)])[which]
         ends = np.cumsum(sizes)
         part = rows["part"][0].as_py()
         return _rows([{"batch": b, "part": part, "kind": SCORES, "one": pack(codes[end - size : end])} for b, size, end in zip(rows["batch"].to_pylist(), sizes, ends)])
@@ -266,43 +297,53 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def supplied(rows: pa.Table, more: pa.Table) -> pa.Table:
             if not rows.num_rows:
                 return _rows([])
-            hot_words = {}
-            for v, follow in zip(more["v"].to_pylist(), more["next"]):
-                flat = follow.values
-                hot_words[v] = (flat.field("w").to_numpy(), flat.field("n").to_numpy())
+            v, w, n = (np.concatenate([np.zeros(0, np.int64), *[f(b.as_py()).astype(np.int64) for b in more[c]]]) for c, f in zip(("one", "two", "three"), (unpack_rising, unpack, unpack)))
+            order = np.lexsort((w, v))
+            v, w, n = v[order], w[order], n[order]
+            each = np.unique(v)
+            ends = np.searchsorted(v, each, side="right")
+            hot_words = {int(word): (w[i:j], n[i:j]) for word, i, j in zip(each, [0, *ends[:-1]], ends)}
             return answer(rows, hot_words)
 
         scored = asked.groupBy("part").cogroup(supply.groupBy("part")).applyInArrow(supplied, _SQL)
 
     def add_up(body: pa.Table, answers: pa.Table) -> pa.Table:
-        own = read_batch(body, answers)
+        own = _Batch(body.drop_columns(["ids"]).to_pylist()[0], docs_of, hot)
         own.trigrams(pairs, parts)
         code = np.zeros(len(own.part), np.int64)
+        found = dict(zip(answers["part"].to_pylist(), answers["one"]))
         for k, place in by_part(own.part, parts):
-            code[place] = unpack(own.answers[SCORES, k]["one"]).astype(np.int64)
+            code[place] = unpack(found[k].as_py()).astype(np.int64)
         n = len(own.counts)
         steps = np.bincount(own.doc, code[own.which], n)
         base = np.bincount(own.doc, np.log10(one(own.count))[own.w], n)
         known = np.bincount(own.doc, own.count[own.w] > 0, n).astype(np.int64)
         columns = [own.held == 1, own.counts + 1, known, np.full(n, total), base, -steps / STEPS]
-        return pa.table([own.ids, *[pa.array(c) for c in columns]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([body["ids"].chunk(0)[0].values, *[pa.array(c) for c in columns]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = f"doc_id {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return bodies.groupBy("batch").cogroup(known_words.unionByName(scored).groupBy("batch")).applyInArrow(add_up, out)
+    return numbered.groupBy("batch").cogroup(scored.groupBy("batch")).applyInArrow(add_up, out)
 
 
-def _parts_of(parts: int, words: dict, pairs: dict):
-    """A function from rows (v, w, n, shares) to (part, v, w, n) for every part that holds a share of v."""
+def _to_shares(parts: int, pairs: dict):
+    """A function from packed bigrams (v, w, n, shares) to the same for each part that holds a share of v."""
+    most = {}
+    for (word, _), (n, _, _) in pairs.items():
+        most[word] = max(n, most.get(word, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, w, n, shares = (c.to_numpy() for c in batch.columns)
-            for word in np.unique(v):
-                mine = np.flatnonzero(v == word)
-                every = np.arange(shares[mine[0]], dtype=U64)
-                more = np.arange(max([x[0] for k, x in pairs.items() if k[0] == word], default=1), dtype=U64)
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            v, (w, n, shares) = unpack_rising(row["one"]).astype(np.int64), (unpack(row[c]).astype(np.int64) for c in ("two", "three", "four"))
+            each, first, size = np.unique(v, return_index=True, return_counts=True)
+            to: dict[int, list[np.ndarray]] = {}
+            for word, i, k in zip(each.tolist(), first.tolist(), size.tolist()):
+                every, more = np.arange(shares[i], dtype=U64), np.arange(most.get(word, 1), dtype=U64)
                 at = U64(word) + (every * U64(0x9E3779B97F4A7C15))[:, None] + (more * U64(0xC2B2AE3D27D4EB4F))[None, :] + U64(1)
                 for part in np.unique(tokens.mix(at.ravel()) % U64(parts)).tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), part, np.int64)), *[pa.array(x[mine]) for x in (v, w, n)]], names=["part", "v", "w", "n"])
+                    to.setdefault(part, []).append(np.arange(i, i + k))
+            for part, places in to.items():
+                at = np.concatenate(places)
+                blobs = (pack_rising(v[at]), pack(w[at]), pack(n[at]))
+                yield pa.RecordBatch.from_arrays([pa.array([part]), *[pa.array([b], pa.binary()) for b in blobs]], names=["part", "one", "two", "three"])
 
     return run

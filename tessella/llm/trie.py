@@ -90,17 +90,21 @@ class Rising:
         place = word * 64 + self._select(~self.high[word], np.where(inside, k - zeros[word], 0))
         return np.where(h == 0, 0, np.where(inside, np.minimum(place - k, self.n), self.n))
 
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The first place of a value that isn't below each of these: successor search."""
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of a value that isn't below each of these, and whether it is equal: successor search."""
         h = (value >> U64(self.width)).astype(np.int64)
         rest = value & self.mask
-        i, j = self._before(h), self._before(h + 1)
+        i, end = self._before(h), self._before(h + 1)
+        j = end.copy()
         while (open_ := np.flatnonzero(i < j)).size:
             mid = (i[open_] + j[open_]) >> 1
             less = self._rest(mid) < rest[open_]
             i[open_[less]] = mid[less] + 1
             j[open_[~less]] = mid[~less]
-        return i
+        equal = i < end
+        there = np.flatnonzero(equal)
+        equal[there] = self._rest(i[there]) == rest[there]
+        return i, equal
 
 
 def _relative(values: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -192,34 +196,52 @@ class Trie:
         return cls(block, [len(a) for a in arrays])
 
     @staticmethod
-    def _child(pointers: Rising, level: Rising, node: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which nodes have a child of this value, its place in the level, its place among the node's)."""
+    def _child(pointers: Rising, level: Rising, node: np.ndarray, of: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For values sought among the children of node[of]: (whether it is there, its place in the
+        level, its place among the node's children)."""
         begin, end = pointers.at(node).astype(np.int64), pointers.at(node + 1).astype(np.int64)
         base = np.zeros(len(node), U64)
         later = np.flatnonzero(begin > 0)
         base[later] = level.at(begin[later] - 1) + U64(1)
-        wanted = base + value.astype(U64)
-        at = level.find(wanted)
-        hit = (at >= begin) & (at < end)
-        there = np.flatnonzero(hit)
-        hit[there] = level.at(at[there]) == wanted[there]
-        return hit, at, at - begin
+        at, equal = level.find(base[of] + value.astype(U64))
+        rank = at - begin[of]
+        return equal & (rank >= 0) & (at < end[of]), at, rank
 
     def score(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, one: np.ndarray) -> np.ndarray:
         """Codes of log10 p(w | u v): of the trigram if it is known, else of the longest known end of it and
-        the backoffs of the contexts that are given up."""
+        the backoffs of the contexts that are given up. Contexts are looked up once per run of equal ones."""
         out = one.astype(np.int64)
-        at = self.words.find(v.astype(U64))
-        known = np.flatnonzero(at < self.words.n)
-        known = known[self.words.at(at[known]) == v[known].astype(U64)]
-        node = at[known]
-        hit, place, rank = self._child(self.to_next, self.next, node, w[known])
-        two = np.where(hit, self.next_code[np.where(hit, place, 0)].astype(np.int64), self.word_backoff[node] + out[known])
-        seen, pair, _ = self._child(self.to_before, self.before, node, u[known])
-        three = two.copy()
-        three[seen] += self.pair_backoff[pair[seen]]
-        both = np.flatnonzero(seen & hit)
-        full, last, _ = self._child(self.to_last, self.last, pair[both], rank[both])
+        if not len(v):
+            return out
+        head, of = _runs(v)
+        at, equal = self.words.find(v[head].astype(U64))
+        there = np.flatnonzero(equal)
+        place = np.full(len(head), -1)
+        place[there] = np.arange(len(there))
+        node, of = at[there], place[of]
+        known = np.flatnonzero(of >= 0)
+        if not len(known):
+            return out
+        of, u, w = of[known], u[known], w[known]
+        hit, end, rank = self._child(self.to_next, self.next, node, of, w)
+        two = np.where(hit, self.next_code[np.where(hit, end, 0)].astype(np.int64), self.word_backoff[node[of]] + out[known])
+        head, pair_of = _runs(of, u)
+        seen, pair, _ = self._child(self.to_before, self.before, node, of[head], u[head])
+        backoff = np.zeros(len(head), np.int64)
+        backoff[seen] = self.pair_backoff[pair[seen]]
+        three = two + backoff[pair_of]
+        place = np.cumsum(seen) - 1
+        both = np.flatnonzero(seen[pair_of] & hit)
+        full, last, _ = self._child(self.to_last, self.last, pair[seen], place[pair_of[both]], rank[both])
         three[both[full]] = self.last_code[last[full]]
         out[known] = three
         return out
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each run of equal rows begins, the run of each row)."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1

@@ -160,6 +160,7 @@ def union_outlines(polygons: DataFrame, by: list[str], polygon: str = "polygon")
 
 def _pair_iou(pairs: DataFrame, by: list[str], one: str, other: str) -> DataFrame:
     """by, iou of two polygons in each row: their areas and that of their union say how they overlap."""
+    pairs = materialize(pairs, "pairs")  # read twice
     both = pairs.select(*by, F.explode(F.array(one, other)).alias("polygon"))
     union = union_area(both, by, decimals=12).withColumnRenamed("area", "whole")
     areas = pairs.select(*by, (g.area(F.col(one)) + g.area(F.col(other))).alias("parts"))

@@ -3,9 +3,9 @@
 Each long line, and each run of two lines of which one is short, is linked with the first document
 that holds it, so it costs one pair per later document, however common it is, and every such pair is aligned: how many documents hold a line
 makes no difference. The two documents' line hashes are aligned by patience diff, and aligned
-common blocks are deleted from the later one: blocks of several lines, or of one long line. Long
-lines and runs that patience diff leaves out, as they are moved or repeated, are blocks of their
-own.
+common blocks are deleted from the later one: blocks of several lines, or of one long line. Blocks that are
+moved or repeated don't fit into one alignment that rises in both documents. What is left of the later one is therefore aligned again, runs first and
+long lines then, equal ones as one, until nothing more is. Only what an alignment pairs is deleted.
 """
 
 from __future__ import annotations
@@ -89,25 +89,43 @@ def runs(seq: list[int], least: int = BLOCK_LINES) -> Iterator[tuple[int, tuple[
         yield i, tuple(seq[i : j + 1])
 
 
+def _align_again(items: list[tuple], earlier: list, gone: set[int]) -> None:
+    """Adds to gone the lines of items, (item, its lines) of the later document in order, that an alignment with
+    the earlier one's items pairs. Equal items are one, so each is unique on both sides; the
+    earlier items are taken forwards or backwards, whichever pairs more, and those left are aligned again. So of n
+    items in any order, some multiple of the root of n is settled in each round."""
+    places: dict = {}
+    for item, lines in items:
+        places.setdefault(item, []).append(lines)
+    rest = [item for item, own in places.items() if not all(gone.issuperset(lines) for lines in own)]
+    while rest:
+        wanted = set(rest)
+        once = [item for item in dict.fromkeys(earlier) if item in wanted]
+        paired = max((patience(rest, way) for way in (once, once[::-1])), key=len)
+        if not paired:
+            return
+        for x, _ in paired:
+            gone.update(*places[rest[x]])
+        taken = {rest[x] for x, _ in paired}
+        known = set(once) - taken
+        rest, earlier = [item for item in rest if item in known], once
+
+
 def blocks_to_delete(later: list[int], earlier: list[int], counts: list[bool], long_: list[bool], least: int = BLOCK_LINES) -> list[int]:
     """Line numbers of later in aligned common blocks. counts: lines that aren't blank; a block
-    needs so many of them, or a long one. Long lines and runs that earlier holds go in any case."""
+    needs so many of them, or a long one."""
     pairs = patience(later, earlier)
-    out: list[int] = []
+    gone: set[int] = set()
     block: list[int] = []
     for n, (x, y) in enumerate(pairs):
         block.append(x)
         if n + 1 == len(pairs) or pairs[n + 1] != (x + 1, y + 1):
             if sum(counts[i] for i in block) >= least or any(long_[i] for i in block):
-                out += block
+                gone.update(block)
             block = []
-    held = set(earlier)
-    out += [i for i, h in enumerate(later) if long_[i] and h in held]
-    held_runs = {run for _, run in runs(earlier, least)}
-    for i, run in runs(later, least):
-        if run in held_runs:
-            out += range(i, i + len(run))
-    return sorted(set(out))
+    _align_again([(run, range(i, i + len(run))) for i, run in runs(later, least)], [run for _, run in runs(earlier, least)], gone)
+    _align_again([(h, (i,)) for i, h in enumerate(later) if long_[i]], earlier, gone)
+    return sorted(gone)
 
 
 def _hash_lines(batches: Iterator[pa.RecordBatch], anchor_words: int, least: int) -> Iterator[pa.RecordBatch]:

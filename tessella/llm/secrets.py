@@ -24,11 +24,22 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-NAME = re.compile(r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}|[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""", re.ASCII)
+NAME = re.compile(r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.ASCII)
+SITE = re.compile(r"""(?i:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{3,}""", re.ASCII)
 NAME_HINTS = ("@", "user", "login", "account", "client", "access")
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}(?![A-Za-z0-9+/_=-])", re.ASCII)
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>|]+|(?i:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{3,}""", re.ASCII)
 ENDPOINT_HINTS = ("://", "host", "endpoint", "server")
+
+
+def _from_run(characters: str, rest: str) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns for what starts with a run of characters and goes on with rest: from the start of a run anywhere, and
+    from a given place inside one. The run is taken whole or not at all, so a long one that leads to nothing is read once. Group 1 is the match."""
+    return re.compile(rf"(?<![{characters}]){rest}", re.ASCII), re.compile(rest, re.ASCII)
+
+
+MAIL = _from_run("A-Za-z0-9._+-", r"([A-Za-z0-9._+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
+#: A scheme starts with a letter: the first of its run.
+URL = _from_run("a-z0-9+.-", r"""[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\s"'<>|]+)""")
 #: In the order in which spans of one start are listed; the first three are the strong ones.
 KINDS = ("assign", "access", "hex", "name", "weak", "endpoint")
 #: Code points that a scope reaches to either side.
@@ -48,6 +59,27 @@ def strong_spans(text: str, low: str) -> list[Span]:
     return sorted(found)
 
 
+def either(word: re.Pattern, run: tuple[re.Pattern, re.Pattern], text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of word or run that don't overlap, word's before run's of the same start."""
+    anywhere, here = run
+    out, at = [], 0
+    w, r = word.search(text), anywhere.search(text)
+    while True:
+        if w and w.start() < at:
+            w = word.search(text, at)
+        if r and r.start(1) < at:
+            r = anywhere.search(text, at)
+        found = [(w.start(), 0, w.end())] if w else []
+        if r:
+            found.append((r.start(1), 1, r.end(1)))
+        if at and (inside := here.match(text, at)):  # the last match may have ended within a run
+            found.append((inside.start(1), 1, inside.end(1)))
+        if not found:
+            return out
+        start, _, at = min(found)
+        out.append((start, at))
+
+
 def _near(spans: list[Span], others: list[Span], reach: int) -> list[bool]:
     """Which spans have another one within reach: others by start, with running maxima of ends."""
     others = sorted(others)
@@ -61,8 +93,8 @@ def _near(spans: list[Span], others: list[Span], reach: int) -> list[bool]:
 
 def linked_spans(text: str, low: str, strong: list[Span], reach: int = REACH) -> list[Span]:
     """Weak candidates with a complement in scope. Candidates inside strong secrets are those."""
-    names = [(m.start(), 3, m.end()) for m in NAME.finditer(text)] if any(h in low for h in NAME_HINTS) else []
-    sites = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if any(h in low for h in ENDPOINT_HINTS) else []
+    names = [(start, 3, end) for start, end in either(NAME, MAIL, text)] if any(h in low for h in NAME_HINTS) else []
+    sites = [(start, 5, end) for start, end in either(SITE, URL, text)] if any(h in low for h in ENDPOINT_HINTS) else []
     secrets = [s for s in strong if s[1] != 1]
     ids = names + [s for s in strong if s[1] == 1]
     if not ids and (not sites or not strong):

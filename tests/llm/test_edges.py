@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from tessella.llm import decontaminate, licenses, lines, mixing, neardup, neighbours, quality, secrets, substrings, toxicity
+from tessella.llm import alignment, decontaminate, licenses, lines, mixing, neardup, neighbours, quality, scoring, secrets, substrings, toxicity
 from tests.llm.conftest import SCHEMA, prose, rows_of
 
 
@@ -20,10 +20,12 @@ def per_document(docs, labels):
         "mixing": mixing.mix_sources(docs),
         "quality": quality.score_quality(docs, labels),
         "neardup": neardup.link_near_duplicates(docs),
+        "alignment": alignment.align_tokenizers(docs),
+        "scoring": scoring.score_texts(docs),
     }
 
 
-NAMES = ["licenses", "substrings", "secrets", "lines", "toxicity", "mixing", "quality", "neardup"]
+NAMES = ["licenses", "substrings", "secrets", "lines", "toxicity", "mixing", "quality", "neardup", "alignment", "scoring"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -52,6 +54,8 @@ def test_null_and_empty_texts(corpus, labels):
         assert got["secrets"][i]["spans"] == ""
         assert got["mixing"][i]["size"] == got["mixing"][i]["taken"] == 0
         assert got["neardup"][i]["n_shingles"] == 0 and got["neardup"][i]["kept"]
+        assert got["scoring"][i]["n_tokens"] == 1
+    assert [got["alignment"][i]["n_a"] for i in range(3)] == [0, 0, 4]  # the third is a space, a tab and a line end, behind the space that is added
 
 
 def test_texts_longer_than_a_chunk(spark, labels):

@@ -175,6 +175,10 @@ def test_secret_beside_an_access_id(spark):
     assert row[0]["spans"] == f"access:7:27,weak:28:{28 + len(secret)}" and row[1]["spans"] == ""
 
 
+WHOLE_NAME = re.compile(secrets.NAME.pattern + r"|[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.ASCII)
+WHOLE_SITE = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>|]+|""" + secrets.SITE.pattern, re.ASCII)
+
+
 def brute_secrets(text, reach=secrets.REACH):
     """Spans by plain loops: strong ones, and weak ones that have a complement near."""
     base = []
@@ -182,7 +186,7 @@ def brute_secrets(text, reach=secrets.REACH):
         base += [(m.start(), 0, m.end())] * (len(m[2]) >= 12)
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
-    names, sites, weak = ([(m.start(), kind, m.end()) for m in pattern.finditer(text)] for kind, pattern in ((3, secrets.NAME), (5, secrets.ENDPOINT), (4, secrets.WEAK)))
+    names, sites, weak = ([(m.start(), kind, m.end()) for m in pattern.finditer(text)] for kind, pattern in ((3, WHOLE_NAME), (5, WHOLE_SITE), (4, secrets.WEAK)))
     apart = lambda a, b: max(a[0], b[0]) - min(a[2], b[2])
     weak = [w for w in weak if all(apart(w, o) >= 0 for o in base + names + sites)]
     ids = names + [b for b in base if b[1] == 1]
@@ -207,6 +211,21 @@ def test_secrets_against_brute_force(spark):
     assert linked > 50
 
 
+def test_secret_patterns_are_those_said_and_linear():
+    """Names and endpoints as one pattern each would find them, and in a time that follows the text."""
+    rng = random.Random(3)
+    bits = ["user", "=", " ", '"', "a", "b.c", "@", "x-", "_", "+", ".", "://", "host", ":", "1", "9z", "login", "http", "é", "\n", "|", "Z", "access_key", "<"]
+    for _ in range(4000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 25)))
+        assert secrets.either(secrets.NAME, secrets.MAIL, text) == [m.span() for m in WHOLE_NAME.finditer(text)]
+        assert secrets.either(secrets.SITE, secrets.URL, text) == [m.span() for m in WHOLE_SITE.finditer(text)]
+    n = 1_000_000
+    for text in ("user " + "a" * n, "http://a " + "a" * n, "a://" * (n // 4) + " @user", "user@" * (n // 5), "http://a " + "1." * (n // 2), "a." * (n // 2) + "@user", "x@" + "a-" * (n // 2), "user " + " " * n):
+        began = time.process_time()
+        secrets.linked_spans(text, text, secrets.strong_spans(text, text))
+        assert time.process_time() - began < 5  # minutes, if every letter of a run began anew
+
+
 def test_licenses_places(spark):
     texts = ["All rights reserved. ALL rights\nreserved", "under CC-BY 4.0, cc by", "GNU General Public License, version 3.", "general public", "released under the MIT License", "cc bye, all rights"]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
@@ -229,6 +248,35 @@ def test_patience():
         assert all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def test_lines_go_by_alignment_alone(monkeypatch):
+    """What is deleted is every run of two lines and every long line that both hold, wherever they stand, and blank
+    lines between; and nothing if nothing is aligned."""
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ([rng.randrange(10) or lines._BLANK for _ in range(rng.randrange(16))] for _ in range(2))
+        counts, long_ = [x != lines._BLANK for x in a], [x in (7, 8, 9) for x in a]
+        got = set(lines.blocks_to_delete(a, b, counts, long_))
+        common = {run for _, run in lines.runs(b)}
+        want = {i for i, x in enumerate(a) if long_[i] and x in b} | {k for i, run in lines.runs(a) if run in common for k in range(i, i + len(run))}
+        aligned = lines.patience(a, b)
+        blocks = {x for n, (x, y) in enumerate(aligned) if any((x + d, y + d) in aligned for d in (-1, 1))}
+        assert want <= got <= want | blocks
+        with monkeypatch.context() as m:
+            m.setattr(lines, "patience", lambda a, b: [])
+            assert lines.blocks_to_delete(a, b, counts, long_) == []
+
+
+def test_alignment_of_many_moved_lines_is_quick():
+    a = list(range(1, 4001))
+    b = a[::-1]
+    shuffled = random.Random(1).sample(a, len(a))
+    began = time.process_time()
+    for other in (b, shuffled, a[2000:] + a[:2000]):
+        assert lines.blocks_to_delete(a, other, [True] * len(a), [True] * len(a)) == list(range(len(a)))
+    assert len(lines.blocks_to_delete([7] * 20_000, [7, 8], [True] * 20_000, [True] * 20_000)) == 20_000
+    assert time.process_time() - began < 20  # a round for each line takes minutes
+
+
 def test_line_dedup_against_brute_force(spark):
     block = prose(7, 48)
     texts = [prose(20, 36) + "\n" + block + "\n" + prose(21, 36), prose(22, 36) + "\n" + block, block, prose(23, 60), "short line\n" + prose(24, 24), "short line\n" + prose(25, 24), None]

@@ -1,11 +1,14 @@
 """Neighbours in space, each found in cells of a size that fits: nearest points, words within reach,
-patches where regions touch."""
+patches where regions touch, shapes that neighbouring tiles both hold."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import geometry as g
 from tessella.operators.graph import components
 from tessella.session import discard, materialize
 
@@ -133,3 +136,52 @@ def _numbered(runs: DataFrame, links: DataFrame, name: Column) -> DataFrame:
         return own.withColumnRenamed("_id", "component")
     found = components(edges, "u", "v").select(F.col("node").alias("_id"), "component")
     return own.join(found, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+
+
+def greedy_kept(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """id of the nodes that stay if they are taken in order of rank (rising) and one goes when it conflicts with one that
+    stays. nodes: id. conflicts: first, later, where first has the lower rank.
+
+    The same as one after the other, in rounds: nodes without an open or kept one before them stay, what conflicts with those goes,
+    and the rest is open. A round takes whole layers of the conflicts, so there are as many as the longest chain of them. Each is written; only
+    open conflicts are joined again.
+    """
+    open_ = materialize(conflicts.select("first", "later").distinct(), "open")
+    gone = nodes.select("id").limit(0)
+    while not open_.isEmpty():
+        # firsts that nothing open stands before stay, and what they conflict with goes
+        settled = open_.select(F.col("first").alias("id")).distinct().join(open_.select(F.col("later").alias("id")), "id", "left_anti")
+        dropped = materialize(open_.join(settled.withColumnRenamed("id", "first"), "first", "left_semi").select(F.col("later").alias("id")).distinct(), "dropped")
+        rest = open_.join(dropped.withColumnRenamed("id", "later"), "later", "left_anti").join(dropped.withColumnRenamed("id", "first"), "first", "left_anti")
+        gone, open_, before = gone.unionByName(dropped), materialize(rest, "open"), open_
+        discard(before)
+    return nodes.select("id").join(gone, "id", "left_anti")
+
+
+def merged_tiles(found: DataFrame, tiles: DataFrame, by: str, share: float = 0.5, cell: float = 64.0) -> DataFrame:
+    """by, piece_id, tile, area, polygon of the shapes that overlapping tiles of a picture give together: moved back by their tile's
+    corner, and of shapes that have more than share of the smaller one in common the larger stays, of equal ones that of the smaller id.
+
+    found: by, tile, piece_id, polygon in the tile's pixels; piece_id is unique over all. tiles: by, tile, x, y. Shapes meet
+    in the cells that both their boxes touch, so those of one tile or of neighbours meet and others don't, and no picture is in one task.
+    """
+    placed = found.join(tiles.select(by, "tile", F.col("x").alias("_x"), F.col("y").alias("_y")), [by, "tile"])
+    moved = placed.withColumn("polygon", F.transform("polygon", lambda v: g.point(v["x"] + F.col("_x"), v["y"] + F.col("_y")))).withColumn("area", g.area(F.col("polygon"))).filter("area > 0")
+    shapes = materialize(moved.select(by, "piece_id", "tile", "area", "polygon"), "shapes")
+    box = shapes.withColumn("_b", g.bounds(F.col("polygon")))
+    span = lambda a, b: F.sequence(F.floor(F.col(f"_b.{a}") / cell), F.floor(F.col(f"_b.{b}") / cell))
+    cells = box.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
+    a, b = (cells.select(by, "gx", "gy", *[F.col(c).alias(f"{s}_{c}") for c in ("piece_id", "area", "_b", "polygon")]) for s in "pq")
+    before = F.struct(-F.col("p_area"), "p_piece_id") < F.struct(-F.col("q_area"), "q_piece_id")
+    touch = (F.col("p__b.x0") < F.col("q__b.x1")) & (F.col("q__b.x0") < F.col("p__b.x1")) & (F.col("p__b.y0") < F.col("q__b.y1")) & (F.col("q__b.y0") < F.col("p__b.y1"))
+    # in the first of the cells that both touch
+    first = (F.col("gx") == F.floor(F.greatest("p__b.x0", "q__b.x0") / cell)) & (F.col("gy") == F.floor(F.greatest("p__b.y0", "q__b.y0") / cell))
+    met = a.join(b, [by, "gx", "gy"]).filter(before & touch & first)
+
+    def common(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([g.intersection_area(np.array([[v["x"], v["y"]] for v in s]), np.array([[v["x"], v["y"]] for v in t])) for s, t in zip(p, q)], dtype=float)
+
+    shared = F.pandas_udf(common, "double")("p_polygon", "q_polygon")
+    conflicts = met.select(F.col("p_piece_id").alias("first"), F.col("q_piece_id").alias("later"), shared.alias("common"), (F.col("q_area") * share).alias("most")).filter("common > most")
+    kept = greedy_kept(shapes.select(F.col("piece_id").alias("id")), conflicts)
+    return shapes.join(kept.withColumnRenamed("id", "piece_id"), "piece_id", "left_semi").select(by, "piece_id", "tile", "area", "polygon")

@@ -37,12 +37,20 @@ def flattened_payloads(spark, d):
     return out.select("p_partkey", F.get_json_object("j", "$.name").alias("name"), F.get_json_object("j", "$.brand").alias("brand"), F.get_json_object("j", "$.sizes[1]").cast("long").alias("size"), F.get_json_object("j", "$.far").isNull().alias("far_is_null"))
 
 
+def payload_rows(spark, d):
+    """The values of the parts' flattened payloads as rows, by a table function joined to each."""
+    p = table(spark, d, "part")
+    text = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    flat = F.concat(F.lit('[{"name":1,"sizes":2,"none":-1,"far":99,"self":0},'), text("p_name"), F.lit(",[3,3,4],"), F.col("p_size").cast("string"), F.lit(',{"brand":5,"flag":6},'), text("p_brand"), F.lit(",true]"))
+    return p.select("p_partkey", flat.alias("payload")).lateralJoin(hs.PayloadRows(F.col("payload").outer())).select("p_partkey", "path", "kind", "value")
+
+
 def payload_search(spark, d):
     """The first listing inside nested payloads of suppliers, the last child first."""
     s = table(spark, d, "supplier")
     inner = lambda v: F.struct(F.struct(v.alias("id")).alias("listing"))
     payload = F.when(F.col("s_suppkey") % 4 > 0, F.to_json(F.struct(F.array(inner(F.lit(-1).cast("long")), inner(F.col("s_suppkey"))).alias("x"), F.lit("s").alias("y")))).otherwise(F.lit('{"x": [1, {"y": 2}]}'))
-    found = hs.key_search(payload, {"listing", "listingDetails"})
+    found = hs.key_search(payload, ["listing", "listingDetails"])
     return s.select("s_suppkey", F.get_json_object(found, "$.id").cast("long").alias("found"))
 
 
@@ -153,9 +161,12 @@ _RECT = "r AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS w, CAST(p_partkey % 1
 
 QUERIES = {
     f.__name__: f
-    for f in (typed_listings, flattened_payloads, payload_search, conditioned_images, aperture_rooms, shared_walls, adjacency_metric, assignment_accuracy, plan_channel, farthest_vertices, entry_rooms, room_predictions, scene_index, label_manifest, facts_sheets)
+    for f in (typed_listings, flattened_payloads, payload_rows, payload_search, conditioned_images, aperture_rooms, shared_walls, adjacency_metric, assignment_accuracy, plan_channel, farthest_vertices, entry_rooms, room_predictions, scene_index, label_manifest, facts_sheets)
 }
 ORACLES = {
+    "payload_rows": """
+SELECT p_partkey, unnest(['/name', '/sizes/0', '/sizes/1', '/sizes/2/brand', '/sizes/2/flag', '/none', '/far', '/self']) AS path, unnest(['string', 'number', 'number', 'string', 'boolean', 'null', 'null', 'cycle']) AS kind,
+  unnest(['"' || p_name || '"', p_size::VARCHAR, p_size::VARCHAR, '"' || p_brand || '"', 'true', 'null', 'null', '0']) AS value FROM part""",
     "typed_listings": """
 SELECT c_custkey AS listing_id, c_name AS display_address, c_mktsegment AS outcode, CAST(c_nationkey % 5 AS INT) AS bedrooms, CAST(floor(abs(c_acctbal)) AS BIGINT) AS price,
   CASE WHEN c_custkey % 3 = 0 THEN round((c_custkey % 700 + 300) * 0.09290304::DOUBLE, 2) ELSE (c_custkey % 90 + 10)::DOUBLE END AS floor_area_sqm, c_custkey % 9 AS n_photos,

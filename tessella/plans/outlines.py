@@ -108,6 +108,22 @@ def squared_rooms(spark, d):
     return out.select("l_orderkey", F.col("line").alias("room"), F.size("directions").alias("n_directions"), F.round("turn", 4).alias("turn"), F.round("area", 4).alias("area"))
 
 
+def tile_merge(spark, d):
+    """Parts as rooms of one large plan that is read in tiles of 200, 50 of which are the next one's too. A tile cuts off what
+    is outside of it; each room comes out once, whole."""
+    k = F.col("p_partkey")
+    r = table(spark, d, "part").select("p_partkey", (k % 40 * 60).cast("double").alias("x"), F.expr("CAST(p_partkey div 40 * 25 AS DOUBLE)").alias("y"), F.col("p_size").cast("double").alias("w"), (k % 17 + 3).cast("double").alias("h"))
+    reach = lambda at, size: F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(at) - 200) / 150)), F.floor((F.col(at) + F.col(size)) / 150)).cast("array<bigint>"))
+    cut = r.withColumn("tx", reach("x", "w")).withColumn("ty", reach("y", "h"))
+    near_, far = [F.greatest(F.col(c), F.col(t) * 150) for c, t in (("x", "tx"), ("y", "ty"))], [F.least(F.col(c) + F.col(s), F.col(t) * 150 + 200) for c, s, t in (("x", "w", "tx"), ("y", "h", "ty"))]
+    tile = F.col("ty") * 1000 + F.col("tx")
+    pieces = cut.select(F.lit(0).alias("plan"), tile.alias("tile"), (k * 1_000_000 + tile).alias("piece_id"), g.rectangle(near_[0] - F.col("tx") * 150, near_[1] - F.col("ty") * 150, far[0] - near_[0], far[1] - near_[1]).alias("polygon"), "tx", "ty")
+    tiles = pieces.select("plan", "tile", (F.col("tx") * 150.0).alias("x"), (F.col("ty") * 150.0).alias("y")).distinct()
+    out = near.merged_tiles(pieces.drop("tx", "ty"), tiles, "plan")
+    b = g.bounds(F.col("polygon"))
+    return out.select(F.expr("piece_id div 1000000").alias("p_partkey"), "tile", "area", b["x0"].alias("x0"), b["y0"].alias("y0"))
+
+
 _NTH = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"
 _ROOMS = f"""
 room AS (SELECT l_orderkey AS k, {_NTH} AS id, l_partkey, CAST(l_linenumber * 5 + CAST(l_quantity AS BIGINT) % 4 AS DOUBLE) AS x, CAST(l_partkey % 7 AS DOUBLE) AS y,
@@ -117,7 +133,7 @@ _SIDE = """SELECT k, i, {0}0, {0}1 FROM (SELECT k, {0} AS {0}0, lead({0}) OVER (
 _LINE = f"""SELECT l_orderkey AS k, {_NTH} AS id, CAST({{0}} AS BIGINT) % 7 + 2.0::DOUBLE AS w, CAST({{1}} AS BIGINT) % 5 + 3.0::DOUBLE AS h,
   coalesce(sum(CAST({{0}} AS BIGINT) % 7 + 2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS x FROM lineitem"""
 
-QUERIES = {f.__name__: f for f in (union_outline, layout_overlap, plan_sheets, contact_patches, cloud_spacing, words_in_reach, squared_rooms)}
+QUERIES = {f.__name__: f for f in (union_outline, layout_overlap, plan_sheets, contact_patches, cloud_spacing, words_in_reach, squared_rooms, tile_merge)}
 ORACLES = {
     "union_outline": f"""WITH {_ROOMS},
 rect AS (SELECT k, x AS x0, x + CASE WHEN l_partkey % 3 = 0 THEN w / 2 ELSE w END AS x1, y AS y0, y + h AS y1 FROM room UNION ALL SELECT k, x, x + w, y, y + h / 2 FROM room WHERE l_partkey % 3 = 0),
@@ -164,6 +180,10 @@ SELECT plan, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, patch // 64 AS py,
 d AS (SELECT p.label, p.vec_id, q.vec_id AS other, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS distance FROM e p JOIN e q ON p.label = q.label AND p.vec_id <> q.vec_id),
 k AS (SELECT label, vec_id, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS rank FROM d)
 SELECT label, vec_id, rank, round(distance, 6) AS distance FROM k WHERE rank <= 2""",
+    "tile_merge": """WITH r AS (SELECT p_partkey, CAST(p_partkey % 40 * 60 AS DOUBLE) AS x, CAST(p_partkey // 40 * 25 AS DOUBLE) AS y, CAST(p_size AS DOUBLE) AS w, CAST(p_partkey % 17 + 3 AS DOUBLE) AS h FROM part),
+t AS (SELECT *, unnest(range(0, 20)) AS tx FROM r), u AS (SELECT *, greatest(0, CAST(floor(y / 150) AS BIGINT) - 1) + unnest(range(0, 2)) AS ty FROM t),
+whole AS (SELECT p_partkey, x, y, w * h AS area, ty * 1000 + tx AS tile FROM u WHERE x >= tx * 150 AND x + w <= tx * 150 + 200 AND y >= ty * 150 AND y + h <= ty * 150 + 200)
+SELECT p_partkey, min(tile) AS tile, area, x AS x0, y AS y0 FROM whole GROUP BY p_partkey, area, x, y""",
     "words_in_reach": f"""WITH w AS (SELECT l_suppkey, CAST(l_orderkey * 64 + {_NTH} AS BIGINT) AS id, CAST(l_orderkey * 37 % 2000 AS DOUBLE) AS x, CAST(l_partkey * 53 % 3000 AS DOUBLE) AS y, CAST(CAST(l_quantity AS BIGINT) % 30 + 5 AS DOUBLE) AS w,
   CAST(CASE WHEN l_linenumber % 5 = 0 THEN 40 + CAST(l_quantity AS BIGINT) ELSE 4 + CAST(l_quantity AS BIGINT) % 6 END AS DOUBLE) AS h FROM lineitem),
 p AS (SELECT s.l_suppkey, s.id AS a, t.id AS b, greatest(0, greatest(s.x, t.x) - least(s.x + s.w, t.x + t.w)) AS dx, greatest(0, greatest(s.y, t.y) - least(s.y + s.h, t.y + t.h)) AS dy, greatest(s.h, t.h) * 1.2::DOUBLE AS reach FROM w s JOIN w t ON s.l_suppkey = t.l_suppkey AND s.id < t.id)

@@ -18,10 +18,10 @@ def _source(spark, d):
     return folder
 
 
-def _drained(spark, d, make, mode="append"):
+def _drained(spark, d, make, mode="append", **more):
     folder = _source(spark, d)
     stream = make(st.event_stream(spark, f"{folder}/in", 100))
-    st.drain(stream, f"{folder}/out", f"{folder}/state", mode)
+    st.drain(stream, f"{folder}/out", f"{folder}/state", mode, **more)
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -43,7 +43,7 @@ def stream_first_seen(spark, d):
 
 
 def stream_versions(spark, d):
-    return _drained(spark, d, st.version_stream)
+    return _drained(spark, d, st.version_stream, empty_batches=False)
 
 
 def session_bursts(spark, d):

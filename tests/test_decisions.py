@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 from datetime import timedelta
 
 import numpy as np
@@ -46,6 +47,16 @@ def test_printed_areas(spark):
     assert [r["v"] for r in got] == [None, None, 10.46]
 
 
+def test_payload_rows(spark):
+    payloads = ['[[1,2,1,-3],"a",{"up":0,"me":2,"in":3,"far":9,"yes":true},[4],5]', '["one"]', "[]", "{", None, '{"a": 1}', "[[1],[0]]"]
+    frame = spark.createDataFrame(list(enumerate(payloads)), "id int, p string")
+    got = sorted(tuple(r) for r in frame.lateralJoin(html.PayloadRows(F.col("p").outer())).select("id", "path", "kind", "value").collect())
+    assert got == [
+        (0, "/0", "string", '"a"'), (0, "/1/far", "null", "null"), (0, "/1/in/0", "number", "5"), (0, "/1/me", "cycle", "2"), (0, "/1/up", "cycle", "0"), (0, "/1/yes", "boolean", "true"), (0, "/2", "string", '"a"'), (0, "/3", "number", "NaN"),
+        (1, "/", "string", '"one"'), (6, "/0/0", "cycle", "0"),
+    ]
+
+
 def test_assignment_equals_brute_force():
     rng = np.random.default_rng(0)
     for n, m in [(1, 1), (2, 5), (5, 2), (4, 4), (6, 6), (3, 6)] * 4:
@@ -152,7 +163,9 @@ def test_flattened_payloads():
     assert out["me"] is out and out["b"] == "text" and out["c"] is None
     assert out["a"][0] is out["a"][1] and out["a"][0] == {"k": True} and math.isnan(out["a"][2])
     assert html.unflatten([]) is None and html.unflatten([[99]]) == [None]
-    assert html.find_key({"x": [{"want": {"n": 1}}, {"want": {"n": 2}}]}, {"want"}) == {"n": 2}
+    assert html.find_key({"x": [{"want": {"n": 1}}, {"want": {"n": 2}}]}, ["want"]) == {"n": 2}
+    assert html.find_key({"b": 1, "a": [2]}, ["a", "b"]) == [2] and html.find_key({"b": 1, "a": [2]}, ["b", "a"]) == 1  # keys in their own order, any value
+    assert html.find_key([{"x": 0}, {"y": {"x": None}}], ["x"]) is None and html.find_key({"y": {}}, ["x"]) is None
     assert html.balanced_json('var M = {"a": "}\\"", "b": {}} ;', "M") == '{"a": "}\\"", "b": {}}'
     assert html.balanced_json("M " + " " * 300 + "{}", "M") is None and html.balanced_json("M {", "M") is None
     assert html.balanced_json('M = [{"a":1},{"b":2}]', "M") == '[{"a":1},{"b":2}]' and html.balanced_json('M = {"a" 1 oops}', "M") is None
@@ -167,14 +180,14 @@ def test_deep_payloads_are_no_failure(spark):
     assert (out, depth) == ("end", 50_000)
     frame = spark.createDataFrame([(json.dumps(deep),), ("[" * 50_000 + "]" * 50_000,)], "p string")
     assert [r["v"] for r in frame.select(html.unflattened(F.col("p")).alias("v")).collect()] == [None, None]
-    assert [r["v"] for r in frame.select(html.key_search(F.col("p"), {"x"}).alias("v")).collect()] == [None, None]
+    assert [r["v"] for r in frame.select(html.key_search(F.col("p"), ["x"]).alias("v")).collect()] == [None, None]
 
 
 def test_payload_columns(spark):
     frame = spark.createDataFrame([(json.dumps([{"a": 1}, 5]),), ("[[0]]",), ("bad",), (None,)], "p string")
     got = [r["v"] for r in frame.select(html.unflattened(F.col("p")).alias("v")).collect()]
     assert got == ['{"a": 5}', None, None, None]
-    assert frame.select(html.key_search(F.col("p"), {"zz"}).alias("v")).filter("v is not null").count() == 0
+    assert frame.select(html.key_search(F.col("p"), ["zz"]).alias("v")).filter("v is not null").count() == 0
 
 
 def test_stored_versions(spark):
@@ -410,3 +423,20 @@ def test_blobs_are_stored_once(spark, tmp_path):
     artifacts.put_blobs(frame(b"two", b"three"), store)
     rows = spark.read.parquet(store).collect()
     assert sorted(bytes(r["content"]) for r in rows) == [b"one", b"three", b"two"] and all(r["sha256"].startswith(r["head"]) for r in rows)
+
+
+def test_state_of_versions_is_forgotten(spark, tmp_path):
+    """A key counts on while its state lives, over a restart; when that has ended, it begins again."""
+    rows = lambda first, kinds: spark.createDataFrame([(first + k, f"2024-01-0{k + 1} 00:00:00", 1, kind, 1.0, "") for k, kind in enumerate(kinds)], "event_id long, t string, user_id long, event_type string, value double, props string").select("event_id", F.col("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+
+    def run(name, first, kinds, lives_ms):
+        rows(first, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        source = stream.version_stream(stream.event_stream(spark, str(tmp_path / name / "in")), lives_ms)
+        stream.drain(source, str(tmp_path / name / "out"), str(tmp_path / name / "state"), empty_batches=False)
+        return sorted((r["version"], r["event_type"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / name / "out")).collect())
+
+    assert run("long", 0, "aab", 3_600_000) == [(1, "a", 0), (2, "b", 2)]
+    assert run("long", 10, "bc", 3_600_000) == [(1, "a", 0), (2, "b", 2), (3, "c", 11)]
+    assert run("short", 0, "aab", 500) == [(1, "a", 0), (2, "b", 2)]
+    time.sleep(1)
+    assert run("short", 10, "bc", 500) == [(1, "a", 0), (1, "b", 10), (2, "b", 2), (2, "c", 11)]

@@ -211,3 +211,34 @@ def test_edges_far_from_any_direction_stay():
     out, turn = g.snap_to(p, [0.0, 90.0])
     assert out == pytest.approx(p) and turn == 0.0
     assert g.peak_directions(np.zeros(180)) == [0.0, 90.0]
+
+
+def test_greedy_rounds_are_one_after_the_other(spark):
+    rng = np.random.default_rng(12)
+    edges = {tuple(sorted(map(int, rng.choice(60, 2, replace=False)))) for _ in range(90)} | {(k, k + 1) for k in range(100, 130)}
+    want = []
+    for k in [*range(60), *range(100, 131)]:
+        if not any((j, k) in edges for j in want):
+            want.append(k)
+    nodes = spark.createDataFrame([(k,) for k in [*range(60), *range(100, 131)]], "id long")
+    got = proximity.greedy_kept(nodes, spark.createDataFrame(sorted(edges), "first long, later long"))
+    assert sorted(r["id"] for r in got.collect()) == want
+
+
+def test_tiles_merge_to_what_was_cut(spark):
+    rng = np.random.default_rng(3)
+    whole = {k: np.array([(x, y), (x + w, y), (x + w, y + h), (x + w / 2, y + h), (x, y + h)]) for k in range(25) for x, y, w, h in [(*rng.uniform(0, 20, 2) + [(k % 5) * 80, (k // 5) * 80], *rng.uniform(20, 50, 2))]}
+    tiles = [("p", 10 * i + j, 90.0 * i, 90.0 * j) for i in range(5) for j in range(5)]
+    found = []
+    for _, tile, x, y in tiles:
+        for k, p in whole.items():
+            low, high = p.min(axis=0), p.max(axis=0)
+            if (low >= [x, y]).all() and (high <= [x + 160, y + 160]).all():
+                found.append(("p", tile, k * 1000 + tile, ring(*(p - [x, y]))))
+            elif (low < [x + 160, y + 160]).all() and (high > [x, y]).all():
+                a, b = np.maximum(low, [x, y]), np.minimum(high, [x + 160, y + 160])
+                found.append(("p", tile, k * 1000 + tile, box(*(a - [x, y]), *((b - a) * [0.6, 0.5]))))  # a part, badly read
+    out = proximity.merged_tiles(spark.createDataFrame(found, f"plan string, tile long, piece_id long, polygon {RING}"), spark.createDataFrame(tiles, "plan string, tile long, x double, y double"), "plan").collect()
+    assert sorted(r["piece_id"] // 1000 for r in out) == sorted(whole)
+    for r in out:
+        assert np.array(r["polygon"]) == pytest.approx(whole[r["piece_id"] // 1000])

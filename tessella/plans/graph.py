@@ -90,7 +90,7 @@ def _cloud(spark, d):
     """Events as points of rooms (users): a floor, a ceiling and noise."""
     e = table(spark, d, "events")
     layer = F.when(F.col("event_id") % 5 < 2, 0.0).when(F.col("event_id") % 5 < 4, 2.5).otherwise(F.col("event_id") % 23 / 9.0)
-    return e.select((F.col("user_id") % 12).alias("room"), F.col("event_id").alias("point_id"), ((F.col("event_id") * 37) % 401 / 100.0).alias("x"), ((F.col("event_id") * 53) % 307 / 100.0).alias("y"), (layer + F.col("event_id") % 7 / 100.0).alias("z"), (F.col("value") / 50.0).alias("conf"))
+    return e.select(F.col("user_id").alias("room"), F.col("event_id").alias("point_id"), ((F.col("event_id") * 37) % 401 / 100.0).alias("x"), ((F.col("event_id") * 53) % 307 / 100.0).alias("y"), (layer + F.col("event_id") % 7 / 100.0).alias("z"), (F.col("value") / 50.0).alias("conf"))
 
 
 def clip_reasons(spark, d):
@@ -169,7 +169,7 @@ def island_links(spark, d):
 
 
 _CLOUD = """
-c AS (SELECT user_id % 12 AS room, event_id AS point_id, (event_id * 37) % 401 / 100.0::DOUBLE AS x, (event_id * 53) % 307 / 100.0::DOUBLE AS y,
+c AS (SELECT user_id AS room, event_id AS point_id, (event_id * 37) % 401 / 100.0::DOUBLE AS x, (event_id * 53) % 307 / 100.0::DOUBLE AS y,
   CASE WHEN event_id % 5 < 2 THEN 0.0::DOUBLE WHEN event_id % 5 < 4 THEN 2.5::DOUBLE ELSE event_id % 23 / 9.0::DOUBLE END + event_id % 7 / 100.0::DOUBLE AS z, value / 50.0::DOUBLE AS conf FROM events)"""
 
 QUERIES = {

@@ -49,7 +49,7 @@ def pinned_costs(spark, d):
 def _constraints(spark, d):
     l, p = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", "p_retailprice")
     joined = l.join(p, l["l_partkey"] == p["p_partkey"])
-    return joined.select(F.concat("l_returnflag", "l_linestatus").alias("g"), F.col("l_extendedprice").alias("target"), (F.col("l_quantity") * F.col("p_retailprice")).alias("observed"), F.when(F.col("l_linenumber") % 2 == 0, 1.0).otherwise(2.0).alias("power"), (1.0 + F.col("l_tax") * 10).alias("weight"), (F.col("l_linenumber") % 3).alias("kind"))
+    return joined.select(F.col("l_suppkey").alias("g"), F.col("l_extendedprice").alias("target"), (F.col("l_quantity") * F.col("p_retailprice")).alias("observed"), F.when(F.col("l_linenumber") % 2 == 0, 1.0).otherwise(2.0).alias("power"), (1.0 + F.col("l_tax") * 10).alias("weight"), (F.col("l_linenumber") % 3).alias("kind"))
 
 
 def wls_scale(spark, d):
@@ -117,7 +117,7 @@ free AS (SELECT * FROM costs c WHERE room_id % 17 NOT IN (3, 5) AND NOT EXISTS (
 k AS (SELECT n, count(*) AS pinned FROM pins GROUP BY 1), f AS (SELECT n, count(*) AS pairs, count(DISTINCT room_id) AS rooms FROM free GROUP BY 1)
 SELECT f.n, pairs, rooms, coalesce(pinned, 0) AS pinned FROM f LEFT JOIN k ON f.n = k.n""",
     "wls_scale": f"""
-WITH a0 AS (SELECT l_returnflag || l_linestatus AS g, CASE WHEN l_linenumber % 2 = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS power, 1.0::DOUBLE + l_tax * 10 AS weight, l_linenumber % 3 AS kind, ln(l_extendedprice) - ln(l_quantity * p_retailprice) AS y FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_extendedprice > 0 AND l_quantity * p_retailprice > 0),
+WITH a0 AS (SELECT l_suppkey AS g, CASE WHEN l_linenumber % 2 = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS power, 1.0::DOUBLE + l_tax * 10 AS weight, l_linenumber % 3 AS kind, ln(l_extendedprice) - ln(l_quantity * p_retailprice) AS y FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_extendedprice > 0 AND l_quantity * p_retailprice > 0),
 {_ROUND.format(n="x", p="a0")}, {_ROUND.format(n="y", p="xa")}, {_ROUND.format(n="z", p="ya")},
 f AS (SELECT g, sum(weight * power * y) / sum(weight * power * power) AS ls FROM za GROUP BY g), r AS (SELECT a.*, f.ls, a.y - a.power * f.ls AS r FROM za a JOIN f ON a.g = f.g),
 o AS (SELECT g, any_value(ls) AS ls, count(*) AS n_used, count(DISTINCT kind) AS kinds, sqrt(sum(weight * r * r) / (sum(weight) * greatest(1, count(*) - 1))) AS sg, (exp(sqrt(avg(r * r))) - 1) * 100 AS rms FROM r GROUP BY g),

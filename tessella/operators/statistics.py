@@ -68,9 +68,11 @@ def gate_verdict(judged: Column, all_: Column, rate_: Column) -> Column:
 
 def gate_summary(rows: DataFrame, by: str, passed: str, value: str) -> DataFrame:
     """Per criterion: judged and unjudged rows, pass rate over the judged, median value, verdict.
-    A null pass is no judgement and counts in neither."""
+    A null pass is no judgement and counts in neither. Criteria are few and have many rows, so medians are
+    those of `quantiles`; rows without a criterion have none."""
     p = F.col(passed)
-    counted = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count(p).alias("judged"), F.count_if(p.isNull()).alias("unjudged"), F.count_if(p).alias("n_pass"), F.median(value).alias("median_value"))
+    counted = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count(p).alias("judged"), F.count_if(p.isNull()).alias("unjudged"), F.count_if(p).alias("n_pass"))
+    counted = counted.join(quantiles(rows, [by], value, {"median_value": 0.5}), by, "left")
     counted = counted.withColumn("pass_rate", F.when(F.col("judged") > 0, F.col("n_pass") / F.col("judged")))
     return counted.withColumn("verdict", gate_verdict(F.col("judged"), F.col("n"), F.coalesce("pass_rate", F.lit(0.0))))
 
@@ -91,7 +93,7 @@ def regressions(history: DataFrame, by: str, order: str, value: str, lower_is_be
 def histogram(rows: DataFrame, by: str, value: str, bins: int, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """by, bin, n over equal bins between two percentiles of each group; values outside go."""
     v = F.col(value).cast("double")
-    range_ = rows.groupBy(by).agg(F.percentile(v, F.lit(low)).alias("lo"), F.percentile(v, F.lit(high)).alias("hi"))
+    range_ = quantiles(rows, [by], value, {"lo": low, "hi": high})
     at = F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)).cast("long")
     return rows.join(range_, by).filter((v >= F.col("lo")) & (v <= F.col("hi"))).groupBy(by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import geometry as g
 from tessella.operators import graph as op
 from tessella.operators import spatial as sp
+from tessella.operators.quantiles import quantiles
 from tessella.sources.tables import table
 
 
@@ -80,7 +81,7 @@ def cloud_summary(spark, d):
     extent and mean of those above the 40th percentile. The two lie on the hull of the points, so
     only its corners meet: the hull of parts of a label is taken first, then that of the parts'."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    q = e.groupBy("label").agg(F.percentile("x", F.lit(0.4)).alias("p40"))
+    q = quantiles(e, ["label"], "x", {"p40": 0.4})
     kept = e.join(q, "label").filter(F.col("x") > F.col("p40"))
     summary = kept.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("y") - F.min("y"), 6).alias("extent"), F.round(F.avg("x"), 6).alias("mean_x"))
     return summary.join(sp.widest_pair(e, "label", "vec_id"), "label").withColumn("widest", F.round("widest", 6))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import statistics as op
 from tessella.plans.quality import STAGES
+from tessella.operators.quantiles import quantiles
 from tessella.sources.tables import table
 
 R = 4
@@ -107,7 +108,8 @@ def estimate_disagreement(spark, d):
 def parameter_sweep(spark, d):
     """Per discount step: percentiles of tax and the share in a range."""
     l = table(spark, d, "lineitem")
-    return _round(l.groupBy("l_discount").agg(F.count(F.lit(1)).alias("n"), F.percentile("l_extendedprice", F.lit(0.25)).alias("q1"), F.percentile("l_extendedprice", F.lit(0.75)).alias("q3"), F.avg((F.col("l_tax").between(0.02, 0.05)).cast("double")).alias("in_range")), "q1", "q3", "in_range", places=2)
+    plain = l.groupBy("l_discount").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_tax").between(0.02, 0.05)).cast("double")).alias("in_range"))
+    return _round(plain.join(quantiles(l, ["l_discount"], "l_extendedprice", {"q1": 0.25, "q3": 0.75}), "l_discount", "left").select("l_discount", "n", "q1", "q3", "in_range"), "q1", "q3", "in_range", places=2)
 
 
 def score_ladder(spark, d):

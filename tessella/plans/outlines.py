@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as g
+from tessella.operators import meshes
 from tessella.operators import outlines as op
 from tessella.operators import proximity as near
 from tessella.sources.tables import table
@@ -108,6 +109,16 @@ def squared_rooms(spark, d):
     return out.select("l_orderkey", F.col("line").alias("room"), F.size("directions").alias("n_directions"), F.round("turn", 4).alias("turn"), F.round("area", 4).alias("area"))
 
 
+def mesh_totals(spark, d):
+    """Triangles and area of the orders' shells by provenance and part, each line with a door or window on its front."""
+    r = _overlapping(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("provenance")), "l_orderkey")
+    r = r.select("l_orderkey", F.col("line").alias("room_id"), "l_partkey", "x", "y", "w", "polygon", F.lit(0.0).alias("floor"), (F.col("l_partkey") % 3 * 0.25 + 2.25).alias("height"), "provenance")
+    k = F.col("l_partkey")
+    openings = r.filter(k % 5 > 0).select("l_orderkey", (F.col("x") + F.col("w") / 4).alias("x"), (F.col("y") + 0.125).alias("y"), (k % 4 * 0.5).alias("width"), F.when(k % 2 == 0, "door").otherwise("window").alias("kind"), F.when(k % 7 == 0, 2.5).alias("head"))
+    out = meshes.room_mesh(r, openings, "l_orderkey").withColumn("area", meshes.triangle_area())
+    return out.groupBy("provenance", "part").agg(F.count(F.lit(1)).alias("triangles"), F.round(F.sum("area"), 2).alias("area"), F.bool_and("whole").alias("whole"))
+
+
 def tile_merge(spark, d):
     """Parts as rooms of one large plan that is read in tiles of 200, 50 of which are the next one's too. A tile cuts off what
     is outside of it; each room comes out once, whole."""
@@ -133,7 +144,7 @@ _SIDE = """SELECT k, i, {0}0, {0}1 FROM (SELECT k, {0} AS {0}0, lead({0}) OVER (
 _LINE = f"""SELECT l_orderkey AS k, {_NTH} AS id, CAST({{0}} AS BIGINT) % 7 + 2.0::DOUBLE AS w, CAST({{1}} AS BIGINT) % 5 + 3.0::DOUBLE AS h,
   coalesce(sum(CAST({{0}} AS BIGINT) % 7 + 2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS x FROM lineitem"""
 
-QUERIES = {f.__name__: f for f in (union_outline, layout_overlap, plan_sheets, contact_patches, cloud_spacing, words_in_reach, squared_rooms, tile_merge)}
+QUERIES = {f.__name__: f for f in (union_outline, layout_overlap, plan_sheets, contact_patches, cloud_spacing, words_in_reach, squared_rooms, tile_merge, mesh_totals)}
 ORACLES = {
     "union_outline": f"""WITH {_ROOMS},
 rect AS (SELECT k, x AS x0, x + CASE WHEN l_partkey % 3 = 0 THEN w / 2 ELSE w END AS x1, y AS y0, y + h AS y1 FROM room UNION ALL SELECT k, x, x + w, y, y + h / 2 FROM room WHERE l_partkey % 3 = 0),
@@ -180,6 +191,20 @@ SELECT plan, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, patch // 64 AS py,
 d AS (SELECT p.label, p.vec_id, q.vec_id AS other, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS distance FROM e p JOIN e q ON p.label = q.label AND p.vec_id <> q.vec_id),
 k AS (SELECT label, vec_id, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS rank FROM d)
 SELECT label, vec_id, rank, round(distance, 6) AS distance FROM k WHERE rank <= 2""",
+    "mesh_totals": f"""WITH {_ROOMS},
+m AS (SELECT room.*, o_orderpriority AS provenance, l_partkey % 3 * 0.25::DOUBLE + 2.25::DOUBLE AS height, l_partkey % 3 = 0 AS ell FROM room JOIN orders ON o_orderkey = k),
+corner AS (SELECT k, id, height, provenance, unnest(CASE WHEN ell THEN [[x, y, x + w, y], [x + w, y, x + w, y + h / 2], [x + w, y + h / 2, x + w / 2, y + h / 2], [x + w / 2, y + h / 2, x + w / 2, y + h], [x + w / 2, y + h, x, y + h], [x, y + h, x, y]]
+  ELSE [[x, y, x + w, y], [x + w, y, x + w, y + h], [x + w, y + h, x, y + h], [x, y + h, x, y]] END) AS s, unnest(range(CASE WHEN ell THEN 6 ELSE 4 END)) AS wall FROM m),
+e AS (SELECT k, id, height, provenance, wall, s[1] AS px, s[2] AS py, s[3] - s[1] AS dx, s[4] - s[2] AS dy, abs(s[3] - s[1]) + abs(s[4] - s[2]) AS len FROM corner),
+o AS (SELECT k, x + w / 4 AS ox, y + 0.125::DOUBLE AS oy, CASE WHEN l_partkey % 4 = 0 THEN 0.85::DOUBLE ELSE l_partkey % 4 * 0.5::DOUBLE END AS width, CASE WHEN l_partkey % 2 = 0 THEN 0.0::DOUBLE ELSE 0.9::DOUBLE END AS sill,
+  CASE WHEN l_partkey % 7 = 0 THEN 2.5::DOUBLE WHEN l_partkey % 2 = 0 THEN 2.04::DOUBLE ELSE 2.1::DOUBLE END AS head FROM m WHERE l_partkey % 5 > 0),
+c AS (SELECT e.*, greatest(0, t - width / 2 / len) AS t0, least(1, t + width / 2 / len) AS t1, sill, head FROM (SELECT e.*, o.*, ((ox - px) * dx + (oy - py) * dy) / (len * len) AS t, abs((oy - py) * dx - (ox - px) * dy) / len AS off FROM e JOIN o ON o.k = e.k) e WHERE t BETWEEN 0 AND 1 AND off <= 0.45::DOUBLE),
+n AS (SELECT *, coalesce(max(t1) OVER (PARTITION BY k, id, wall ORDER BY t0, t1, sill, head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor FROM c),
+q AS (SELECT provenance, len, cursor AS a, greatest(cursor, t0) AS b, 0.0::DOUBLE AS z0, height AS z1 FROM n UNION ALL SELECT provenance, len, greatest(cursor, t0), greatest(cursor, t1), 0.0::DOUBLE, sill FROM n
+  UNION ALL SELECT provenance, len, greatest(cursor, t0), greatest(cursor, t1), least(height, head), height FROM n
+  UNION ALL SELECT provenance, len, coalesce(til, 0), 1.0::DOUBLE, 0.0::DOUBLE, height FROM e LEFT JOIN (SELECT k, id, wall, max(t1) AS til FROM c GROUP BY k, id, wall) USING (k, id, wall))
+SELECT provenance, 'wall' AS part, 2 * count(*) AS triangles, round(sum((b - a) * len * (z1 - z0)), 2) AS area, true AS whole FROM q WHERE b > a AND z1 > z0 GROUP BY provenance
+UNION ALL SELECT provenance, part, sum(CASE WHEN ell THEN 4 ELSE 2 END)::BIGINT, round(sum(CASE WHEN ell THEN w * h * 0.75 ELSE w * h END), 2), true FROM m, (SELECT unnest(['floor', 'ceiling']) AS part) GROUP BY provenance, part""",
     "tile_merge": """WITH r AS (SELECT p_partkey, CAST(p_partkey % 40 * 60 AS DOUBLE) AS x, CAST(p_partkey // 40 * 25 AS DOUBLE) AS y, CAST(p_size AS DOUBLE) AS w, CAST(p_partkey % 17 + 3 AS DOUBLE) AS h FROM part),
 t AS (SELECT *, unnest(range(0, 20)) AS tx FROM r), u AS (SELECT *, greatest(0, CAST(floor(y / 150) AS BIGINT) - 1) + unnest(range(0, 2)) AS ty FROM t),
 whole AS (SELECT p_partkey, x, y, w * h AS area, ty * 1000 + tx AS tile FROM u WHERE x >= tx * 150 AND x + w <= tx * 150 + 200 AND y >= ty * 150 AND y + h <= ty * 150 + 200)

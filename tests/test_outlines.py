@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as g
-from tessella.operators import outlines, proximity
+from tessella.operators import meshes, outlines, proximity
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -242,3 +242,20 @@ def test_tiles_merge_to_what_was_cut(spark):
     assert sorted(r["piece_id"] // 1000 for r in out) == sorted(whole)
     for r in out:
         assert np.array(r["polygon"]) == pytest.approx(whole[r["piece_id"] // 1000])
+
+
+def test_mesh_of_rooms(spark):
+    rooms = [("p", "box", box(0, 0, 4, 3), 0.5, 2.5, "measured"), ("p", "far", box(20, 20, 2, 2)[::-1], 0.0, 2.0, "inferred"), ("p", "bow", ring((40, 0), (42, 2), (42, 0), (40, 2)), 0.0, 2.0, "inferred"), ("p", "none", [], 0.0, 2.0, "inferred")]
+    openings = [("p", 2.0, 0.1, 1.0, "door", None), ("p", 2.4, 0.0, 1.0, "door", 2.0), ("p", 4.0, 1.5, None, "window", None), ("p", 2.0, 1.0, 1.0, "door", None), ("q", 20.0, 21.0, 1.0, "door", None), ("p", None, None, 1.0, "door", None)]
+    df = spark.createDataFrame(rooms, f"plan string, room_id string, polygon {RING}, floor double, height double, provenance string")
+    cuts = spark.createDataFrame(openings, "plan string, x double, y double, width double, kind string, head double")
+    out = meshes.room_mesh(df, cuts, "plan").withColumn("area", meshes.triangle_area()).collect()
+    area = lambda room, part: round(sum(r["area"] for r in out if (r["room_id"], r["part"]) == (room, part)), 6)
+    # doors from 1.5 to 2.5 and on to 2.9, a window of 0.85 from 0.9 to 2.1
+    assert area("box", "wall") == round(14 * 2.5 - 1.0 * 2.04 - 0.4 * 2.0 - 0.85 * 1.2, 6) and area("box", "floor") == area("box", "ceiling") == 12
+    assert area("far", "wall") == 16 and area("far", "floor") == 4 and len([r for r in out if r["room_id"] == "far"]) == 12
+    assert {r["whole"] for r in out if r["room_id"] in ("box", "far")} == {True}
+    assert {r["whole"] for r in out if r["room_id"] == "bow" and r["part"] != "wall"} <= {False} and not [r for r in out if r["room_id"] == "none"]
+    corners = np.array([[[r[f"{e}{c}"] for c in "xyz"] for e in "abc"] for r in out if r["room_id"] == "far"])
+    assert {tuple(c) for t in corners for c in t.tolist()} == {(x, y, z) for x in (20.0, 22.0) for y in (20.0, 22.0) for z in (0.0, 2.0)}
+    assert all(r["az"] >= 0.5 and r["cz"] <= 3.0 for r in out if r["room_id"] == "box")

@@ -15,27 +15,28 @@ from tessella.session import discard, materialize
 
 def nearest_points(points: DataFrame, by: str, id_col: str, axes: list[str], k: int = 1, first_cell: float | None = None) -> DataFrame:
     """by, id, rank, other, distance: the k nearest other points of each point's group, exactly, ties to the
-    smaller id; fewer where the group has fewer. axes are the coordinates' columns.
+    smaller id; fewer where the group has fewer. axes are the coordinates' columns; points that miss one, or aren't finite, take no part.
 
     Points are dealt into cells, and each looks at its own and the adjoining ones: all that is within a cell's side is
-    there, so a point that finds k so near is done. The others go on with cells of twice the side, and the last
-    round's is as wide as the widest group. A dense spot is settled by small cells, before it could be a large one. Each round
+    there, so a point that finds k so near is done. The others go on with cells of twice the side, until those are as wide as their
+    group. A dense spot is settled by small cells, before it could be a large one. Each round
     is written, and joins the points that are left only. first_cell: the side to begin with, by default
-    such that a cell would hold a point if all were spread evenly.
+    such that a cell would hold a point if the group's were spread evenly; so rounds follow the logarithm of a group's size.
     """
-    rows = points.select(by, F.col(id_col).alias("id"), *[F.col(a).cast("double").alias(f"c{i}") for i, a in enumerate(axes)]).dropna()
     n = len(axes)
     names = [f"c{i}" for i in range(n)]
+    rows = points.select(by, F.col(id_col).alias("id"), *[F.col(a).cast("double").alias(c) for a, c in zip(axes, names)]).dropna()
+    for c in names:
+        rows = rows.filter(F.abs(c) < float("inf"))
     rows = materialize(rows, "points")
-    boxes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("size"), *[(F.max(c) - F.min(c)).alias(f"w_{c}") for c in names])
-    sides = boxes.select("size", F.greatest(*[F.col(f"w_{c}") for c in names], F.lit(0.0)).alias("w"))
-    sizes = sides.agg(F.max("w").alias("widest"), F.min(F.when(F.col("w") > 0, F.col("w") / F.pow("size", F.lit(1 / n)))).alias("even")).first()
-    widest = sizes["widest"] or 0.0
-    side = first_cell or sizes["even"] or 1.0
-    left = rows.join(boxes.select(by, F.least(F.lit(k), F.col("size") - 1).alias("wanted")), by).filter("wanted > 0")
-    done, spent = [], []
-    while True:
-        last = side >= widest
+    widths = [F.max(c) - F.min(c) for c in names]
+    boxes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("size"), F.greatest(*widths, F.lit(0.0)).alias("widest"))
+    even = F.lit(float(first_cell)) if first_cell else F.col("widest") / F.pow("size", F.lit(1 / n))
+    boxes = boxes.select(by, F.least(F.lit(k), F.col("size") - 1).alias("wanted"), "widest", F.when(F.col("widest") > 0, even).otherwise(1.0).alias("side"))
+    rows = rows.join(boxes, by).filter("wanted > 0")
+    left, done, spent, times = rows, [], [], 1.0
+    while not left.isEmpty():
+        side = F.col("side") * times
         own = [F.floor(F.col(c) / side) for c in names]
         asking = left
         for i, cell in enumerate(own):
@@ -43,26 +44,22 @@ def nearest_points(points: DataFrame, by: str, id_col: str, axes: list[str], k:
         held = rows.select(by, F.col("id").alias("other"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(names)], *[cell.alias(f"g{i}") for i, cell in enumerate(own)])
         gap = F.sqrt(sum((F.pow(F.col(f"c{i}") - F.col(f"o{i}"), 2) for i in range(1, n)), F.pow(F.col("c0") - F.col("o0"), 2)))
         met = asking.join(held, [by, *[f"g{i}" for i in range(n)]]).filter("id <> other").withColumn("distance", gap)
-        if not last:
-            met = met.filter(F.col("distance") <= side)
+        # cells as wide as the group adjoin each other, so nothing is further away than they reach
+        met = met.filter((F.col("distance") <= side) | (side >= F.col("widest")))
         rank = F.row_number().over(Window.partitionBy(by, "id").orderBy("distance", "other"))
         best = met.withColumn("rank", rank).filter(F.col("rank") <= F.col("wanted"))
         found = materialize(best.select(by, "id", "wanted", "rank", "other", "distance"), "found")
-        spent.append(found)
         full = found.filter("rank = wanted").select(by, "id")
         done.append(found.join(full, [by, "id"], "left_semi"))
-        if last:
-            break
         left = materialize(left.join(full, [by, "id"], "left_anti"), "left")
-        spent.append(left)
-        if left.isEmpty():
-            break
-        side *= 2
-    out = done[0]
-    for more in done[1:]:
+        spent += [found, left]
+        times *= 2
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = points.sparkSession.createDataFrame([], f"{by} {kinds[by]}, id {kinds['id']}, wanted bigint, rank int, other {kinds['id']}, distance double")
+    for more in done:
         out = out.unionByName(more)
     out = materialize(out.select(by, F.col("id").alias(id_col), F.col("rank"), "other", "distance"), "nearest")
-    discard(rows, *spent)
+    discard(*spent)
     return out
 
 

@@ -166,7 +166,7 @@ def test_nearest_points_against_all_pairs(spark, axes):
     n = len(axes)
     clouds = {"even": rng.uniform(0, 10, (60, n)), "dense": np.concatenate([rng.normal(0, 0.01, (50, n)), rng.uniform(-50, 50, (10, n))]), "same": np.ones((5, n)), "one": np.zeros((1, n)), "two": np.array([[0.0] * n, [1000.0] * n])}
     rows = [(name, i, *map(float, p.round(4))) for name, ps in clouds.items() for i, p in enumerate(ps)]
-    df = spark.createDataFrame([*rows, ("one", 9, *[None] * n)], "cloud string, id int, " + ", ".join(f"{a} double" for a in axes))
+    df = spark.createDataFrame([*rows, ("one", 9, *[None] * n), ("one", 10, *[float("inf")] * n), (None, 11, *[1.0] * n)], "cloud string, id int, " + ", ".join(f"{a} double" for a in axes))
     got = sorted((r["cloud"], r["id"], r["rank"], r["other"], round(r["distance"], 6)) for r in proximity.nearest_points(df, "cloud", "id", list(axes), k=3).collect())
     want = []
     for name in clouds:
@@ -175,6 +175,7 @@ def test_nearest_points_against_all_pairs(spark, axes):
             best = sorted((float(np.sqrt(((p - q) ** 2).sum())), j) for j, q in own if j != i)[:3]
             want += [(name, i, k + 1, j, round(d, 6)) for k, (d, j) in enumerate(best)]
     assert got == sorted(want)
+    assert proximity.nearest_points(df.limit(0), "cloud", "id", list(axes)).collect() == []
 
 
 def test_words_in_reach_against_all_pairs(spark):

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from tessella.llm import tokens
 
-#: Text bytes of a batch. A longer text is a batch of its own.
-BATCH = 24 << 20
 
 
 def pack(x: np.ndarray) -> bytes:

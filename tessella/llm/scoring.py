@@ -30,7 +30,7 @@ from tessella.session import discard, materialize, small_arrow_batches
 
 U64 = np.uint64
 #: Text bytes of a batch, and of the texts whose n-grams a part owns; occurrences of a word or pair that stay in one part.
-BATCH, PART, HOT = 12 << 20, 6 << 20, 1 << 19
+BATCH, PART, HOT = 8 << 20, 5 << 20, 1 << 19
 #: Trigrams that are looked up at a time.
 SLICE = 1 << 18
 #: Most words, or pairs, that are dealt over several parts: the limit rises with the corpus beyond that.
@@ -238,6 +238,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         two = materialize(each_batch(bigrams, _SQL).groupBy("part").applyInArrow(add, _SQL), "bigrams")
         often = {(r["n2"], r["n1"]): -(-r["n3"] // hot) for r in two.filter(F.col("kind") == OFTEN).select("n1", "n2", "n3").collect()}  # at most the corpus over hot
+        if all_docs > hot:
+            often[START, START] = -(-all_docs // hot)  # the first words of texts
         if often:
 
             def trigrams(own: _Batch) -> pa.Table:

@@ -27,7 +27,7 @@ from tessella.session import materialize, small_arrow_batches
 
 FOLDER = "/opt/tokenizers"
 #: Text bytes of a batch, and of the texts whose segments a part owns; segments that are tokenised at a time.
-BATCH, PART, SLICE = 12 << 20, 16 << 20, 4096
+BATCH, PART, SLICE = 8 << 20, 12 << 20, 4096
 SPACE = "▁"
 A_ENDS, B_ENDS = 1, 2
 

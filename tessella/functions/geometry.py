@@ -261,6 +261,7 @@ def ear_clip(p: np.ndarray) -> list[tuple[int, int, int]]:
     ids = list(range(len(p)))
     if np_area(p) < 0:
         ids.reverse()
+    p = p.tolist()  # plain floats: corners are looked at one by one
     turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
     out: list[tuple[int, int, int]] = []
     while len(ids) > 3:
@@ -393,3 +394,140 @@ def pose_search(room: np.ndarray, target: np.ndarray) -> tuple[float, bool, floa
         step, turn = step / 2, turn / 2
     t, f, tx, ty = best[2]
     return t % 360, f, tx, ty, best[0]
+
+
+# Batches: the functions above for many polygons of equally many corners at once, arrays of (rows, corners, 2).
+
+
+#: Rows of a batch that are worked on at a time, which bounds its arrays.
+BATCH_ROWS = 2_000
+
+
+def batches(lengths: list[tuple[int, ...]]):
+    """Row numbers of equal lengths, some at a time."""
+    rows: dict[tuple[int, ...], list[int]] = {}
+    for i, k in enumerate(lengths):
+        rows.setdefault(k, []).append(i)
+    for at in rows.values():
+        for i in range(0, len(at), BATCH_ROWS):
+            yield np.array(at[i : i + BATCH_ROWS])
+
+
+def pairwise(p: list, q: list, f) -> tuple[np.ndarray, ...]:
+    """f(polygons, polygons) of batches for lists of rings of any lengths, back in their order; f gives arrays, a value per row."""
+    out: list[np.ndarray] = []
+    for at in batches([(len(a), len(b)) for a, b in zip(p, q)]):
+        found = f(np.array([list(p[i]) for i in at.tolist()], float), np.array([list(q[i]) for i in at.tolist()], float))
+        out = out or [np.empty(len(p), v.dtype) for v in found]
+        for whole, part in zip(out, found):
+            whole[at] = part
+    return tuple(out)
+
+
+def batch_area(p: np.ndarray) -> np.ndarray:
+    q = np.roll(p, -1, axis=1)
+    return (p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1]).sum(axis=1) / 2
+
+
+def _batch_cuts(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """_cuts of each row, rising, with inf behind the last."""
+    a, b = np.concatenate([p, q], axis=1), np.concatenate([np.roll(p, -1, axis=1), np.roll(q, -1, axis=1)], axis=1)
+    (ax, ay), (dx, dy) = (np.moveaxis(v, 2, 0) for v in (a, b - a))
+    i, j = (slice(None), slice(None), None), (slice(None), None, slice(None))
+    den = dx[i] * dy[j] - dy[i] * dx[j]
+    rx, ry = ax[j] - ax[i], ay[j] - ay[i]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        t, u = (rx * dy[j] - ry * dx[j]) / den, (rx * dy[i] - ry * dx[i]) / den
+        met = (np.abs(den) > 1e-15) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        ys = np.concatenate([ay, np.where(met, ay[i] + t * dy[i], np.inf).reshape(len(a), -1)], axis=1)
+    ys.sort(axis=1)
+    ys[:, 1:][ys[:, 1:] == ys[:, :-1]] = np.inf
+    ys.sort(axis=1)
+    return ys[:, : int(np.isfinite(ys).sum(axis=1).max(initial=1))]
+
+
+def _batch_spans(p: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """_spans of each row at each of its heights (rows, heights); from inf to -inf where there are fewer."""
+    a, b = p[:, None], np.roll(p, -1, axis=1)[:, None]
+    y = y[:, :, None]
+    on = (a[..., 1] > y) != (b[..., 1] > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        xs = np.where(on, a[..., 0] + (y - a[..., 1]) * (b[..., 0] - a[..., 0]) / (b[..., 1] - a[..., 1]), np.inf)
+    xs.sort(axis=2)
+    return [(xs[..., k], np.where(np.isinf(xs[..., k + 1]), -np.inf, xs[..., k + 1])) for k in range(0, p.shape[1] - 1, 2)]
+
+
+def batch_intersection_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    ys = _batch_cuts(p, q)
+    lo, hi = ys[:, :-1], ys[:, 1:]
+    there = np.isfinite(hi)
+    with np.errstate(invalid="ignore"):
+        y, high = np.where(there, (lo + hi) / 2, np.nan), np.where(there, hi - lo, 0.0)
+    right, wide = _batch_spans(q, y), np.zeros(y.shape)
+    for a, b in _batch_spans(p, y):
+        for c, d in right:
+            wide += np.maximum(0.0, np.minimum(b, d) - np.maximum(a, c))
+    total = np.zeros(len(p))
+    for k in range(y.shape[1]):
+        total += high[:, k] * wide[:, k]
+    return total
+
+
+def batch_iou(p: np.ndarray, q: np.ndarray, both: np.ndarray | None = None) -> np.ndarray:
+    both = batch_intersection_area(p, q) if both is None else both
+    whole = np.abs(batch_area(p)) + np.abs(batch_area(q)) - both
+    return np.where(whole > 0, both / np.where(whole > 0, whole, 1.0), 0.0)
+
+
+def batch_shared_edge_length(p: np.ndarray, q: np.ndarray, tolerance: float) -> np.ndarray:
+    total, d = np.zeros(len(p)), np.roll(p, -1, axis=1)
+    e = d - p
+    m = np.hypot(e[..., 0], e[..., 1])
+    for k in range(q.shape[1]):
+        a, b = q[:, k], q[:, (k + 1) % q.shape[1]]
+        n = np.hypot(*(b - a).T)
+        u = (b - a) / np.where(n < 1e-12, 1.0, n)[:, None]
+        ux, uy, n = u[:, :1], u[:, 1:], n[:, None]
+        level = (m >= 1e-12) & (n >= 1e-12) & (np.abs(ux * e[..., 1] - uy * e[..., 0]) <= math.sin(math.radians(10)) * m)
+        off = [np.abs(ux * (x[..., 1] - a[:, 1:]) - uy * (x[..., 0] - a[:, :1])) for x in (p, d)]
+        at = [(x[..., 0] - a[:, :1]) * ux + (x[..., 1] - a[:, 1:]) * uy for x in (p, d)]
+        lo, hi = np.minimum(*at), np.maximum(*at)
+        near = level & (np.minimum(*off) <= tolerance) & ((off[0] + off[1]) / 2 <= tolerance) & (hi > 0) & (lo < n)
+        lo, hi = np.where(near, np.maximum(0.0, lo), np.inf), np.where(near, np.minimum(n, hi), -np.inf)
+        order = np.lexsort((hi, lo), axis=1)
+        lo, hi, end = np.take_along_axis(lo, order, 1), np.take_along_axis(hi, order, 1), np.zeros(len(p))
+        for i in range(p.shape[1]):
+            total += np.maximum(0.0, hi[:, i] - np.maximum(lo[:, i], end))
+            end = np.maximum(end, hi[:, i])
+    return total
+
+
+def batch_pose_search(room: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """pose_search of each row, its tries one after the other for all rows."""
+    size = len(room)
+    x, centre = room - room.mean(axis=1, keepdims=True), target.mean(axis=1, keepdims=True)
+    mirrored = x * [-1, 1]
+
+    def score(theta, flip, tx, ty):
+        angles, at = np.unique(theta, return_inverse=True)
+        turns = np.array([[[c, s], [-s, c]] for c, s in ((math.cos(math.radians(t)), math.sin(math.radians(t))) for t in angles.tolist())])
+        return batch_iou(np.where(flip[:, None, None], mirrored, x) @ turns[at] + centre + np.stack([tx, ty], axis=1)[:, None], target)
+
+    full = lambda v: np.full(size, v)
+    best = [full(-1.0), full(-1000), full(0.0), full(False), full(0.0), full(0.0)]  # iou, rank, theta, flip, tx, ty
+
+    def offer(rank, *pose):
+        found = [score(*pose), full(rank), *pose]
+        better = (found[0] > best[0]) | ((found[0] == best[0]) & (found[1] > best[1]))
+        best[:] = [np.where(better, new, old) for new, old in zip(found, best)]
+
+    for i, (f, t) in enumerate((f, t) for f in (False, True) for t in (0, 90, 180, 270)):
+        offer(-i, full(float(t)), full(f), full(0.0), full(0.0))
+    step, turn, still = 0.1 * np.ptp(target, axis=1).max(axis=1), 8.0, np.zeros(size)
+    for _ in range(2):
+        _, _, t, f, tx, ty = best
+        near = [(t + dt, f, tx + dx, ty + dy) for dt in (-turn, 0.0, turn) for dx, dy in ((still, still), (step, still), (-step, still), (still, step), (still, -step))]
+        for i, pose in enumerate(near):
+            offer(-99 - i, *pose)
+        step, turn = step / 2, turn / 2
+    return best[2] % 360, best[3], best[4], best[5], best[0]

@@ -79,17 +79,24 @@ def angles_and_views(spark, d):
 
 
 def _pairs(spark, d):
-    """Neighbouring rooms (next part key) as coordinate arrays, for numpy functions."""
+    """Neighbouring rooms (next part key) as coordinate arrays, for numpy functions. A small table is read and joined by one
+    task, so pairs are dealt out before."""
     r = _rooms(spark, d).select("p_partkey", F.transform("polygon", lambda v: F.array(v["x"], v["y"])).alias("p"))
-    return r.alias("a").join(r.alias("b"), F.col("a.p_partkey") + 1 == F.col("b.p_partkey")).select(F.col("a.p_partkey").alias("a"), F.col("a.p").alias("p"), F.col("b.p").alias("q"))
+    met = r.alias("a").join(r.alias("b"), F.col("a.p_partkey") + 1 == F.col("b.p_partkey")).select(F.col("a.p_partkey").alias("a"), F.col("a.p").alias("p"), F.col("b.p").alias("q"))
+    return met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a")
 
 
 def polygon_overlap(spark, d):
     """Overlap, IoU and shared edge of neighbouring rooms (numpy; checked against grid sampling)."""
+    def measure(p, q):
+        both = g.batch_intersection_area(p, q)
+        return both, g.batch_iou(p, q, both), g.batch_shared_edge_length(p, q, 0.2)
+
     def run(frames):
         for f in frames:
-            shapes = [(np.array([*map(list, p)]), np.array([*map(list, q)])) for p, q in zip(f["p"], f["q"])]
-            yield pd.DataFrame({"a": f["a"], "overlap": [round(g.intersection_area(p, q), 6) for p, q in shapes], "iou": [round(g.iou(p, q), 6) for p, q in shapes], "shared": [round(g.shared_edge_length(p, q, 0.2), 6) for p, q in shapes]})
+            if len(f):
+                both, iou, shared = g.pairwise(list(f["p"]), list(f["q"]), measure)
+                yield pd.DataFrame({"a": f["a"], "overlap": [round(v, 6) for v in both.tolist()], "iou": [round(v, 6) for v in iou.tolist()], "shared": [round(v, 6) for v in shared.tolist()]})
 
     return _pairs(spark, d).mapInPandas(run, "a long, overlap double, iou double, shared double")
 

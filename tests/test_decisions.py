@@ -440,3 +440,26 @@ def test_state_of_versions_is_forgotten(spark, tmp_path):
     assert run("short", 0, "aab", 500) == [(1, "a", 0), (2, "b", 2)]
     time.sleep(1)
     assert run("short", 10, "bc", 500) == [(1, "a", 0), (1, "b", 10), (2, "b", 2), (2, "c", 11)]
+
+
+def test_batches_give_what_single_polygons_do(spark):
+    rng = np.random.default_rng(5)
+
+    def star(n):
+        angle, far = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(1, 5, n)
+        return np.stack([far * np.cos(angle), far * np.sin(angle)], axis=1) + rng.uniform(-2, 2, 2)
+
+    one, two = ([star(int(n)) for n in rng.integers(3, 8, 40)] for _ in range(2))
+    found = g.pairwise(one, two, lambda p, q: (g.batch_intersection_area(p, q), g.batch_iou(p, q), g.batch_shared_edge_length(p, q, 0.2)))
+    assert [list(v) for v in zip(*found)] == [[g.intersection_area(p, q), g.iou(p, q), g.shared_edge_length(p, q, 0.2)] for p, q in zip(one, two)]
+
+
+def test_pairs_of_polygons_are_dealt_out(spark):
+    from tessella.plans import geometry
+
+    d = "/root/testdata/sf0.001"
+    plans = geometry._pairs(spark, d)
+    assert plans.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    want = {r["a"]: (round(g.intersection_area(*s), 6), round(g.iou(*s), 6), round(g.shared_edge_length(*s, 0.2), 6)) for r in plans.limit(60).collect() for s in [(np.array(r["p"]), np.array(r["q"]))]}
+    got = {r["a"]: (r["overlap"], r["iou"], r["shared"]) for r in geometry.polygon_overlap(spark, d).collect()}
+    assert want == {a: got[a] for a in want}

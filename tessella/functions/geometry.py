@@ -531,3 +531,53 @@ def batch_pose_search(room: np.ndarray, target: np.ndarray) -> tuple[np.ndarray,
             offer(-99 - i, *pose)
         step, turn = step / 2, turn / 2
     return best[2] % 360, best[3], best[4], best[5], best[0]
+
+
+def batch_contains(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """np_contains of each row's point."""
+    a, b, x, y = p, np.roll(p, -1, axis=1), x[:, None], y[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = a[..., 0] + (y - a[..., 1]) * (b[..., 0] - a[..., 0]) / (b[..., 1] - a[..., 1])
+    return (((a[..., 1] > y) != (b[..., 1] > y)) & (x < at)).sum(axis=1) % 2 == 1
+
+
+def batch_representative_point(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    q = np.roll(p, -1, axis=1)
+    cross = p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1]
+    a = cross.sum(axis=1) / 2
+    thin = np.abs(a) < 1e-9
+    c = np.where(thin[:, None], p.mean(axis=1), ((p + q) * cross[..., None]).sum(axis=1) / (6 * np.where(thin, 1.0, a))[:, None])
+    y = (p[..., 1].min(axis=1) + p[..., 1].max(axis=1)) / 2 + 1e-9
+    lo, hi = (np.stack([s[k][:, 0] for s in _batch_spans(p, y[:, None])], axis=1) for k in (0, 1))
+    widest = (hi - lo).argmax(axis=1)[:, None]
+    lo, hi = np.take_along_axis(lo, widest, 1)[:, 0], np.take_along_axis(hi, widest, 1)[:, 0]
+    with np.errstate(invalid="ignore"):
+        other = np.where(lo <= hi, (lo + hi) / 2, c[:, 0])
+    inside = batch_contains(p, c[:, 0], c[:, 1])
+    return np.where(inside, c[:, 0], other), np.where(inside, c[:, 1], y)
+
+
+def batch_dominant_angle(p: np.ndarray, bins: int = 90) -> np.ndarray:
+    e = np.roll(p, -1, axis=1) - p
+    length, at = np.hypot(e[..., 0], e[..., 1]), np.degrees(np.arctan2(e[..., 1], e[..., 0])) % 90 / 90 * bins
+    low = np.floor(at).astype(int)
+    own = np.arange(len(p))[:, None] * bins
+    count = lambda b, w: np.bincount((own + b % bins).ravel(), w.ravel(), len(p) * bins).reshape(len(p), bins)
+    hist = count(low, length * (1 - (at - low))) + count(low + 1, length * (at - low))
+    return (hist + np.roll(hist, 1, axis=1) + np.roll(hist, -1, axis=1)).argmax(axis=1) * 90 / bins
+
+
+def batch_snap_directions(p: np.ndarray, within: float = 12.0) -> np.ndarray:
+    base, q = batch_dominant_angle(p)[:, None], np.roll(p, -1, axis=1)
+    angle = np.degrees(np.arctan2((q - p)[..., 1], (q - p)[..., 0]))
+    off = (angle - base + 45) % 90 - 45
+    angle = np.radians(np.where(np.abs(off) <= within, angle - off, angle))
+    u, mid = np.stack([np.cos(angle), np.sin(angle)], axis=2), (p + q) / 2
+    before, gap = np.roll(u, 1, axis=1), mid - np.roll(mid, 1, axis=1)
+    den = before[..., 0] * u[..., 1] - before[..., 1] * u[..., 0]
+    meet = np.abs(den) > 0.05
+    t = (gap[..., 0] * u[..., 1] - gap[..., 1] * u[..., 0]) / np.where(meet, den, 1.0)
+    out = np.where(meet[..., None], np.roll(mid, 1, axis=1) + t[..., None] * before, p)
+    moved, around = np.hypot(*np.moveaxis(out - p, 2, 0)).max(axis=1), np.hypot(*np.moveaxis(q - p, 2, 0)).sum(axis=1)
+    stays = (moved > around / 4) | (np.abs(batch_area(out)) < 0.4 * np.abs(batch_area(p)))
+    return np.where(stays[:, None, None], p, out)

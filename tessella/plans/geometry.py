@@ -115,8 +115,9 @@ def pose_fit(spark, d):
     """Pose of each room on its neighbour."""
     def run(frames):
         for f in frames:
-            found = [g.pose_search(np.array([*map(list, p)]), np.array([*map(list, q)])) for p, q in zip(f["p"], f["q"])]
-            yield pd.DataFrame([(a, *x) for a, x in zip(f["a"], found)], columns=["a", "theta", "flip", "tx", "ty", "iou"])
+            if len(f):
+                found = g.pairwise(list(f["p"]), list(f["q"]), g.batch_pose_search)
+                yield pd.DataFrame({"a": f["a"], **dict(zip(("theta", "flip", "tx", "ty", "iou"), found))})
 
     return _pairs(spark, d).mapInPandas(run, "a long, theta double, flip boolean, tx double, ty double, iou double")
 

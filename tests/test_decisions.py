@@ -463,3 +463,16 @@ def test_pairs_of_polygons_are_dealt_out(spark):
     want = {r["a"]: (round(g.intersection_area(*s), 6), round(g.iou(*s), 6), round(g.shared_edge_length(*s, 0.2), 6)) for r in plans.limit(60).collect() for s in [(np.array(r["p"]), np.array(r["q"]))]}
     got = {r["a"]: (r["overlap"], r["iou"], r["shared"]) for r in geometry.polygon_overlap(spark, d).collect()}
     assert want == {a: got[a] for a in want}
+
+
+def test_poses_of_batches_are_those_of_single_rooms(spark):
+    from tessella.plans import geometry
+
+    d = "/root/testdata/sf0.001"
+    pairs = geometry._pairs(spark, d).filter("a % 7 = 0").collect()
+    got = {r["a"]: tuple(r)[1:] for r in geometry.pose_fit(spark, d).collect()}
+    assert pairs and {r["a"]: g.pose_search(np.array(r["p"]), np.array(r["q"])) for r in pairs} == {r["a"]: got[r["a"]] for r in pairs}
+    many = [np.array(r["p"]) for r in pairs] * 300
+    began = time.time()
+    g.pairwise(many, many, g.batch_pose_search)
+    assert (time.time() - began) / len(many) < 0.01  # one by one, 0.06 s or more a room here

@@ -103,10 +103,15 @@ def polygon_overlap(spark, d):
 
 def polygon_tools(spark, d):
     """Triangles, simplified corners, a point inside, dominant angle and snapped area (numpy)."""
+    def measure(p, _):
+        return g.batch_contains(p, *g.batch_representative_point(p)), g.batch_dominant_angle(p), np.abs(g.batch_area(g.batch_snap_directions(p)))
+
     def run(frames):
         for f in frames:
-            shapes = [np.array([*map(list, p)]) for p in f["p"]]
-            yield pd.DataFrame({"a": f["a"], "triangles": [len(g.ear_clip(p)) for p in shapes], "corners": [len(g.simplify(p, 0.5)) for p in shapes], "inside": [g.np_contains(p, *g.representative_point(p)) for p in shapes], "angle": [g.dominant_angle(p) for p in shapes], "snapped": [round(abs(g.np_area(g.snap_directions(p))), 6) for p in shapes]})
+            if len(f):
+                inside, angle, snapped = g.pairwise(list(f["p"]), list(f["p"]), measure)
+                shapes = [np.array([*map(list, p)]) for p in f["p"]]
+                yield pd.DataFrame({"a": f["a"], "triangles": [len(g.ear_clip(p)) for p in shapes], "corners": [len(g.simplify(p, 0.5)) for p in shapes], "inside": inside, "angle": angle, "snapped": [round(v, 6) for v in snapped.tolist()]})
 
     return _pairs(spark, d).mapInPandas(run, "a long, triangles int, corners int, inside boolean, angle double, snapped double")
 

@@ -476,3 +476,14 @@ def test_poses_of_batches_are_those_of_single_rooms(spark):
     began = time.time()
     g.pairwise(many, many, g.batch_pose_search)
     assert (time.time() - began) / len(many) < 0.01  # one by one, 0.06 s or more a room here
+
+
+def test_tools_of_batches_are_those_of_single_rooms(spark):
+    from tessella.plans import geometry
+
+    d = "/root/testdata/sf0.001"
+    assert geometry.polygon_tools(spark, d).rdd.getNumPartitions() > 1
+    got = {r["a"]: tuple(r)[1:] for r in geometry.polygon_tools(spark, d).collect()}
+    shapes = {r["a"]: np.array(r["p"]) for r in geometry._pairs(spark, d).collect()}
+    want = {a: (len(g.ear_clip(p)), len(g.simplify(p, 0.5)), g.np_contains(p, *g.representative_point(p)), g.dominant_angle(p), round(abs(g.np_area(g.snap_directions(p))), 6)) for a, p in shapes.items()}
+    assert got == want

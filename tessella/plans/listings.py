@@ -77,10 +77,12 @@ def shared_walls(spark, d):
 
 
 def adjacency_metric(spark, d):
-    """Part-supplier edges of a year, with suppliers matched to nations, against those of the next."""
+    """Part-supplier edges of a year, with suppliers matched to nations, against those of the next. Suppliers as rooms have
+    numbers below zero, as parts' would be some suppliers' too."""
     l, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
-    e = l.select(F.year("l_shipdate").cast("long").alias("year"), (F.col("l_partkey") % 50 + 1000).alias("a"), F.col("l_suppkey").alias("b")).distinct()
-    nations = s.select(F.col("s_suppkey").alias("room_id"), F.col("s_nationkey").alias("plan_room_id"))
+    room = lambda c: -F.col(c) - 1
+    e = l.select(F.year("l_shipdate").cast("long").alias("year"), (F.col("l_partkey") % 50 + 1000).alias("a"), room("l_suppkey").alias("b")).distinct()
+    nations = s.select(room("s_suppkey").alias("room_id"), F.col("s_nationkey").alias("plan_room_id"))
     placed = e.join(nations.select(F.col("room_id").alias("b"), "plan_room_id"), "b")
     matches = placed.select("year", F.col("b").alias("room_id"), "plan_room_id").unionByName(e.select("year", F.col("a").alias("room_id"), F.col("a").alias("plan_room_id"))).distinct()
     named = placed.select((F.col("year") - 1).alias("year"), "a", F.col("plan_room_id").alias("b"))

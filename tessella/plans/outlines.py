@@ -119,6 +119,10 @@ def mesh_totals(spark, d):
     return out.groupBy("provenance", "part").agg(F.count(F.lit(1)).alias("triangles"), F.round(F.sum("area"), 2).alias("area"), F.bool_and("whole").alias("whole"))
 
 
+#: More than there are tiles, so that a part and a tile make one number.
+_TILES = 1_000_000_000
+
+
 def tile_merge(spark, d):
     """Parts as rooms of one large plan that is read in tiles of 200, 50 of which are the next one's too. A tile cuts off what
     is outside of it; each room comes out once, whole."""
@@ -128,11 +132,11 @@ def tile_merge(spark, d):
     cut = r.withColumn("tx", reach("x", "w")).withColumn("ty", reach("y", "h"))
     near_, far = [F.greatest(F.col(c), F.col(t) * 150) for c, t in (("x", "tx"), ("y", "ty"))], [F.least(F.col(c) + F.col(s), F.col(t) * 150 + 200) for c, s, t in (("x", "w", "tx"), ("y", "h", "ty"))]
     tile = F.col("ty") * 1000 + F.col("tx")
-    pieces = cut.select(F.lit(0).alias("plan"), tile.alias("tile"), (k * 1_000_000 + tile).alias("piece_id"), g.rectangle(near_[0] - F.col("tx") * 150, near_[1] - F.col("ty") * 150, far[0] - near_[0], far[1] - near_[1]).alias("polygon"), "tx", "ty")
+    pieces = cut.select(F.lit(0).alias("plan"), tile.alias("tile"), (k * _TILES + tile).alias("piece_id"), g.rectangle(near_[0] - F.col("tx") * 150, near_[1] - F.col("ty") * 150, far[0] - near_[0], far[1] - near_[1]).alias("polygon"), "tx", "ty")
     tiles = pieces.select("plan", "tile", (F.col("tx") * 150.0).alias("x"), (F.col("ty") * 150.0).alias("y")).distinct()
     out = near.merged_tiles(pieces.drop("tx", "ty"), tiles, "plan")
     b = g.bounds(F.col("polygon"))
-    return out.select(F.expr("piece_id div 1000000").alias("p_partkey"), "tile", "area", b["x0"].alias("x0"), b["y0"].alias("y0"))
+    return out.select(F.expr(f"piece_id div {_TILES}").alias("p_partkey"), "tile", "area", b["x0"].alias("x0"), b["y0"].alias("y0"))
 
 
 _NTH = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"

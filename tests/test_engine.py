@@ -83,3 +83,9 @@ def test_suppliers_and_parts_are_different_rooms(spark, tmp_path):
     con = duckdb.connect()
     folder = shifted(con, tmp_path, "sf0.001", lineitem={"l_suppkey": 995}, supplier={"s_suppkey": 995})
     equal_to_sql(spark, con, "adjacency_metric", folder)
+
+
+def test_tiles_of_a_plan_of_a_million_parts(spark, tmp_path):
+    con = duckdb.connect()
+    folder = shifted(con, tmp_path, "sf0.001", part={"p_partkey": 1_000_000})
+    equal_to_sql(spark, con, "tile_merge", folder)

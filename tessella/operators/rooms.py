@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.geometry import shared_edge_length
+from tessella.functions.geometry import batch_shared_edge_length, pairwise
 
 #: Flags that keep an image out, tolerances of a match in percent.
 UNUSABLE_PREFIX, UNUSABLE_FLAG, WITHIN_PCT = "duplicate_of_", "blank_image", 10.0
@@ -41,10 +40,12 @@ def shared_walls(rooms: DataFrame, by: str, id_col: str, polygon: str, tolerance
     near = (F.col("a.x0") <= F.col("b.x1") + tolerance) & (F.col("b.x0") <= F.col("a.x1") + tolerance) & (F.col("a.y0") <= F.col("b.y1") + tolerance) & (F.col("b.y0") <= F.col("a.y1") + tolerance)
     # a pair is taken in one of the cells it shares: the first
     first = (F.col("a.gx") == F.greatest(F.floor((F.col("a.x0") - tolerance) / cell), F.floor((F.col("b.x0") - tolerance) / cell))) & (F.col("a.gy") == F.greatest(F.floor((F.col("a.y0") - tolerance) / cell), F.floor((F.col("b.y0") - tolerance) / cell)))
-    met = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col("a.id") < F.col("b.id"))).filter(near & first)
+    # merged, as what is known of the table's size doesn't count the cells, and a broadcast would hold all of them on the driver
+    met = a.join(b.hint("merge"), (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col("a.id") < F.col("b.id"))).filter(near & first)
 
     def length(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([shared_edge_length(np.array([list(v) for v in u]), np.array([list(v) for v in w]), tolerance) for u, w in zip(p, q)], dtype=float)
+        found = pairwise([[*map(list, u)] for u in p], [[*map(list, w)] for w in q], lambda u, w: (batch_shared_edge_length(u, w, tolerance),))
+        return pd.Series(found[0] if found else [], dtype=float)
 
     shared = F.pandas_udf(length, "double")("a.p", "b.p")
     out = met.select(F.col(f"a.{by}").alias(by), F.col("a.id").alias("a"), F.col("b.id").alias("b"), shared.alias("shared"))

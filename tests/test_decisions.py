@@ -487,3 +487,10 @@ def test_tools_of_batches_are_those_of_single_rooms(spark):
     shapes = {r["a"]: np.array(r["p"]) for r in geometry._pairs(spark, d).collect()}
     want = {a: (len(g.ear_clip(p)), len(g.simplify(p, 0.5)), g.np_contains(p, *g.representative_point(p)), g.dominant_angle(p), round(abs(g.np_area(g.snap_directions(p))), 6)) for a, p in shapes.items()}
     assert got == want
+
+
+def test_walls_are_not_broadcast(spark):
+    from tessella.plans import listings as plans
+
+    out = plans.shared_walls(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()

@@ -581,3 +581,35 @@ def batch_snap_directions(p: np.ndarray, within: float = 12.0) -> np.ndarray:
     moved, around = np.hypot(*np.moveaxis(out - p, 2, 0)).max(axis=1), np.hypot(*np.moveaxis(q - p, 2, 0)).sum(axis=1)
     stays = (moved > around / 4) | (np.abs(batch_area(out)) < 0.4 * np.abs(batch_area(p)))
     return np.where(stays[:, None, None], p, out)
+
+
+def batch_direction_weights(p: np.ndarray) -> np.ndarray:
+    """direction_weights of each row: (rows, 180)."""
+    e = np.roll(p, -1, axis=1) - p
+    length, at = np.hypot(e[..., 0], e[..., 1]), np.degrees(np.arctan2(e[..., 1], e[..., 0])) % 180.0
+    low = np.floor(at).astype(int)
+    own = np.arange(len(p))[:, None] * 180
+    count = lambda b, w: np.bincount((own + b % 180).ravel(), w.ravel(), len(p) * 180).reshape(len(p), 180)
+    return count(low, length * (1 - (at - low))) + count(low + 1, length * (at - low))
+
+
+def batch_snap_to(p: np.ndarray, directions: np.ndarray, within: float = OFF) -> tuple[np.ndarray, np.ndarray]:
+    """snap_to of each row into its own directions (rows, directions): rings and mean turns."""
+    p = np.where((batch_area(p) >= 0)[:, None, None], p, p[:, ::-1])
+    e = np.roll(p, -1, axis=1) - p
+    length = np.hypot(e[..., 0], e[..., 1])
+    angle = np.degrees(np.arctan2(e[..., 1], e[..., 0])) % 180.0
+    off = _between(angle[:, None], directions[:, :, None])
+    least = off.min(axis=1)
+    turned = (least <= within) & (length > 1e-6)
+    to = np.radians(np.take_along_axis(directions, off.argmin(axis=1), 1))
+    normal = np.stack([-np.sin(to), np.cos(to)], axis=2)
+    level = (normal * (p + e / 2)).sum(axis=2)
+    m = np.stack([np.roll(normal, 1, axis=1), normal], axis=2)
+    meet = turned & np.roll(turned, 1, axis=1) & (np.abs(np.linalg.det(m)) > 1e-8)
+    corner = np.linalg.solve(np.where(meet[..., None, None], m, np.eye(2)), np.stack([np.roll(level, 1, axis=1), level], axis=2)[..., None])[..., 0]
+    near = np.hypot(*np.moveaxis(corner - p, 2, 0)) <= (length.sum(axis=1) / 4)[:, None]
+    out = np.where((meet & near)[..., None], corner, p)
+    lost = np.abs(batch_area(out)) < 0.4 * np.abs(batch_area(p))
+    turn = np.where(turned, least, 0.0).sum(axis=1) / np.maximum(1, turned.sum(axis=1))
+    return np.where(lost[:, None, None], p, out), np.where(lost, 0.0, turn)

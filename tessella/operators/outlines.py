@@ -251,20 +251,27 @@ def plan_sheets(plans: DataFrame, rooms: DataFrame, walls: DataFrame, shells: Da
     )
 
 
+def _corners(polygon: str) -> Column:
+    """Points as arrays, for numpy."""
+    return F.transform(polygon, lambda v: F.array(v["x"], v["y"]))
+
+
 def wall_directions(polygons: DataFrame, by: str, polygon: str = "polygon") -> DataFrame:
     """by, directions: the directions in degrees, modulo 180, that the walls of a group's polygons run along, rising. Each polygon's edge
     lengths by degree are summed for the group by Spark, 180 numbers at most; the peaks are told from those."""
     def weigh(frames):
         for rows in frames:
-            found = [g.direction_weights(np.array([[v["x"], v["y"]] for v in p])) for p in rows[polygon]]
-            out = [(b, int(a), float(w[a])) for b, w in zip(rows[by], found) for a in np.flatnonzero(w)]
-            yield pd.DataFrame(out, columns=[by, "angle", "weight"])
+            rings = [[*map(list, p)] for p in rows["_p"]]
+            for at in g.batches([(len(p),) for p in rings]):
+                w = g.batch_direction_weights(np.array([rings[i] for i in at.tolist()], float))
+                which, angle = np.nonzero(w)
+                yield pd.DataFrame({by: rows[by].to_numpy()[at[which]], "angle": angle, "weight": w[which, angle]})
 
     def peaks(angles: pd.Series, weights: pd.Series) -> pd.Series:
         return pd.Series([g.peak_directions(np.bincount(np.asarray(a, int), w, 180)) for a, w in zip(angles, weights)])
 
     kind = polygons.schema[by].dataType.simpleString()
-    shaped = polygons.filter((F.size(polygon) >= 3) & F.col(by).isNotNull()).select(by, polygon)
+    shaped = polygons.filter((F.size(polygon) >= 3) & F.col(by).isNotNull()).select(by, _corners(polygon).alias("_p"))
     by_angle = shaped.mapInPandas(weigh, f"{by} {kind}, angle int, weight double").groupBy(by, "angle").agg(F.sum("weight").alias("weight"))
     all_angles = by_angle.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("angle", "weight"))).alias("w"))
     return all_angles.select(by, F.pandas_udf(peaks, "array<double>")("w.angle", "w.weight").alias("directions"))
@@ -273,9 +280,15 @@ def wall_directions(polygons: DataFrame, by: str, polygon: str = "polygon") -> D
 def squared_rooms(polygons: DataFrame, by: str, id_col: str, polygon: str = "polygon") -> DataFrame:
     """by, id, directions, turn, area, polygon: each room with its walls turned into its group's directions."""
     def snap(rings: pd.Series, directions: pd.Series) -> pd.DataFrame:
-        found = [g.snap_to(np.array([[v["x"], v["y"]] for v in p]), list(d)) for p, d in zip(rings, directions)]
-        return pd.DataFrame({"turn": [t for _, t in found], "area": [abs(g.np_area(p)) for p, _ in found], "polygon": [[{"x": float(x), "y": float(y)} for x, y in p] for p, _ in found]})
-
-    met = polygons.filter(F.size(polygon) >= 3).select(by, F.col(id_col), F.col(polygon).alias("_p")).join(wall_directions(polygons, by, polygon), by)
-    out = F.pandas_udf(snap, "turn double, area double, polygon array<struct<x:double,y:double>>")("_p", "directions")
-    return met.select(by, id_col, "directions", out.alias("_s")).select(by, id_col, "directions", "_s.turn", "_s.area", "_s.polygon")
+        rings = [[*map(list, p)] for p in rings]
+        turn, area, snapped = np.zeros(len(rings)), np.zeros(len(rings)), [None] * len(rings)
+        for at in g.batches([(len(p), len(d)) for p, d in zip(rings, directions)]):
+            found, turn[at] = g.batch_snap_to(np.array([rings[i] for i in at.tolist()], float), np.array([list(directions.iloc[i]) for i in at.tolist()], float))
+            area[at] = np.abs(g.batch_area(found))
+            for i, p in zip(at.tolist(), found.tolist()):
+                snapped[i] = p
+        return pd.DataFrame({"turn": turn, "area": area, "polygon": snapped})
+
+    met = polygons.filter(F.size(polygon) >= 3).select(by, F.col(id_col), _corners(polygon).alias("_p")).join(wall_directions(polygons, by, polygon), by)
+    out = F.pandas_udf(snap, "turn double, area double, polygon array<array<double>>")("_p", "directions")
+    return met.select(by, id_col, "directions", out.alias("_s")).select(by, id_col, "directions", "_s.turn", "_s.area", F.transform("_s.polygon", lambda v: g.point(v[0], v[1])).alias("polygon"))

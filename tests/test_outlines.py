@@ -260,3 +260,16 @@ def test_mesh_of_rooms(spark):
     corners = np.array([[[r[f"{e}{c}"] for c in "xyz"] for e in "abc"] for r in out if r["room_id"] == "far"])
     assert {tuple(c) for t in corners for c in t.tolist()} == {(x, y, z) for x in (20.0, 22.0) for y in (20.0, 22.0) for z in (0.0, 2.0)}
     assert all(r["az"] >= 0.5 and r["cz"] <= 3.0 for r in out if r["room_id"] == "box")
+
+
+def test_batches_of_rooms_are_squared_as_single_ones():
+    rng = np.random.default_rng(2)
+    for corners in (4, 6, 9):
+        angle, far = np.sort(rng.uniform(0, 2 * np.pi, (30, corners)), axis=1), rng.uniform(1, 5, (30, corners))
+        p, d = np.stack([far * np.cos(angle), far * np.sin(angle)], axis=2), np.sort(rng.uniform(0, 180, (30, 3)), axis=1)
+        p[::2] = p[::2, ::-1]
+        rings, turns = g.batch_snap_to(p, d)
+        for i in range(30):
+            ring, turn = g.snap_to(p[i], list(d[i]))
+            assert rings[i] == pytest.approx(ring, abs=1e-9) and turns[i] == pytest.approx(turn, abs=1e-9)
+        assert g.batch_direction_weights(p) == pytest.approx(np.array([g.direction_weights(r) for r in p]), abs=1e-9)

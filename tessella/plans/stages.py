@@ -84,10 +84,11 @@ def surfaces_visible(spark, d):
 
 
 def oriented_cloud(spark, d):
-    """Turned into the frame of each room's up vector: heights stay what the up axis says."""
+    """Turned into the frame of each room's up vector: heights stay what the up axis says. Norms lose the digits that
+    turning and the order of sums leave, so that halves are rounded up."""
     c = _cloud(spark, d).withColumn("ux", F.lit(0.0)).withColumn("uy", F.lit(0.6)).withColumn("uz", F.lit(0.8))
     out = op.oriented(c, "user_id", ("ux", "uy", "uz"))
-    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("flipped").alias("flipped"), F.round(F.max(F.abs("h")), 5).alias("highest"), F.round(F.sum(F.col("u") * F.col("u") + F.col("v") * F.col("v") + F.col("h") * F.col("h")), 3).alias("norm"))
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("flipped").alias("flipped"), F.round(F.max(F.abs("h")), 5).alias("highest"), F.round(F.round(F.sum(F.col("u") * F.col("u") + F.col("v") * F.col("v") + F.col("h") * F.col("h")), 7), 3).alias("norm"))
 
 
 def aperture_kinds(spark, d):

@@ -8,6 +8,9 @@ swept in one task.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,18 +101,18 @@ def outline_edges(polygons: DataFrame, by: list[str], polygon: str = "polygon")
     return sides.unionByName(flat).select(*by, F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1"))
 
 
-def _bent(ring: list[tuple]) -> np.ndarray:
+def _bent(ring: list[tuple]) -> list[tuple]:
     """The ring without corners that are on the line from the corner before to the one after, as far as
     rounding can tell; one after the other, from its first corner, which is the end of a cut."""
     out: list[tuple] = []
-    for n, (x, y) in enumerate(ring):
-        out.append((x, y))
+    for n, corner in enumerate(ring):
+        out.append(corner)
         after = ring[(n + 1) % len(ring)]
         while len(out) > 1 and _off(out[-2], out[-1], after) <= ROUNDED:
             out.pop()
     while len(out) > 3 and _off(out[-1], out[0], out[1]) <= ROUNDED:
         out.pop(0)
-    return np.array(out)
+    return out
 
 
 def _off(a: tuple, b: tuple, c: tuple) -> float:
@@ -117,14 +120,23 @@ def _off(a: tuple, b: tuple, c: tuple) -> float:
     dx, dy = c[0] - a[0], c[1] - a[1]
     size = dx * dx + dy * dy
     t = 0.0 if size == 0 else min(1.0, max(0.0, ((b[0] - a[0]) * dx + (b[1] - a[1]) * dy) / size))
-    return float(np.hypot(b[0] - a[0] - t * dx, b[1] - a[1] - t * dy))
+    return math.hypot(b[0] - a[0] - t * dx, b[1] - a[1] - t * dy)
+
+
+def _ring_area(ring: list[tuple]) -> tuple[float, float]:
+    """Signed area and length of a ring."""
+    area = length = 0.0
+    for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+        area += x0 * y1 - x1 * y0
+        length += math.hypot(x1 - x0, y1 - y0)
+    return area / 2, length
 
 
-def _trace(edges: np.ndarray) -> list[np.ndarray]:
-    """Rings of directed edges (x0, y0, x1, y1). Where several leave a corner, the sharpest turn to
-    the left is taken, so pieces that touch in a corner stay apart. Corners that don't turn are dropped."""
+def _trace(edges: Iterable[tuple]) -> list[tuple[float, list[tuple]]]:
+    """Signed area and corners of the rings of directed edges (x0, y0, x1, y1), on plain floats, as most groups are small. Where several
+    leave a corner, the sharpest turn to the left is taken, so pieces that touch in a corner stay apart. Corners that don't turn are dropped."""
     leaving: dict[tuple, list[tuple]] = {}
-    for x0, y0, x1, y1 in sorted(map(tuple, edges.tolist()), reverse=True):
+    for x0, y0, x1, y1 in sorted(edges, reverse=True):
         leaving.setdefault((x0, y0), []).append((x1, y1))
     rings = []
     for start in sorted(leaving):
@@ -133,29 +145,37 @@ def _trace(edges: np.ndarray) -> list[np.ndarray]:
             while here != start:
                 ring.append(here)
                 out = leaving[here]
-                back = np.arctan2(came[1] - here[1], came[0] - here[0])
-                turn = [(back - np.arctan2(y - here[1], x - here[0])) % (2 * np.pi) or 2 * np.pi for x, y in out]
-                came, here = here, out.pop(int(np.argmin(turn)))
+                k = 0
+                if len(out) > 1:
+                    back = math.atan2(came[1] - here[1], came[0] - here[0])
+                    turn = [(back - math.atan2(y - here[1], x - here[0])) % (2 * math.pi) or 2 * math.pi for x, y in out]
+                    k = turn.index(min(turn))
+                came, here = here, out.pop(k)
             kept = _bent(ring)
-            if len(kept) >= 3 and abs(g.np_area(kept)) > ROUNDED * np.hypot(*(np.roll(kept, -1, axis=0) - kept).T).sum():  # not thinner than that
-                rings.append(kept)
+            area, length = _ring_area(kept)
+            if len(kept) >= 3 and abs(area) > ROUNDED * length:  # not thinner than that
+                rings.append((area, kept))
     return rings
 
 
 def union_outlines(polygons: DataFrame, by: list[str], polygon: str = "polygon") -> DataFrame:
     """by, ring, hole, area, points: rings of the outline of each group's union, largest first. Outer
-    rings run counter-clockwise, holes clockwise; area is without a sign. Only the boundary, not what the group is made of, is traced in one task."""
-    edges = outline_edges(polygons, by, polygon)
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-
-    def trace(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rings = _trace(rows[["x0", "y0", "x1", "y1"]].to_numpy(float))
-        areas = [g.np_area(r) for r in rings]
-        order = sorted(range(len(rings)), key=lambda k: (-abs(areas[k]), rings[k].min(axis=0).tolist()))
-        found = [(*key, n, areas[k] < 0, abs(areas[k]), [{"x": float(x), "y": float(y)} for x, y in rings[k]]) for n, k in enumerate(order)]
-        return pd.DataFrame(found, columns=[*by, "ring", "hole", "area", "points"])
-
-    return edges.groupBy(*by).applyInPandas(trace, ", ".join(f"{b} {kinds[b]}" for b in by) + ", ring int, hole boolean, area double, points array<struct<x:double,y:double>>")
+    rings run counter-clockwise, holes clockwise; area is without a sign. Only the boundary, not what the group is made of, is traced in one
+    task; groups go to Python in batches, a row each."""
+    ends = ("x0", "y0", "x1", "y1")
+
+    def trace(*columns: pd.Series) -> pd.DataFrame:
+        found = []
+        for each in zip(*columns):
+            rings = _trace(zip(*[c.tolist() for c in each]))
+            found.append(sorted(rings, key=lambda r: (-abs(r[0]), min(x for x, _ in r[1]), min(y for _, y in r[1]))))
+        return pd.DataFrame({"area": [[a for a, _ in rings] for rings in found], "x": [[[x for x, _ in p] for _, p in rings] for rings in found], "y": [[[y for _, y in p] for _, p in rings] for rings in found]})
+
+    bounds = outline_edges(polygons, by, polygon).groupBy(*by).agg(F.collect_list(F.struct(*ends)).alias("e")).select(*by, *[F.col("e")[c].alias(c) for c in ends])
+    traced = bounds.select(*by, F.pandas_udf(trace, "area array<double>, x array<array<double>>, y array<array<double>>")(*ends).alias("t"))
+    ring = traced.select(*by, F.posexplode(F.arrays_zip("t.area", "t.x", "t.y")).alias("ring", "r"))
+    points = F.zip_with("r.x", "r.y", g.point)
+    return ring.select(*by, "ring", (F.col("r.area") < 0).alias("hole"), F.abs("r.area").alias("area"), points.alias("points"))
 
 
 def _pair_iou(pairs: DataFrame, by: list[str], one: str, other: str) -> DataFrame:

@@ -96,6 +96,12 @@ def test_layout_of_a_moved_plan(spark):
     assert got["a"][0] == pytest.approx(1.0) and got["a"][1:] == (2, 0.0) and got["b"] == (None, 1, None)
 
 
+def test_outlines_are_traced_in_batches(spark):
+    """A call for each group took most of the time."""
+    df = polygons(spark, SHAPES)
+    assert "FlatMapGroups" not in outlines.union_outlines(df, ["plan"])._jdf.queryExecution().toString()
+
+
 def test_outline_fit_against_samples(spark):
     rng = np.random.default_rng(2)
     rooms = [("p", k, ring(*(rng.uniform(0, 20, 2) + rng.uniform(0, 6, (3, 2))).round(2))) for k in range(12)]

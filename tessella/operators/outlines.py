@@ -178,13 +178,31 @@ def union_outlines(polygons: DataFrame, by: list[str], polygon: str = "polygon")
     return ring.select(*by, "ring", (F.col("r.area") < 0).alias("hole"), F.abs("r.area").alias("area"), points.alias("points"))
 
 
+#: Pairs of rings with at most so many corners in all meet in batches; larger ones are swept.
+FEW_CORNERS = 40
+
+
+def _batch_iou(px: pd.Series, py: pd.Series, qx: pd.Series, qy: pd.Series) -> pd.Series:
+    p, q = ([[*zip(x.tolist(), y.tolist())] for x, y in zip(xs, ys)] for xs, ys in ((px, py), (qx, qy)))
+    found = g.pairwise(p, q, lambda u, w: (g.batch_iou(u, w),))
+    return pd.Series(found[0] if found else [], dtype=float)
+
+
 def _pair_iou(pairs: DataFrame, by: list[str], one: str, other: str) -> DataFrame:
-    """by, iou of two polygons in each row: their areas and that of their union say how they overlap."""
-    pairs = materialize(pairs, "pairs")  # read twice
-    both = pairs.select(*by, F.explode(F.array(one, other)).alias("polygon"))
+    """by, iou of two polygons in each row, by must tell rows apart. Small ones are measured in batches; of large ones, their areas and that of
+    their union say how they overlap. Rings of fewer than three corners overlap nothing."""
+    pairs = materialize(pairs, "pairs")  # read several times
+    corners = F.size(one) + F.size(other)
+    whole_rings = (F.size(one) >= 3) & (F.size(other) >= 3)
+    small = pairs.filter(whole_rings & (corners <= FEW_CORNERS)).select(*by, F.pandas_udf(_batch_iou, "double")(*[F.col(ring)[c] for ring in (one, other) for c in "xy"]).alias("iou"))
+    rest = pairs.filter(~F.coalesce(whole_rings & (corners <= FEW_CORNERS), F.lit(False)))
+    if rest.isEmpty():
+        return small
+    both = rest.select(*by, F.explode(F.array(one, other)).alias("polygon"))
     union = union_area(both, by, decimals=12).withColumnRenamed("area", "whole")
-    areas = pairs.select(*by, (g.area(F.col(one)) + g.area(F.col(other))).alias("parts"))
-    return areas.join(union, by, "left").select(*by, F.when(F.col("whole") > 1e-12, (F.col("parts") - F.col("whole")) / F.col("whole")).otherwise(0.0).alias("iou"))
+    areas = rest.select(*by, (g.area(F.col(one)) + g.area(F.col(other))).alias("parts"))
+    swept = areas.join(union, by, "left").select(*by, F.when(F.col("whole") > 1e-12, (F.col("parts") - F.col("whole")) / F.col("whole")).otherwise(0.0).alias("iou"))
+    return small.unionByName(swept)
 
 
 def layout_iou(built: DataFrame, plan: DataFrame, matches: DataFrame, by: str) -> DataFrame:

@@ -102,6 +102,16 @@ def test_outlines_are_traced_in_batches(spark):
     assert "FlatMapGroups" not in outlines.union_outlines(df, ["plan"])._jdf.queryExecution().toString()
 
 
+def test_small_pairs_are_measured_in_batches_and_large_ones_swept(spark):
+    wave = ring(*[(k, k % 2) for k in range(40)], (39, 5), (0, 5))
+    rows = [(0, box(0, 0, 4, 3), box(2, 0, 4, 3)), (1, box(0, 0, 4, 3), box(9, 9, 1, 1)), (2, wave, wave), (3, wave, box(0, 2, 39, 3)), (4, ring((0, 0), (1, 0)), box(0, 0, 1, 1))]
+    df = spark.createDataFrame(rows, f"row int, p {RING}, q {RING}")
+    got = {r["row"]: round(r["iou"], 9) for r in outlines._pair_iou(df, ["row"], "p", "q").collect()}
+    assert got == {0: round(1 / 3, 9), 1: 0.0, 2: 1.0, 3: round(117 / 175.5, 9), 4: 0.0}
+    small = outlines._pair_iou(df.filter("row < 2"), ["row"], "p", "q")
+    assert "ArrowEvalPython" in small._jdf.queryExecution().toString() and "Join" not in small._jdf.queryExecution().toString()
+
+
 def test_outline_fit_against_samples(spark):
     rng = np.random.default_rng(2)
     rooms = [("p", k, ring(*(rng.uniform(0, 20, 2) + rng.uniform(0, 6, (3, 2))).round(2))) for k in range(12)]

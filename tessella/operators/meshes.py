@@ -1,89 +1,110 @@
-"""Shells of rooms as triangles: walls split around their openings by windows, triangles from a table function."""
+"""Shells of rooms as triangles: walls split around their openings in each room's row, ears clipped in batches."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as g
 
 #: How far from a wall's line an opening may be, and its width, sill and head where they aren't given.
 REACH, WIDTH, SILL, HEAD, WINDOW_HEAD = 0.45, 0.85, 0.9, 2.04, 2.1
-CELL = 4.0
+CELL = 16.0
 
 
-def wall_edges(rooms: DataFrame, by: str) -> DataFrame:
-    """by, room_id, wall, px, py, qx, qy, length, floor, height, provenance of each side of each room (by,
-    room_id, polygon, floor, height, provenance), counter-clockwise; sides without length are left out."""
-    ring = g.counter_clockwise(F.col("polygon"))
-    side = F.transform("r", lambda v, i: F.struct(i.alias("wall"), v["x"].alias("px"), v["y"].alias("py"), F.get("r", (i + 1) % F.size("r"))["x"].alias("qx"), F.get("r", (i + 1) % F.size("r"))["y"].alias("qy")))
-    each = rooms.select(by, "room_id", "floor", "height", "provenance", ring.alias("r")).filter(F.size("r") >= 3).select(by, "room_id", "floor", "height", "provenance", F.explode(side).alias("s"))
-    return each.select(by, "room_id", "s.*", "floor", "height", "provenance").withColumn("length", F.hypot(F.col("qx") - F.col("px"), F.col("qy") - F.col("py"))).filter("length >= 1e-6")
+def _walls(polygon: Column) -> Column:
+    """wall, px, py, qx, qy, length of each side of a counter-clockwise ring; sides without length are left out."""
+    pair = F.transform(polygon, lambda v, i: F.struct(i.alias("wall"), v.alias("p"), F.get(polygon, (i + 1) % F.size(polygon)).alias("q")))
+    side = F.transform(pair, lambda e: F.struct(e["wall"].alias("wall"), e["p"]["x"].alias("px"), e["p"]["y"].alias("py"), e["q"]["x"].alias("qx"), e["q"]["y"].alias("qy"), F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]).alias("length")))
+    return F.filter(side, lambda e: e["length"] >= 1e-6)
 
 
-def wall_cuts(edges: DataFrame, openings: DataFrame, by: str) -> DataFrame:
-    """by, room_id, wall, t0, t1, sill, head: where openings (by, x, y, width, kind, head) cut walls, along the wall from 0 to
-    1. An opening cuts every wall of its group that it is within reach of and beside. They meet in cells of a grid."""
-    span = lambda a, b, more: F.sequence(F.floor((F.least(a, b) - more) / CELL), F.floor((F.greatest(a, b) + more) / CELL))
-    placed = edges.withColumn("gx", F.explode(span("px", "qx", REACH))).withColumn("gy", F.explode(span("py", "qy", REACH)))
+def _cuts(e: Column, openings: Column) -> Column:
+    """t0, t1, sill, head: where openings cut a wall, along the wall from 0 to 1, in order. An opening cuts every wall of its group that
+    it is within reach of and beside."""
+    dx, dy = e["qx"] - e["px"], e["qy"] - e["py"]
+    t = lambda o: ((o["x"] - e["px"]) * dx + (o["y"] - e["py"]) * dy) / (e["length"] * e["length"])
+    off = lambda o: F.abs((o["y"] - e["py"]) * dx - (o["x"] - e["px"]) * dy) / e["length"]
+    half = lambda o: o["width"] / 2 / e["length"]
+    near = F.filter(openings, lambda o: t(o).between(0.0, 1.0) & (off(o) <= REACH))
+    return F.array_sort(F.transform(near, lambda o: F.struct(F.greatest(F.lit(0.0), t(o) - half(o)).alias("t0"), F.least(F.lit(1.0), t(o) + half(o)).alias("t1"), o["sill"].alias("sill"), o["head"].alias("head"))))
+
+
+_QUADS = "array<struct<wall:int,t0:double,z0:double,t1:double,z1:double,px:double,py:double,qx:double,qy:double>>"
+
+
+def _quads(e: Column, cuts: Column, height: Column) -> Column:
+    """Upright panels of a wall beside, below and above its openings. Of openings that overlap, the one that begins first goes
+    first; what it covers isn't cut again. Heights count from the room's floor."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    panel = lambda t0, t1, z0, z1: F.struct(e["wall"].alias("wall"), t0.alias("t0"), z0.alias("z0"), t1.alias("t1"), z1.alias("z1"), *[e[c].alias(c) for c in ("px", "py", "qx", "qy")])
+
+    def around(s: Column, c: Column) -> Column:
+        a, b = F.greatest(s["cursor"], c["t0"]), F.greatest(s["cursor"], c["t1"])
+        more = F.array(panel(s["cursor"], a, zero, height), panel(a, b, zero, c["sill"]), panel(a, b, F.least(height, c["head"]), height))
+        return F.struct(b.alias("cursor"), F.concat(s["panels"], more.cast(_QUADS)).alias("panels"))
+
+    last = lambda s: F.concat(s["panels"], F.array(panel(s["cursor"], one, zero, height)).cast(_QUADS))
+    every = F.aggregate(cuts, F.struct(zero.alias("cursor"), F.array().cast(_QUADS).alias("panels")), around, last)
+    return F.filter(every, lambda p: (p["t1"] > p["t0"]) & (p["z1"] > p["z0"]))
+
+
+def rooms_with_openings(rooms: DataFrame, openings: DataFrame, by: str) -> DataFrame:
+    """rooms (by, room_id, polygon, floor, height, provenance) their rings counter-clockwise, with an array of the openings (by, x, y, width, kind, head) in or at their boxes. They meet in
+    cells of a grid, a row per room and cell; walls and panels are made in a room's own row afterwards, so they aren't shuffled."""
     low = F.col("kind").isin("door", "opening")
-    cut = openings.filter("x is not null and y is not null").select(by, "x", "y", F.coalesce(F.nullif("width", F.lit(0.0)), F.lit(WIDTH)).alias("width"), F.when(low, 0.0).otherwise(SILL).alias("sill"), F.coalesce(F.nullif("head", F.lit(0.0)), F.when(F.col("kind") == "window", WINDOW_HEAD).otherwise(HEAD)).alias("head"))
-    cut = cut.withColumn("gx", F.floor(F.col("x") / CELL)).withColumn("gy", F.floor(F.col("y") / CELL))
-    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
-    t = ((F.col("x") - F.col("px")) * dx + (F.col("y") - F.col("py")) * dy) / (F.col("length") * F.col("length"))
-    off = F.abs((F.col("y") - F.col("py")) * dx - (F.col("x") - F.col("px")) * dy) / F.col("length")
-    met = placed.join(cut, [by, "gx", "gy"]).withColumn("t", t).filter(F.col("t").between(0.0, 1.0) & (off <= REACH))
-    half = F.col("width") / 2 / F.col("length")
-    return met.select(by, "room_id", "wall", F.greatest(F.lit(0.0), F.col("t") - half).alias("t0"), F.least(F.lit(1.0), F.col("t") + half).alias("t1"), "sill", "head")
-
-
-def wall_quads(edges: DataFrame, cuts: DataFrame, by: str) -> DataFrame:
-    """by, room_id, wall, t0, t1, z0, z1: upright panels of each wall beside, below and above its openings. Of openings that
-    overlap, the one that begins first goes first; what it covers isn't cut again. Heights count from the room's floor."""
-    wall = [by, "room_id", "wall"]
-    order = Window.partitionBy(*wall).orderBy("t0", "t1", "sill", "head")
-    cursor = F.coalesce(F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    own = cuts.withColumn("cursor", cursor).join(edges.select(*wall, "height"), wall)
-    a, b = F.greatest("cursor", "t0"), F.greatest("cursor", "t1")
-    panel = lambda t0, t1, z0, z1: F.struct(t0.alias("t0"), t1.alias("t1"), z0.alias("z0"), z1.alias("z1"))
-    zero, top = F.lit(0.0), F.col("height")
-    around = own.select(*wall, F.explode(F.array(panel(F.col("cursor"), a, zero, top), panel(a, b, zero, F.col("sill")), panel(a, b, F.least(top, F.col("head")), top))).alias("p"))
-    last = edges.join(cuts.groupBy(*wall).agg(F.max("t1").alias("end")), wall, "left").select(*wall, panel(F.coalesce("end", zero), F.lit(1.0), zero, top).alias("p"))
-    return around.unionByName(last).select(*wall, "p.*").filter("t1 > t0 and z1 > z0")
-
-
-@F.udtf(returnType="part string, wall int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double, whole boolean")
-class RoomTriangles:
-    """The triangles of a room: its floor and ceiling, whose sides face the room, by clipping ears, and two for each panel of
-    its walls. whole is false in floors and ceilings that ears don't add up to, as their ring crosses itself."""
-
-    def eval(self, polygon, floor, height, quads):
-        if polygon is not None and len(polygon) >= 3:
-            p = np.array([[v["x"], v["y"]] for v in polygon], float)
-            p = p if g.np_area(p) >= 0 else p[::-1]
-            found = g.ear_clip(p)
-            whole = len(found) == len(p) - 2 and abs(sum(abs(g.np_area(p[list(t)])) for t in found) - g.np_area(p)) <= 1e-9 * max(1.0, g.np_area(p))
-            for a, b, c in found:
-                for part, z, (i, j, k) in (("floor", floor, (a, b, c)), ("ceiling", floor + height, (a, c, b))):
-                    yield part, None, *map(float, (*p[i], z, *p[j], z, *p[k], z)), whole
-        for q in quads or []:
-            dx, dy = q["qx"] - q["px"], q["qy"] - q["py"]
-            corner = lambda t, z: (q["px"] + dx * t, q["py"] + dy * t, floor + z)
-            a, b, c, d = corner(q["t0"], q["z0"]), corner(q["t1"], q["z0"]), corner(q["t1"], q["z1"]), corner(q["t0"], q["z1"])
-            for triangle in ((a, b, c), (a, c, d)):
-                yield "wall", q["wall"], *map(float, (x for corner in triangle for x in corner)), True
+    cut = openings.filter("x is not null and y is not null").select(by, F.floor(F.col("x") / CELL).alias("gx"), F.floor(F.col("y") / CELL).alias("gy"), F.struct("x", "y", F.coalesce(F.nullif("width", F.lit(0.0)), F.lit(WIDTH)).alias("width"), F.when(low, 0.0).otherwise(SILL).alias("sill"), F.coalesce(F.nullif("head", F.lit(0.0)), F.when(F.col("kind") == "window", WINDOW_HEAD).otherwise(HEAD)).alias("head")).alias("o"))
+    box = g.bounds(F.col("polygon"))
+    cells = lambda c: F.sequence(F.floor((F.col(f"box.{c}0") - REACH) / CELL), F.floor((F.col(f"box.{c}1") + REACH) / CELL))
+    own = ("polygon", "floor", "height", "provenance")
+    placed = rooms.filter(F.size("polygon") >= 3).select(by, "room_id", g.counter_clockwise(F.col("polygon")).alias("polygon"), *own[1:], box.alias("box")).withColumn("gx", F.explode(cells("x"))).withColumn("gy", F.explode(cells("y")))
+    inside = F.col("o.x").between(F.col("box.x0") - REACH, F.col("box.x1") + REACH) & F.col("o.y").between(F.col("box.y0") - REACH, F.col("box.y1") + REACH)
+    met = placed.join(cut, [by, "gx", "gy"], "left").withColumn("o", F.when(inside, F.col("o")))
+    return met.groupBy(by, "room_id").agg(*[F.first(c).alias(c) for c in own], F.collect_list("o").alias("openings"))
+
+
+def _ears(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    """Corner numbers of the triangles of counter-clockwise rings, by clipping ears; whole is false if they don't add up to the
+    ring, as it crosses itself."""
+    ears, whole = [], []
+    for x, y in zip(xs, ys):
+        p = np.column_stack([x, y])
+        found, x, y = g.ear_clip(p), x.tolist(), y.tolist()
+        size = sum(x[k - 1] * y[k] - x[k] * y[k - 1] for k in range(len(x))) / 2
+        parts = sum(abs((x[b] - x[a]) * (y[c] - y[a]) - (x[c] - x[a]) * (y[b] - y[a])) for a, b, c in found) / 2
+        ears.append([v for t in found for v in t])
+        whole.append(len(found) == len(x) - 2 and abs(parts - size) <= 1e-9 * max(1.0, size))
+    return pd.DataFrame({"ears": ears, "whole": whole})
 
 
 def room_mesh(rooms: DataFrame, openings: DataFrame, by: str) -> DataFrame:
-    """by, room_id, provenance and the columns of RoomTriangles: a row per triangle of each room's shell, with openings cut
-    from its walls. A room's ring and panels are all that one call of the table function sees."""
-    edges = wall_edges(rooms, by)
-    quads = wall_quads(edges, wall_cuts(edges, openings, by), by).join(edges.select(by, "room_id", "wall", "px", "py", "qx", "qy"), [by, "room_id", "wall"])
-    panels = quads.groupBy(by, "room_id").agg(F.sort_array(F.collect_list(F.struct("wall", "t0", "z0", "t1", "z1", "px", "py", "qx", "qy"))).alias("quads"))
-    met = rooms.select(by, "room_id", "polygon", "floor", "height", "provenance").join(panels, [by, "room_id"], "left")
-    made = met.lateralJoin(RoomTriangles(F.col("polygon").outer(), F.col("floor").outer(), F.col("height").outer(), F.col("quads").outer()).alias("t"))
-    return made.select(by, "room_id", "provenance", *[F.col(f"t.{c}").alias(c) for c in ("part", "wall", "ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz", "whole")])
+    """by, room_id, provenance, part, wall, ax, ay, az, bx, by, bz, cx, cy, cz, whole: a row per triangle of each room's shell, with openings
+    cut from its walls: its floor and ceiling, whose sides face the room, and two for each panel of its walls. Only ears are
+    clipped in Python, in batches of rooms; whole is false in floors and ceilings that they don't add up to."""
+    panels = F.flatten(F.transform(_walls(F.col("polygon")), lambda e: _quads(e, _cuts(e, F.col("openings")), F.col("height"))))
+    met = rooms_with_openings(rooms, openings, by).select(by, "room_id", F.col("polygon").alias("p"), "floor", "height", "provenance", panels.alias("quads"))
+    met = met.withColumn("e", F.pandas_udf(_ears, "ears array<int>, whole boolean")(F.col("p")["x"], F.col("p")["y"]))
+
+    def triangle(part: str, wall: Column, corners: list[tuple], whole: Column) -> Column:
+        names = [f"{end}{c}" for end in "abc" for c in "xyz"]
+        return F.struct(F.lit(part).alias("part"), wall.cast("int").alias("wall"), *[v.cast("double").alias(k) for k, v in zip(names, [v for corner in corners for v in corner])], whole.alias("whole"))
+
+    def level(n: Column) -> Column:
+        a, b, c = (F.get("p", F.get("e.ears", n * 3 + k)) for k in range(3))
+        at = lambda corners, z: [(v["x"], v["y"], z) for v in corners]
+        none = F.lit(None)
+        return F.array(triangle("floor", none, at((a, b, c), F.col("floor")), F.col("e.whole")), triangle("ceiling", none, at((a, c, b), F.col("floor") + F.col("height")), F.col("e.whole")))
+
+    def upright(q: Column) -> Column:
+        corner = lambda t, z: (q["px"] + (q["qx"] - q["px"]) * q[t], q["py"] + (q["qy"] - q["py"]) * q[t], F.col("floor") + q[z])
+        a, b, c, d = corner("t0", "z0"), corner("t1", "z0"), corner("t1", "z1"), corner("t0", "z1")
+        return F.array(triangle("wall", q["wall"], [a, b, c], F.lit(True)), triangle("wall", q["wall"], [a, c, d], F.lit(True)))
+
+    clipped = F.filter(F.sequence(F.lit(0), F.floor(F.size("e.ears") / 3).cast("int")), lambda n: n * 3 < F.size("e.ears"))
+    parts = F.concat(F.flatten(F.transform(clipped, level)), F.flatten(F.transform("quads", upright)))
+    return met.select(by, "room_id", "provenance", F.inline(parts))
 
 
 def triangle_area() -> Column:

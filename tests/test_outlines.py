@@ -278,6 +278,13 @@ def test_mesh_of_rooms(spark):
     assert all(r["az"] >= 0.5 and r["cz"] <= 3.0 for r in out if r["room_id"] == "box")
 
 
+def test_meshes_shuffle_rooms_and_not_their_walls(spark):
+    df = spark.createDataFrame([("p", "box", box(0, 0, 4, 3), 0.5, 2.5, "measured")], f"plan string, room_id string, polygon {RING}, floor double, height double, provenance string")
+    cuts = spark.createDataFrame([("p", 2.0, 0.1, 1.0, "door", None)], "plan string, x double, y double, width double, kind string, head double")
+    plan = meshes.room_mesh(df, cuts, "plan")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange") <= 3 and "PythonUDTF" not in plan
+
+
 def test_batches_of_rooms_are_squared_as_single_ones():
     rng = np.random.default_rng(2)
     for corners in (4, 6, 9):

@@ -6,13 +6,26 @@ bracket, and only the bracket's own values, some thousandths of a large group, a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Groups of up to so many values are ordered whole; half width of a bracket; sketch accuracy.
 SMALL, HALF, ACCURACY = 20_000, 0.001, 10_000
 
 
+def between(lo: Column, hi: Column, share: Column) -> Column:
+    """lo * (1 - share) + hi * share, rounded once less, by a fused multiply-add, as SQL's quantile_cont does. Where
+    the two are apart by their last bits, it is one of them, and what equals it falls on the same side as in SQL."""
+    fused = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), lo, 1 - share, hi * share).cast("double")
+    return F.when(lo.isNull() | (share == 0), lo).otherwise(fused)
+
+
+def quantile_of(values: Column, q: float) -> Column:
+    """The same quantile of an array of sorted doubles; null for none."""
+    at = F.lit(float(q)) * (F.size(values) - 1)
+    return between(F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int")), at - F.floor(at))
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float], nearest: bool = False) -> DataFrame:
     """by and a double per name in wanted: the value at q * (n - 1) of the sorted non-null values,
     interpolated, or with nearest the one at that rank rounded half to even. Groups without
@@ -36,5 +49,5 @@ def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, floa
     k1 = k0 if nearest else F.ceil("pos")
     at = lambda k: F.min(F.when((F.col("end") > k), v))
     found = ranked.groupBy(*by, "i", "pos").agg(at(k0).alias("a"), at(k1).alias("z"))
-    exact = F.col("a") + (F.col("z") - F.col("a")) * (F.col("pos") - F.floor("pos")) if not nearest else F.col("a")
-    return found.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, exact)).alias(name) for i, name in enumerate(names)])
+    exact = between(F.col("a"), F.col("z"), F.col("pos") - F.floor("pos")) if not nearest else F.col("a")
+    return found.select(*by, "i", exact.alias("exact")).groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("exact"))).alias(name) for i, name in enumerate(names)])

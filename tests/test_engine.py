@@ -99,3 +99,22 @@ def test_norms_of_turned_rooms_that_end_in_halves(spark, tmp_path):
         folder.mkdir()
         con.sql(f"COPY (SELECT * REPLACE (event_id + {more * 100_000} AS event_id, user_id + {more * 1500} AS user_id) FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id = {user}) TO '{folder}/events.parquet' (FORMAT parquet)")
         assert [r["norm"] for r in registry.queries()["oriented_cloud"](spark, str(folder)).collect()] == [norm]
+
+
+def test_points_that_equal_a_quantile_of_their_room(spark, tmp_path):
+    con = duckdb.connect()
+    # rooms of 4,000 points, of which several are equally far out but for the last bit, where SQL's quantile between them is one or the other
+    con.sql(f"COPY (SELECT e.* REPLACE (event_id + i * 100000 AS event_id) FROM '/root/testdata/sf0.1/events.parquet' e, range(60) r(i) WHERE user_id IN (411, 1176)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    equal_to_sql(spark, con, "clip_reasons", str(tmp_path))
+
+
+def test_quantiles_are_equal_to_those_of_sql_bit_by_bit(spark):
+    from tessella.operators.quantiles import quantiles
+
+    con = duckdb.connect()
+    rows = [(i, math.sqrt(1 + i * 31 % 97 + j)) for i in range(300) for j in range(5 + i % 40)]
+    con.sql("CREATE TABLE t (k INT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    got = quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", {"a": 0.1, "b": 0.98}).select("k", "a", "b")
+    assert set(map(tuple, got.collect())) == set(con.sql("SELECT k, quantile_cont(v, 0.1), quantile_cont(v, 0.98) FROM t GROUP BY 1").fetchall())

@@ -133,3 +133,8 @@ def test_nearest_vectors_in_blocks_with_gaps_and_copies(spark, tmp_path, monkeyp
         con.sql(f"COPY (SELECT vec_id, label, list_transform(CASE WHEN vec_id % 3 = 0 THEN f ELSE embedding END, lambda v, k: CASE WHEN {gone} THEN NULL ELSE v END) AS embedding FROM (SELECT *, first(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM '/root/testdata/sf0.1/embeddings.parquet' WHERE vec_id < 400)) TO '{folder}/embeddings.parquet' (FORMAT parquet)")
         con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
         equal_to_sql(spark, con, "nearest_neighbour", str(folder))
+
+
+def test_points_of_a_footprint_are_turned_after_they_are_brought_together(spark):
+    plan = registry.queries()["footprints"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and plan.count("Aggregate") == 2  # none of ninety angles per point before a shuffle

@@ -138,3 +138,23 @@ def test_nearest_vectors_in_blocks_with_gaps_and_copies(spark, tmp_path, monkeyp
 def test_points_of_a_footprint_are_turned_after_they_are_brought_together(spark):
     plan = registry.queries()["footprints"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan and plan.count("Aggregate") == 2  # none of ninety angles per point before a shuffle
+
+
+def test_layers_of_many_heights_are_those_of_histograms(spark):
+    import numpy as np
+
+    from tessella.operators import spatial
+
+    def alone(height):
+        low, high = np.percentile(height, [1, 99])
+        if high - low < spatial.EXTENT:
+            return 0.0
+        count, reach = np.histogram(height, spatial.BINS, (low, high))[0], max(1, round(spatial.THICK * spatial.BINS / (high - low)))
+        at = np.arange(spatial.BINS)
+        layer = np.array([count[max(0, k - reach) : k + reach + 1].sum() for k in at])
+        other = layer[np.abs(at - layer.argmax()) > 4 * reach]
+        return float(layer.max() + (other.max() if len(other) else 0)) / max(1, int(count.sum()))
+
+    r = np.random.default_rng(5)
+    many = np.concatenate([r.integers(0, 7, (40, 80)) / 100 + r.choice([0, 2.5, 1.1], (40, 80)), r.normal(size=(40, 80)) / 3])
+    assert spatial.layer_scores(many).tolist() == [alone(h) for h in many]

@@ -9,6 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
+
+#: Rows of a table that goes to every task.
+FEW = 10_000
+
+
+def few(groups: DataFrame) -> DataFrame:
+    """A table of groups, written once, and broadcast if it is counted to be small: joined otherwise, all rows of a hot group
+    would be read by one task."""
+    groups = materialize(groups, "groups")
+    return F.broadcast(groups) if groups.count() <= FEW else groups
+
+
 #: Groups of up to so many values are ordered whole; half width of a bracket; sketch accuracy.
 SMALL, HALF, ACCURACY = 20_000, 0.001, 10_000
 
@@ -39,7 +52,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, floa
         F.struct(F.lit(i).alias("i"), F.when(big, F.col("b")[2 * i]).alias("lo"), F.when(big, F.col("b")[2 * i + 1]).alias("hi"), (F.lit(float(q)) * (F.col("n") - 1)).alias("pos"))
         for i, q in enumerate(wanted.values())
     ])).alias("t")).select(*by, "t.*")
-    met = kept.join(brackets, by)
+    met = kept.join(few(brackets), by)
     low = F.col("lo").isNotNull() & (v < F.col("lo"))
     # one row per value and bracket; all below a bracket make one row (v null), summed per task first
     counted = met.filter(F.col("hi").isNull() | (v <= F.col("hi"))).groupBy(*by, "i", "pos", F.when(~low, v).alias("v")).agg(F.count(F.lit(1)).alias("c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.quantiles import quantiles
+from tessella.operators.quantiles import few, quantiles
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -93,7 +93,7 @@ def regressions(history: DataFrame, by: str, order: str, value: str, lower_is_be
 def histogram(rows: DataFrame, by: str, value: str, bins: int, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """by, bin, n over equal bins between two percentiles of each group; values outside go."""
     v = F.col(value).cast("double")
-    range_ = quantiles(rows, [by], value, {"lo": low, "hi": high})
+    range_ = few(quantiles(rows, [by], value, {"lo": low, "hi": high}))
     at = F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)).cast("long")
     return rows.join(range_, by).filter((v >= F.col("lo")) & (v <= F.col("hi"))).groupBy(by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -175,3 +175,14 @@ def test_components_of_edges_that_lie_together_or_apart(spark, monkeypatch):
 def test_doors_are_aggregated_with_their_pairs(spark):
     plan = registry.queries()["door_adjacency"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_hot_groups_are_not_shuffled_for_their_quantiles(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("histogram_bins", "histogram_layers"):
+            plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

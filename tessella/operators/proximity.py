@@ -63,31 +63,65 @@ def nearest_points(points: DataFrame, by: str, id_col: str, axes: list[str], k:
     return out
 
 
+#: Pairs of words that are measured at once.
+_AT_ONCE = 1_000_000
+
+
 def words_in_reach(words: DataFrame, by: str, reach: float = 1.2) -> DataFrame:
     """by, a, b, gap: pairs of a sheet's words whose boxes are nearer than reach times the taller one's height, across and
     down; a < b, gap is the sum of both. words: by, word_id, x, y, w, h.
 
-    How far a word reaches depends on the other, so words are classed by height, each class twice as tall as the one
-    before, and a grid for each class has cells as wide as its words reach. A word is posted once in its own class and in every
-    taller one that the sheet has, by the cells its box touches; words of a class look around in their own grid. So a pair meets in the
-    class of the taller word, wherever the shorter one is, and a sheet may be of any size. Words without height
-    reach nothing.
+    A word's box, grown by its own reach, meets that of every word it is paired with. Words are posted in the tiles that their
+    grown boxes touch. Tiles are so wide that this makes 1.2 posts per word on average, as three sums over all words tell, so words
+    are shuffled about once. A task reads a tile's words downwards, and keeps of those it has read what later ones may touch, not the tile. A pair is
+    measured in the first tile that both are in. Words without height reach nothing, those without a finite place aren't anywhere.
     """
-    low = F.floor(F.log2(F.col("h"))).cast("int")
-    rows = words.filter("h > 0").select(by, F.col("word_id").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xywh"]).withColumn("class", low)
-    classes = rows.groupBy(by).agg(F.collect_set("class").alias("classes"))  # a few: heights differ by small factors
-    cell = F.pow(F.lit(2.0), F.col("class") + 1) * reach
-    span = lambda at, size, more: F.sequence(F.floor((F.col(at) - more) / cell), F.floor((F.col(at) + F.col(size) + more) / cell))
-    posted = rows.join(classes, by).withColumn("own", F.col("class")).withColumn("class", F.explode(F.filter("classes", lambda c: c >= F.col("class")))).drop("classes")
-    held = posted.withColumn("gx", F.explode(span("x", "w", 0))).withColumn("gy", F.explode(span("y", "h", 0)))
-    asking = rows.withColumn("gx", F.explode(span("x", "w", cell))).withColumn("gy", F.explode(span("y", "h", cell)))
-    a, b = (df.select(by, "class", "gx", "gy", *[F.col(c).alias(f"{s}_{c}") for c in ("id", *"xywh", *more)]) for df, s, more in ((asking, "t", ()), (held, "s", ("own",))))
-    apart = lambda c, size: F.greatest(F.lit(0.0), F.greatest(f"t_{c}", f"s_{c}") - F.least(F.col(f"t_{c}") + F.col(f"t_{size}"), F.col(f"s_{c}") + F.col(f"s_{size}")))
-    taller = F.greatest("t_h", "s_h") * reach
-    # of two words of one class, the one with the smaller id asks
-    met = a.join(b, [by, "class", "gx", "gy"]).filter((F.col("s_own") < F.col("class")) | (F.col("t_id") < F.col("s_id")))
-    near = met.filter((apart("x", "w") < taller) & (apart("y", "h") < taller))
-    return near.select(by, F.least("t_id", "s_id").alias("a"), F.greatest("t_id", "s_id").alias("b"), (apart("x", "w") + apart("y", "h")).alias("gap")).distinct()
+    x, y, w, h = (F.col(c) for c in "xywh")
+    rows = words.select(by, F.col("word_id").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xywh"]).filter("h > 0")
+    for c in "xywh":
+        rows = rows.filter(F.abs(c) < float("inf"))
+    more = h * reach * (1 + 1e-6) + (F.abs(x) + F.abs(y) + F.abs(w) + h) * 1e-9  # a little more than it reaches, as sums are rounded
+    ends = [(F.least(at, at + size) - more, F.greatest(at, at + size) + more) for at, size in ((x, w), (y, h))]
+    wide, high = (hi - lo for lo, hi in ends)
+    sums = rows.agg(F.avg(wide + high), F.avg(wide * high)).first()
+    # posts are (1 + wide / side) * (1 + high / side) on average: at most 1 + 1 / 8 + 1 / 16
+    side = max(8 * (sums[0] or 0.0), 4 * (sums[1] or 0.0) ** 0.5) or 1.0
+    tiles = [F.sequence(F.floor(lo / side), F.floor(hi / side)) for lo, hi in ends]
+    posted = rows.dropna().select("*", ends[1][0].alias("lo"), ends[1][1].alias("hi"), tiles[1].alias("_ys"), F.posexplode(tiles[0]).alias("_i", "gx"))
+    posted = posted.select(by, "gx", "id", *"xywh", "lo", "hi", "_i", F.posexplode("_ys").alias("_j", "gy"))
+    tile = [by, "gx", "gy"]
+    read = posted.select(*tile, "lo", "hi", "id", *"xywh", (F.col("_i") == 0).alias("left"), (F.col("_j") == 0).alias("top")).repartition(*tile).sortWithinPartitions(*tile, "lo")
+
+    def measured(frames):
+        held = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            n, held = (0, frame) if held is None else (len(held), pd.concat([held, frame], ignore_index=True))
+            columns = {c: held[c].to_numpy() for c in held.columns}
+            starts = np.zeros(len(held), bool)
+            for c in tile:
+                starts[1:] |= columns[c][1:] != columns[c][:-1]
+            nth = np.cumsum(starts)
+            # complex numbers are ordered by tile, then by height
+            last = np.searchsorted(nth + 1j * columns["lo"], nth + 1j * columns["hi"], side="right")
+            first = np.maximum(np.arange(len(held)) + 1, n)
+            count = np.maximum(last - first, 0)
+            upto = np.cumsum(count)
+            for k in range(0, int(upto[-1]), _AT_ONCE):
+                at = np.arange(k, min(k + _AT_ONCE, int(upto[-1])))
+                i = np.searchsorted(upto, at, side="right")
+                j = first[i] + at - (upto[i] - count[i])
+                one, other = ({c: v[rows_] for c, v in columns.items()} for rows_ in (i, j))
+                taller = np.maximum(one["h"], other["h"]) * reach
+                dx, dy = (np.maximum(0.0, np.maximum(one[c], other[c]) - np.minimum(one[c] + one[size], other[c] + other[size])) for c, size in ("xw", "yh"))
+                near = (dx < taller) & (dy < taller) & (one["left"] | other["left"]) & (one["top"] | other["top"]) & (one["id"] != other["id"])
+                less = one["id"] < other["id"]
+                yield pd.DataFrame({by: one[by], "a": np.where(less, one["id"], other["id"]), "b": np.where(less, other["id"], one["id"]), "gap": dx + dy})[near]
+            held = held[(nth == nth[-1]) & (columns["hi"] >= columns["lo"][-1])]
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return read.mapInPandas(measured, f"{by} {kinds[by]}, a {kinds['id']}, b {kinds['id']}, gap double")
 
 
 #: In this order, the neighbours that a pixel is compared with.

@@ -208,6 +208,32 @@ def test_words_in_reach_against_all_pairs(spark):
     assert got == want and len(want) > 100
 
 
+def test_words_meet_in_tiles_and_over_batches_without_joins(spark, monkeypatch):
+    """Posts of words in the cells of every class, joined, were some 600 bytes a word."""
+    rng = np.random.default_rng(9)
+    rows = [(k % 2, k, *map(float, rng.uniform(-900, 900, 2).round(1)), float(rng.integers(2, 40)), float(rng.choice([4, 5, 9, 60], p=[0.4, 0.3, 0.25, 0.05]))) for k in range(700)]
+    odd = [(0, 901, None, 5.0, 9.0, 4.0), (0, 902, 5.0, 5.0, float("inf"), 4.0), (None, 903, 5.0, 5.0, 9.0, 4.0)]
+    monkeypatch.setattr(proximity, "_AT_ONCE", 70)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        out = proximity.words_in_reach(spark.createDataFrame([*rows, *odd], "sheet int, word_id int, x double, y double, w double, h double"), "sheet")
+        got = sorted((r["sheet"], r["a"], r["b"], round(r["gap"], 6)) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = []
+    for s, i, x, y, w, h in rows:
+        for t, j, p, q, v, k in rows:
+            if s == t and i < j:
+                dx, dy = max(0.0, max(x, p) - min(x + w, p + v)), max(0.0, max(y, q) - min(y + h, q + k))
+                if dx < 1.2 * max(h, k) and dy < 1.2 * max(h, k):
+                    want.append((s, i, j, round(dx + dy, 6)))
+    assert got == sorted(want) and len(want) > 150
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    none = spark.createDataFrame([], "sheet int, word_id int, x double, y double, w double, h double")
+    assert proximity.words_in_reach(none, "sheet").collect() == []
+
+
 def test_three_directions_are_found(spark):
     """Legs along two axes and a long slope: the third direction, and its own across."""
     slope = ring((0, 0), (4, 0), (4, 0.2), (0.2, 4), (0, 4))

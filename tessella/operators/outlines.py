@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as g
+from tessella.operators.quantiles import few
 from tessella.session import materialize
 
 #: Coordinates are rounded to so many decimals, so that walls that should meet do.
@@ -223,14 +224,85 @@ def layout_iou(built: DataFrame, plan: DataFrame, matches: DataFrame, by: str) -
     return counts.join(whole, by, "left").join(rooms, by, "left").select(by, "iou", "rooms", "median_room_iou")
 
 
+#: Groups of at most so many corners and walls in all are a row; pairs of edges and walls that are looked at together.
+FEW_SIDES, SIDES_AT_ONCE = 400, 500_000
+
+
 def outline_fit(rooms: DataFrame, walls: DataFrame, by: list[str], id_col: str, polygon: str = "polygon", tolerance: float = 0.1, cell: float = 4.0) -> DataFrame:
     """by, id, fit: the share of each room's outline that is within the tolerance of a wall.
-    rooms: by, id, polygon. walls: by, x0, y0, x1, y1.
+    rooms: by, id, polygon; by and id tell rooms apart. walls: by, x0, y0, x1, y1.
 
-    Edges meet walls in the cells of a grid that the boxes of both touch; stretches of an edge that lie on several
+    Small groups are a row each, measured in batches, and shuffled by the group only, if they aren't already. Edges of larger ones,
+    counted first, meet walls in the cells of a grid. Stretches of an edge that lie on several
     walls count once: a running maximum of their ends tells what each adds. A room without walls fits by 0; one of less than
-    three corners, or without length, has no row.
+    three corners, or without length, has no row; a wall that misses a coordinate is none.
     """
+    walls = walls.dropna(subset=["x0", "y0", "x1", "y1"])
+    sides = rooms.select(*by, F.size(polygon).alias("n")).unionByName(walls.select(*by, F.lit(1).alias("n"))).groupBy(*by).agg(F.sum("n").alias("n"))
+    large = few(sides.filter(F.col("n") > FEW_SIDES).select(*[F.col(c).alias(f"_{c}") for c in by]))
+    if large.isEmpty():
+        return _fit_in_rows(rooms, walls, by, id_col, polygon, tolerance)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    (small_rooms, small_walls), (large_rooms, large_walls) = ([df.join(large, same, how) for df in (rooms, walls)] for how in ("left_anti", "left_semi"))
+    return _fit_in_rows(small_rooms, small_walls, by, id_col, polygon, tolerance).unionByName(_fit_in_cells(large_rooms, large_walls, by, id_col, polygon, tolerance, cell))
+
+
+def _fits(sizes: pd.Series, xs: pd.Series, ys: pd.Series, *walls: pd.Series, tolerance: float) -> list[np.ndarray]:
+    """The fits of each group's rooms, NaN for those without length. sizes: corners of its rooms, xs and ys: all of them, in that order."""
+    flat = lambda column: np.concatenate([np.zeros(0), *column]).astype(float)
+    corners, n_edges, n_walls = flat(sizes).astype(int), np.array([len(c) for c in xs], int), np.array([len(c) for c in walls[0]], int)
+    x, y, (a0, b0, a1, b1) = flat(xs), flat(ys), map(flat, walls)
+    room, ring = np.repeat(np.arange(len(corners)), corners), np.cumsum(corners) - corners
+    after = np.arange(len(x)) + 1
+    after[ring + corners - 1] = ring
+    length = np.hypot(x[after] - x, y[after] - y)
+    real = length > 0
+    around = np.bincount(room[real], length[real], len(corners))
+    # every edge of a group with every wall of it, by their boxes
+    of, wall = np.repeat(n_walls, n_edges), np.repeat(np.cumsum(n_walls) - n_walls, n_edges)
+    upto = np.cumsum(of)
+    found = [(np.zeros(0, int), np.zeros(0), np.zeros(0))]
+    for k in range(0, int(upto[-1]) if len(upto) else 0, SIDES_AT_ONCE):
+        at = np.arange(k, min(k + SIDES_AT_ONCE, int(upto[-1])))
+        e = np.searchsorted(upto, at, side="right")
+        w = wall[e] + at - (upto[e] - of[e])
+        apart = lambda p, q, u, v: np.maximum(np.minimum(p[e], p[after[e]]) - np.maximum(u[w], v[w]), np.minimum(u[w], v[w]) - np.maximum(p[e], p[after[e]]))  # noqa: B023, E731
+        near = real[e] & (apart(x, x, a0, a1) <= 2 * tolerance) & (apart(y, y, b0, b1) <= 2 * tolerance)
+        e, w = e[near], w[near]
+        low, high = g.stretch_within(x[e], y[e], x[after[e]], y[after[e]], a0[w], b0[w], a1[w], b1[w], tolerance)
+        found.append((e[low < high], low[low < high], high[low < high]))
+    e, low, high = map(np.concatenate, zip(*found))
+    order = np.lexsort((high, low, e))
+    e, low, high = e[order], low[order], high[order]
+    # the furthest end before, edge by edge: numbers of ends in rising order, and edges come first
+    ends, nth = np.unique(high, return_inverse=True)
+    furthest = np.maximum.accumulate(e * (len(ends) + 1) + nth + 1)
+    before = np.concatenate([[0], furthest[:-1]])[: len(e)] - e * (len(ends) + 1)
+    reached = np.where(before > 0, np.concatenate([[0.0], ends])[np.maximum(before, 0)], 0.0)
+    added = np.maximum(0.0, high - np.maximum(low, reached))
+    covered = np.bincount(room[e], added * length[e], len(corners))
+    with np.errstate(invalid="ignore"):
+        fit = np.where(around > 0, covered / around, np.nan)
+    return np.split(fit, np.cumsum([len(c) for c in sizes])[:-1]) if len(sizes) else []
+
+
+def _fit_in_rows(rooms: DataFrame, walls: DataFrame, by: list[str], id_col: str, polygon: str, tolerance: float) -> DataFrame:
+    """outline_fit of groups that are small."""
+    numbers = lambda c: F.transform(F.col(polygon), lambda v: v[c].cast("double"))
+    shaped = rooms.filter(F.size(polygon) >= 3).select(*by, F.struct(F.col(id_col).alias("id"), numbers("x").alias("x"), numbers("y").alias("y")).alias("r"))
+    ends = ("x0", "y0", "x1", "y1")
+    placed = walls.select(*by, F.struct(*[F.col(c).cast("double").alias(c) for c in ends]).alias("w"))
+    met = shaped.groupBy(*by).agg(F.collect_list("r").alias("r")).join(placed.groupBy(*by).agg(F.collect_list("w").alias("w")), by, "left")
+    sizes = F.transform("r", lambda v: F.size(v["x"]))
+    wall = [F.coalesce(F.col("w")[c], F.array().cast("array<double>")) for c in ends]
+    fit = F.pandas_udf(lambda *columns: pd.Series(_fits(*columns, tolerance=tolerance), dtype=object), "array<double>")
+    fits = met.select(*by, F.col("r.id").alias("id"), fit(sizes, F.flatten("r.x"), F.flatten("r.y"), *wall).alias("fit"))
+    each = fits.select(*by, F.explode(F.arrays_zip("id", "fit")).alias("f")).select(*by, F.col("f.id").alias(id_col), "f.fit")
+    return each.filter(F.col("fit").isNotNull() & ~F.isnan("fit"))
+
+
+def _fit_in_cells(rooms: DataFrame, walls: DataFrame, by: list[str], id_col: str, polygon: str, tolerance: float, cell: float) -> DataFrame:
+    """outline_fit of groups of any size: edges meet walls in the cells of a grid that the boxes of both touch."""
     nth = F.transform(F.col(polygon), lambda v, i: F.struct(i.alias("edge"), v.alias("p"), F.get(F.col(polygon), (i + 1) % F.size(polygon)).alias("q")))
     edges = rooms.filter(F.size(polygon) >= 3).select(*by, F.col(id_col).alias("id"), F.explode(nth).alias("e")).select(*by, "id", "e.edge", *[F.col(f"e.{end}.{c}").cast("double").alias(f"{c}{k}") for k, end in ((0, "p"), (1, "q")) for c in "xy"])
     edges = edges.withColumn("length", F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))).filter("length > 0")

@@ -137,6 +137,24 @@ def test_outline_fit_against_samples(spark):
     assert [r["fit"] for r in alone] == [0.0]
 
 
+def test_small_groups_fit_in_rows_as_large_ones_do_in_cells(spark, monkeypatch):
+    """Edges and walls in cells, joined, were some 600 bytes a room."""
+    rng = np.random.default_rng(7)
+    rooms = [(f"p{k % 4}", k, ring(*(rng.uniform(0, 20, 2) + rng.uniform(0, 6, (3 + k % 3, 2))).round(2))) for k in range(40)]
+    rooms += [("p0", 90, None), ("p0", 91, ring((1, 1), (2, 2))), ("p1", 92, ring((1, 1), (1, 1), (1, 1))), ("alone", 93, box(0, 0, 2, 2)), (None, 94, box(0, 0, 2, 2))]
+    walls = [(f"p{k % 3}", *rng.uniform(0, 25, 4).round(2).tolist()) for k in range(120)] + [("p0", None, 0.0, 9.0, 9.0), (None, 0.0, 0.0, 2.0, 0.0), ("none", 0.0, 0.0, 1.0, 1.0), ("p3", 4.0, 4.0, 4.0, 4.0)]
+    r, w = spark.createDataFrame(rooms, f"plan string, room_id int, polygon {RING}"), spark.createDataFrame(walls, "plan string, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for few, at_once in ((400, 7), (90, 500_000), (0, 500_000)):
+        monkeypatch.setattr(outlines, "FEW_SIDES", few)
+        monkeypatch.setattr(outlines, "SIDES_AT_ONCE", at_once)
+        got[few] = {(x["plan"], x["room_id"]): round(x["fit"], 9) for x in outlines.outline_fit(r, w, ["plan"], "room_id", tolerance=0.7).collect()}
+    assert got[400] == got[90] == got[0] and len(got[0]) == 42 and sum(f > 0 for f in got[0].values()) > 20
+    monkeypatch.setattr(outlines, "FEW_SIDES", 400)
+    plan = outlines.outline_fit(r, w, ["plan"], "room_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1 and plan.count("Generate") == 1  # no cells, and no edges before rooms meet their walls
+
+
 def flood(label):
     h, w = label.shape
     key = {}

@@ -64,3 +64,13 @@ def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, floa
     found = ranked.groupBy(*by, "i", "pos").agg(at(k0).alias("a"), at(k1).alias("z"))
     exact = between(F.col("a"), F.col("z"), F.col("pos") - F.floor("pos")) if not nearest else F.col("a")
     return found.select(*by, "i", exact.alias("exact")).groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("exact"))).alias(name) for i, name in enumerate(names)])
+
+
+def quantiles_in_rows(rows: DataFrame, by: str, value: str, wanted: dict[str, float]) -> DataFrame:
+    """quantiles of groups most of which are small: those are ordered in a row each, and only counted large ones are bracketed."""
+    kept = rows.filter(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
+    large = few(kept.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SMALL).select(by))
+    ordered = lambda df: df.groupBy(by).agg(F.sort_array(F.collect_list("_v")).alias("_v")).select(by, *[quantile_of(F.col("_v"), q).alias(name) for name, q in wanted.items()])
+    if large.isEmpty():
+        return ordered(kept)
+    return ordered(kept.join(large, by, "left_anti")).unionByName(quantiles(kept.join(large, by, "left_semi"), [by], "_v", wanted))

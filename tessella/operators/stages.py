@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.quantiles import quantiles_in_rows
+
 #: Fixed values.
 CEILING_PRIOR, CEILING_RANGE = 2.55, (2.0, 4.2)
 DOOR_M, WINDOW_M = (0.55, 1.4), (0.35, 4.0)
@@ -96,8 +98,8 @@ def oriented(points: DataFrame, by: str, up: tuple[str, str, str]) -> DataFrame:
     dot = lambda a, b, c: F.col("x") * a + F.col("y") * b + F.col("z") * c
     zx, zy, zz, cx, cy, cz = (F.col(c) for c in ("_zx", "_zy", "_zz", "_cx", "_cy", "_cz"))
     turned = frame.withColumns({"u": dot(cx, cy, cz), "v": dot(zy * cz - zz * cy, zz * cx - zx * cz, zx * cy - zy * cx), "h": dot(zx, zy, zz)}).drop("_zx", "_zy", "_zz", "_cx", "_cy", "_cz")
-    q = turned.groupBy(by).agg(F.percentile("h", F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
-    near = turned.join(q, by).groupBy(by).agg(F.count_if(F.abs(F.col("h") - F.col("_q")[0]) < 0.15).alias("_lo"), F.count_if(F.abs(F.col("h") - F.col("_q")[1]) < 0.15).alias("_hi"))
+    q = quantiles_in_rows(turned, by, "h", {"_q0": 0.05, "_q1": 0.95})
+    near = turned.join(q, by, "left").groupBy(by).agg(F.count_if(F.abs(F.col("h") - F.col("_q0")) < 0.15).alias("_lo"), F.count_if(F.abs(F.col("h") - F.col("_q1")) < 0.15).alias("_hi"))
     flip = F.col("_hi") > F.col("_lo") * 1.6
     return turned.join(near, by).withColumn("h", F.when(flip, -F.col("h")).otherwise(F.col("h"))).withColumn("flipped", flip).drop("_lo", "_hi")
 

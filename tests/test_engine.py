@@ -101,6 +101,16 @@ def test_norms_of_turned_rooms_that_end_in_halves(spark, tmp_path):
         assert [r["norm"] for r in registry.queries()["oriented_cloud"](spark, str(folder)).collect()] == [norm]
 
 
+def test_points_as_far_from_a_quantile_as_counts(spark, tmp_path):
+    con = duckdb.connect()
+    # points 0.15 from a quantile but for its last bit, which says whether the room is upside down
+    copies = " UNION ALL ".join(f"SELECT * REPLACE (event_id + {i} * 100000 AS event_id, user_id + {i} * 1500 AS user_id) FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id + {i} * 1500 IN (81168, 54638, 84101, 80695, 16749, 60182, 53213, 75002)" for i in range(60))
+    con.sql(f"COPY ({copies}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = {r[0]: r[2] for r in con.sql(registry.oracle_sql()["oriented_cloud"]).fetchall()}
+    assert len(want) == 8 and {r["user_id"]: r["flipped"] for r in registry.queries()["oriented_cloud"](spark, str(tmp_path)).collect()} == want
+
+
 def test_points_that_equal_a_quantile_of_their_room(spark, tmp_path):
     con = duckdb.connect()
     # rooms of 4,000 points, of which several are equally far out but for the last bit, where SQL's quantile between them is one or the other

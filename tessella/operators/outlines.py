@@ -13,10 +13,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as g
+from tessella.functions import sweeps
 from tessella.operators.quantiles import few
 from tessella.session import materialize
 
@@ -159,10 +162,75 @@ def _trace(edges: Iterable[tuple]) -> list[tuple[float, list[tuple]]]:
     return rings
 
 
-def union_outlines(polygons: DataFrame, by: list[str], polygon: str = "polygon") -> DataFrame:
+#: Groups of at most so many corners in all are a row each, swept in batches.
+FEW_IN_ALL = 200
+
+
+def lists(rows: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lengths and elements of lists."""
+    return pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(int), rows.flatten()
+
+
+def fields(rows: pa.Array, *names: str) -> list[np.ndarray]:
+    """Fields of structs as doubles; NaN for null."""
+    return [pc.cast(pc.struct_field(rows, name), pa.float64()).to_numpy(zero_copy_only=False) for name in names]
+
+
+def listed(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _rings(of: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    return sweeps.rings(*sweeps.boundary(of, sizes, x, y, DECIMALS), _bent, _trace, ROUNDED)
+
+
+#: Rows that are swept together, so that their arrays stay near the processor.
+ROWS_AT_ONCE = 1_000
+
+
+def _outlines(rooms: pa.Array) -> pa.Array:
+    """area, with a sign, and points of the rings of each row's outline."""
+    return pa.concat_arrays([_some_outlines(rooms.slice(k, ROWS_AT_ONCE)) for k in range(0, max(1, len(rooms)), ROWS_AT_ONCE)])
+
+
+def _some_outlines(rooms: pa.Array) -> pa.Array:
+    n, each = lists(rooms)
+    sizes, points = lists(each)
+    of, area, corners, x, y = _rings(np.repeat(np.arange(len(n)), n), sizes, *fields(points, "x", "y"))
+    corner = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+    return listed(np.bincount(of, minlength=len(n)), pa.StructArray.from_arrays([pa.array(area), listed(corners, corner)], ["area", "points"]))
+
+
+def _large(by: list[str], most: int, *tables: tuple[DataFrame, Column]) -> DataFrame:
+    """by of the groups that have more in all tables than most, each row counted for what its column says."""
+    each = [df.select(*by, F.greatest(n, F.lit(1)).cast("long").alias("_n")) for df, n in tables]
+    rows = each[0]
+    for more in each[1:]:
+        rows = rows.unionByName(more)
+    return few(rows.groupBy(*by).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > most).select(*by))
+
+
+def union_outlines(polygons: DataFrame, by: list[str], polygon: str = "polygon", corners: Column | None = None) -> DataFrame:
     """by, ring, hole, area, points: rings of the outline of each group's union, largest first. Outer
-    rings run counter-clockwise, holes clockwise; area is without a sign. Only the boundary, not what the group is made of, is traced in one
-    task; groups go to Python in batches, a row each."""
+    rings run counter-clockwise, holes clockwise; area is without a sign. Small groups are a row each, shuffled once by the group, if they aren't
+    together already, and swept in batches; of larger ones, counted first, only the boundary is traced in one task. corners: at most how
+    many a polygon has, where that is known without making it."""
+    polygons = polygons.select(*by, polygon).dropna(subset=by)
+    large = _large(by, FEW_IN_ALL, (polygons, F.size(polygon) if corners is None else corners))
+    if large.isEmpty():
+        return _outlines_in_rows(polygons, by, polygon)
+    return _outlines_in_rows(polygons.join(large, by, "left_anti"), by, polygon).unionByName(_outlines_swept(polygons.join(large, by, "left_semi"), by, polygon))
+
+
+def _outlines_in_rows(polygons: DataFrame, by: list[str], polygon: str) -> DataFrame:
+    outlines = F.arrow_udf(_outlines, "array<struct<area double, points array<struct<x double, y double>>>>")
+    rows = polygons.groupBy(*by).agg(F.collect_list(polygon).alias("_p")).select(*by, outlines("_p").alias("_r"))
+    ring = rows.select(*by, F.posexplode("_r").alias("ring", "r"))
+    return ring.select(*by, "ring", (F.col("r.area") < 0).alias("hole"), F.abs("r.area").alias("area"), "r.points")
+
+
+def _outlines_swept(polygons: DataFrame, by: list[str], polygon: str) -> DataFrame:
+    """union_outlines of groups of any size. Their boundaries go to Python in batches, a row each."""
     ends = ("x0", "y0", "x1", "y1")
 
     def trace(*columns: pd.Series) -> pd.DataFrame:

@@ -19,15 +19,16 @@ def _number(c: str, modulus: int, more: float = 0.0):
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-def _lines(spark, d):
-    """Lines with their place in the order, as line numbers repeat."""
+def _lines(spark, d, together: bool = False):
+    """Lines with their place in the order, as line numbers repeat; together also where their place isn't read."""
     w = Window.partitionBy("l_orderkey").orderBy(*_ORDER)
-    return table(spark, d, "lineitem").select("l_orderkey", *_ORDER, "l_returnflag").withColumn("line", F.row_number().over(w).cast("long"))
+    l = table(spark, d, "lineitem").select("l_orderkey", *_ORDER, "l_returnflag")
+    return (l.repartition("l_orderkey") if together else l).withColumn("line", F.row_number().over(w).cast("long"))
 
 
-def _overlapping(spark, d):
+def _overlapping(spark, d, together: bool = False):
     """Rooms that overlap their neighbours; every third one has a corner cut out."""
-    r = _lines(spark, d).select("l_orderkey", "line", "l_partkey", (F.col("l_linenumber") * 5 + F.col("l_quantity").cast("long") % 4).cast("double").alias("x"), _number("l_partkey", 7).alias("y"), _number("l_quantity", 9, 2).alias("w"), _number("l_suppkey", 6, 2).alias("h"))
+    r = _lines(spark, d, together).select("l_orderkey", "line", "l_partkey", (F.col("l_linenumber") * 5 + F.col("l_quantity").cast("long") % 4).cast("double").alias("x"), _number("l_partkey", 7).alias("y"), _number("l_quantity", 9, 2).alias("w"), _number("l_suppkey", 6, 2).alias("h"))
     x, y, w, h = (F.col(c) for c in "xywh")
     ell = F.array(g.point(x, y), g.point(x + w, y), g.point(x + w, y + h / 2), g.point(x + w / 2, y + h / 2), g.point(x + w / 2, y + h), g.point(x, y + h))
     return r.withColumn("polygon", F.when(F.col("l_partkey") % 3 == 0, ell).otherwise(g.rectangle(x, y, w, h)))
@@ -35,7 +36,7 @@ def _overlapping(spark, d):
 
 def union_outline(spark, d):
     """Area, perimeter and corners of each order's footprint, over its outer rings and holes."""
-    rings = op.union_outlines(_overlapping(spark, d), ["l_orderkey"])
+    rings = op.union_outlines(_overlapping(spark, d, together=True), ["l_orderkey"], corners=F.lit(6))
     signed = F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))
     return rings.groupBy("l_orderkey").agg(F.round(F.sum(signed), 4).alias("area"), F.round(F.sum(g.perimeter(F.col("points"))), 4).alias("perimeter"), F.sum(F.size("points")).cast("long").alias("corners"))
 

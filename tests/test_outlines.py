@@ -102,6 +102,21 @@ def test_outlines_are_traced_in_batches(spark):
     assert "FlatMapGroups" not in outlines.union_outlines(df, ["plan"])._jdf.queryExecution().toString()
 
 
+def test_small_groups_are_swept_in_a_row_as_large_ones_by_spark(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(name, p) for name, ps in SHAPES.items() for p in ps] + [(f"r{k // 5}", box(*(rng.integers(0, 12, 2) / 2).tolist(), *rng.integers(1, 6, 2).tolist())) for k in range(60)]
+    rows += [(f"f{k // 4}", ring(*map(tuple, (rng.uniform(0, 8, 2) + rng.uniform(0, 5, (3, 2))).round(2).tolist()))) for k in range(40)] + [(None, box(0, 0, 1, 1)), ("n", None)]
+    df = spark.createDataFrame(rows, f"plan string, polygon {RING}")
+    small = outlines.union_outlines(df, ["plan"])
+    plan = small._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.split("== Physical Plan ==")[1].count("Exchange ") == 1
+    found = lambda out: sorted((r["plan"], r["ring"], r["hole"], round(r["area"], 6), tuple((round(p["x"], 5) + 0.0, round(p["y"], 5) + 0.0) for p in r["points"])) for r in out.collect())
+    swept = found(outlines._outlines_swept(df, ["plan"], "polygon"))
+    assert len(swept) > 30 and found(small) == swept
+    monkeypatch.setattr(outlines, "FEW_IN_ALL", 12)
+    assert found(outlines.union_outlines(df, ["plan"])) == swept
+
+
 def test_small_pairs_are_measured_in_batches_and_large_ones_swept(spark):
     wave = ring(*[(k, k % 2) for k in range(40)], (39, 5), (0, 5))
     rows = [(0, box(0, 0, 4, 3), box(2, 0, 4, 3)), (1, box(0, 0, 4, 3), box(9, 9, 1, 1)), (2, wave, wave), (3, wave, box(0, 2, 39, 3)), (4, ring((0, 0), (1, 0)), box(0, 0, 1, 1))]

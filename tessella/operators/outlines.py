@@ -274,11 +274,107 @@ def _pair_iou(pairs: DataFrame, by: list[str], one: str, other: str) -> DataFram
     return small.unionByName(swept)
 
 
-def layout_iou(built: DataFrame, plan: DataFrame, matches: DataFrame, by: str) -> DataFrame:
+def _few_ious(p: tuple[np.ndarray, ...], q: tuple[np.ndarray, ...], one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """IoU of rings one of p with rings other of q, which are (corners, x, y), ring by ring; 0 for those of fewer than three corners."""
+    (m, px, py), (n, qx, qy) = p, q
+    out, first, last = np.zeros(len(one)), sweeps.firsts(m), sweeps.firsts(n)
+    kinds, kind = np.unique(np.stack([m[one], n[other]], axis=1).reshape(-1, 2), axis=0, return_inverse=True)
+    for k, (a, b) in enumerate(kinds.tolist()):
+        rows = np.flatnonzero(kind.ravel() == k) if a >= 3 and b >= 3 else np.zeros(0, int)
+        most = max(1, 16_000_000 // (a + b) ** 3)
+        for i in range(0, len(rows), most):
+            at = rows[i : i + most]
+            u, v = first[one[at]][:, None] + np.arange(a), last[other[at]][:, None] + np.arange(b)
+            out[at] = g.batch_iou(np.stack([px[u], py[u]], axis=2), np.stack([qx[v], qy[v]], axis=2))
+    return out
+
+
+def _footprints(rows: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """rows that have one, rising, and corners, x, y, centre x and y of the largest outer ring of each one's rooms."""
+    of, area, corners, rx, ry = _rings(rows, sizes, x, y)
+    outer = np.flatnonzero(area > 0)
+    of, one = np.unique(of[outer], return_index=True)
+    at, n = sweeps.firsts(corners)[outer[one]], corners[outer[one]]
+    row, k = sweeps.counted(n)
+    x, y, after = rx[at[row] + k], ry[at[row] + k], sweeps.following(n)
+    cross = x * y[after] - x[after] * y
+    total = lambda v: np.bincount(row, v, len(n))
+    half = total(cross) / 2.0
+    thin = np.abs(half) < 1e-9
+    whole = np.where(thin, 1.0, half * 6.0)
+    centre = [np.where(thin, total(v) / np.maximum(n, 1), total((v + v[after]) * cross) / whole) for v in (x, y)]
+    return of, n, x, y, *centre
+
+
+def _some_layouts(built: pa.Array, plan: pa.Array, matches: pa.Array) -> pa.Array:
+    """iou of the footprints, and of the rooms that are matched, of each row."""
+    size = len(built)
+    sides = []
+    for rows in (built, plan):
+        n, rooms = lists(rows)
+        sizes, points = lists(pc.struct_field(rooms, "p"))
+        sides.append((np.repeat(np.arange(size), n), pc.struct_field(rooms, "id"), sizes, *fields(points, "x", "y")))
+    (b_row, b_id, *b), (r_row, r_id, *r) = sides
+    b_of, b_n, bx, by, bcx, bcy = _footprints(b_row, *b)
+    r_of, r_n, rx, ry, rcx, rcy = _footprints(r_row, *r)
+    both, i, j = np.intersect1d(b_of, r_of, assume_unique=True, return_indices=True)
+    dx, dy = np.zeros((2, len(b_of), 2))
+    dx[i], dy[i] = np.stack([rcx[j], bcx[i]], axis=1), np.stack([rcy[j], bcy[i]], axis=1)
+    spread = np.repeat(np.arange(len(b_of)), b_n)
+    moved = (b_n, bx + dx[spread, 0] - dx[spread, 1], by + dy[spread, 0] - dy[spread, 1])
+    iou = np.full(size, np.nan)
+    iou[both] = _few_ious(moved, (r_n, rx, ry), i, j)
+    # rooms on the plan rooms they are matched with
+    m_n, pairs = lists(matches)
+    row = np.repeat(np.arange(size), m_n)
+    m, one = _joined(row, pc.struct_field(pairs, "a"), b_row, b_id)
+    k, other = _joined(row[m], pc.struct_field(pairs, "b").take(pa.array(m)), r_row, r_id)
+    each = _few_ious(tuple(b), tuple(r), one[k], other)
+    return pa.StructArray.from_arrays([pa.array(iou, mask=np.isnan(iou)), listed(np.bincount(row[m][k], minlength=size), pa.array(each))], ["iou", "rooms"])
+
+
+def _joined(row: np.ndarray, ids: pa.Array, rows: np.ndarray, of: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of elements of one side and the other that have the same row and id, in order of the first."""
+    codes = pa.concat_arrays([ids, of]).dictionary_encode()
+    code = pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False).astype(int)
+    most = len(codes.dictionary) + 1
+    key, keys = row * most + code[: len(ids)], rows * most + code[len(ids) :]
+    order = np.argsort(keys, kind="stable")
+    first, end = (np.searchsorted(keys[order], key, side) for side in ("left", "right"))
+    one, k = sweeps.counted(np.where(code[: len(ids)] < 0, 0, end - first))
+    return one, order[first[one] + k]
+
+
+def _layouts(*columns: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_some_layouts(*[c.slice(k, ROWS_AT_ONCE) for c in columns]) for k in range(0, max(1, len(columns[0])), ROWS_AT_ONCE)])
+
+
+def layout_iou(built: DataFrame, plan: DataFrame, matches: DataFrame, by: str, corners: Column | None = None) -> DataFrame:
     """by, iou, rooms, median_room_iou: how the footprint of the built rooms (by, room_id, polygon) covers that of the
     plan's (by, plan_room_id, polygon), laid centroid on centroid, as a plan's origin means nothing; and the
     rooms on the plan rooms they are matched with (by, room_id, plan_room_id), where they are. A footprint is the
-    largest outer ring of the union. Groups without either have no iou."""
+    largest outer ring of the union. Groups without either have no iou. Small groups are a row each, all of it measured there in batches;
+    larger ones, counted first, are swept. corners: at most how many a room has, where that is known without making it."""
+    size = F.size("polygon") if corners is None else corners
+    large = _large([by], FEW_IN_ALL, (built, size), (plan, size), (matches, F.lit(1)))
+    if large.isEmpty():
+        return _layout_in_rows(built, plan, matches, by)
+    parts = [[df.join(large, by, how) for df in (built, plan, matches)] for how in ("left_anti", "left_semi")]
+    return _layout_in_rows(*parts[0], by).unionByName(_layout_swept(*parts[1], by))
+
+
+def _layout_in_rows(built: DataFrame, plan: DataFrame, matches: DataFrame, by: str) -> DataFrame:
+    gather = lambda df, name, *fields: df.groupBy(by).agg(F.collect_list(F.struct(*fields)).alias(name), *([F.count(F.lit(1)).alias("rooms")] if name == "_b" else []))
+    room = lambda id_col: (F.col(id_col).alias("id"), F.col("polygon").alias("p"))
+    met = gather(built, "_b", *room("room_id")).join(gather(plan, "_r", *room("plan_room_id")), by, "left").join(gather(matches, "_m", F.col("room_id").alias("a"), F.col("plan_room_id").alias("b")), by, "left")
+    found = met.select(by, "rooms", F.arrow_udf(_layouts, "struct<iou double, rooms array<double>>")("_b", "_r", "_m").alias("_f"))
+    each = F.array_sort(F.transform("_f.rooms", lambda v: F.round(v, 4)))
+    at = lambda v, up: F.get(v, ((F.size(v) - (0 if up else 1)) / 2).cast("int"))
+    return found.withColumn("_e", each).select(by, "_f.iou", "rooms", (at(F.col("_e"), False) * 0.5 + at(F.col("_e"), True) * 0.5).alias("median_room_iou"))
+
+
+def _layout_swept(built: DataFrame, plan: DataFrame, matches: DataFrame, by: str) -> DataFrame:
+    """layout_iou of groups of any size."""
     def footprint(rooms: DataFrame, name: str) -> DataFrame:
         outer = union_outlines(rooms, [by]).filter("not hole").groupBy(by).agg(F.max_by("points", F.struct("area", -F.col("ring"))).alias(name))
         return outer.select(by, F.col(name), g.centroid(F.col(name)).alias(f"{name}_c"))

@@ -43,17 +43,18 @@ def union_outline(spark, d):
 
 def _row_of_rooms(spark, d, width: str, height: str, id_col: str):
     """Rooms side by side, each as wide and high as two columns say."""
-    l = _lines(spark, d).select("l_orderkey", F.col("line").alias(id_col), _number(width, 7, 2).alias("w"), _number(height, 5, 3).alias("h"))
-    before = Window.partitionBy("l_orderkey").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    x = F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    return l.withColumn("x", x).select("l_orderkey", id_col, g.rectangle(F.col("x"), F.lit(0.0), F.col("w"), F.col("h")).alias("polygon"))
+    order = Window.partitionBy("l_orderkey").orderBy(*_ORDER)
+    wide = _number(width, 7, 2)
+    before = F.sum(wide).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    l = table(spark, d, "lineitem").select("l_orderkey", *_ORDER).select("l_orderkey", F.row_number().over(order).cast("long").alias(id_col), F.coalesce(before, F.lit(0.0)).alias("x"), wide.alias("w"), _number(height, 5, 3).alias("h"))
+    return l.select("l_orderkey", id_col, g.rectangle(F.col("x"), F.lit(0.0), F.col("w"), F.col("h")).alias("polygon"))
 
 
 def layout_overlap(spark, d):
     """How each order's built footprint covers its plan's."""
     built, plan = _row_of_rooms(spark, d, "l_quantity", "l_partkey", "room_id"), _row_of_rooms(spark, d, "l_suppkey", "l_quantity", "plan_room_id")
     matches = built.select("l_orderkey", "room_id", F.col("room_id").alias("plan_room_id"))
-    return op.layout_iou(built, plan, matches, "l_orderkey").select("l_orderkey", F.round("iou", 4).alias("iou"), "rooms", "median_room_iou")
+    return op.layout_iou(built, plan, matches, "l_orderkey", corners=F.lit(4)).select("l_orderkey", F.round(F.round("iou", 9), 4).alias("iou"), "rooms", "median_room_iou")
 
 
 def _sheet_rooms(spark, d):

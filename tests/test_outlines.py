@@ -96,6 +96,19 @@ def test_layout_of_a_moved_plan(spark):
     assert got["a"][0] == pytest.approx(1.0) and got["a"][1:] == (2, 0.0) and got["b"] == (None, 1, None)
 
 
+def test_small_layouts_are_measured_in_a_row_as_large_ones_by_spark(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k // 4, f"r{k % 4}", box(*(rng.integers(0, 8, 2) / 2).tolist(), *rng.integers(1, 6, 2).tolist())) for k in range(48)]
+    rows += [(20, "t", ring((0, 0), (5, 1), (2, 4))), (20, "u", ring((0, 0), (1, 0))), (21, "only", box(0, 0, 1, 1))]
+    other = [(k, name, ring(*[(x * 1.25 + 3, y + 1) for x, y in p])) for k, name, p in rows if k != 21] + [(20, "t", box(0, 0, 3, 3))]
+    built, plan = (spark.createDataFrame(side, f"plan int, {name} string, polygon {RING}") for side, name in ((rows, "room_id"), (other, "plan_room_id")))
+    matches = spark.createDataFrame([(k, name, f"r{i % 4}" if k < 20 else name) for i, (k, name, _) in enumerate(rows)] + [(3, "r1", "r0"), (4, "r1", None), (5, "gone", "r1")], "plan int, room_id string, plan_room_id string")
+    plain = lambda df: {r["plan"]: (None if r["iou"] is None else round(r["iou"], 8), r["rooms"], r["median_room_iou"]) for r in df.collect()}
+    small = outlines.layout_iou(built, plan, matches, "plan")
+    assert small._jdf.queryExecution().executedPlan().toString().count("Window") == 0 and "parquet" not in small._jdf.queryExecution().toString()
+    assert plain(small) == plain(outlines._layout_swept(built, plan, matches, "plan"))
+
+
 def test_outlines_are_traced_in_batches(spark):
     """A call for each group took most of the time."""
     df = polygons(spark, SHAPES)

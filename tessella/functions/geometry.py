@@ -613,3 +613,30 @@ def batch_snap_to(p: np.ndarray, directions: np.ndarray, within: float = OFF) ->
     lost = np.abs(batch_area(out)) < 0.4 * np.abs(batch_area(p))
     turn = np.where(turned, least, 0.0).sum(axis=1) / np.maximum(1, turned.sum(axis=1))
     return np.where(lost[:, None, None], p, out), np.where(lost, 0.0, turn)
+
+
+def batch_peak_directions(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """peak_directions of each row of weights by degree: how many, and (rows, most) of them, rising, inf behind the last."""
+    rows, reach = np.arange(len(weights)), len(SPREAD) // 2
+    smooth = sum(np.roll(weights, k - reach, axis=1) * w for k, w in enumerate(SPREAD)) / sum(SPREAD)
+    total, some = smooth.sum(axis=1), weights.sum(axis=1) > 0
+    taken, n = np.full((len(weights), MOST_DIRECTIONS), np.inf), np.zeros(len(weights), int)
+    left, around = np.where(some[:, None], smooth, -np.inf), np.arange(-int(APART), int(APART) + 1)
+
+    def take(at: np.ndarray, angle: np.ndarray) -> None:
+        taken[at, n[at]] = angle
+        n[at] += 1
+        left[at[:, None], (angle[:, None] + around) % 180] = -np.inf
+
+    for _ in range(MOST_DIRECTIONS):
+        angle = left.argmax(axis=1)
+        best = left[rows, angle]
+        at = np.flatnonzero((n < MOST_DIRECTIONS) & (best > -np.inf) & ((n == 0) | (best >= LEAST_SHARE * total)))
+        if not len(at):
+            break
+        take(at, angle[at])
+        across = (angle[at] + 90) % 180
+        free = (n[at] < MOST_DIRECTIONS) & (left[at, across] > -np.inf)
+        take(at[free], across[free])
+    taken[~some, :2], n[~some] = (0.0, 90.0), 2
+    return n, np.sort(taken, axis=1)

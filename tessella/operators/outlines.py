@@ -551,8 +551,59 @@ def wall_directions(polygons: DataFrame, by: str, polygon: str = "polygon") -> D
     return all_angles.select(by, F.pandas_udf(peaks, "array<double>")("w.angle", "w.weight").alias("directions"))
 
 
-def squared_rooms(polygons: DataFrame, by: str, id_col: str, polygon: str = "polygon") -> DataFrame:
-    """by, id, directions, turn, area, polygon: each room with its walls turned into its group's directions."""
+def _some_squared(rooms: pa.Array) -> tuple[np.ndarray, ...]:
+    """Rooms of each row, and directions, turn, area, corners, x and y of each room."""
+    n, each = lists(rooms)
+    sizes, points = lists(pc.struct_field(each, "p"))
+    x, y = fields(points, "x", "y")
+    first, row = sweeps.firsts(sizes), np.repeat(np.arange(len(n)), n)
+    weights = np.zeros((len(n), 180))
+    of_size = {k: np.flatnonzero(sizes == k) for k in np.unique(sizes).tolist()}
+    shaped = lambda at, k: np.stack([v[first[at][:, None] + np.arange(k)] for v in (x, y)], axis=2)
+    for k, at in of_size.items():
+        np.add.at(weights, row[at], g.batch_direction_weights(shaped(at, k)))
+    many, directions = g.batch_peak_directions(weights)
+    turn, area, corner = np.zeros(len(sizes)), np.zeros(len(sizes)), np.zeros((len(x), 2))
+    for k, at in of_size.items():
+        for d in np.unique(many[row[at]]).tolist():
+            some = at[many[row[at]] == d]
+            snapped, turn[some] = g.batch_snap_to(shaped(some, k), directions[row[some], :d])
+            area[some] = np.abs(g.batch_area(snapped))
+            corner[first[some][:, None] + np.arange(k)] = snapped
+    many[~weights.any(axis=1)] = 0  # rooms without length run along nothing, and have no row
+    room, k = sweeps.counted(many[row])
+    return n, listed(many[row], pa.array(directions[row[room], k])), turn, area, sizes, corner
+
+
+def _squared(rooms: pa.Array) -> pa.Array:
+    def some(part: pa.Array) -> pa.Array:
+        n, directions, turn, area, sizes, corner = _some_squared(part)
+        points = pa.StructArray.from_arrays([pa.array(corner[:, 0].copy()), pa.array(corner[:, 1].copy())], ["x", "y"])
+        return listed(n, pa.StructArray.from_arrays([directions, pa.array(turn), pa.array(area), listed(sizes, points)], ["directions", "turn", "area", "polygon"]))
+
+    return pa.concat_arrays([some(rooms.slice(k, ROWS_AT_ONCE)) for k in range(0, max(1, len(rooms)), ROWS_AT_ONCE)])
+
+
+def squared_rooms(polygons: DataFrame, by: str, id_col: str, polygon: str = "polygon", corners: Column | None = None) -> DataFrame:
+    """by, id, directions, turn, area, polygon: each room with its walls turned into its group's directions. Small groups are a row each,
+    shuffled once by the group, and turned in batches; of larger ones, counted first, edge lengths are summed by Spark. corners: at most how
+    many a polygon has, where that is known without making it."""
+    polygons = polygons.select(by, id_col, F.col(polygon).alias("p")).filter(F.col(by).isNotNull())
+    large = _large([by], FEW_IN_ALL, (polygons, F.size("p") if corners is None else corners))
+    if large.isEmpty():
+        return _squared_in_rows(polygons, by, id_col)
+    return _squared_in_rows(polygons.join(large, by, "left_anti"), by, id_col).unionByName(_squared_by_spark(polygons.join(large, by, "left_semi"), by, id_col, "p"))
+
+
+def _squared_in_rows(polygons: DataFrame, by: str, id_col: str) -> DataFrame:
+    rows = polygons.filter(F.size("p") >= 3).groupBy(by).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "p")).alias("_r"))
+    turned = F.arrow_udf(_squared, "array<struct<directions array<double>, turn double, area double, polygon array<struct<x double, y double>>>>")
+    each = rows.select(by, F.col("_r.id").alias("id"), turned("_r").alias("s")).select(by, F.explode(F.arrays_zip("id", "s")).alias("_s")).filter(F.size("_s.s.directions") > 0)
+    return each.select(by, F.col("_s.id").alias(id_col), *[F.col(f"_s.s.{c}").alias(c) for c in ("directions", "turn", "area", "polygon")])
+
+
+def _squared_by_spark(polygons: DataFrame, by: str, id_col: str, polygon: str = "polygon") -> DataFrame:
+    """squared_rooms of groups of any size."""
     def snap(rings: pd.Series, directions: pd.Series) -> pd.DataFrame:
         rings = [[*map(list, p)] for p in rings]
         turn, area, snapped = np.zeros(len(rings)), np.zeros(len(rings)), [None] * len(rings)

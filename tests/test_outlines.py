@@ -1,5 +1,6 @@
 """Unions, outlines on walls, patches and neighbours against brute force on small fixtures."""
 
+import math
 from collections import deque
 
 import numpy as np
@@ -368,3 +369,25 @@ def test_batches_of_rooms_are_squared_as_single_ones():
             ring, turn = g.snap_to(p[i], list(d[i]))
             assert rings[i] == pytest.approx(ring, abs=1e-9) and turns[i] == pytest.approx(turn, abs=1e-9)
         assert g.batch_direction_weights(p) == pytest.approx(np.array([g.direction_weights(r) for r in p]), abs=1e-9)
+
+
+def test_small_groups_are_squared_in_a_row_as_large_ones_by_spark(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):
+        c, s = math.cos(k // 3 * 0.2), math.sin(k // 3 * 0.2)
+        w, h = rng.uniform(1, 6, 2).tolist()
+        p = [(0, 0), (w, 0), (w, h), (0, h)] if k % 4 else [(0, 0), (w, 0), (w, h / 2), (w / 2, h / 2), (w / 2, h), (0, h)]
+        rows.append((k // 3, f"r{k}", ring(*[(x * c - y * s + rng.normal() / 50, x * s + y * c) for x, y in p])))
+    df = spark.createDataFrame([*rows, (99, "line", ring((0, 0), (1, 0))), (98, "none", None), (97, "dot", ring((1, 1), (1, 1), (1, 1))), (None, "gone", box(0, 0, 1, 1))], f"plan int, room string, polygon {RING}")
+    small = outlines.squared_rooms(df, "plan", "room")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+    plain = lambda out: {r["room"]: (r["plan"], r["directions"], round(r["turn"], 9), round(r["area"], 9), [(round(p["x"], 8) + 0.0, round(p["y"], 8) + 0.0) for p in r["polygon"]]) for r in out.collect()}
+    assert plain(small) == plain(outlines._squared_by_spark(df, "plan", "room")) and len(plain(small)) == 60
+
+
+def test_peaks_of_batches_are_those_one_by_one():
+    weights = np.round(np.random.default_rng(9).exponential(1, (200, 180)) ** 3, 1) * (np.random.default_rng(10).random((200, 180)) < np.linspace(0, 1, 200)[:, None])
+    n, found = g.batch_peak_directions(weights)
+    assert [f[:k].tolist() for k, f in zip(n.tolist(), found)] == [g.peak_directions(w) for w in weights]

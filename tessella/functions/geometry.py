@@ -640,3 +640,29 @@ def batch_peak_directions(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         take(at[free], across[free])
     taken[~some, :2], n[~some] = (0.0, 90.0), 2
     return n, np.sort(taken, axis=1)
+
+
+def batch_ear_clip(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ear_clip of counter-clockwise rings of equally many corners: (rows, corners - 2, 3) triangles, and how many there are."""
+    size, n = p.shape[:2]
+    out, count, rows = np.zeros((size, max(0, n - 2), 3), int), np.zeros(size, int), np.arange(size)
+    ids = np.tile(np.arange(n), (size, 1))
+    turn = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    while ids.shape[1] > 3 and len(rows):
+        m = ids.shape[1]
+        b = p[rows[:, None], ids]
+        a, c = np.roll(b, 1, axis=1), np.roll(b, -1, axis=1)
+        v, (i, j, k) = b[:, None], (w[:, :, None] for w in (a, b, c))
+        inside = (turn(i, j, v) >= 0) & (turn(j, k, v) >= 0) & (turn(k, i, v) >= 0)
+        near = np.abs((np.arange(m)[:, None] - np.arange(m) + m // 2) % m - m // 2) <= 1
+        ear = (turn(a, b, c) > 1e-12) & ~(inside & ~near).any(axis=2)
+        some = ear.any(axis=1)
+        rows, ids, at = rows[some], ids[some], ear[some].argmax(axis=1)
+        one = np.arange(len(rows))
+        out[rows, count[rows]] = np.stack([ids[one, at - 1], ids[one, at], ids[one, (at + 1) % m]], axis=1)
+        count[rows] += 1
+        ids = ids[np.arange(m) != at[:, None]].reshape(len(rows), m - 1)
+    if ids.shape[1] == 3:
+        out[rows, count[rows]] = ids
+        count[rows] += 1
+    return out, count

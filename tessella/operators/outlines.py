@@ -201,7 +201,7 @@ def _some_outlines(rooms: pa.Array) -> pa.Array:
     return listed(np.bincount(of, minlength=len(n)), pa.StructArray.from_arrays([pa.array(area), listed(corners, corner)], ["area", "points"]))
 
 
-def _large(by: list[str], most: int, *tables: tuple[DataFrame, Column]) -> DataFrame:
+def large_groups(by: list[str], most: int, *tables: tuple[DataFrame, Column]) -> DataFrame:
     """by of the groups that have more in all tables than most, each row counted for what its column says."""
     each = [df.select(*by, F.greatest(n, F.lit(1)).cast("long").alias("_n")) for df, n in tables]
     rows = each[0]
@@ -216,7 +216,7 @@ def union_outlines(polygons: DataFrame, by: list[str], polygon: str = "polygon",
     together already, and swept in batches; of larger ones, counted first, only the boundary is traced in one task. corners: at most how
     many a polygon has, where that is known without making it."""
     polygons = polygons.select(*by, polygon).dropna(subset=by)
-    large = _large(by, FEW_IN_ALL, (polygons, F.size(polygon) if corners is None else corners))
+    large = large_groups(by, FEW_IN_ALL, (polygons, F.size(polygon) if corners is None else corners))
     if large.isEmpty():
         return _outlines_in_rows(polygons, by, polygon)
     return _outlines_in_rows(polygons.join(large, by, "left_anti"), by, polygon).unionByName(_outlines_swept(polygons.join(large, by, "left_semi"), by, polygon))
@@ -356,7 +356,7 @@ def layout_iou(built: DataFrame, plan: DataFrame, matches: DataFrame, by: str, c
     largest outer ring of the union. Groups without either have no iou. Small groups are a row each, all of it measured there in batches;
     larger ones, counted first, are swept. corners: at most how many a room has, where that is known without making it."""
     size = F.size("polygon") if corners is None else corners
-    large = _large([by], FEW_IN_ALL, (built, size), (plan, size), (matches, F.lit(1)))
+    large = large_groups([by], FEW_IN_ALL, (built, size), (plan, size), (matches, F.lit(1)))
     if large.isEmpty():
         return _layout_in_rows(built, plan, matches, by)
     parts = [[df.join(large, by, how) for df in (built, plan, matches)] for how in ("left_anti", "left_semi")]
@@ -589,7 +589,7 @@ def squared_rooms(polygons: DataFrame, by: str, id_col: str, polygon: str = "pol
     shuffled once by the group, and turned in batches; of larger ones, counted first, edge lengths are summed by Spark. corners: at most how
     many a polygon has, where that is known without making it."""
     polygons = polygons.select(by, id_col, F.col(polygon).alias("p")).filter(F.col(by).isNotNull())
-    large = _large([by], FEW_IN_ALL, (polygons, F.size("p") if corners is None else corners))
+    large = large_groups([by], FEW_IN_ALL, (polygons, F.size("p") if corners is None else corners))
     if large.isEmpty():
         return _squared_in_rows(polygons, by, id_col)
     return _squared_in_rows(polygons.join(large, by, "left_anti"), by, id_col).unionByName(_squared_by_spark(polygons.join(large, by, "left_semi"), by, id_col, "p"))

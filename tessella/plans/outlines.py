@@ -113,10 +113,11 @@ def squared_rooms(spark, d):
 
 def mesh_totals(spark, d):
     """Triangles and area of the orders' shells by provenance and part, each line with a door or window on its front."""
-    r = _overlapping(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("provenance")), "l_orderkey")
-    r = r.select("l_orderkey", F.col("line").alias("room_id"), "l_partkey", "x", "y", "w", "polygon", F.lit(0.0).alias("floor"), (F.col("l_partkey") % 3 * 0.25 + 2.25).alias("height"), "provenance")
+    lines = _overlapping(spark, d)
+    r = lines.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("provenance")), "l_orderkey")
+    r = r.select("l_orderkey", F.col("line").alias("room_id"), "polygon", F.lit(0.0).alias("floor"), (F.col("l_partkey") % 3 * 0.25 + 2.25).alias("height"), "provenance")
     k = F.col("l_partkey")
-    openings = r.filter(k % 5 > 0).select("l_orderkey", (F.col("x") + F.col("w") / 4).alias("x"), (F.col("y") + 0.125).alias("y"), (k % 4 * 0.5).alias("width"), F.when(k % 2 == 0, "door").otherwise("window").alias("kind"), F.when(k % 7 == 0, 2.5).alias("head"))
+    openings = lines.filter(k % 5 > 0).select("l_orderkey", (F.col("x") + F.col("w") / 4).alias("x"), (F.col("y") + 0.125).alias("y"), (k % 4 * 0.5).alias("width"), F.when(k % 2 == 0, "door").otherwise("window").alias("kind"), F.when(k % 7 == 0, 2.5).alias("head"))
     out = meshes.room_mesh(r, openings, "l_orderkey").withColumn("area", meshes.triangle_area())
     return out.groupBy("provenance", "part").agg(F.count(F.lit(1)).alias("triangles"), F.round(F.sum("area"), 2).alias("area"), F.bool_and("whole").alias("whole"))
 

@@ -391,3 +391,28 @@ def test_peaks_of_batches_are_those_one_by_one():
     weights = np.round(np.random.default_rng(9).exponential(1, (200, 180)) ** 3, 1) * (np.random.default_rng(10).random((200, 180)) < np.linspace(0, 1, 200)[:, None])
     n, found = g.batch_peak_directions(weights)
     assert [f[:k].tolist() for k, f in zip(n.tolist(), found)] == [g.peak_directions(w) for w in weights]
+
+
+def test_ears_of_batches_are_those_one_by_one():
+    rng = np.random.default_rng(11)
+    for n in (3, 4, 6, 9):
+        angle = np.sort(rng.uniform(0, 2 * math.pi, (40, n)), axis=1)
+        p = np.stack([np.cos(angle), np.sin(angle)], axis=2) * rng.uniform(0.2, 3, (40, n, 1))
+        p = np.where((g.batch_area(p) >= 0)[:, None, None], p, p[:, ::-1])
+        ears, count = g.batch_ear_clip(p)
+        assert [list(map(tuple, e[:k].tolist())) for e, k in zip(ears, count.tolist())] == [g.ear_clip(q) for q in p]
+
+
+def test_openings_meet_rooms_by_their_group_alone(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rooms = [(k // 3, k, box(*rng.integers(0, 40, 2).tolist(), *rng.integers(2, 9, 2).tolist()), 0.5, 2.5, "measured") for k in range(30)]
+    cuts = [(k // 3, float(p[0][0] + rng.uniform(0, 3)), float(p[0][1] + rng.uniform(-0.3, 0.3)), 0.8, "door" if k % 2 else "window", None) for _, k, p, *_ in rooms for _ in range(2)]
+    df = spark.createDataFrame(rooms, f"plan int, room_id int, polygon {RING}, floor double, height double, provenance string")
+    openings = spark.createDataFrame(cuts, "plan int, x double, y double, width double, kind string, head double")
+    small = meshes.room_mesh(df, openings, "plan")
+    plan = small._jdf.queryExecution().toString()
+    assert "gx" not in plan and "cursor" not in plan
+    found = lambda out: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in out.collect())
+    want = found(small)
+    monkeypatch.setattr(meshes, "FEW_OPENINGS", 1)
+    assert len(want) > 30 * 12 and found(meshes.room_mesh(df, openings, "plan")) == want
